@@ -265,7 +265,10 @@ class NgramJaccardJoin:
     def _pairs(self, meet: DataFrame) -> DataFrame:
         """Distinct pairs of those that meet, without those that sizes, positions or parities rule out."""
         meet = meet.filter("a <> b").filter(_sizes_fit("na", "nb", self.per)).filter(_reachable(self.per))
-        pairs = meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        return self._near(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+
+    def _near(self, pairs: DataFrame) -> DataFrame:
+        """Distinct pairs (a, b) without those that parities rule out, with sizes and the count of parities that differ."""
         parity = self._parity
         pairs = pairs.join(parity.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a")
         pairs = pairs.join(parity.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
@@ -274,19 +277,34 @@ class NgramJaccardJoin:
         most = (F.col("na") + F.col("nb") - F.col("off")) / 2
         return pairs.filter(most * (100 + self.per) >= self.per * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", "off")
 
-    def _cross_pairs(self, live: DataFrame, comp: DataFrame, also: DataFrame | None = None) -> DataFrame:
-        """Pairs that share a rare n-gram and aren't in one class yet (or, with `also`, only those in one class of it)."""
-        at = live.select("gram", "node", "n", "i").join(comp, "node", "left")
-        at = at.withColumn("comp", F.coalesce("comp", "node"))
-        if also is not None:
-            at = at.join(also.select("node", F.col("comp").alias("outer")), "node")
-        mixed_grams = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-        at = staged(at.join(mixed_grams, "gram", "left_semi"), "live")
-        a = at.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"), *([F.col("outer").alias("oa")] if also is not None else []))
-        b = at.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"), *([F.col("outer").alias("ob")] if also is not None else []))
-        meet = a.join(b, (a.gram == b.gram) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit("na", "nb", self.per) & _reachable(self.per) & (F.expr("oa = ob") if also is not None else F.lit(True)))
+    def _cross_pairs(self, live: DataFrame, comp: DataFrame) -> DataFrame:
+        """Pairs that share a rare n-gram and aren't in one class."""
+        at = live.select("gram", "node", "n", "i").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
+        at = staged(at.join(several, "gram", "left_semi"), "live")
+        a = at.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
+        b = at.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
+        meet = a.join(b, (a.gram == b.gram) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit("na", "nb", self.per) & _reachable(self.per))
         return self._pairs(meet.select("a", "b", "na", "nb", "ia", "ib"))
 
+    def _split_pairs(self, live: DataFrame, comp: DataFrame, outer: DataFrame) -> DataFrame:
+        """Pairs across classes that share a rare n-gram and were one class before verification.
+
+        Classes that meet are found first, and their members paired once, however many n-grams they share.
+        """
+        at = live.select("gram", "node", "n").join(outer.withColumnRenamed("comp", "outer"), "node").join(comp, "node", "left")
+        at = at.withColumn("comp", F.coalesce("comp", "node"))
+        open_ = at.groupBy("outer").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("outer")
+        at = staged(at.join(open_, "outer", "left_semi"), "live")
+        side = at.select("gram", "outer", "comp").distinct()
+        meet = side.select("gram", "outer", F.col("comp").alias("ca")).join(side.select("gram", "outer", F.col("comp").alias("cb")), ["gram", "outer"])
+        meet = meet.filter("ca < cb").select("ca", "cb").distinct()
+        member = at.select("node", "n", "comp").distinct()
+        pairs = meet.join(member.toDF("a", "na", "ca"), "ca")
+        other = member.toDF("b", "nb", "cb")
+        pairs = pairs.join(other, (pairs.cb == other.cb) & _sizes_fit("na", "nb", self.per))
+        return self._near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+
     def _verified(self, pairs: DataFrame, segments: DataFrame) -> DataFrame:
         """Pairs whose overlaps, counted fragment by fragment and summed, reach the threshold."""
         mine = pairs.join(segments.withColumnRenamed("node", "a").withColumnRenamed("segment", "sa"), "a")
@@ -321,7 +339,7 @@ class NgramJaccardJoin:
         segments = staged(segments.select("node", F.posexplode("segments").alias("fragment", "segment")), "segments", "lz4")
         links = staged(self._verified(pairs, segments).select("a", "b", "overlap"), "links")
         true = components(links)
-        rest = staged(self._cross_pairs(live, true, likely), "pairs")
+        rest = staged(self._split_pairs(live, true, likely), "pairs")
         rest = rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
         if not rest.isEmpty():
             links = staged(links.unionByName(self._verified(rest, segments).select("a", "b", "overlap")), "links")
