@@ -20,7 +20,7 @@ from tidemark.llm.components import components
 from tidemark.llm.words import chained, mixed, slices
 from tidemark.llm.workspace import attach_groups, staged
 
-SKETCH_BITS = 22
+SKETCH_BITS = 24
 CELLS = 8192
 FRAGMENT_BITS = 2
 #: N-grams in more documents than this have their posting list dealt over SALTS tasks.
@@ -28,6 +28,8 @@ SALT_FROM = 20_000
 SALTS = 64
 #: Best candidates of a document that are verified before its class is known; the others follow unless by then in one class.
 FIRST_HUBS = 3
+#: Further rounds of first partners before all pairs of sets still apart are looked at.
+STARS = 4
 
 
 def ngram_sets(column: pa.Array, width: int):
@@ -101,44 +103,81 @@ def _describe(width: int):
         for some in np.array_split(used, max(1, len(used) // 64)):
             none = pa.nulls(len(some))
             yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64())] * 3 + [none.cast(pa.list_(pa.int64())), pa.array(some, pa.int32()), pa.array([parts[i].tobytes() for i in some], pa.binary())],
+                [none.cast(pa.int64())] * 3 + [none.cast(pa.list_(pa.int64())), pa.array(some, pa.int32()), pa.array([_packed(parts[i]) for i in some], pa.binary())],
                 names=SETS.names,
             )
 
     return run
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters as they are, or, where few aren't 0, their places and values."""
+    at = np.flatnonzero(counts)
+    if 2 * len(at) >= len(counts):
+        return counts.tobytes()
+    return at.astype(np.uint16).tobytes() + counts[at].tobytes()
+
+
 def _added(batches):
     """Sums the counters of each cell; one array per cell of this task is held."""
     total: dict[int, np.ndarray] = {}
     for batch in batches:
         for cell, counts in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
             mine = np.frombuffer(counts.as_buffer(), np.uint16)
-            if cell in total:
-                total[cell] += mine
+            into = total.setdefault(cell, np.zeros(CELLS, np.int32))
+            if len(mine) == CELLS:
+                into += mine
             else:
-                total[cell] = mine.astype(np.int64)
+                at, n = mine.reshape(2, -1)
+                into[at] += n
     for cell, counts in total.items():
         yield pa.RecordBatch.from_arrays([pa.array([cell], pa.int32()), pa.array([counts.tobytes()], pa.binary())], names=["cell", "counts"])
 
 
+#: Counters above this are as good as each other for finding the usual one.
+TALL = 4096
+
+
+def _tallied(batches):
+    tally = np.zeros(TALL + 1, np.int64)
+    for batch in batches:
+        for counts in batch.column(1):
+            tally += np.bincount(np.minimum(np.frombuffer(counts.as_buffer(), np.int32), TALL), minlength=TALL + 1)
+    yield pa.RecordBatch.from_arrays([pa.array(np.arange(TALL + 1, dtype=np.int32)), pa.array(tally)], names=["n", "ranges"])
+
+
+def _levels(bar: float):
+    def run(batches):
+        for batch in batches:
+            out = []
+            for counts in batch.column(1):
+                n = np.frombuffer(counts.as_buffer(), np.int32)
+                out.append(np.where(n > bar, 1 + 2 * np.log2(np.maximum(n, 1) / bar), 0).astype(np.uint8).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, pa.binary())], names=["cell", "level"])
+
+    return run
+
+
 def gram_levels(sets: DataFrame) -> tuple[np.ndarray, int]:
     """Frequency level of each of 2**SKETCH_BITS hash ranges, and the level from which n-grams are salted.
 
-    Counts cover all documents; the table has a fixed size. Level 0 are ranges
-    that hold no n-gram which stands out, level k those that hold one about
-    2**(k/2) times more frequent. Any levels give right results: they only
-    decide which n-grams come late in the order.
+    Counts cover all documents; the table has a fixed size, a byte per range.
+    Level 0 are ranges that hold no n-gram which stands out, level k those that
+    hold one about 2**(k/2) times more frequent. Any levels give right results:
+    they only decide which n-grams come late in the order.
     """
     cells = sets.filter("cell is not null").select("cell", "counts").repartition("cell")
-    counts = np.zeros((1 << SKETCH_BITS) // CELLS * CELLS, np.int64).reshape(-1, CELLS)
-    for row in cells.mapInArrow(_added, "cell int, counts binary").collect():
-        counts[row.cell] = np.frombuffer(row.counts, np.int64)
-    counts = counts.ravel()
-    usual = float(np.median(counts[counts > 0])) if counts.any() else 1.0
-    bar = usual + 5 * usual**0.5 + 2
-    level = np.where(counts > bar, 1 + 2 * np.log2(np.maximum(counts, 1) / bar), 0)
-    return level.astype(np.uint8), int(1 + 2 * np.log2(max(SALT_FROM / bar, 1)))
+    cells = staged(cells.mapInArrow(_added, "cell int, counts binary"), "counts")
+    tally = np.zeros(TALL + 1, np.int64)
+    for row in cells.mapInArrow(_tallied, "n int, ranges long").groupBy("n").agg(F.sum("ranges").alias("ranges")).collect():
+        tally[row.n] = row.ranges
+    tally[0] = 0
+    usual = float(np.searchsorted(np.cumsum(tally), tally.sum() / 2)) if tally.any() else 1.0
+    bar = usual + 4 * usual**0.5 + 1
+    level = np.zeros((1 << SKETCH_BITS) // CELLS * CELLS, np.uint8).reshape(-1, CELLS)
+    for row in cells.mapInArrow(_levels(bar), "cell int, level binary").toLocalIterator():
+        level[row.cell] = np.frombuffer(row.level, np.uint8)
+    return level.ravel(), int(1 + 2 * np.log2(max(SALT_FROM / bar, 1)))
 
 
 def _prefixes(width: int, per: int, levels, salted_from: int):
@@ -272,21 +311,39 @@ class NgramJaccardJoin:
         parity = self._parity
         pairs = pairs.join(parity.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a")
         pairs = pairs.join(parity.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
-        pairs = pairs.withColumn("off", _different(F.col("pa"), F.col("pb")))
-        # |A xor B| = |A| + |B| - 2 * overlap, and no fewer sets differ than parities do
-        most = (F.col("na") + F.col("nb") - F.col("off")) / 2
-        return pairs.filter(most * (100 + self.per) >= self.per * (F.col("na") + F.col("nb"))).select("a", "b", "na", "nb", "off")
-
-    def _cross_pairs(self, live: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs that share a rare n-gram and aren't in one class."""
-        at = live.select("gram", "node", "n", "i").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        return pairs.filter(self._plausible()).withColumn("off", _different(F.col("pa"), F.col("pb"))).select("a", "b", "na", "nb", "off")
+
+    def _best(self, pairs: DataFrame) -> DataFrame:
+        """The FIRST_HUBS closest partners of each set, by parities."""
+        sides = pairs.select(F.col("a").alias("x"), "*").unionByName(pairs.select(F.col("b").alias("x"), "*"))
+        closest = Window.partitionBy("x").orderBy("off", "a", "b")
+        return sides.withColumn("_k", F.row_number().over(closest)).filter(F.col("_k") <= FIRST_HUBS).select("a", "b", "na", "nb", "off").distinct()
+
+    def _open(self, live: DataFrame, comp: DataFrame) -> DataFrame:
+        """Postings of n-grams that sets of several classes share, with each set's class."""
+        at = live.select("gram", "node", "n", "i", "salt").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         several = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-        at = staged(at.join(several, "gram", "left_semi"), "live")
+        return staged(at.join(several, "gram", "left_semi"), "live")
+
+    def _star_pairs(self, at: DataFrame, turn: int) -> DataFrame:
+        """Another partner for each posting, from another class: as many pairs as postings at most."""
+        near = Window.partitionBy("gram", "salt").orderBy(F.xxhash64(F.lit(turn), "node", "gram"), "node")
+        hub = F.first(F.struct("node", "n", "i", "comp")).over(near)
+        meet = at.withColumn("hub", hub).filter("comp <> hub.comp")
+        return self._pairs(meet.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.i").alias("ib")))
+
+    def _cross_pairs(self, at: DataFrame) -> DataFrame:
+        """All pairs that share a rare n-gram and aren't in one class."""
         a = at.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
         b = at.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
         meet = a.join(b, (a.gram == b.gram) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit("na", "nb", self.per) & _reachable(self.per))
         return self._pairs(meet.select("a", "b", "na", "nb", "ia", "ib"))
 
+    def _apart(self, pairs: DataFrame, comp: DataFrame) -> DataFrame:
+        """Pairs whose sets aren't in one class."""
+        out = pairs.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
+        return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
+
     def _split_pairs(self, live: DataFrame, comp: DataFrame, outer: DataFrame) -> DataFrame:
         """Pairs across classes that share a rare n-gram and were one class before verification.
 
@@ -299,11 +356,18 @@ class NgramJaccardJoin:
         side = at.select("gram", "outer", "comp").distinct()
         meet = side.select("gram", "outer", F.col("comp").alias("ca")).join(side.select("gram", "outer", F.col("comp").alias("cb")), ["gram", "outer"])
         meet = meet.filter("ca < cb").select("ca", "cb").distinct()
-        member = at.select("node", "n", "comp").distinct()
-        pairs = meet.join(member.toDF("a", "na", "ca"), "ca")
-        other = member.toDF("b", "nb", "cb")
-        pairs = pairs.join(other, (pairs.cb == other.cb) & _sizes_fit("na", "nb", self.per))
-        return self._near(pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")))
+        member = at.select("node", "n", "comp").distinct().join(self._parity.select("node", "parity"), "node")
+        pairs = meet.join(member.toDF("a", "na", "ca", "pa"), "ca")
+        fits = (F.col("cb") == F.col("cb2")) & _sizes_fit("na", "nb", self.per) & self._plausible()
+        pairs = pairs.join(member.toDF("b", "nb", "cb2", "pb"), fits)
+        low = F.col("a") < F.col("b")
+        pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), _different(F.col("pa"), F.col("pb")).alias("off"))
+
+    def _plausible(self) -> Column:
+        """Whether parities allow the threshold: |A xor B| = |A| + |B| - 2 * overlap, and no fewer n-grams differ than parities do."""
+        most = (F.col("na") + F.col("nb") - _different(F.col("pa"), F.col("pb"))) / 2
+        return most * (100 + self.per) >= self.per * (F.col("na") + F.col("nb"))
 
     def _verified(self, pairs: DataFrame, segments: DataFrame) -> DataFrame:
         """Pairs whose overlaps, counted fragment by fragment and summed, reach the threshold."""
@@ -321,12 +385,19 @@ class NgramJaccardJoin:
         nodes = staged(known.agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity")), "nodes")
         self._parity = nodes.select("node", "n", "parity")
         live = self._postings()
-        first = staged(self._first_pairs(live), "pairs")
-        sides = first.select(F.col("a").alias("x"), "*").unionByName(first.select(F.col("b").alias("x"), "*"))
-        best = Window.partitionBy("x").orderBy("off", "a", "b")
-        first = staged(sides.withColumn("_k", F.row_number().over(best)).filter(F.col("_k") <= FIRST_HUBS).select("a", "b", "na", "nb", "off").distinct(), "pairs")
-        likely = components(first)
-        pairs = staged(first.unionByName(self._cross_pairs(live, likely)), "pairs")
+        every = staged(self._first_pairs(live), "pairs")
+        first = staged(self._best(every), "pairs")
+        likely = components(every)
+        at = self._open(live, likely)
+        for turn in range(1, STARS + 1):
+            more = staged(self._star_pairs(at, turn), "pairs")
+            if more.isEmpty():
+                break
+            every = staged(every.unionByName(more).distinct(), "pairs")
+            first = staged(first.unionByName(self._best(more)).distinct(), "pairs")
+            likely = components(every)
+            at = self._open(at.drop("comp"), likely)
+        pairs = staged(first.unionByName(self._cross_pairs(at)), "pairs")
         need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
         # a set's text is read from one of its rows
         need = nodes.join(need, "node", "left_semi").filter("doc_id is not null").select("doc_id")
@@ -339,11 +410,13 @@ class NgramJaccardJoin:
         segments = staged(segments.select("node", F.posexplode("segments").alias("fragment", "segment")), "segments", "lz4")
         links = staged(self._verified(pairs, segments).select("a", "b", "overlap"), "links")
         true = components(links)
-        rest = staged(self._split_pairs(live, true, likely), "pairs")
-        rest = rest.join(pairs.select("a", "b"), ["a", "b"], "left_anti")
-        if not rest.isEmpty():
-            links = staged(links.unionByName(self._verified(rest, segments).select("a", "b", "overlap")), "links")
-            true = components(links)
+        # first the other first partners of sets that are still apart, then all that such classes leave
+        for more in (lambda: self._apart(every, true), lambda: self._split_pairs(live, true, likely)):
+            rest = staged(more().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+            if not rest.isEmpty():
+                links = staged(links.unionByName(self._verified(rest, segments).select("a", "b", "overlap")), "links")
+                true = components(links)
+                pairs = staged(pairs.unionByName(rest.select(*pairs.columns)), "pairs")
         self._linked, self._classes = links, true
         return links
 
