@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,12 +39,9 @@ def asof_join(
     right = right.withColumn("_issued", F.col(f"_v.{issued}"))
     joined = spine.select(*keys).distinct().join(right, on, "left").filter(F.col("_issued").isNull() | (F.col("_issued") <= bound))
     best = joined.groupBy(*keys).agg(F.max_by("_v", "_order").alias("_v"))
-    best = best.select(*keys, *[F.col(f"_v.{c}").alias(c) for c in payload], F.col(f"_v.{issued}").alias(issued))
-    same = [spine[k].eqNullSafe(best[k]) for k in keys]
-    cond = same[0]
-    for s in same[1:]:
-        cond = cond & s
-    out = spine.join(best, cond, "left").select(*[spine[c] for c in spine.columns], *[best[c] for c in payload], best[issued])
+    best = best.select(*[F.col(k).alias(f"_k_{k}") for k in keys], *[F.col(f"_v.{c}").alias(c) for c in payload], F.col(f"_v.{issued}").alias(issued))
+    same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"_k_{k}")) for k in keys])
+    out = spine.join(best, same, "left").drop(*[f"_k_{k}" for k in keys])
     return out.filter(F.col(issued).isNotNull()) if how == "inner" else out
 
 
@@ -58,7 +57,7 @@ def newer_vintage_existed(picked: DataFrame, vintages: DataFrame, on: list[str],
     """Picks for which a newer vintage was there by the cutoff; empty when the join is right."""
     v = vintages.select(*on, F.col(issued).alias("_newer"))
     cond = (F.col("_newer") <= F.col(cutoff)) & (F.col(issued).isNull() | (F.col("_newer") > F.col(issued)))
-    return picked.join(v, on).filter(cond)
+    return picked.select(*on, cutoff, issued).join(v, on).filter(cond)
 
 
 def fixed_lead_join(spine: DataFrame, vintages: DataFrame, on: list[str], payload: list[str], lead: int, issued: str, cutoff: str = "cutoff_utc", lead_col: str = "lead_days") -> DataFrame:

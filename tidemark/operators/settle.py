@@ -55,7 +55,7 @@ def best_block(df: DataFrame, by: list[str], order: str, price: str, k: int, eff
     """Highest spread of a k-period sale over an earlier k-period purchase in each group, 0 at least."""
     w = Window.partitionBy(*by).orderBy(order)
     block = F.sum(price).over(w.rowsBetween(0, k - 1))
-    rows = df.withColumns({"_sum": block, "_full": F.count(price).over(w.rowsBetween(0, k - 1)) == k}).withColumn("_cost", F.when("_full", F.col("_sum")))
+    rows = df.withColumns({"_sum": block, "_full": F.count(price).over(w.rowsBetween(0, k - 1)) == k}).withColumn("_cost", F.when(F.col("_full"), F.col("_sum")))
     cheapest = F.min("_cost").over(w.rowsBetween(Window.unboundedPreceding, -k))
-    rows = rows.withColumn("_spread", F.when("_full", F.col("_sum") * efficiency - cheapest))
+    rows = rows.withColumn("_spread", F.when(F.col("_full"), F.col("_sum") * efficiency - cheapest))
     return rows.groupBy(*by).agg(F.greatest(F.coalesce(F.max("_spread"), F.lit(0.0)), F.lit(0.0)).alias("best_spread"))
