@@ -198,9 +198,8 @@ class Network:
         return _sigmoid(np.clip(a * worst + b * np.log1p(many) + c, -30, 30))
 
 
-def _leaning(of: np.ndarray, toxic: np.ndarray, kinds: int, label: np.ndarray) -> np.ndarray:
+def _leaning(yes: np.ndarray, no: np.ndarray, label: np.ndarray) -> np.ndarray:
     """How much each kind leans towards label 1: log odds of the texts that hold it, drawn towards 0 for few texts."""
-    yes, no = np.bincount(of, toxic, kinds), np.bincount(of, ~toxic, kinds)
     a, b = max((label > 0).sum(), 1), max((label == 0).sum(), 1)
     return (np.log((yes + 0.5) / (a + 1)) - np.log((no + 0.5) / (b + 1))) * yes / (yes + 2)
 
@@ -242,22 +241,26 @@ def train(texts: list[str], label: np.ndarray, steps: int = 600, batch: int = 12
         return net
     text = part[0]
     row, of, kinds, ids, begins = _inputs(text)
-    pair = np.unique(row * len(kinds) + of)
-    who, what = pair // len(kinds), pair % len(kinds)
-    lean = _leaning(what, label[who] > 0, len(kinds), label)
-    texts_with = np.bincount(what, minlength=len(kinds))
-    net = Network(kinds[np.sort(np.argsort(-texts_with, kind="stable")[:WORDS])])
-    # n-grams lean too, and a word as much as the one of its n-grams that leans most
+    # texts that hold each word and each n-gram, by label, some texts at a time
     spans = np.diff(begins)
-    at = np.repeat(begins[what] - np.concatenate([[0], np.cumsum(spans[what])[:-1]]), spans[what]) + np.arange(spans[what].sum())
-    gram_of = np.unique(np.repeat(who, spans[what]) * GRAMS + ids[at])
-    gram_lean = _leaning(gram_of % GRAMS, label[gram_of // GRAMS] > 0, GRAMS, label)
-    strength = np.maximum(lean, np.maximum.reduceat(gram_lean[ids], begins[:-1]))[of]
+    held, gram_held = np.zeros((2, len(kinds)), np.int64), np.zeros((2, GRAMS), np.int64)
+    cut = np.searchsorted(row, np.arange(text.n + 1))
+    for i in range(text.n):
+        mine = np.unique(of[cut[i] : cut[i + 1]])
+        span = spans[mine]
+        at = np.repeat(begins[mine] - (np.cumsum(span) - span), span) + np.arange(span.sum())
+        held[int(label[i] > 0), mine] += 1
+        gram_held[int(label[i] > 0), np.unique(ids[at])] += 1
+    net = Network(kinds[np.sort(np.argsort(-held.sum(axis=0), kind="stable")[:WORDS])])
+    # a word leans as much as the one of its n-grams that leans most
+    lean, gram_lean = _leaning(held[1], held[0], label), _leaning(gram_held[1], gram_held[0], label)
+    strength = np.maximum(lean, np.maximum.reduceat(gram_lean[ids], begins[:-1]))[of].astype(np.float32)
     begin, length, owner = _windows(row, text.n)
     inside = np.minimum(begin[:, None] + np.arange(WINDOW), len(of) - 1)
     real = np.arange(WINDOW) < length[:, None]
     telling = np.where(real, strength[inside], -9).max(axis=1)
-    index = of[inside]
+    index = of[inside].astype(np.int32)
+    del inside, real
     best = np.full(text.n, -9.0)
     np.maximum.at(best, owner, telling)
     toxic = label[owner] > 0
