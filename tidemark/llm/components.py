@@ -8,30 +8,43 @@ from pyspark.sql import functions as F
 from tidemark.llm.workspace import staged
 
 
+def _both_ways(edges: DataFrame) -> DataFrame:
+    ends = F.array(F.struct("a", "b"), F.struct(F.col("b").alias("a"), F.col("a").alias("b")))
+    return edges.select(F.inline(ends))
+
+
+def _settled(edges: DataFrame) -> bool:
+    """Whether every node has one link down at most, and none that has one is linked from above."""
+    up, down = F.struct(F.col("a").alias("node"), F.lit(1).alias("up"), F.lit(0).alias("down")), F.struct(F.col("b").alias("node"), F.lit(0).alias("up"), F.lit(1).alias("down"))
+    ends = edges.select(F.inline(F.array(up, down))).groupBy("node").agg(F.sum("up").alias("up"), F.max("down").alias("down"))
+    return ends.filter("up > 1 or (up = 1 and down = 1)").isEmpty()
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, comp): comp is the smallest node reachable over links (a, b).
 
-    Alternates large-star and small-star steps until no link changes; each step
-    is one shuffle of at most the link count. A node with many neighbours only
-    sends its minimum out, and both steps are plain aggregates plus a join, so a
-    hot node is split like any other skewed join. No links give no rows.
+    Alternates large-star and small-star steps until all links are stars around
+    the smallest node; each step is an aggregate and a join of at most the link
+    count. A node with many neighbours only sends its minimum out, so a hot node
+    is split like any other skewed join. No links give no rows.
     """
-    edges = staged(links.select("a", "b").filter("a <> b").distinct(), "links")
-    while True:
-        both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    edges = links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    edges = staged(edges.distinct(), "links")
+    while not _settled(edges):
+        both = _both_ways(edges)
         low = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("low"))
-        large = both.join(low, "a").filter("b > a").select(F.col("b").alias("u"), "low")
-        down = large.filter("u <> low").select(F.col("u").alias("a"), F.col("low").alias("b")).distinct()
+        down = both.join(low, "a").filter("b > a").select(F.col("b").alias("a"), F.col("low").alias("b"))
         least = down.groupBy("a").agg(F.min("b").alias("low"))
-        small = down.join(least, "a").select(F.col("b").alias("u"), "low").filter("u <> low")
-        after = small.select(F.col("u").alias("a"), F.col("low").alias("b")).unionByName(
-            least.select("a", F.col("low").alias("b"))
-        )
-        after = staged(after.filter("a <> b").distinct(), "links")
-        settled = after.groupBy("a").agg(F.count("*").alias("n")).filter("n > 1").isEmpty()
-        settled = settled and after.join(after.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
-        edges = after
-        if settled:
-            break
+        small = down.join(least, "a").filter("b <> low").select(F.col("b").alias("a"), F.col("low").alias("b"))
+        after = small.unionByName(least.select("a", F.col("low").alias("b")))
+        edges = staged(after.distinct(), "links")
     roots = edges.select(F.col("b").alias("node"), F.col("b").alias("comp")).distinct()
     return staged(edges.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(roots), "components")
+
+
+def merged(comp: DataFrame, links: DataFrame) -> DataFrame:
+    """components of the links behind comp and further ones: only the classes that these connect are looked at."""
+    between = links.select("a", "b").join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
+    up = components(between.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
+    known = comp.join(up.toDF("comp", "_up"), "comp", "left").select("node", F.coalesce("_up", "comp").alias("comp"))
+    return staged(known.unionByName(up.join(comp.select("node"), "node", "left_anti")), "components")

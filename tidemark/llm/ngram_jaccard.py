@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.components import components
+from tidemark.llm.components import components, merged
 from tidemark.llm.words import chained, mixed, slices
 from tidemark.llm.workspace import attach_groups, staged
 
@@ -393,9 +393,10 @@ class NgramJaccardJoin:
             more = staged(self._star_pairs(at, turn), "pairs")
             if more.isEmpty():
                 break
-            every = staged(every.unionByName(more).distinct(), "pairs")
-            first = staged(first.unionByName(self._best(more)).distinct(), "pairs")
-            likely = components(every)
+            # they link classes that no pair so far does: none of them is known
+            every = every.unionByName(more)
+            first = first.unionByName(staged(self._best(more), "pairs"))
+            likely = merged(likely, more)
             at = self._open(at.drop("comp"), likely)
         pairs = staged(first.unionByName(self._cross_pairs(at)), "pairs")
         need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
@@ -414,9 +415,10 @@ class NgramJaccardJoin:
         for more in (lambda: self._apart(every, true), lambda: self._split_pairs(live, true, likely)):
             rest = staged(more().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
             if not rest.isEmpty():
-                links = staged(links.unionByName(self._verified(rest, segments).select("a", "b", "overlap")), "links")
-                true = components(links)
-                pairs = staged(pairs.unionByName(rest.select(*pairs.columns)), "pairs")
+                found = staged(self._verified(rest, segments).select("a", "b", "overlap"), "links")
+                links = links.unionByName(found)
+                true = merged(true, found)
+                pairs = pairs.unionByName(rest.select(*pairs.columns))
         self._linked, self._classes = links, true
         return links
 
