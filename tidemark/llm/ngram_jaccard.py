@@ -30,6 +30,8 @@ SALTS = 64
 FIRST_HUBS = 3
 #: Further rounds of first partners before all pairs of sets still apart are looked at.
 STARS = 4
+#: Bits per n-gram of the parities that are compared before members of classes that meet are verified.
+FINE = 4
 
 
 def ngram_sets(column: pa.Array, width: int):
@@ -58,10 +60,10 @@ def _name(grams: np.ndarray) -> int:
     return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
 
 
-def _parities(grams: np.ndarray) -> np.ndarray:
-    """About one bit per n-gram, each the parity of those that fall on it; a power of two of 64-bit words."""
-    words = 1 << max(0, (max(len(grams), 1) - 1).bit_length() - 6)
-    words = min(words, 256)
+def _parities(grams: np.ndarray, fine: int = 1) -> np.ndarray:
+    """About `fine` bits per n-gram, each the parity of those that fall on it; a power of two of 64-bit words."""
+    words = 1 << max(0, (max(len(grams), 1) * fine - 1).bit_length() - 6)
+    words = min(words, 256 * fine)
     bit = (grams >> np.uint64(20)) & np.uint64(words * 64 - 1)
     odd = np.bincount(bit.astype(np.int64), minlength=words * 64) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -73,6 +75,7 @@ SETS = T.StructType(
         T.StructField("node", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("parity", T.ArrayType(T.LongType())),
+        T.StructField("fine", T.ArrayType(T.LongType())),
         T.StructField("cell", T.IntegerType()),
         T.StructField("counts", T.BinaryType()),
     ]
@@ -84,7 +87,7 @@ def _describe(width: int):
         seen: set[int] = set()
         sketch = np.zeros(1 << SKETCH_BITS, np.int32)
         for batch in batches:
-            node, n, parity = [], [], []
+            node, n, parity, fine = [], [], [], []
             for _, grams in ngram_sets(batch.column(1), width):
                 name = _name(grams) if len(grams) else None
                 if name is not None and name not in seen:
@@ -93,9 +96,12 @@ def _describe(width: int):
                 node.append(name)
                 n.append(len(grams))
                 parity.append(_parities(grams) if len(grams) else None)
+                fine.append(_parities(grams, FINE) if len(grams) else None)
             none = pa.nulls(len(node))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(parity, pa.list_(pa.int64())), none.cast(pa.int32()), none.cast(pa.binary())],
+                [batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64())]
+                + [pa.array(x, pa.list_(pa.int64())) for x in (parity, fine)]
+                + [none.cast(pa.int32()), none.cast(pa.binary())],
                 names=SETS.names,
             )
         parts = np.minimum(sketch, 65535).astype(np.uint16).reshape(-1, CELLS)
@@ -103,7 +109,7 @@ def _describe(width: int):
         for some in np.array_split(used, max(1, len(used) // 64)):
             none = pa.nulls(len(some))
             yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64())] * 3 + [none.cast(pa.list_(pa.int64())), pa.array(some, pa.int32()), pa.array([_packed(parts[i]) for i in some], pa.binary())],
+                [none.cast(pa.int64())] * 3 + [none.cast(pa.list_(pa.int64()))] * 2 + [pa.array(some, pa.int32()), pa.array([_packed(parts[i]) for i in some], pa.binary())],
                 names=SETS.names,
             )
 
@@ -261,7 +267,7 @@ class NgramJaccardJoin:
         self.width, self.per = width, per
         spark = docs.sparkSession
         sets = staged(self.docs.mapInArrow(_describe(width), SETS), "sets")
-        self.sets = sets.filter("cell is null").select("doc_id", "node", "n", "parity")
+        self.sets = sets.filter("cell is null").select("doc_id", "node", "n", "parity", "fine")
         level, salted_from = gram_levels(sets)
         self._levels = spark.sparkContext.broadcast(level), salted_from
         self._linked: DataFrame | None = None
@@ -347,7 +353,7 @@ class NgramJaccardJoin:
     def _split_pairs(self, live: DataFrame, comp: DataFrame, outer: DataFrame) -> DataFrame:
         """Pairs across classes that share a rare n-gram and were one class before verification.
 
-        Classes that meet are found first, and their members paired once, however many n-grams they share.
+        Classes that meet are found first, and their members paired once, however many n-grams they share. (ca, cb) are the classes.
         """
         at = live.select("gram", "node", "n").join(outer.withColumnRenamed("comp", "outer"), "node").join(comp, "node", "left")
         at = at.withColumn("comp", F.coalesce("comp", "node"))
@@ -356,13 +362,14 @@ class NgramJaccardJoin:
         side = at.select("gram", "outer", "comp").distinct()
         meet = side.select("gram", "outer", F.col("comp").alias("ca")).join(side.select("gram", "outer", F.col("comp").alias("cb")), ["gram", "outer"])
         meet = meet.filter("ca < cb").select("ca", "cb").distinct()
-        member = at.select("node", "n", "comp").distinct().join(self._parity.select("node", "parity"), "node")
+        member = at.select("node", "n", "comp").distinct().join(self._parity.select("node", "fine"), "node")
         pairs = meet.join(member.toDF("a", "na", "ca", "pa"), "ca")
         fits = (F.col("cb") == F.col("cb2")) & _sizes_fit("na", "nb", self.per) & self._plausible()
         pairs = pairs.join(member.toDF("b", "nb", "cb2", "pb"), fits)
         low = F.col("a") < F.col("b")
         pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), _different(F.col("pa"), F.col("pb")).alias("off"))
+        off = _different(F.col("pa"), F.col("pb")).alias("off")
+        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), off, "ca", "cb")
 
     def _plausible(self) -> Column:
         """Whether parities allow the threshold: |A xor B| = |A| + |B| - 2 * overlap, and no fewer n-grams differ than parities do."""
@@ -382,8 +389,8 @@ class NgramJaccardJoin:
         if self._linked is not None:
             return self._linked
         known = self.sets.filter("n > 0").groupBy("node", "n")
-        nodes = staged(known.agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity")), "nodes")
-        self._parity = nodes.select("node", "n", "parity")
+        nodes = staged(known.agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity"), F.first("fine").alias("fine")), "nodes")
+        self._parity = nodes.select("node", "n", "parity", "fine")
         live = self._postings()
         every = staged(self._first_pairs(live), "pairs")
         first = staged(self._best(every), "pairs")
@@ -411,14 +418,24 @@ class NgramJaccardJoin:
         segments = staged(segments.select("node", F.posexplode("segments").alias("fragment", "segment")), "segments", "lz4")
         links = staged(self._verified(pairs, segments).select("a", "b", "overlap"), "links")
         true = components(links)
-        # first the other first partners of sets that are still apart, then all that such classes leave
-        for more in (lambda: self._apart(every, true), lambda: self._split_pairs(live, true, likely)):
-            rest = staged(more().join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
+        fields = ["a", "b", "na", "nb", "off"]
+
+        def tried(more: DataFrame) -> None:
+            nonlocal links, true, pairs
+            rest = staged(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
             if not rest.isEmpty():
                 found = staged(self._verified(rest, segments).select("a", "b", "overlap"), "links")
                 links = links.unionByName(found)
                 true = merged(true, found)
-                pairs = pairs.unionByName(rest.select(*pairs.columns))
+                pairs = pairs.unionByName(rest.select(*fields))
+
+        # the other first partners of sets that are still apart; of classes that meet nevertheless the
+        # closest pair of members, then all pairs of those still apart
+        tried(self._apart(every, true))
+        split = staged(self._split_pairs(live, true, likely), "pairs")
+        closest = split.groupBy("ca", "cb").agg(F.min(F.struct("off", "a", "b", "na", "nb")).alias("_p"))
+        tried(closest.select("_p.*").select(*fields).distinct())
+        tried(self._apart(split.select(*fields), true))
         self._linked, self._classes = links, true
         return links
 
