@@ -168,6 +168,31 @@ def test_language_model(docs, empty):
     assert backoff_lm.score_documents(empty).count() == 0
 
 
+@pytest.mark.parametrize("share", [1e-3, 0.9])
+def test_language_model_counts_every_bigram(docs, share):
+    got = backoff_lm.score_documents(docs, chunk_bytes=50_000, state_share=share).collect()
+    out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
+    tokens = lambda t: [*WORD.findall(_low(t)), "\n"]
+    c, pairs, kinds = collections.Counter(), collections.Counter(), collections.Counter()
+    for t in (tokens(r[1]) for r in _rows() if not out(r[0])):
+        c.update(t)
+        pairs.update(zip(t[:-1], t[1:], strict=True))
+    kinds.update(a for a, _ in pairs)
+    n, v, once, twice = sum(c.values()), len(c), sum(k == 1 for k in c.values()), sum(k == 2 for k in c.values())
+    d = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
+
+    def weight(a, w):
+        uni = (c[w] - d) / n if c[w] else d * v / n
+        if a is None or not c[a]:
+            return math.log10(uni)
+        return math.log10(max(0, pairs[a, w] - d) / c[a] + d * kinds[a] / c[a] * uni)
+
+    want = [(r[0], round(sum(weight(a, w) for a, w in zip([None, *tokens(r[1])[:-1]], tokens(r[1]), strict=True)), 4)) for r in _rows()]
+    got, want = sorted(((r.doc_id, r.score) for r in got), key=str), sorted(want, key=str)
+    assert [i for i, _ in got] == [i for i, _ in want]
+    assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-3)
+
+
 def test_automaton_weights_add_up_to_one():
     states = np.array([3, 5], np.uint64)
     words = np.array([3, 5, 8], np.uint64)

@@ -1,26 +1,31 @@
 """Operator 7: scoring by a weighted backoff automaton of smoothed n-grams.
 
-States are the root and one per frequent word; an arc of a state carries the
+States are the root and one per word; an arc of a state carries the
 log-probability of a word seen after it, its failure arc the backoff weight to
 the root. The corpus may have more arcs than fit anywhere, so texts are dealt
 into chunks, and each chunk gets the part of the automaton that its own words
-ask for, with weights from counts over the whole corpus.
+ask for, with weights from counts over the whole corpus: it sends its distinct
+words and pairs of words to buckets by hash, and each bucket answers with
+totals in the order in which it was asked.
 """
 
 from __future__ import annotations
 
 import math
+import zlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.llm.words import slices
+from tidemark.llm.words import mixed, slices
 from tidemark.llm.workspace import release, staged
 
-#: A word is a state if its share of all training tokens is at least this: at most 1 / STATE_SHARE states.
-STATE_SHARE = 5e-5
+#: The pairs of a word with this share of sampled tokens are dealt over all buckets, those of any other lie in its own. No result depends on it.
+STATE_SHARE = 2e-4
+#: At most one in so many chunks' worth of texts is looked at for these words.
+SAMPLE = 64
 CHUNK_BYTES = 16 << 20
 END = np.uint64(0x5BD1E9955BD1E995)
 ROOT = -1
@@ -53,9 +58,9 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _frequent(share: float):
-    """Words that hold a quarter of `share` or more of a task's training tokens, and the task's token count (word null).
+    """Words that hold a quarter of `share` or more of a task's tokens, and the task's token count (word null).
 
-    A word with that share of the corpus has it in some task; each task sends few.
+    A word with that share of all tokens has it in some task; each task sends few.
     """
 
     def run(batches):
@@ -77,40 +82,111 @@ def _frequent(share: float):
     return run
 
 
-def _grams(states):
-    """Distinct unigrams, and bigrams of two states, of a chunk, with their training counts."""
+def _packed(counts: np.ndarray) -> bytes:
+    kind = np.min_scalar_type(int(counts.max(initial=0)))
+    return kind.char.encode() + zlib.compress(counts.astype(kind).tobytes(), 1)
+
+
+def _unpacked(data: bytes) -> np.ndarray:
+    return np.frombuffer(zlib.decompress(data[1:]), data[:1].decode()).astype(np.int64)
+
+
+class Chunk:
+    """Distinct words and pairs of neighbours of a chunk's texts, each with its training count, and the buckets that count them.
+
+    A pair is the index of its first word times the number of words, plus that
+    of its second. Within a bucket, pairs of a spread word come last.
+    """
+
+    def __init__(self, texts: pa.Array, train: np.ndarray, spread: np.ndarray, buckets: int):
+        parts = [(h, first + row) for first, _, h, row in _tokens(texts)]
+        h, row = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        del parts
+        self.words, of = np.unique(h, return_inverse=True)
+        width = len(self.words)
+        self.word_n = np.bincount(of, weights=train[row], minlength=width).astype(np.int64)
+        same = row[1:] == row[:-1]
+        self.pairs, self.pair_n = _summed((of[:-1] * width + of[1:])[same], train[row[1:]][same])
+        self.first = self.pairs // max(width, 1)
+        self.second = self.words[self.pairs - self.first * width]
+        self.spread = _find(spread, self.words)
+        n = np.uint64(buckets)
+        home = (mixed(self.words) % n).astype(np.int64)
+        self.wide = self.spread[self.first]
+        dealt = (mixed(mixed(self.words[self.first]) ^ self.second) % n).astype(np.int64)
+        place = np.where(self.wide >= 0, dealt, home[self.first])
+        self.word_order = np.argsort(home, kind="stable")
+        self.pair_order = np.argsort(place * 2 + (self.wide >= 0), kind="stable")
+        every = np.arange(buckets + 1)
+        self.word_cut = np.searchsorted(home[self.word_order], every)
+        self.pair_cut = np.searchsorted(place[self.pair_order], every)
+
+
+def _asked(spread, buckets: int):
+    """What a chunk has for each bucket: words, their counts and numbers of followers, followers, their counts, and the spread word before each of the last ones."""
 
     def run(table: pa.Table) -> pa.Table:
-        state_keys = states.value
-        words, word_n, pairs, pair_n = [], [], [], []
-        texts = table.column("text").combine_chunks()
-        trains = np.asarray(table.column("train").to_numpy(zero_copy_only=False), bool)
-        for first, _, h, row in _tokens(texts):
-            train = trains[first + row]
-            u, n = _summed(h, train)
-            words.append(u)
-            word_n.append(n)
-            at = _find(state_keys, h)
-            both = (row[1:] == row[:-1]) & (at[1:] >= 0) & (at[:-1] >= 0)
-            u, n = _summed((at[:-1] * len(state_keys) + at[1:])[both], train[1:][both])
-            pairs.append(u)
-            pair_n.append(n)
-        words, word_n = _summed(np.concatenate(words), np.concatenate(word_n))
-        pairs, pair_n = _summed(np.concatenate(pairs), np.concatenate(pair_n))
-        context = np.concatenate([np.full(len(words), ROOT), pairs // max(len(state_keys), 1)])
-        chunk = table.column("chunk")[0].as_py()
-        return pa.table(
-            {
-                "gram": np.concatenate([words.view(np.int64), pairs.astype(np.int64)]),
-                "context": pa.array(context, pa.int32()),
-                "chunk": pa.array(np.full(len(context), chunk), pa.int32()),
-                "n": pa.array(np.concatenate([word_n, pair_n]), pa.int32()),
-            }
-        )
+        train = np.asarray(table.column("train").to_numpy(zero_copy_only=False), bool)
+        c = Chunk(table.column("text").combine_chunks(), train, spread.value, buckets)
+        out: dict[str, list] = {k: [] for k in ("bucket", "words", "word_n", "follow", "second", "pair_n", "wide")}
+        for k in range(buckets):
+            w, p = c.word_order[c.word_cut[k] : c.word_cut[k + 1]], c.pair_order[c.pair_cut[k] : c.pair_cut[k + 1]]
+            if len(w) + len(p):
+                wide = c.wide[p]
+                own = np.searchsorted(w, c.first[p[wide < 0]])
+                follow = np.bincount(own, minlength=len(w))
+                row = (k, c.words[w].tobytes(), _packed(c.word_n[w]), _packed(follow), c.second[p].tobytes(), _packed(c.pair_n[p]), _packed(wide[wide >= 0]))
+                for name, value in zip(out, row, strict=True):
+                    out[name].append(value)
+        chunk = pa.array(np.full(len(out["bucket"]), table.column("chunk")[0].as_py()), pa.int32())
+        data = {k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()}
+        return pa.table({"chunk": chunk, **data})
 
     return run
 
 
+def _answered(spread):
+    """Totals of a bucket over all chunks.
+
+    One row per chunk that asked: totals of its pairs and words, and how many
+    kinds of words follow each word in training (of spread words in this bucket
+    only). With chunk null: the kinds that follow each spread word here, and,
+    with spread -1, tokens, types, and types seen once and twice.
+    """
+
+    def run(table: pa.Table) -> pa.Table:
+        rows = table.to_pylist()
+        words = [np.frombuffer(r["words"], np.uint64) for r in rows]
+        unique, of = np.unique(np.concatenate(words), return_inverse=True)
+        word_n = np.bincount(of, weights=np.concatenate([_unpacked(r["word_n"]) for r in rows]), minlength=len(unique)).astype(np.int64)
+        word_cut = np.cumsum([0, *map(len, words)])
+        context, second, pair_n, pair_cut = [], [], [], [0]
+        for k, r in enumerate(rows):
+            context.append(np.repeat(of[word_cut[k] : word_cut[k + 1]], _unpacked(r["follow"])))
+            context.append(len(unique) + _unpacked(r["wide"]))
+            second.append(np.frombuffer(r["second"], np.uint64))
+            pair_n.append(_unpacked(r["pair_n"]))
+            pair_cut.append(pair_cut[-1] + len(second[-1]))
+        context = np.concatenate(context)
+        key = mixed(context.astype(np.uint64) + np.uint64(1)) + np.concatenate(second)
+        _, at, pair = np.unique(key, return_index=True, return_inverse=True)
+        total = np.bincount(pair, weights=np.concatenate(pair_n), minlength=len(at)).astype(np.int64)
+        kinds = np.bincount(context[at], weights=total > 0, minlength=len(unique) + len(spread.value)).astype(np.int64)
+        out = []
+        for k, r in enumerate(rows):
+            p, w = pair[pair_cut[k] : pair_cut[k + 1]], of[word_cut[k] : word_cut[k + 1]]
+            out.append({"chunk": r["chunk"], "bucket": r["bucket"], "pair_n": _packed(total[p]), "word_n": _packed(word_n[w]), "kinds": _packed(kinds[w])})
+        wide = kinds[len(unique) :]
+        out += [{"spread": int(k), "n": int(wide[k])} for k in np.flatnonzero(wide)]
+        out.append({"spread": -1, "n": int(word_n.sum()), "v": int((word_n > 0).sum()), "n1": int((word_n == 1).sum()), "n2": int((word_n == 2).sum())})
+        return pa.Table.from_pylist(out, schema=ANSWER)
+
+    return run
+
+
+ANSWER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("pair_n", pa.binary()), ("word_n", pa.binary()), ("kinds", pa.binary()), ("spread", pa.int32()), *[(k, pa.int64()) for k in ("n", "v", "n1", "n2")]])
+
+
 class Automaton:
     """Arcs with log10 weights out of the root and out of states, failure arcs from states to the root."""
 
@@ -121,7 +197,7 @@ class Automaton:
         with np.errstate(divide="ignore", invalid="ignore"):
             self.root = np.log10((unigram_n - discount) / total) if total else np.zeros(len(unigram_n))
             self.unknown = math.log10(discount * kinds / total) if total else 0.0
-            # what a state's seen arcs leave: words that follow it but aren't states, and a discount per seen arc
+            # what a state's seen arcs leave: words that follow it without an arc, and a discount per seen arc
             left = (context_n - context_seen + discount * context_kinds) / context_n
             self.failure = np.where(context_n > 0, np.log10(left), 0.0)
             seen = bigram_n > 0
@@ -152,24 +228,30 @@ class Automaton:
         return np.where(arc >= 0, self.weights[arc], out) if len(self.weights) else out
 
 
-def _scores(model):
-    def run(docs: pa.Table, grams: pa.Table) -> pa.Table:
-        state_keys, context, corpus = model.value
+def _scores(model, buckets: int):
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        spread, spread_kinds, corpus = model.value
         total, distinct, _, _ = corpus
-        gram, of, n = (grams.column(c).to_numpy() for c in ("gram", "context", "total"))
-        uni = of == ROOT
-        keys = gram[uni].view(np.uint64)
-        order = np.argsort(keys)
-        order2 = np.argsort(gram[~uni])
-        automaton = Automaton(state_keys, *context, corpus, keys[order], n[uni][order], gram[~uni][order2], n[~uni][order2])
+        texts = docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string())
+        c = Chunk(texts, np.zeros(docs.num_rows, bool), spread, buckets)
+        pair_n, word_n, kinds = np.zeros(len(c.pairs), np.int64), np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.int64)
+        for r in answers.to_pylist():
+            p = c.pair_order[c.pair_cut[r["bucket"]] : c.pair_cut[r["bucket"] + 1]]
+            w = c.word_order[c.word_cut[r["bucket"]] : c.word_cut[r["bucket"] + 1]]
+            pair_n[p], word_n[w], kinds[w] = _unpacked(r["pair_n"]), _unpacked(r["word_n"]), _unpacked(r["kinds"])
+        wide = c.spread >= 0
+        kinds[wide] = spread_kinds[c.spread[wide]]
+        context_n = np.where(c.words == END, 0, word_n)  # nothing follows the end
+        automaton = Automaton(c.words, context_n, context_n, kinds, corpus, c.words, word_n, c.pairs, pair_n)
+        del c
         rows = docs.num_rows
         out = {k: np.zeros(rows, t) for k, t in (("n_tokens", np.int64), ("n_known", np.int64), ("base_score", float), ("score", float))}
-        for first, many, h, row in _tokens(docs.column("text").combine_chunks() if rows else pa.array([], pa.string())):
-            c = automaton.counts(h)
+        for first, many, h, row in _tokens(texts):
+            seen = automaton.counts(h)
             part = slice(first, first + many)
             out["n_tokens"][part] = np.bincount(row, minlength=many)
-            out["n_known"][part] = np.bincount(row, weights=c > 0, minlength=many)
-            out["base_score"][part] = np.bincount(row, weights=np.log10((c + 1) / (total + (distinct + 1))), minlength=many)
+            out["n_known"][part] = np.bincount(row, weights=seen > 0, minlength=many)
+            out["base_score"][part] = np.bincount(row, weights=np.log10((seen + 1) / (total + (distinct + 1))), minlength=many)
             out["score"][part] = np.bincount(row, weights=automaton.traverse(h, row), minlength=many)
         return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "held_out": docs.column("held_out"), **out})
 
@@ -193,51 +275,43 @@ def score_documents(
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
     (log10 probability of the text's words and one end). Words are lower-cased
     (A-Z) runs other than space and 0x09-0x0D. The probability of a word is
-    interpolated absolute discounting of bigrams between states over unigrams;
-    all words never seen are one type, with the mass discounted from unigrams,
+    interpolated absolute discounting of all bigrams over unigrams; all words never seen are one type, with the mass discounted from unigrams,
     so from every state probabilities add up to 1.
 
     Null texts are empty: their one token is the end. Repeated rows are scored
     each for itself and train each for itself. Without training rows the only
     type is the unknown one, with probability 1. An empty table gives no rows;
-    other columns are ignored. Words and chunks are known by 64-bit hashes.
+    other columns are ignored. Words and pairs are known by 64-bit hashes.
+    state_share, like chunk_bytes, only deals out the work.
     """
     spark = docs.sparkSession
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", held_out("doc_id"))
     total_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     chunks = max(1, -(-total_bytes // chunk_bytes))
-    found = docs.filter("not held_out").select("text").mapInArrow(_frequent(state_share), "word long, n long")
-    found = found.groupBy("word").agg(F.sum("n").alias("n"))
-    found = staged(found, "frequent")
+    hashed = F.xxhash64("doc_id", F.octet_length("text"))
+    some = docs.filter(F.pmod(hashed, F.lit(min(chunks, SAMPLE))) == 0)
+    found = staged(some.select("text").mapInArrow(_frequent(state_share), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
     tokens = found.filter("word is null").agg(F.sum("n")).first()[0] or 0
-    states = found.filter(F.col("word").isNotNull() & (F.col("n") >= max(1, state_share * tokens))).select("word")
-    keys = np.sort(np.array([r.word for r in states.collect()], np.int64).view(np.uint64))
+    frequent = found.filter(F.col("word").isNotNull() & (F.col("n") >= max(1, state_share * tokens))).select("word")
+    keys = np.sort(np.array([r.word for r in frequent.collect()], np.int64).view(np.uint64))
     shared_keys = spark.sparkContext.broadcast(keys)
 
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.octet_length("text")), F.lit(chunks)).cast("int"))
-    grams = dealt.select("chunk", ~F.col("held_out"), "text").toDF("chunk", "train", "text")
-    grams = grams.groupBy("chunk").applyInArrow(_grams(shared_keys), "gram long, context int, chunk int, n int")
-    every = Window.partitionBy("gram", "context")
-    grams = grams.withColumn("total", F.sum("n").over(every)).withColumn("first", F.row_number().over(every.orderBy("chunk")) == 1)
-    grams = staged(grams.drop("n"), "grams")
+    dealt = docs.withColumn("chunk", F.pmod(hashed, F.lit(chunks)).cast("int"))
+    asked = dealt.select("chunk", ~F.col("held_out"), "text").toDF("chunk", "train", "text").groupBy("chunk")
+    asked = asked.applyInArrow(_asked(shared_keys, chunks), "chunk int, bucket int, words binary, word_n binary, follow binary, second binary, pair_n binary, wide binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answered(shared_keys), "chunk int, bucket int, pair_n binary, word_n binary, kinds binary, spread int, n long, v long, n1 long, n2 long")
+    answers = staged(answers, "answers")
     release(spark)
 
-    one = grams.filter("first and total > 0")
-    stats = one.filter(F.col("context") == ROOT).agg(F.sum("total").alias("n"), F.count("*").alias("v"), F.count_if(F.col("total") == 1).alias("n1"), F.count_if(F.col("total") == 2).alias("n2")).first()
-    n, v = stats.n or 0, stats.v
-    discount = min(0.95, max(0.1, stats.n1 / max(stats.n1 + 2 * stats.n2, 1)))
-    context_n = np.zeros(len(keys), np.int64)
-    context_seen, context_kinds = context_n.copy(), context_n.copy()
-    for r in one.filter(F.col("context") != ROOT).groupBy("context").agg(F.sum("total").alias("seen"), F.count("*").alias("kinds")).collect():
-        context_seen[r.context], context_kinds[r.context] = r.seen, r.kinds
-    state_rows = spark.createDataFrame([(int(k),) for k in keys.view(np.int64)], "gram long")
-    for r in one.filter(F.col("context") == ROOT).join(F.broadcast(state_rows), "gram").select("gram", "total").collect():
-        context_n[np.searchsorted(keys, np.array([r.gram], np.int64).view(np.uint64))[0]] = r.total
-    at_end = np.searchsorted(keys, END)
-    if at_end < len(keys) and keys[at_end] == END:
-        context_n[at_end] = 0  # nothing follows the end
-    model = spark.sparkContext.broadcast((keys, (context_n, context_seen, context_kinds), (n, v, discount, v)))
-    scored = dealt.groupBy("chunk").cogroup(grams.select("chunk", "gram", "context", "total").groupBy("chunk"))
-    scored = scored.applyInArrow(_scores(model), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    stats = answers.filter("spread = -1").agg(*[F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")]).first()
+    n, v, n1, n2 = (x or 0 for x in stats)
+    discount = min(0.95, max(0.1, n1 / max(n1 + 2 * n2, 1)))
+    kinds = np.zeros(len(keys), np.int64)
+    for r in answers.filter("spread >= 0").groupBy("spread").agg(F.sum("n").alias("n")).collect():
+        kinds[r.spread] = r.n
+    model = spark.sparkContext.broadcast((keys, kinds, (n, v, discount, v)))
+    answers = answers.filter("chunk is not null").select("chunk", "bucket", "pair_n", "word_n", "kinds")
+    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    scored = scored.applyInArrow(_scores(model, chunks), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
