@@ -84,6 +84,17 @@ def test_jaccard_joins_a_large_group_of_near_copies(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == _classes(rows)
 
 
+def test_jaccard_names_connecting_links(spark):
+    rows = [(k, BASE.replace("w30", f"x{k}"), "en", "a", 0, 0, 0) for k in range(12)]
+    join = ngram_jaccard.NgramJaccardJoin(spark.createDataFrame(rows, KIND), 5, 80)
+    got = join.classes().toPandas()
+    assert "n_links" not in got.columns and not hasattr(join, "links")
+    links = join.connecting_links().collect()
+    assert len(rows) - 1 <= len(links) <= len(rows) * (len(rows) - 1) // 2
+    assert got.n_connecting_links.sum() == 2 * len(links) and got.n_connecting_links.min() >= 1
+    assert set(got.component_id) == {0}
+
+
 def test_exact_dedup(docs, empty, spark):
     got = exact_dedup.exact_dedup(docs).collect()
     norm = lambda t: re.sub("[\x20\x09-\x0d]+", " ", t or "")

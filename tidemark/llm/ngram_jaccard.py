@@ -384,8 +384,8 @@ class NgramJaccardJoin:
         total = part.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
         return total.filter(F.col("overlap") * (100 + self.per) >= self.per * (F.col("na") + F.col("nb")))
 
-    def links(self) -> DataFrame:
-        """(a, b, overlap) between sets: enough links to connect every class, all of them verified."""
+    def connecting_links(self) -> DataFrame:
+        """(a, b, overlap) between sets: enough links to connect every class, all of them verified; other true links inside a class are left out."""
         if self._linked is not None:
             return self._linked
         known = self.sets.filter("n > 0").groupBy("node", "n")
@@ -440,21 +440,21 @@ class NgramJaccardJoin:
         return links
 
     def classes(self) -> DataFrame:
-        """One row per row of the input: doc_id, n_shingles, component_id, n_links (of its set, of those returned by links)."""
-        links = self.links()
+        """One row per row of the input: doc_id, n_shingles, component_id, n_connecting_links (of its set, of those returned by connecting_links; not all its links)."""
+        links = self.connecting_links()
         sets = self.sets.select("doc_id", "node", "n")
         nodes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
-        degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_links"))
+        degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_connecting_links"))
         nodes = nodes.join(self._classes, "node", "left").join(degree, "node", "left")
         nodes = nodes.withColumn("comp", F.coalesce("comp", "node"))
         low = nodes.groupBy("comp").agg(F.min("low").alias("component_id"))
-        nodes = staged(nodes.select("node", "comp", "copies", F.coalesce("n_links", F.lit(0)).alias("n_links")).join(low, "comp").drop("comp"), "classes")
+        nodes = staged(nodes.select("node", "comp", "copies", F.coalesce("n_connecting_links", F.lit(0)).alias("n_connecting_links")).join(low, "comp").drop("comp"), "classes")
         rows = attach_groups(sets, nodes, "node", "copies", sets.count())
         return rows.select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
-            F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
+            F.coalesce("n_connecting_links", F.lit(0)).cast("long").alias("n_connecting_links"),
         )
 
 
