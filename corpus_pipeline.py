@@ -49,16 +49,19 @@ def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The training stream: each document as often as the mix reads it, in the order in which it does first."""
+    """The training stream: each document as often as the mix reads it, each copy at the time when its reading begins.
+
+    Rows are in that order within partitions, and partitions follow each other:
+    written files in order of name hold the stream.
+    """
     rows = mix(docs).filter("copies > 0")
-    repeated = rows.select("doc_id", "key", "copies")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce(F.col("text"), F.lit("")))
     # rows that repeat another have its key; each is taken as often as any of them
-    repeated = repeated.groupBy("doc_id", "key").agg(F.max("copies").alias("copies"))
+    repeated = rows.groupBy("doc_id", "key").agg(F.max(F.struct("copies", "times"))["times"].alias("times"))
     docs_key = docs.withColumn("_key", key)
     out = docs_key.alias("d").join(repeated.alias("r"), (F.col("d._key") == F.col("r.key")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")))
-    out = out.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("r.copies").alias("_copies"))
-    return out.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies").cast("int")))).select(*docs.columns)
+    out = out.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("d._key").alias("_key"), F.explode("r.times").alias("_time"))
+    return out.repartitionByRange("_time", "_key").sortWithinPartitions("_time", "_key").select(*docs.columns)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

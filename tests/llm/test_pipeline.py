@@ -1,8 +1,13 @@
 """The pipeline's stages one after another."""
 
+import glob
 import re
 
 import corpus_pipeline
+import pyarrow.parquet as pq
+import pytest
+
+from tidemark.llm.mixing import mix
 
 SF = "/root/testdata/sf0.001"
 
@@ -24,3 +29,40 @@ def test_pipeline(spark):
     assert mixed.columns == columns and {r.doc_id for r in mixed.collect()} <= set(kept)
     out = corpus_pipeline.encode(spark, mixed, SF)
     assert out.count() == mixed.count()
+
+
+def test_files_of_the_mixing_stage_follow_the_curriculum(spark, tmp_path):
+    texts = [" ".join(f"w{k}x{j}" for j in range(3 + k * 7 % 11)) for k in range(150)] + ["", None]
+    rows = [(k, t, "en", "abc"[0 if k < 20 else k % 3]) for k, t in enumerate(texts)] + [(None, "no id here", "en", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string").repartition(3)
+    want = []
+    whole = {s: 0 for s in "abc"}
+    mixed = sorted(mix(docs).collect(), key=lambda r: (r.source, r.first_time is None, r.first_time))
+    for r in mixed:
+        # words of a source before a document, in the order in which it is read
+        begin, whole[r.source] = whole[r.source], whole[r.source] + r.size
+        slope, words = 0.5 if r.source in "ac" else -0.5, int(r.target + 0.5)
+        for k in range(r.copies):
+            done, low, high = min(1, (k * r.source_size + begin) / words), 0.0, 1.0
+            for _ in range(60):
+                t = (low + high) / 2
+                low, high = (t, high) if (1 - slope) * t + slope * t * t < done else (low, t)
+            if r.size:
+                want.append((high, r.doc_id))
+    assert any(r.copies > 1 for r in mixed)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        corpus_pipeline.mixed(spark, docs, SF).write.parquet(str(tmp_path / "out"))
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    files = sorted(glob.glob(str(tmp_path / "out/part-*.parquet")))
+    assert len(files) > 1
+    got = [r for f in files for r in pq.read_table(f).to_pylist()]
+    assert list(got[0]) == docs.columns
+    time_of = {}
+    for t, i in want:
+        time_of.setdefault(i, []).append(t)
+    times = {i: iter(sorted(ts)) for i, ts in time_of.items()}
+    # copies of a document come in order of their times, so the stream's times never fall
+    stream = [next(times[r["doc_id"]]) for r in got if r["text"]]
+    assert len(stream) == len(want) and stream == pytest.approx(sorted(stream), abs=1e-9)

@@ -77,7 +77,7 @@ def mix(
     doc_id, source, size, source_size, target, taken (words, repeats counted),
     copies (whole readings: taken over size, rounded, 1 at least if it is an
     empty text of a source that gives anything), first_time and last_time in
-    [0, 1], null where nothing is taken.
+    [0, 1], null where nothing is taken, and times: when each copy begins.
 
     Sources in order of code points, null last, have the weights of `cycle` in
     turn. Within a source, documents follow a hashed order that depends on
@@ -117,5 +117,9 @@ def mix(
     full = full.withColumns({"first_time": F.when(F.col("taken") > 0, at(F.lit(0))), "last_time": F.when(F.col("taken") > 0, at(final_round))})
     gives = (F.col("words") > 0).cast("long")
     copies = F.when(F.col("size") == 0, gives).otherwise(F.round(F.col("taken") / F.col("size")).cast("long"))
-    out = full.select("doc_id", "source", "size", "source_size", "target", "taken", copies.alias("copies"), "first_time", "last_time", "key")
+    # an empty text behind the last word taken comes at the end
+    begins = lambda k: demand_time(F.least(F.lit(1.0), (k * F.col("source_size") + F.col("begin")) / F.col("words")), slope)
+    full = full.withColumn("copies", copies)
+    times = F.when(F.col("copies") > 0, F.transform(F.sequence(F.lit(0).cast("long"), F.col("copies") - 1), begins))
+    out = full.select("doc_id", "source", "size", "source_size", "target", "taken", "copies", "first_time", "last_time", times.alias("times"), "key")
     return out.repartitionByRange(F.col("first_time").asc_nulls_last(), "key").sortWithinPartitions(F.col("first_time").asc_nulls_last(), "key")
