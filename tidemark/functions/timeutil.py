@@ -18,11 +18,18 @@ def to_local(ts: ColumnLike, zone: str) -> Column:
 
 
 def to_utc(local: ColumnLike, zone: str) -> Column:
-    """H2: UTC of a wall clock; a repeated time is the later one, a skipped one moves to the end of the gap."""
+    """H2: UTC of a wall clock; a repeated time is the later one, a skipped one moves to the end of the gap.
+
+    Works for gaps and repeats of any whole minutes up to a day, as the zone has them.
+    """
     local = _c(local)
     early = F.convert_timezone(F.lit(zone), F.lit("UTC"), local)
-    later = early + F.expr("INTERVAL 1 HOUR")
-    return F.when(to_local(early, zone) != local, F.date_trunc("hour", early).cast("timestamp_ntz")).when(to_local(later, zone) == local, later).otherwise(early)
+    offset = lambda t: F.timestamp_diff("MINUTE", t, to_local(t, zone))
+    later = add_minutes(local, -offset(early + F.expr("INTERVAL 1 DAY")))
+    # in a gap `early` has the offset behind it: go back minute by minute, in halving steps, as far as that holds
+    steps = F.array(*[F.lit(1 << k) for k in range(10, -1, -1)])
+    gap_end = F.aggregate(steps, F.date_trunc("minute", early).cast("timestamp_ntz"), lambda t, n: F.when(offset(add_minutes(t, -n)) == offset(early), add_minutes(t, -n)).otherwise(t))
+    return F.when(to_local(early, zone) != local, gap_end).when((later > early) & (to_local(later, zone) == local), later).otherwise(early)
 
 
 def day_start_utc(day: ColumnLike, zone: str) -> Column:
@@ -138,9 +145,19 @@ def hour_group(hour: ColumnLike, groups: dict[str, tuple[int, int]], other: str
     return out
 
 
-def coalesced(*columns: ColumnLike) -> Column:
-    """H22."""
-    return F.coalesce(*[_c(x) for x in columns])
+def archive_year(text: ColumnLike) -> Column:
+    """The first run of four digits that stands alone in a text, as a number; null if there is none."""
+    return F.regexp_extract(_c(text), r"(?:^|\D)(\d{4})(?:\D|$)", 1).try_cast("int")
+
+
+def now_utc(fixed: str | None = None) -> Column:
+    """H7: the present as naive UTC, or a fixed text in its place."""
+    return F.lit(fixed).cast("timestamp_ntz") if fixed else F.to_timestamp_ntz(F.date_format(F.convert_timezone(F.current_timezone(), F.lit("UTC"), F.current_timestamp().cast("timestamp_ntz")), "yyyy-MM-dd HH:mm:ss"))
+
+
+def newest(*columns: ColumnLike) -> Column:
+    """Latest of several times, nulls left out."""
+    return F.greatest(*[_c(x) for x in columns])
 
 
 def sorted_row(columns: list[str]) -> dict[str, Column]:

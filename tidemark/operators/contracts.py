@@ -14,8 +14,13 @@ def not_null(df: DataFrame, column: str) -> DataFrame:
 
 
 def unique(df: DataFrame, columns: list[str]) -> DataFrame:
-    """Keys (without nulls) found more than once, and how often."""
-    return df.dropna(subset=columns).groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
+    """Keys (without nulls) found more than once, and how often."""
+    return unique_combination(df.dropna(subset=columns), columns)
+
+
+def unique_combination(df: DataFrame, columns: list[str]) -> DataFrame:
+    """K3: keys found more than once, those with nulls among them."""
+    return df.groupBy(*columns).agg(F.count("*").alias("n")).filter("n > 1")
 
 
 def accepted_values(df: DataFrame, column: str, values: list) -> DataFrame:
@@ -58,8 +63,11 @@ def clock_changes(calendar: DataFrame, zone: str) -> DataFrame:
 
 
 def guard_exercised(spine: DataFrame, vintages: DataFrame, on: list[str], issued: str, cutoff: str = "cutoff_utc") -> DataFrame:
-    """One row, the number of vintages that came after a cutoff and so could have leaked."""
-    return spine.join(vintages, on).filter(F.col(issued) > F.col(cutoff)).agg(F.count("*").alias("n_after_cutoff"))
+    """One row, the number of pairs of a spine row and a vintage that came after its cutoff and so could have leaked."""
+    from tidemark.operators.asof import known_counts
+
+    per = known_counts(spine, vintages, on, issued, cutoff)
+    return per.agg(F.coalesce(F.sum(F.col("n_vintages") - F.col("n_known")), F.lit(0)).alias("n_after_cutoff"))
 
 
 def summary(checks: dict[str, tuple[DataFrame, str]]) -> DataFrame:
@@ -77,16 +85,20 @@ def freshness(df: DataFrame, loaded: str, now: str, warn_hours: float, error_hou
     return latest.withColumns({"age_hours": age, "state": state})
 
 
-def infeasible(schedule: DataFrame, power: float, energy: float, efficiency: float, step_hours: float, keys: list[str], order: str, start: float = 0.0, eps: float = 1e-6) -> DataFrame:
-    """Periods of a schedule (charge_mw, discharge_mw, soc_mwh) that no battery could run."""
+def infeasible(schedule: DataFrame, power: float, energy: float, efficiency: float, step_hours: float, keys: list[str], order: str, start: float = 0.0, eps: float = 1e-6, discharge_efficiency: float = 1.0, low: float = 0.0) -> DataFrame:
+    """Periods of a schedule (charge_mw, discharge_mw, soc_mwh) that no battery could run.
+
+    The level starts and ends at `start`, stays within low and energy, and falls
+    by what is discharged over the discharge efficiency.
+    """
     from pyspark.sql import Window
 
     w = Window.partitionBy(*keys).orderBy(order)
     before = F.coalesce(F.lag("soc_mwh").over(w), F.lit(start))
-    moved = before + step_hours * (F.col("charge_mw") * efficiency - F.col("discharge_mw"))
+    moved = before + step_hours * (F.col("charge_mw") * efficiency - F.col("discharge_mw") / discharge_efficiency)
     out = schedule.withColumns({"_gap": F.abs(F.col("soc_mwh") - moved), "_last": F.lead(order).over(w).isNull()})
     bad = (F.col("charge_mw") < -eps) | (F.col("discharge_mw") < -eps) | (F.greatest("charge_mw", "discharge_mw") > power + eps)
-    bad = bad | (F.least("charge_mw", "discharge_mw") > eps) | (F.col("soc_mwh") < -eps) | (F.col("soc_mwh") > energy + eps)
+    bad = bad | (F.least("charge_mw", "discharge_mw") > eps) | (F.col("soc_mwh") < low - eps) | (F.col("soc_mwh") > energy + eps)
     bad = bad | (F.col("_gap") > eps) | (F.col("_last") & (F.abs(F.col("soc_mwh") - start) > eps))
     return out.filter(bad).drop("_gap", "_last")
 

@@ -1,12 +1,13 @@
-"""Walk-forward folds, naive forecasts and conformal calibration."""
+"""Walk-forward folds, naive forecasts, conformal calibration and comparisons."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tidemark.functions.metrics import mean_pinball
+from tidemark.functions.metrics import mean_pinball, metric_columns
 from tidemark.functions.timeutil import quantile_name, sorted_row
+from tidemark.operators.series import exact_quantiles, quantile_columns, value_positions
 
 
 def monthly_folds(spark: SparkSession, first: str, last: str, gap_days: int = 2) -> DataFrame:
@@ -37,8 +38,8 @@ def leaking_folds(train: DataFrame, test: DataFrame, start: str, cutoff: str) ->
 def naive_fit(train: DataFrame, y: str, point: Column, group: str, quantiles: list[float], keys: list[str], middle_zero: bool = True) -> DataFrame:
     """Residual quantiles per group; the middle one is 0."""
     rows = train.withColumn("_r", F.col(y) - point).filter("_r is not null")
-    out = rows.groupBy(*keys, group).agg(F.percentile("_r", F.array(*[F.lit(q) for q in quantiles])).alias("_q"))
-    return out.select(*keys, group, *[(F.lit(0.0) if middle_zero and q == 0.5 else F.col("_q")[k]).alias(f"off_{quantile_name(q)}") for k, q in enumerate(quantiles)])
+    out = exact_quantiles(rows, "_r", [*keys, group], quantiles)
+    return out.select(*keys, group, *[(F.lit(0.0) if middle_zero and q == 0.5 else F.col(f"q{k}")).alias(f"off_{quantile_name(q)}") for k, q in enumerate(quantiles)])
 
 
 def naive_predict(test: DataFrame, offsets: DataFrame, point: Column, group: str, quantiles: list[float], keys: list[str]) -> DataFrame:
@@ -50,13 +51,22 @@ def naive_predict(test: DataFrame, offsets: DataFrame, point: Column, group: str
 
 
 def conformal_shifts(calibration: DataFrame, y: str, quantiles: list[float], keys: list[str], mode: str = "all") -> DataFrame:
-    """Per key the quantile of y - raw quantile; mode none, outer (not the middle) or all."""
-    def shift(q):
-        if mode == "none" or (mode == "outer" and q == 0.5):
-            return F.lit(0.0)
-        return F.percentile(F.col(y) - F.col(quantile_name(q)), F.lit(q))
-
-    return calibration.groupBy(*keys).agg(F.count(y).alias("n_calibration"), *[shift(q).alias(f"shift_{quantile_name(q)}") for q in quantiles])
+    """Per key the quantile of y - raw quantile over calibration rows; mode none, outer (not the middle) or all."""
+    out = calibration.groupBy(*keys).agg(F.count(y).alias("n_calibration"))
+    # all quantiles in one pass: a row's gap to each is one row
+    gaps = F.array(*[F.struct(F.lit(float(q)).alias("_q"), (F.col(y) - F.col(quantile_name(q))).alias("_gap")) for q in quantiles])
+    long = calibration.select(*keys, F.inline(gaps))
+    each = value_positions(long, "_gap", [*keys, "_q"]).groupBy(*keys, "_q").agg(quantile_columns([F.col("_q")], "_gap")[0].alias("_shift"))
+    fixed = lambda q: mode == "none" or (mode == "outer" and q == 0.5)
+    wide = each.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == float(q), F.lit(0.0) if fixed(q) else F.col("_shift"))).alias(f"shift_{quantile_name(q)}") for q in quantiles])
+    return out.join(wide, keys, "left") if keys else out.crossJoin(F.broadcast(wide))
+
+
+def calibration_split(df: DataFrame, day: str, days: int = 56, gap_days: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(fit, calibration): the last days are held out for calibration, and a gap before them is left out."""
+    rows = df.crossJoin(F.broadcast(df.agg(F.max(day).alias("_last"))))
+    start = F.date_sub("_last", days - 1)
+    return rows.filter(F.col(day) < F.date_sub(start, gap_days)).drop("_last"), rows.filter(F.col(day) >= start).drop("_last")
 
 
 def shifted(df: DataFrame, shifts: DataFrame, quantiles: list[float], keys: list[str], group: str | None = None, by_group: DataFrame | None = None) -> DataFrame:
@@ -77,12 +87,44 @@ def verdict(gain: DataFrame, low: Column, coverage: Column, least_folds: int = 9
 
 
 def promotion(df: DataFrame, y: str, quantiles: list[float], least_rows: int) -> DataFrame:
-    """One row: losses of champion and challenger on rows both predict, and whether to promote."""
+    """One row: losses of champion and challenger on rows both predict, and whether to promote (strictly lower, on least_rows or more)."""
     wide = df.withColumn("_l", mean_pinball(y, quantiles)).groupBy("row_id").agg(F.avg(F.when(F.col("model") == "champion", F.col("_l"))).alias("a"), F.avg(F.when(F.col("model") == "challenger", F.col("_l"))).alias("b"))
     one = wide.filter("a is not null and b is not null").agg(F.count("*").alias("n"), F.avg("a").alias("champion"), F.avg("b").alias("challenger"))
     return one.withColumn("promote", (F.col("n") >= least_rows) & (F.col("challenger") < F.col("champion")))
 
 
+def judgement_rows(df: DataFrame, trained_until: dict[str, str], day: str, gap_days: int = 2) -> DataFrame:
+    """Rows that neither model has seen: after the later end of training and a gap."""
+    after = F.date_add(F.greatest(*[F.lit(d).cast("date") for d in trained_until.values()]), gap_days)
+    return df.filter(F.col(day) > after)
+
+
+def delevelled(df: DataFrame, y: str, level: str, name: str = "y_rel") -> DataFrame:
+    """Target less its trailing level; null where either is."""
+    return df.withColumn(name, F.col(y) - F.col(level))
+
+
+def relevelled(df: DataFrame, columns: list[str], level: str) -> DataFrame:
+    """The level added back to predictions of a de-levelled target."""
+    return df.withColumns({c: F.col(c) + F.col(level) for c in columns})
+
+
+def fold_metrics(df: DataFrame, fold: str = "fold", model: str = "model", y: str = "y", quantiles=(0.1, 0.5, 0.9)) -> DataFrame:
+    """Metrics by fold and model."""
+    return df.groupBy(fold, model).agg(*metric_columns(y, quantiles))
+
+
+def leakage_cost(variants: dict[str, DataFrame], honest: str, y: str = "y", quantiles=(0.1, 0.5, 0.9)) -> DataFrame:
+    """Metrics of predictions from each variant of the features, and how much better than the honest one each looks."""
+    parts = [df.select(F.lit(name).alias("features"), y, *[quantile_name(q) for q in quantiles]) for name, df in variants.items()]
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    out = rows.groupBy("features").agg(*metric_columns(y, quantiles))
+    base = F.max(F.when(F.col("features") == honest, F.col("pinball"))).over(Window.partitionBy())
+    return out.withColumn("flattery", 1 - F.col("pinball") / F.nullif(base, F.lit(0.0)))
+
+
 def latest_fold(df: DataFrame, day: str, y: str, days: int, gap_days: int = 2) -> tuple[DataFrame, DataFrame]:
     """(train, test): the last days with known targets are the test."""
     known = df.filter(F.col(y).isNotNull())
@@ -92,32 +134,78 @@ def latest_fold(df: DataFrame, day: str, y: str, days: int, gap_days: int = 2) -
     return rows.filter(F.col(day) <= F.date_sub(start, gap_days)).drop("_last"), rows.filter(F.col(day) >= start).drop("_last")
 
 
-def point_model(train: DataFrame, features: list[str], y: str, kind: str = "gbt", weight: str | None = None, **params):
-    """Spark ML pipeline: median imputation, missing indicators and a regressor."""
+def point_model(train: DataFrame, features: list[str], y: str, kind: str = "gbt", weight: str | None = None, missing_above: float = 0.01, **params):
+    """Spark ML pipeline: median imputation (0 for a feature that is null throughout), indicators and a regressor.
+
+    Features of which more than missing_above is null get an indicator; all
+    features must be numeric. `weight` names a column of row weights.
+    """
     from pyspark.ml import Pipeline
     from pyspark.ml.feature import Imputer, SQLTransformer, StandardScaler, VectorAssembler
     from pyspark.ml.regression import GBTRegressor, LinearRegression
 
-    flags = SQLTransformer(statement="SELECT *, " + ", ".join(f"CAST(`{f}` IS NULL AS DOUBLE) AS `{f}_missing`" for f in features) + " FROM __THIS__")
-    fill = Imputer(strategy="median", inputCols=features, outputCols=[f"{f}_filled" for f in features])
-    pack = VectorAssembler(inputCols=[f"{f}_filled" for f in features] + [f"{f}_missing" for f in features], outputCol="_x")
+    rows = train.filter(F.col(y).isNotNull())
+    share = rows.agg(*[F.coalesce(F.avg(F.col(f).isNull().cast("double")), F.lit(1.0)).alias(f) for f in features]).first()
+    empty, some = [f for f in features if share[f] == 1], [f for f in features if share[f] < 1]
+    flagged = [f for f in some if share[f] > missing_above]
+    shown = [f"CAST(`{f}` IS NULL AS DOUBLE) AS `{f}_missing`" for f in flagged] + [f"CAST(0 AS DOUBLE) AS `{f}_filled`" for f in empty] + [f"CAST(`{f}` AS DOUBLE) AS `{f}_known`" for f in some]
+    flags = SQLTransformer(statement="SELECT *, " + ", ".join(shown) + " FROM __THIS__")
+    fill = [Imputer(strategy="median", inputCols=[f"{f}_known" for f in some], outputCols=[f"{f}_filled" for f in some])] if some else []
+    pack = VectorAssembler(inputCols=[f"{f}_filled" for f in features] + [f"{f}_missing" for f in flagged], outputCol="_x")
     extra = {"weightCol": weight} if weight else {}
     if kind == "linear":
-        stages = [flags, fill, pack, StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LinearRegression(featuresCol="_z", labelCol=y, predictionCol="point", **extra, **params)]
+        stages = [flags, *fill, pack, StandardScaler(inputCol="_x", outputCol="_z", withMean=True), LinearRegression(featuresCol="_z", labelCol=y, predictionCol="point", **extra, **params)]
     else:
-        stages = [flags, fill, pack, GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="point", **extra, **params)]
-    return Pipeline(stages=stages).fit(train.filter(F.col(y).isNotNull()))
-
-
-def tried(variants: dict, spark: SparkSession) -> DataFrame:
-    """Runs each variant (a function that gives one value) and keeps what failed as a row."""
-    rows = []
-    for name, run in variants.items():
-        try:
-            rows.append((name, float(run()), None))
-        except Exception as e:  # noqa: BLE001
-            rows.append((name, None, f"{type(e).__name__}: {e}"[:300]))
-    return spark.createDataFrame(rows, "variant string, value double, error string")
+        stages = [flags, *fill, pack, GBTRegressor(featuresCol="_x", labelCol=y, predictionCol="point", **extra, **params)]
+    return Pipeline(stages=stages).fit(rows)
+
+
+def importance(spark: SparkSession, model) -> DataFrame:
+    """(feature, gain_share) of a fitted tree pipeline, largest first; indicators are features of their own."""
+    from pyspark.ml.feature import VectorAssembler
+
+    pack = next(s for s in model.stages if isinstance(s, VectorAssembler))
+    names = [n.removesuffix("_filled") for n in pack.getInputCols()]
+    gain = model.stages[-1].featureImportances.toArray()
+    rows = [(n, float(g)) for n, g in zip(names, gain, strict=True)]
+    return spark.createDataFrame(rows, "feature string, gain_share double").orderBy(F.desc("gain_share"), "feature")
+
+
+def with_residual_quantiles(model, fit: DataFrame, calibration: DataFrame, y: str, quantiles: list[float]) -> DataFrame:
+    """Rows of `fit` with the point forecast and quantiles p10, ...: the point plus quantiles of the residuals of calibration rows."""
+    residual = model.transform(calibration).select((F.col(y) - F.col("point")).alias("_r"))
+    q = exact_quantiles(residual, "_r", [], quantiles)
+    out = model.transform(fit).crossJoin(F.broadcast(q))
+    out = out.withColumns({quantile_name(x): F.col("point") + F.col(f"q{k}") for k, x in enumerate(quantiles)})
+    return out.drop(*[f"q{k}" for k in range(len(quantiles))], "_x", "_z").withColumns(sorted_row([quantile_name(x) for x in quantiles]))
+
+
+def adversarial(df: DataFrame, features: list[str], later: Column, test: Column, top: int = 6, above: float = 0.05, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
+    """Can two periods be told apart: (auc with all features, without the markers, markers), (feature, gain_share).
+
+    `test` rows (whole months, say) are held out. Markers are the `top` features
+    by gain with a share above a limit, without those named in `keep`.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.evaluation import BinaryClassificationEvaluator
+    from pyspark.ml.feature import VectorAssembler
+
+    spark = df.sparkSession
+    rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], later.cast("double").alias("_later"), test.alias("_test"))
+
+    def fit(names):
+        pack = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="keep")
+        model = Pipeline(stages=[pack, GBTClassifier(featuresCol="_x", labelCol="_later", maxIter=20, maxDepth=4, seed=1)]).fit(rows.filter(~F.col("_test")).na.fill(0.0, names))
+        scored = model.transform(rows.filter("_test").na.fill(0.0, names))
+        return model, BinaryClassificationEvaluator(labelCol="_later", metricName="areaUnderROC").evaluate(scored)
+
+    model, auc = fit(features)
+    gain = importance(spark, model)
+    markers = [r.feature for r in gain.limit(top).collect() if r.gain_share > above and r.feature not in keep]
+    rest = [f for f in features if f not in markers]
+    without = fit(rest)[1] if rest else 0.5
+    return spark.createDataFrame([(auc, without, markers)], "auc double, auc_without_markers double, markers array<string>"), gain
 
 
 def leaderboard(df: DataFrame, loss: str, baseline: str) -> DataFrame:

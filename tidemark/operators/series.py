@@ -1,4 +1,4 @@
-"""Windows over daily and half-hourly series, and their profiles."""
+"""Windows over daily and half-hourly series, and their profiles."""
 
 from __future__ import annotations
 
@@ -25,17 +25,28 @@ def lagged_mean(df: DataFrame, value: str, slot: list[str], day_number: str, day
     return df.withColumn(f"{value}_mean_{days}d", F.when(F.count(value).over(w) >= max(2, days // 2), F.avg(value).over(w)))
 
 
-def lagged_regression(daily: DataFrame, y: str, x: str, by: list[str], day_number: str, days: int = 14, lag: int = 2, least: int = 7) -> DataFrame:
-    """Slope and intercept of y on x over a trailing window of daily rows, from running sums."""
-    w = Window.partitionBy(*by).orderBy(day_number).rangeBetween(-(days + lag - 1), -lag)
+def lagged_regression(df: DataFrame, y: str, x: str, by: list[str], day_number: str, days: int = 14, lag: int = 2, least: int = 7) -> DataFrame:
+    """Slope, intercept and the value they imply for the row's x, from all rows of the days in a trailing window that ends `lag` days before.
+
+    Sums are taken per day first (by, day), then over the window of days; there
+    must be `least` days from the first on. A day without any pair counts as a day.
+    """
     both = F.col(x).isNotNull() & F.col(y).isNotNull()
-    total = lambda c: F.sum(F.when(both, c)).over(w)
-    n, sx, sy = total(F.lit(1.0)), total(F.col(x)), total(F.col(y))
-    sxx, sxy = total(F.col(x) * F.col(x)), total(F.col(x) * F.col(y))
-    slope = (n * sxy - sx * sy) / F.nullif(n * sxx - sx * sx, F.lit(0.0))
-    enough = F.count("*").over(w) >= least
-    out = daily.withColumn("slope", F.when(enough, slope))
-    return out.withColumn("intercept", F.when(enough, (sy - F.col("slope") * sx) / n))
+    part = lambda c: F.sum(F.when(both, c).otherwise(0.0))
+    sums = {"_n": part(F.lit(1.0)), "_sx": part(F.col(x)), "_sy": part(F.col(y)), "_sxx": part(F.col(x) * F.col(x)), "_sxy": part(F.col(x) * F.col(y))}
+    daily = df.groupBy(*by, day_number).agg(*[c.alias(k) for k, c in sums.items()])
+    w = Window.partitionBy(*by).orderBy(day_number).rangeBetween(-(days + lag - 1), -lag)
+    first = F.min(day_number).over(Window.partitionBy(*by).orderBy(day_number).rangeBetween(Window.unboundedPreceding, 0))
+    daily = daily.withColumns({f"{k}w": F.sum(k).over(w) for k in sums} | {"_span": F.col(day_number) - lag - first + 1})
+    n, sx, sy, sxx, sxy = (F.col(f"{k}w") for k in sums)
+    spread = n * sxx - sx * sx
+    enough = F.col("_span") >= least
+    slope = F.when(enough & (spread > 0), (n * sxy - sx * sy) / spread)
+    daily = daily.withColumn("slope", slope).withColumn("intercept", F.when(enough, (sy - F.col("slope") * sx) / F.nullif(n, F.lit(0.0))))
+    back = daily.select(*[F.col(c).alias(f"_d{k}") for k, c in enumerate([*by, day_number])], "slope", "intercept")
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_d{k}")) for k, c in enumerate([*by, day_number])])
+    out = df.join(back, same, "left").drop(*[f"_d{k}" for k in range(len(by) + 1)])
+    return out.withColumn("implied", F.col("intercept") + F.col("slope") * F.col(x))
 
 
 def rolling_mean(df: DataFrame, value: str, by: list[str], order: list[str], rows: int) -> DataFrame:
@@ -52,15 +63,59 @@ def running(df: DataFrame, value: str, by: list[str], order: list[str], weight:
     return df.withColumn(f"{value}_to_date", F.sum(F.col(value) * F.col(weight)).over(w) / F.nullif(F.sum(weight).over(w), F.lit(0.0)))
 
 
-def average_rank(value: str, by: list[str]) -> Column:
-    """Rank with ties averaged."""
-    return F.rank().over(Window.partitionBy(*by).orderBy(value)) + (F.count("*").over(Window.partitionBy(*by, value)) - 1) / 2.0
+#: Ranges into which the values of a group are cut, so that no task holds a group.
+RANGES = 32
+
+
+def value_positions(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    """One row per group and distinct value: by, value, n (rows that have it), before (rows with less), total. Nulls are left out.
+
+    Values are counted first; approximate quantiles of each group cut them into
+    ranges, whose sums (RANGES rows a group) are added up, and only inside a
+    range are values put in order. The cuts decide on the balance of tasks, not
+    on the result.
+    """
+    known = df.filter(F.col(value).isNotNull())
+    counts = known.groupBy(*by, F.col(value).alias("_x")).agg(F.count("*").alias("n"))
+    cuts = known.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(1000)).alias("_cuts"))
+    same = lambda other: reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_{other}{k}")) for k, b in enumerate(by)], F.lit(True))
+    named = lambda frame, other: frame.select(*[F.col(b).alias(f"_{other}{k}") for k, b in enumerate(by)], *[c for c in frame.columns if c not in by])
+    counts = counts.join(named(cuts, "c"), same("c")).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).select(*by, "_x", "n", "_range")
+    ranges = counts.groupBy(*by, "_range").agg(F.sum("n").alias("_n"))
+    group = Window.partitionBy(*by)
+    ranges = ranges.withColumns({"_start": F.sum("_n").over(group.orderBy("_range")) - F.col("_n"), "total": F.sum("_n").over(group)}).drop("_n").withColumnRenamed("_range", "_r")
+    at = counts.join(named(ranges, "r"), same("r") & (F.col("_range") == F.col("_r")))
+    inside = Window.partitionBy(*by, "_range").orderBy("_x")
+    return at.select(*by, F.col("_x").alias(value), "n", (F.col("_start") + F.sum("n").over(inside) - F.col("n")).alias("before"), "total")
+
+
+def quantile_columns(quantiles, value: str) -> list[Column]:
+    """Aggregates over value_positions of a group: q0, q1, ..., exact and linear between neighbours. A quantile may be a column that is the same throughout a group."""
+    out = []
+    for k, q in enumerate(quantiles):
+        at = (q if isinstance(q, Column) else F.lit(float(q))) * (F.col("total") - 1)
+        pick = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col(value)))
+        low, high, share = pick(F.floor(at)), pick(F.ceil(at)), F.max(at - F.floor(at))
+        out.append((low + (high - low) * share).alias(f"q{k}"))
+    return out
+
+
+def exact_quantiles(df: DataFrame, value: str, by: list[str], quantiles) -> DataFrame:
+    """by, q0, q1, ... of each group that has values; no group is held in one task."""
+    return value_positions(df.withColumn("_y", F.col(value).cast("double")), "_y", by).groupBy(*by).agg(*quantile_columns(quantiles, "_y"))
+
+
+def average_ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
+    """Df with the rank of each row's value in its group, ties averaged; rows without value have null."""
+    ranks = value_positions(df, value, by).select(*[F.col(b).alias(f"_b{k}") for k, b in enumerate(by)], F.col(value).alias("_x"), (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
+    same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_b{k}")) for k, b in enumerate(by)], F.col(value) == F.col("_x"))
+    return df.join(ranks, same, "left").drop("_x", *[f"_b{k}" for k in range(len(by))])
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
     """Rank correlation of rows where both are known."""
-    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
-    ranked = known.withColumns({"_rx": average_rank(x, by), "_ry": average_rank(y, by)})
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_vx"), F.col(y).alias("_vy"))
+    ranked = average_ranks(average_ranks(known, "_vx", by, "_rx"), "_vy", by, "_ry")
     return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rank_corr"), F.count("*").alias("n"))
 
 
@@ -80,36 +135,46 @@ def deviation(value: str, by: list[str]) -> Column:
     return F.col(value) - F.avg(value).over(Window.partitionBy(*by))
 
 
-def recency_weight(day: str, half_life: float) -> Column:
-    """Halves every half_life days before the last day (a scalar subquery keeps it parallel)."""
-    return F.pow(F.lit(0.5), F.date_diff(F.col("_last_day"), F.col(day)) / half_life)
-
-
 def with_recency(df: DataFrame, day: str, half_life: float) -> DataFrame:
+    """Weight that halves every half_life days before the last day; that one is a one-row aggregate, broadcast."""
     last = df.agg(F.max(day).alias("_last_day"))
-    return df.crossJoin(F.broadcast(last)).withColumn("weight", recency_weight(day, half_life)).drop("_last_day")
+    age = F.date_diff(F.col("_last_day"), F.col(day))
+    return df.crossJoin(F.broadcast(last)).withColumn("weight", F.pow(F.lit(0.5), age / half_life)).drop("_last_day")
+
+
+def _grouped(df: DataFrame, by: list[str], aggregates: list[Column], value: str, quantiles) -> DataFrame:
+    """Aggregates of each group beside exact quantiles q0, q1, ... of a value."""
+    out = df.groupBy(*by).agg(*aggregates)
+    q = exact_quantiles(df, value, by, quantiles)
+    q = q.select(*[F.col(b).alias(f"_g{k}") for k, b in enumerate(by)], *[c for c in q.columns if c not in by])
+    same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_g{k}")) for k, b in enumerate(by)], F.lit(True))
+    return out.join(q, same, "left").drop(*[f"_g{k}" for k in range(len(by))])
 
 
 def moments(df: DataFrame, value: str, by: list[str], quantiles=(0.05, 0.25, 0.5, 0.75, 0.95), tail: float | None = None) -> DataFrame:
-    """Mean, bias-corrected skewness and excess kurtosis, quantiles, share below 0 and above `tail`."""
-    out = df.groupBy(*by).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.skewness(value).alias("_g1"), F.kurtosis(value).alias("_g2"), F.percentile(value, F.array(*[F.lit(q) for q in quantiles])).alias("_q"), F.avg((F.col(value) < 0).cast("double")).alias("share_negative"), F.avg((F.col(value) > (tail if tail is not None else float("inf"))).cast("double")).alias("share_tail"))
+    """Mean, bias-corrected skewness and excess kurtosis, exact quantiles, mean less median, share below 0 and above `tail`."""
+    above = F.avg((F.col(value) > (tail if tail is not None else float("inf"))).cast("double")).alias("share_tail")
+    own = [F.count(value).alias("n"), F.avg(value).alias("mean"), F.skewness(value).alias("_g1"), F.kurtosis(value).alias("_g2"), F.avg((F.col(value) < 0).cast("double")).alias("share_negative"), above]
+    qs = [*quantiles, 0.5]
+    out = _grouped(df, by, own, value, qs)
     n = F.col("n").cast("double")
     skew = F.col("_g1") * F.sqrt(n * (n - 1)) / F.nullif(n - 2, F.lit(0.0))
     kurt = (n - 1) / F.nullif((n - 2) * (n - 3), F.lit(0.0)) * ((n + 1) * F.col("_g2") + 6)
-    named = {f"q{round(q * 100):02d}": F.col("_q")[k] for k, q in enumerate(quantiles)}
-    return out.withColumns({"skew": skew, "kurt": kurt, **named}).drop("_g1", "_g2", "_q")
+    out = out.withColumns({"skew": skew, "kurt": kurt, "mean_less_median": F.col("mean") - F.col(f"q{len(quantiles)}")}).drop("_g1", "_g2", f"q{len(quantiles)}")
+    return out.withColumnsRenamed({f"q{k}": f"_q{k}" for k in range(len(quantiles))}).withColumnsRenamed({f"_q{k}": f"q{round(q * 100):02d}" for k, q in enumerate(quantiles)})
 
 
-def regression_by(df: DataFrame, y: str, x: str, by: list[str], at: float) -> DataFrame:
-    """Slope, intercept and fitted value at x = at."""
-    out = df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_count(y, x).alias("n"))
-    return out.withColumn("fitted", F.col("intercept") + F.col("slope") * at)
+def regression_by(df: DataFrame, y: str, x: str, by: list[str], at: float, share: str | None = None) -> DataFrame:
+    """Slope, intercept, fitted value at x = at, rank correlation and, where named, the mean of a share, per group."""
+    extra = [F.avg(share).alias(f"{share}_mean")] if share else []
+    out = df.groupBy(*by).agg(F.regr_slope(y, x).alias("slope"), F.regr_intercept(y, x).alias("intercept"), F.regr_count(y, x).alias("n"), *extra)
+    return out.withColumn("fitted", F.col("intercept") + F.col("slope") * at).join(spearman(df, x, y, by).drop("n"), by, "left")
 
 
 def group_quantiles(df: DataFrame, value: str, by: list[str], quantiles: list[float]) -> DataFrame:
     """Exact quantiles with linear interpolation."""
-    out = df.groupBy(*by).agg(F.percentile(value, F.array(*[F.lit(q) for q in quantiles])).alias("_q"))
-    return out.select(*by, *[F.col("_q")[k].alias(f"p{round(q * 100):02d}") for k, q in enumerate(quantiles)])
+    out = exact_quantiles(df, value, by, quantiles)
+    return out.select(*by, *[F.col(f"q{k}").alias(f"p{round(q * 100):02d}") for k, q in enumerate(quantiles)])
 
 
 def lag_persistence(df: DataFrame, target: str, lags: list[str]) -> DataFrame:
@@ -120,20 +185,83 @@ def lag_persistence(df: DataFrame, target: str, lags: list[str]) -> DataFrame:
 
 
 def binned(df: DataFrame, value: str, x: str, edges: list[float]) -> DataFrame:
-    """Count, median, P90 - P10 of value by left-closed bins of x."""
+    """Count, median, P90 - P10 and share below 0 of value by left-closed bins of x."""
     bin_ = reduce(lambda acc, k: F.when((F.col(x) >= edges[k]) & (F.col(x) < edges[k + 1]), F.lit(k)).otherwise(acc), range(len(edges) - 1), F.lit(None).cast("int"))
-    q = F.percentile(value, F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9)))
-    out = df.withColumn("bin", bin_).filter("bin is not null").groupBy("bin").agg(F.count(value).alias("n"), q.alias("_q"))
-    return out.select("bin", "n", F.col("_q")[1].alias("median"), (F.col("_q")[2] - F.col("_q")[0]).alias("spread"))
+    rows = df.withColumn("bin", bin_).filter("bin is not null")
+    out = _grouped(rows, ["bin"], [F.count(value).alias("n"), F.avg((F.col(value) < 0).cast("double")).alias("share_negative")], value, [0.1, 0.5, 0.9])
+    return out.select("bin", "n", F.col("q1").alias("median"), (F.col("q2") - F.col("q0")).alias("spread"), "share_negative")
 
 
 def autocorrelation(daily: DataFrame, value: str, day: str, lags: list[int]) -> DataFrame:
-    """Correlation of a daily series with itself some days earlier, joined by date."""
-    parts = []
-    for k in lags:
-        past = daily.select(F.date_add(day, k).alias(day), F.col(value).alias("_past"))
-        parts.append(daily.join(past, day).agg(F.lit(k).alias("lag"), F.corr(value, "_past").alias("corr")))
-    return reduce(DataFrame.unionByName, parts)
+    """Correlation of a daily series with itself some days earlier, joined by date, all lags in one pass."""
+    past = daily.select(F.explode(F.array(*[F.lit(k) for k in lags])).alias("lag"), F.col(day).alias("_from"), F.col(value).alias("_past"))
+    past = past.select("lag", F.date_add("_from", F.col("lag")).alias(day), "_past")
+    return daily.join(past, day).groupBy("lag").agg(F.corr(value, "_past").alias("corr"))
+
+
+def shape_correlation(df: DataFrame, value: str, day: str, period: str, lag: int, least: int = 40) -> DataFrame:
+    """One row: lag, days compared and the median over days of the correlation of a day's deviations with those `lag` days before.
+
+    A day takes part if more than `least` of its periods and of the earlier day's are known.
+    """
+    dev = df.groupBy(day, period).agg(F.avg(value).alias("_v")).withColumn("_v", deviation("_v", [day])).filter("_v is not null")
+    dev = dev.withColumn("_known", F.count("*").over(Window.partitionBy(day))).filter(F.col("_known") > least)
+    past = dev.select(F.date_add(day, lag).alias(day), period, F.col("_v").alias("_p"))
+    per = dev.join(past, [day, period]).groupBy(day).agg(F.corr("_v", "_p").alias("_c")).filter("_c is not null")
+    return exact_quantiles(per, "_c", [], [0.5]).select(F.lit(lag).alias("lag"), F.col("q0").alias("median_corr")).join(per.agg(F.count("*").alias("days")))
+
+
+def levels_by_month(df: DataFrame, value: str, day: str) -> DataFrame:
+    """Mean and sample deviation by month."""
+    return df.groupBy(F.trunc(day, "month").alias("month")).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("sd"), F.count(value).alias("n"))
+
+
+def profile(df: DataFrame, value: str, flag: Column, hour: Column) -> DataFrame:
+    """Mean by flag and hour."""
+    return df.groupBy(flag.alias("flag"), hour.alias("hour")).agg(F.avg(value).alias("mean"), F.count(value).alias("n"))
+
+
+def profile_premiums(shape: DataFrame, peak: tuple[int, int]) -> DataFrame:
+    """One row from a profile: mean of the peak hours (both included) over the mean of all hours without the flag, and of flagged hours under it."""
+    plain, marked = F.when(~F.col("flag"), F.col("mean")), F.when(F.col("flag"), F.col("mean"))
+    top = F.when(~F.col("flag") & F.col("hour").between(*peak), F.col("mean"))
+    return shape.agg((F.avg(top) - F.avg(plain)).alias("peak_premium"), (F.avg(marked) - F.avg(plain)).alias("flag_discount"))
+
+
+def errors_by_group(df: DataFrame, y: str, low: str, mid: str, high: str, group: Column, order: list[str]) -> DataFrame:
+    """Coverage, shares below and above, and mean absolute error per named group, in the order of the names."""
+    known = df.filter(F.col(y).isNotNull()).withColumn("group", group)
+    share = lambda c: F.avg(c.cast("double"))
+    out = known.groupBy("group").agg(
+        F.count("*").alias("n"),
+        share(F.col(y).between(F.col(low), F.col(high))).alias("coverage"),
+        share(F.col(y) < F.col(low)).alias("below"),
+        share(F.col(y) > F.col(high)).alias("above"),
+        F.avg(F.abs(F.col(y) - F.col(mid))).alias("mae"),
+    )
+    return in_order(out, "group", order)
+
+
+def in_order(df: DataFrame, column: str, names: list[str]) -> DataFrame:
+    """rows in the order of given names, others last."""
+    place = F.array_position(F.array(*[F.lit(x) for x in names]), F.col(column))
+    return df.orderBy(F.when(place > 0, place).otherwise(len(names) + 1), column)
+
+
+def first_and_last(df: DataFrame, by: list[str], order: list[str], columns: list[str]) -> DataFrame:
+    """Per group the columns of its first and its last row in order, as first_<name> and last_<name>."""
+    key, whole = F.struct(*order), F.struct(*columns)
+    out = df.groupBy(*by).agg(F.min_by(whole, key).alias("_a"), F.max_by(whole, key).alias("_z"))
+    return out.select(*by, *[F.col(f"_a.{c}").alias(f"first_{c}") for c in columns], *[F.col(f"_z.{c}").alias(f"last_{c}") for c in columns])
+
+
+def best_of(df: DataFrame, by: list[str], score: str, columns: list[str], tie: list[str]) -> DataFrame:
+    """per group the row with the highest and that with the lowest score (of equals the first by `tie`): top_<name>, low_<name>."""
+    whole = F.struct(*columns)
+    low = F.min_by(whole, F.struct(score, *tie))
+    top = F.min_by(whole, F.struct((-F.col(score)).alias("_s"), *tie))
+    out = df.filter(F.col(score).isNotNull()).groupBy(*by).agg(top.alias("_t"), low.alias("_l"))
+    return out.select(*by, *[F.col(f"_t.{c}").alias(f"top_{c}") for c in columns], *[F.col(f"_l.{c}").alias(f"low_{c}") for c in columns])
 
 
 def missingness(df: DataFrame, columns: list[str], above: float = 0.001) -> DataFrame:
@@ -150,22 +278,39 @@ def drift(df: DataFrame, flag: str, columns: list[str]) -> DataFrame:
 
 
 def table_diff(a: DataFrame, b: DataFrame, keys: list[str], columns: list[str], tolerance: float = 1e-9) -> DataFrame:
-    """Per column the rows that differ (null equals null, doubles within a relative tolerance) or are on one side only."""
-    x, y = a.alias("x"), b.alias("y")
+    """Per column the rows that differ (null equals null, doubles within a relative tolerance) or are on one side only."""
+    x, y = a.withColumn("_in", F.lit(True)).alias("x"), b.withColumn("_in", F.lit(True)).alias("y")
     cond = reduce(Column.__and__, [F.col(f"x.{k}").eqNullSafe(F.col(f"y.{k}")) for k in keys])
     kinds = dict(a.dtypes)
+    one_side = F.col("x._in").isNull() | F.col("y._in").isNull()
 
     def differs(c):
         p, q = F.col(f"x.{c}"), F.col(f"y.{c}")
         if kinds[c] not in ("double", "float"):
-            return ~p.eqNullSafe(q)
+            return one_side | ~p.eqNullSafe(q)
         near = F.abs(p - q) <= tolerance * F.greatest(F.abs(p), F.abs(q))
-        return ~(p.eqNullSafe(q) | F.coalesce(near, F.lit(False)))
+        return one_side | ~(p.eqNullSafe(q) | F.coalesce(near, F.lit(False)))
 
     one = x.join(y, cond, "full_outer").agg(*[F.count_if(differs(c)).alias(c) for c in columns])
     return one.unpivot([], columns, "column_name", "mismatches")
 
 
+def key_diff(a: DataFrame, b: DataFrame, keys: list[str]) -> DataFrame:
+    """One row: keys on the left only, on the right only, and columns (sorted, comma) on one side only."""
+    left, right = a.select(*keys).distinct(), b.select(*keys).distinct()
+    names = ",".join(sorted(set(a.columns) ^ set(b.columns)))
+    count = lambda p, q, n: p.exceptAll(q).agg(F.count("*").alias(n))
+    return count(left, right, "left_only").join(count(right, left, "right_only")).withColumn("columns_differ", F.lit(names))
+
+
+def beyond_common_range(tables: dict[str, DataFrame], day: str) -> DataFrame:
+    """Per table the rows after the last day that all tables reach."""
+    parts = [df.select(F.lit(name).alias("table_name"), F.col(day).alias("_d")) for name, df in tables.items()]
+    rows = reduce(DataFrame.unionByName, parts)
+    last = rows.groupBy("table_name").agg(F.max("_d").alias("_m")).agg(F.min("_m").alias("_last"))
+    return rows.crossJoin(F.broadcast(last)).groupBy("table_name").agg(F.count_if(F.col("_d") > F.col("_last")).alias("beyond"), F.max("_last").alias("common_end"))
+
+
 def complete_until(df: DataFrame, day: str, target: str, share: float = 0.9) -> DataFrame:
     """Rows up to the last day whose targets are known for `share` of its rows."""
     last = df.groupBy(day).agg(F.avg(F.col(target).isNotNull().cast("double")).alias("s")).filter(F.col("s") >= share).agg(F.max(day).alias("_last"))

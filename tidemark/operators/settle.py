@@ -9,7 +9,7 @@ from tidemark.operators.series import interpolated
 
 
 def prepared_days(df: DataFrame, day: str, period: str, price: str, lengths=(46, 48, 50), share: float = 0.9) -> DataFrame:
-    """L1: days of an accepted length and priced well enough, gaps interpolated."""
+    """L1: days of an accepted length and priced well enough, gaps interpolated (`<price>_filled`)."""
     ok = df.groupBy(day).agg(F.count("*").alias("_n"), F.avg(F.col(price).isNotNull().cast("double")).alias("_s")).filter(F.col("_n").isin(*lengths) & (F.col("_s") >= share)).select(day)
     return interpolated(df.join(ok, day, "left_semi"), price, [day], period)
 
@@ -37,12 +37,27 @@ def fixed_rule(df: DataFrame, by: list[str], order: str, charge: Column, dischar
     return out.select(*by, F.col("at").alias(order), keep("charge_mw"), keep("discharge_mw"), keep("soc_mwh"))
 
 
-def settle(schedule: DataFrame, by: list[str], price: str, energy: float, step_hours: float, wear_per_mwh: float) -> DataFrame:
-    """Revenue, degradation, net, MWh discharged and cycles per group, at actual prices."""
+def settle(schedule: DataFrame, by: list[str], price: str, energy: float, step_hours: float, wear_per_mwh: float, discharge_efficiency: float = 1.0) -> DataFrame:
+    """L3: revenue, degradation, net, MWh discharged and cycles (of energy taken from the store) per group, at actual prices."""
     moved = F.sum("discharge_mw") * step_hours
     revenue = F.sum(F.col(price) * (F.col("discharge_mw") - F.col("charge_mw"))) * step_hours
     out = schedule.groupBy(*by).agg(revenue.alias("revenue"), (moved * wear_per_mwh).alias("degradation"), moved.alias("mwh"))
-    return out.withColumns({"net": F.col("revenue") - F.col("degradation"), "cycles": F.col("mwh") / energy})
+    return out.withColumns({"net": F.col("revenue") - F.col("degradation"), "cycles": F.col("mwh") / discharge_efficiency / energy})
+
+
+def filled_decisions(df: DataFrame, by: list[str], period: str, columns: list[str], actual: str) -> DataFrame:
+    """L1: decision columns interpolated within a group; one that has no value there takes the group's mean of `actual`."""
+    for c in columns:
+        df = interpolated(df, c, by, period)
+    mean = F.avg(actual).over(Window.partitionBy(*by))
+    return df.withColumns({c: F.coalesce(f"{c}_filled", mean) for c in columns}).drop(*[f"{c}_filled" for c in columns])
+
+
+def strategies_with_bound(daily: DataFrame, bound: DataFrame, name: str) -> DataFrame:
+    """Daily results of all strategies with those of the bound added under its name, and each one's shortfall from it."""
+    rows = daily.unionByName(bound.withColumn("strategy", F.lit(name)).select(*daily.columns))
+    best = F.max(F.when(F.col("strategy") == name, F.col("net"))).over(Window.partitionBy("day"))
+    return rows.withColumn("shortfall", best - F.col("net"))
 
 
 def decision_prices(df: DataFrame, routes: dict[str, str]) -> DataFrame:

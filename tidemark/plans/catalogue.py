@@ -6,7 +6,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as m
@@ -16,54 +16,28 @@ from tidemark.operators.asof import asof_join, keep_latest, newer_vintage_existe
 from tidemark.operators.band import last_known, trailing
 from tidemark.operators.calendar import settlement_calendar
 from tidemark.plans import serve
+from tidemark.plans.registry import ORACLE_SQL, QUERIES, ZONE, query, r, read, rounded  # noqa: F401
 from tidemark.sources import lake
 
-ZONE = "Europe/London"
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
+_query, _read, _r, _rounded = query, read, r, rounded
 
 
-def _query(sql: str, *dates: str):
-    """Registers a query and its SQL; dates are compared as text."""
-
-    def add(f):
-        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(spark, sf_dir).withColumns({c: F.col(c).cast("string") for c in dates}) if dates else f(spark, sf_dir)
-
-        QUERIES[f.__name__] = run
-        shown = ", ".join(f"CAST({c} AS VARCHAR) AS {c}" for c in dates)
-        ORACLE_SQL[f.__name__] = f"SELECT * REPLACE ({shown}) FROM ({sql})" if dates else sql
-        return f
-
-    return add
-
-
-def _read(spark: SparkSession, d: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{d}/{name}.parquet")
-
-
-def _r(c: Column | str, n: int = 6) -> Column:
-    return F.round(F.col(c) if isinstance(c, str) else c, n)
-
-
-def _rounded(df: DataFrame, n: int = 6) -> DataFrame:
-    return df.select(*[_r(c, n).alias(c) if k == "double" else F.col(c).cast("long").alias(c) if k in ("int", "bigint", "smallint") else F.col(c) for c, k in df.dtypes])
-
-
-def _days(spark: SparkSession, first: str = "2024-01-02", last: str = "2024-01-30") -> DataFrame:
-    days = spark.sql(f"SELECT explode(sequence(DATE'{first}', DATE'{last}')) AS day")
+def _days(ev: DataFrame) -> DataFrame:
+    """The days of `events` but the first, each with its cutoff."""
+    days = ev.agg(F.min("ts").cast("date").alias("a"), F.max("ts").cast("date").alias("b")).filter("b > a")
+    days = days.select(F.explode(F.sequence(F.date_add("a", 1), F.col("b"))).alias("day"))
     return days.withColumn("cutoff_utc", t.cutoff_utc("day", ZONE))
 
 
 _DAYS = """days AS (SELECT CAST(d AS DATE) AS day, timezone('UTC', timezone('Europe/London', CAST(d AS TIMESTAMP) - INTERVAL 15 HOUR)) AS cutoff_utc
-  FROM generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-30', INTERVAL 1 DAY) g(d))"""
+  FROM (SELECT unnest(generate_series(CAST(min(ts) AS DATE) + INTERVAL 1 DAY, CAST(CAST(max(ts) AS DATE) AS TIMESTAMP), INTERVAL 1 DAY)) AS d FROM events))"""
 
 
 def feature_mart(spark: SparkSession, d: str) -> DataFrame:
     """Newest purchase of each user by the cutoff beside trailing stats of views."""
     ev = _read(spark, d, "events")
-    days = _days(spark)
-    spine = ev.select("user_id").distinct().withColumn("day", F.explode(F.sequence(F.lit("2024-01-02").cast("date"), F.lit("2024-01-30").cast("date")))).withColumn("cutoff_utc", t.cutoff_utc("day", ZONE))
+    days = _days(ev)
+    spine = ev.select("user_id").distinct().crossJoin(F.broadcast(days))
     bought = ev.filter("event_type = 'purchase'").select("user_id", F.col("value").alias("last_purchase"), F.col("ts").alias("purchase_at"), "event_id")
     spine = asof_join(spine, bought, ["user_id"], ["last_purchase"], "purchase_at", tie=["event_id"])
     views = ev.filter("event_type = 'view'").select("value", "ts", "event_id")
@@ -94,11 +68,13 @@ def mart_features(spark, d):
     return flagship(spark, d)
 
 
-@_query("SELECT 0::BIGINT AS leaks, 0::BIGINT AS newer, true AS canary_fails")
+@_query(f"""{_MART}, picks AS (SELECT s.*, purchase_at FROM spine s LEFT JOIN (SELECT * FROM p WHERE rn = 1) p USING (user_id, day)), e AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase')
+SELECT (SELECT count(*) FROM picks WHERE purchase_at > cutoff_utc) AS leaks, (SELECT count(*) FROM picks q WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = q.user_id AND e.ts <= q.cutoff_utc AND (q.purchase_at IS NULL OR e.ts > q.purchase_at))) AS newer,
+ (SELECT count(*) > 0 FROM picks JOIN e USING (user_id) WHERE e.ts > cutoff_utc AND e.ts <= cutoff_utc + INTERVAL 180 MINUTE) AS canary_fails""")
 def mart_contracts(spark, d):
     """No leaks in the mart, none passed over, and a leaky join is caught."""
     ev = _read(spark, d, "events").filter("event_type = 'purchase'").select("user_id", F.col("value").alias("x"), F.col("ts").alias("at"), "event_id")
-    spine = ev.select("user_id").distinct().withColumn("day", F.explode(F.sequence(F.lit("2024-01-02").cast("date"), F.lit("2024-01-30").cast("date")))).withColumn("cutoff_utc", t.cutoff_utc("day", ZONE))
+    spine = ev.select("user_id").distinct().crossJoin(F.broadcast(_days(_read(spark, d, "events"))))
     good = asof_join(spine, ev, ["user_id"], ["x"], "at", tie=["event_id"])
     leaky = asof_join(spine, ev, ["user_id"], ["x"], "at", tie=["event_id"], shift_minutes=180)
     count = lambda df, n: df.agg(F.count("*").alias(n))
@@ -110,11 +86,14 @@ def mart_contracts(spark, d):
 
 @_query("""WITH d AS (SELECT CAST(g AS DATE) AS day, timezone('UTC', timezone('Europe/London', CAST(g AS TIMESTAMP))) AS a, timezone('UTC', timezone('Europe/London', CAST(g AS TIMESTAMP) + INTERVAL 1 DAY)) AS b
   FROM (SELECT unnest(generate_series(CAST(min(ts) AS DATE), CAST(max(ts) AS DATE) + 420, INTERVAL 1 DAY)) AS g FROM events))
-SELECT day, count(*) AS n, min(start_utc) AS first_utc, max(start_utc) AS last_utc FROM (SELECT day, unnest(generate_series(a, b - INTERVAL 30 MINUTE, INTERVAL 30 MINUTE)) AS start_utc FROM d) GROUP BY day""", "day")
+SELECT c.*, coalesce(k, 0) AS events FROM (SELECT day, count(*) AS n, min(start_utc) AS first_utc, max(start_utc) AS last_utc FROM (SELECT day, unnest(generate_series(a, b - INTERVAL 30 MINUTE, INTERVAL 30 MINUTE)) AS start_utc FROM d) GROUP BY day) c
+LEFT JOIN (SELECT CAST(ts AS DATE) AS day, count(*) AS k FROM events GROUP BY 1) e USING (day)""", "day")
 def calendar_days(spark, d):
     """Half-hours of the days from the first event on, over two springs."""
     r = _read(spark, d, "events").agg(F.min("ts").cast("date").cast("string").alias("a"), F.date_add(F.max("ts").cast("date"), 420).cast("string").alias("b")).first()
-    return settlement_calendar(spark, r.a, r.b).groupBy("day").agg(F.count("*").alias("n"), F.min("start_utc").alias("first_utc"), F.max("start_utc").alias("last_utc"))
+    per = _read(spark, d, "events").groupBy(F.col("ts").cast("date").alias("day")).agg(F.count("*").alias("events"))
+    out = settlement_calendar(spark, r.a, r.b).groupBy("day").agg(F.count("*").alias("n"), F.min("start_utc").alias("first_utc"), F.max("start_utc").alias("last_utc"))
+    return out.join(per, "day", "left").withColumn("events", F.coalesce("events", F.lit(0)))
 
 
 @_query("""SELECT event_id, timezone('Europe/London', timezone('UTC', ts + INTERVAL 91 DAY)) AS local_ts, isodow(ts) AS weekday,
@@ -170,7 +149,7 @@ def _forecasts(spark, d) -> DataFrame:
     li = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("g"), F.col("l_extendedprice").alias("y"), "l_shipdate", "l_returnflag")
     q = series.group_quantiles(li, "y", ["g"], [0.1, 0.5, 0.9])
     a = li.join(F.broadcast(q), "g").withColumn("model", F.lit("by_quantity"))
-    one = li.groupBy().agg(F.percentile("y", F.array(F.lit(0.1), F.lit(0.5), F.lit(0.9))).alias("_q")).select(*[F.col("_q")[k].alias(n) for k, n in enumerate(("p10", "p50", "p90"))])
+    one = series.group_quantiles(li, "y", [], [0.1, 0.5, 0.9])
     b = li.crossJoin(F.broadcast(one)).withColumn("model", F.lit("constant"))
     return a.unionByName(b)
 
@@ -194,25 +173,25 @@ def forecast_summary(spark, d):
     return out.select("scope", "model", "n", r4("pinball"), r4("mae"), r4("rmse"), r4("bias"), _r("coverage").alias("coverage"), r4("width"), _r("skill").alias("skill"))
 
 
-@_query("""WITH f AS (SELECT strftime(g, '%Y-%m') AS fold, CAST(g AS DATE) AS test_start, least(last_day(g), DATE '1998-06-15') AS test_end, CAST(g AS DATE) - 2 AS train_end
-  FROM generate_series(TIMESTAMP '1998-01-01', TIMESTAMP '1998-06-15', INTERVAL 1 MONTH) t(g)),
-o AS (SELECT *, CAST(o_orderdate AS DATE) AS day FROM orders)
+@_query("""WITH o AS (SELECT *, CAST(o_orderdate AS DATE) AS day FROM orders), s AS (SELECT date_trunc('month', min(day)) + INTERVAL 36 MONTH AS a, max(day) AS b FROM o),
+f AS (SELECT strftime(g, '%Y-%m') AS fold, CAST(g AS DATE) AS test_start, least(last_day(g), b) AS test_end, CAST(g AS DATE) - 2 AS train_end FROM (SELECT b, unnest(generate_series(a, CAST(b AS TIMESTAMP), INTERVAL 1 MONTH)) AS g FROM s))
 SELECT fold, train_end, count(CASE WHEN day <= train_end THEN 1 END) AS n_train, count(CASE WHEN day BETWEEN test_start AND test_end THEN 1 END) AS n_test,
   round(avg(CASE WHEN day <= train_end THEN o_totalprice END), 4) AS train_mean FROM f, o GROUP BY ALL""", "train_end")
 def walk_forward(spark, d):
-    """J1."""
-    o = _read(spark, d, "orders").withColumn("day", F.col("o_orderdate").cast("date"))
-    folds = forecasts.monthly_folds(spark, "1998-01-01", "1998-06-15")
+    """Months from the fourth year to the last day, trained on all before; orders are summed per day first."""
+    o = _read(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"), F.count("o_totalprice").alias("k"))
+    span = o.agg(F.add_months(F.trunc(F.min("day"), "month"), 36).cast("string").alias("a"), F.max("day").cast("string").alias("b")).first()
+    folds = forecasts.monthly_folds(spark, span.a, span.b)
     train, test = forecasts.fold_rows(o, folds, "day")
-    a = train.groupBy("fold", "train_end").agg(F.count("*").alias("n_train"), _r(F.avg("o_totalprice"), 4).alias("train_mean"))
-    b = test.groupBy("fold").agg(F.count("*").alias("n_test"))
+    a = train.groupBy("fold", "train_end").agg(F.sum("n").alias("n_train"), _r(F.sum("s") / F.sum("k"), 4).alias("train_mean"))
+    b = test.groupBy("fold").agg(F.sum("n").alias("n_test"))
     return a.join(b, "fold", "left").withColumn("n_test", F.coalesce("n_test", F.lit(0)))
 
 
 @_query(f"""WITH {_FORECASTS} SELECT l_returnflag, round(quantile_cont(y - p10, 0.1), 4) AS shift_p10, round(quantile_cont(y - p50, 0.5), 4) AS shift_p50, round(quantile_cont(y - p90, 0.9), 4) AS shift_p90, count(y) AS n_calibration
 FROM f WHERE model = 'constant' GROUP BY ALL""")
 def conformal(spark, d):
-    """J7, J8."""
+    """Shifts of each group (their hold-out is in calibrated_by_group)."""
     f = _forecasts(spark, d).filter("model = 'constant'")
     return _rounded(forecasts.conformal_shifts(f, "y", [0.1, 0.5, 0.9], ["l_returnflag"]), 4)
 
@@ -226,7 +205,7 @@ def _daily(spark, d) -> DataFrame:
 
 @_query(f"""WITH {_DAILY}, x AS (SELECT *, year(day) AS y, day - DATE '1970-01-01' AS k FROM daily)
 SELECT day, round(CASE WHEN count(total) OVER w >= 3 THEN avg(total) OVER w END, 4) AS mean7,
- round(CASE WHEN count(*) OVER g >= 7 THEN (count(*) OVER g * sum(total * n) OVER g - sum(n) OVER g * sum(total) OVER g) / nullif(count(*) OVER g * sum(n * n) OVER g - (sum(n) OVER g) * (sum(n) OVER g), 0) END, 3) AS slope
+ round(CASE WHEN k - 2 - min(k) OVER (PARTITION BY y) + 1 >= 7 THEN (count(*) OVER g * sum(total * n) OVER g - sum(n) OVER g * sum(total) OVER g) / nullif(count(*) OVER g * sum(n * n) OVER g - (sum(n) OVER g) * (sum(n) OVER g), 0) END, 3) AS slope
 FROM x WINDOW w AS (PARTITION BY y ORDER BY k RANGE BETWEEN 8 PRECEDING AND 2 PRECEDING), g AS (PARTITION BY y ORDER BY k RANGE BETWEEN 15 PRECEDING AND 2 PRECEDING)""", "day")
 def rolling_features(spark, d):
     """By year, so that no task holds the whole series."""
@@ -266,7 +245,7 @@ def rank_correlation(spark, d):
 
 @_query("""SELECT year(o_orderdate) || 'Q' || quarter(o_orderdate) AS quarter, round(regr_slope(o_totalprice, o_custkey), 6) AS slope, round(regr_intercept(o_totalprice, o_custkey), 3) AS intercept, count(*) AS n FROM orders GROUP BY ALL""")
 def slope_by_quarter(spark, d):
-    """D22, D23."""
+    """D22."""
     o = _read(spark, d, "orders").withColumn("quarter", t.quarter_label("o_orderdate"))
     x = series.regression_by(o, "o_totalprice", "o_custkey", ["quarter"], 20.0)
     return x.select("quarter", _r("slope").alias("slope"), _r("intercept", 3).alias("intercept"), "n")
@@ -274,7 +253,7 @@ def slope_by_quarter(spark, d):
 
 @_query(f"""WITH {_DAILY} SELECT CAST(k AS BIGINT) AS lag, round(corr(a.total, b.total), 6) AS corr FROM daily a JOIN (SELECT unnest([1, 7, 28]) AS k) ON true JOIN daily b ON b.day = a.day - CAST(k AS INTEGER) GROUP BY k""")
 def day_autocorrelation(spark, d):
-    """D28, E10."""
+    """D28."""
     return _rounded(series.autocorrelation(_daily(spark, d), "total", "day", [1, 7, 28]))
 
 
@@ -282,7 +261,7 @@ def day_autocorrelation(spark, d):
 SELECT CAST(bin AS BIGINT) AS bin, count(value) AS n, round(quantile_cont(value, 0.5), 6) AS median, round(quantile_cont(value, 0.9) - quantile_cont(value, 0.1), 6) AS spread FROM x WHERE bin IS NOT NULL GROUP BY ALL""")
 def value_bins(spark, d):
     """D27."""
-    return _rounded(series.binned(_read(spark, d, "events"), "value", "value", [0, 10, 50, 100, 1000]))
+    return _rounded(series.binned(_read(spark, d, "events"), "value", "value", [0, 10, 50, 100, 1000]).drop("share_negative"))
 
 
 @_query("""WITH e AS (SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS p, CASE WHEN event_id % 3 = 0 THEN value END AS v FROM events),

@@ -45,9 +45,10 @@ def totals(daily: DataFrame) -> DataFrame:
     return pooled(daily, ["pinball", "coverage"], "n", ["model"]).join(days, "model")
 
 
-def health(outputs: dict[str, DataFrame], day: str) -> DataFrame:
-    """M7: per output whether it has rows, and its latest day."""
-    parts = [df.agg(F.lit(name).alias("output"), (F.count("*") > 0).alias("present"), F.max(day).cast("string").alias("latest")) for name, df in outputs.items()]
+def health(outputs: dict[str, DataFrame], day: str, version: str | None = None, tie: list[str] | None = None) -> DataFrame:
+    """M7: per output whether it has rows, its latest day, and the version (of a model, say) that made the row of that day."""
+    made = F.max_by(version, F.struct(day, *(tie or []))).cast("string") if version else F.lit(None).cast("string")
+    parts = [df.agg(F.lit(name).alias("output"), (F.count("*") > 0).alias("present"), F.max(day).cast("string").alias("latest"), made.alias("version")) for name, df in outputs.items()]
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)

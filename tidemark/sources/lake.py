@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 
 
@@ -37,13 +38,46 @@ def stamped(df: DataFrame, chunk: Column, now: str | None = None) -> DataFrame:
 
 
 def write_chunks(df: DataFrame, path: str) -> None:
-    """Replaces the chunks that df has, leaves the others."""
+    """Replaces the chunks that df has, leaves the others. One job commits them all; see publish for a switch in one step."""
     df.write.partitionBy("_chunk").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
 
 
-def upserted(current: DataFrame, fresh: DataFrame, keys: list[str]) -> DataFrame:
-    """Rows of fresh replace those of current with the same keys; of equal keys in fresh one stays."""
-    one = fresh.dropDuplicates(keys)
+def with_chunks(table: DataFrame, fresh: DataFrame, fetched: DataFrame) -> DataFrame:
+    """Table with the chunks in fetched replaced by fresh's rows; a chunk fetched without rows is gone."""
+    return table.join(F.broadcast(fetched.select("_chunk").distinct()), "_chunk", "left_anti").select(*table.columns).unionByName(fresh)
+
+
+def publish(df: DataFrame, path: str) -> int:
+    """Writes df as the next version under path, then names it current; readers see the old or the new one, never a part."""
+    spark = df.sparkSession
+    version = (_version(spark, path) or 0) + 1
+    df.write.mode("overwrite").parquet(f"{path}/data/version={version}")
+    spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{path}/pointer")
+    return version
+
+
+def current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The version of a published table that is current; empty if there is none."""
+    version = _version(spark, path)
+    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{path}/data/version={version}")
+
+
+def _version(spark: SparkSession, path: str) -> int | None:
+    try:
+        return spark.read.schema("version long").parquet(f"{path}/pointer").agg(F.max("version")).first()[0]
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":
+            return None
+        raise
+
+
+def upserted(current: DataFrame, fresh: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """Rows of fresh replace those of current with the same keys; of equal keys in fresh the last in `order` stays (without order, any)."""
+    if order:
+        w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+        one = fresh.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
+    else:
+        one = fresh.dropDuplicates(keys)
     cond = [current[k].eqNullSafe(one[k]) for k in keys]
     return current.join(one.select(*keys), cond, "left_anti").unionByName(one)
 
@@ -56,9 +90,9 @@ def swap_in(df: DataFrame, path: str) -> None:
 
 
 def append_once(record: DataFrame | None, fresh: DataFrame, day: str, created: str, starts: str) -> tuple[DataFrame, str]:
-    """Rows to append, and why there are none: nothing new, day on record, or made after its delivery began."""
-    if fresh.isEmpty():
-        return fresh, "missing"
+    """Rows to append, and why there are none: nothing new or a time unknown, day on record, or made after its delivery began."""
+    if fresh.isEmpty() or not fresh.filter(F.col(created).isNull() | F.col(starts).isNull()).isEmpty():
+        return fresh.limit(0), "missing"
     if record is not None and not fresh.join(record.select(day), day, "left_semi").isEmpty():
         return fresh.limit(0), "recorded"
     late = fresh.agg((F.max(created) >= F.min(starts)).alias("late")).first().late
@@ -67,10 +101,70 @@ def append_once(record: DataFrame | None, fresh: DataFrame, day: str, created: s
 
 def formatted(df: DataFrame) -> DataFrame:
     """Dates as yyyy-MM-dd, instants as ISO with Z, doubles to 4 places; all text."""
-    shown = {"date": lambda c: F.date_format(c, "yyyy-MM-dd"), "timestamp_ntz": lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "double": lambda c: F.format_string("%.4f", c)}
+    shown = {"date": lambda c: F.date_format(c, "yyyy-MM-dd"), "timestamp_ntz": lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "timestamp": lambda c: F.date_format(c, "yyyy-MM-dd'T'HH:mm:ss'Z'"), "double": lambda c: F.when(c.isNotNull(), F.format_string("%.4f", c))}
     return df.select(*[shown.get(t, lambda c: c.cast("string"))(F.col(f"`{n}`")).alias(n) for n, t in df.dtypes])
 
 
+def write_formatted(df: DataFrame, path: str) -> None:
+    """As CSV with header; null is an empty field."""
+    formatted(df).write.mode("overwrite").option("header", True).csv(path)
+
+
+def read_formatted(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
+    """The inverse of write_formatted; path may name a folder of such folders, one per day."""
+    text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
+    rows = spark.read.schema(text).option("header", True).option("recursiveFileLookup", True).csv(path)
+    read = lambda c, t: F.to_timestamp_ntz(F.regexp_replace(c, "[TZ]", " ")) if t == "timestamp_ntz" else c.cast(t)
+    return rows.select(*[read(F.trim(F.col(f"`{f.name}`")), f.dataType.simpleString()).alias(f.name) for f in schema])
+
+
+def fixture(df: DataFrame, path: str, keep: Column) -> None:
+    """Rows that a predicate picks, sorted by all columns, as zstd Parquet."""
+    df.filter(keep).orderBy(*[F.col(f"`{c}`") for c in df.columns]).write.mode("overwrite").option("compression", "zstd").parquet(path)
+
+
+def layered(models: dict[str, tuple[str, DataFrame]], path: str) -> dict[str, DataFrame]:
+    """Models in order; a `view` is named in the session, a `table` is also published under path and read back."""
+    out = {}
+    for name, (kind, df) in models.items():
+        if kind == "table":
+            publish(df, f"{path}/{name}")
+            df = current(df.sparkSession, f"{path}/{name}", df.schema)
+        df.createOrReplaceTempView(name)
+        out[name] = df
+    return out
+
+
+def mart(features: DataFrame, target: DataFrame, on: list[str], order: list[str], day: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Features with the target where known, between optional days, in order of time."""
+    return date_range(features, day, start, end).join(target, on, "left").orderBy(*order)
+
+
+def date_range(df: DataFrame, day: str, start: str | None = None, end: str | None = None) -> DataFrame:
+    """Rows from start to end; either bound may be missing."""
+    bounds = [F.col(day) >= F.lit(start).cast("date")] if start else []
+    bounds += [F.col(day) <= F.lit(end).cast("date")] if end else []
+    for b in bounds:
+        df = df.filter(b)
+    return df
+
+
+def load(df: DataFrame, table: str, today: str | None = None, days: int = 0) -> int:
+    """Appends the chunks that recent_chunks names to a saved table, or replaces it all where today is missing; rows loaded."""
+    if today is None:
+        df.write.mode("overwrite").saveAsTable(table)
+        return df.count()
+    some = df.join(F.broadcast(recent_chunks(df, today, days).select("_chunk")), "_chunk", "left_semi").select(*df.columns)
+    some.write.mode("append").saveAsTable(table)
+    return some.count()
+
+
+def write_results(predictions: DataFrame, metrics: DataFrame, path: str) -> None:
+    """Predictions as Parquet, metrics by fold as CSV."""
+    predictions.write.mode("overwrite").parquet(f"{path}/predictions")
+    metrics.write.mode("overwrite").option("header", True).csv(f"{path}/metrics")
+
+
 def recent_chunks(df: DataFrame, today: str, days: int) -> DataFrame:
     """Chunks that end within the last days, and their rows."""
     end = F.to_date(F.element_at(F.split("_chunk", "-"), -1), "yyyyMMdd")

@@ -54,3 +54,14 @@ def nested_intensity(payload: DataFrame) -> DataFrame:
         number("r.intensity.actual").alias("intensity_actual"),
         F.col("r.intensity.index").alias("intensity_index"),
     )
+
+
+def embedded_forecasts(rows: DataFrame, issued: str, clock: str, day: str, ends: str, values: dict[str, str], zone: str = "Europe/London") -> DataFrame:
+    """issued_at (UTC), basis, start_utc and the values as numbers (new name -> old), null where a text is none.
+
+    Day and the clock at a period's end are local. Rows without issue time or start are dropped.
+    """
+    at, basis = embedded_issue_time(F.col(issued), F.col(clock), zone)
+    start = to_utc(period_start(F.col(day), F.col(ends)), zone)
+    out = rows.select(at.alias("issued_at"), basis.alias("basis"), start.alias("start_utc"), *[F.col(old).try_cast("double").alias(new) for new, old in values.items()])
+    return out.dropna(subset=["issued_at", "start_utc"])

@@ -26,6 +26,17 @@ def deduplicated(stream: DataFrame, keys: list[str], event_time: str, late: str)
     return timed(stream, event_time, late).dropDuplicatesWithinWatermark(keys)
 
 
+def latest_delivery_sink(path: str, keys: list[str], delivered: str):
+    """foreachBatch function that keeps the latest delivery of each key, within a batch and against those before."""
+
+    def write(batch: DataFrame, _: int) -> None:
+        old = _table(batch.sparkSession, path, batch.schema)
+        both = old.unionByName(batch).groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(delivered, *[c for c in batch.columns if c not in (*keys, delivered)])).alias("v"))
+        swap_in(both.select("v.*").select(*batch.columns), path)
+
+    return write
+
+
 def _table(spark, path: str, schema) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
@@ -77,9 +88,13 @@ def grid(stream: DataFrame, event_time: str, value: str, width: str = "30 minute
     return stream.groupBy(F.window(event_time, width).alias("w"), *(by or [])).agg(F.count("*").alias("n"), F.sum(value).alias("total")).select(F.col("w.start").alias("start"), *(by or []), "n", "total")
 
 
-def trailing_at_cutoff(stream: DataFrame, event_time: str, value: str, width: str = "7 days", every: str = "1 day", offset: str = "9 hours") -> DataFrame:
-    """I8: stats over (cutoff - width, cutoff]; rows are moved back a microsecond, as windows are closed on the left."""
-    moved = stream.withColumn("_t", F.col(event_time) - F.expr("INTERVAL 0.000001 SECOND")) if not stream.isStreaming else stream.withColumn("_t", F.col(event_time))
+def trailing_at_cutoff(stream: DataFrame, event_time: str, value: str, width: str = "7 days", every: str = "1 day", offset: str = "9 hours", late: str = "1 day") -> DataFrame:
+    """I8: stats over (cutoff - width, cutoff]; rows are moved back a microsecond, as windows are closed on the left.
+
+    A stream comes without a watermark and gets one here, on the moved time.
+    """
+    moved = aware(stream).withColumn("_t", F.col(event_time) - F.expr("INTERVAL 0.000001 SECOND"))
+    moved = moved.withWatermark("_t", late) if stream.isStreaming else moved
     out = moved.groupBy(F.window("_t", width, every, offset).alias("w")).agg(F.count(value).alias("n"), F.avg(value).alias("mean"), F.min(value).alias("low"), F.max(value).alias("high"))
     return out.select(F.col("w.end").alias("cutoff"), "n", "mean", "low", "high")
 
