@@ -11,33 +11,18 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 
 SLICE_BYTES = 1 << 19
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
 
 
-def _odd(seed: int, n: int) -> np.ndarray:
-    return np.random.default_rng(seed).integers(1, 2**63, n, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
-
-
-_BYTE = _odd(11, 256)
-_BYTE_FOLDED = _BYTE.copy()
-_BYTE_FOLDED[65:91] = _BYTE[97:123]
-_BASE = 0x9E3779B97F4A7C15
-_INVERSE = pow(_BASE, -1, 2**64)
-_powers = np.ones(1, np.uint64), np.ones(1, np.uint64)
-
-
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    global _powers
-    if len(_powers[0]) < n:
-        size = 1 << (n - 1).bit_length()
-        ones = np.ones(size, np.uint64)
-        up, down = ones * np.uint64(_BASE), ones * np.uint64(_INVERSE)
-        up[0] = down[0] = 1
-        _powers = np.cumprod(up), np.cumprod(down)
-    return _powers
+#: Byte ranges up to this length are hashed in steps of eight bytes at once, longer ones each for itself.
+SHORT = 64
+_FOLD = np.arange(256, dtype=np.uint8)
+_FOLD[65:91] += 32
+_MASK = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -94,11 +79,27 @@ class Text:
         return start, np.flatnonzero(ends) + 1, row
 
     def hashes(self, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
-        """64-bit hash of each byte range; with fold, A-Z count as a-z."""
-        up, down = _power_tables(len(self.bytes) + 1)
-        total = np.zeros(len(self.bytes) + 1, np.uint64)
-        np.cumsum((_BYTE_FOLDED if fold else _BYTE)[self.bytes] * up[: len(self.bytes)], out=total[1:])
-        return mixed((total[end] - total[start]) * down[start])
+        """64-bit hash of each byte range; with fold, A-Z count as a-z.
+
+        Every eight bytes are mixed into the hash by a bijection, so ranges of up
+        to eight bytes never collide and others as rarely as random values do.
+        """
+        data = np.zeros(len(self.bytes) + 8, np.uint8)
+        data[:-8] = _FOLD[self.bytes] if fold else self.bytes
+        lanes = np.ndarray(len(self.bytes) + 1, "<u8", data.data, strides=(1,))
+        length = end - start
+        h = length.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        todo, at = np.arange(len(start)), start
+        for k in range(0, SHORT, 8):
+            left = length[todo] - k
+            h[todo] = mixed(h[todo] ^ (lanes[at] & _MASK[np.minimum(left, 8)]))
+            more = left > 8
+            if not more.any():
+                return h
+            todo, at = todo[more], at[more] + 8
+        for i in todo:
+            h[i] = xxhash.xxh3_64_intdigest(data[start[i] : end[i]])
+        return h
 
 
 def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Text]:
