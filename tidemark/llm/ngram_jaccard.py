@@ -16,22 +16,25 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tidemark.llm.components import components, merged
+from tidemark.llm.components import merged
 from tidemark.llm.words import chained, mixed, slices
-from tidemark.llm.workspace import attach_groups, staged
+from tidemark.llm.workspace import attach_groups, semi, staged
 
-SKETCH_BITS = 24
+SKETCH_BITS = 22
 CELLS = 8192
-FRAGMENT_BITS = 2
+#: Fragments of the order: so many less one for n-grams that don't stand out, the last for frequent ones.
+FRAGMENTS = 4
 #: N-grams in more documents than this have their posting list dealt over SALTS tasks.
 SALT_FROM = 20_000
 SALTS = 64
-#: Best candidates of a document that are verified before its class is known; the others follow unless by then in one class.
-FIRST_HUBS = 3
-#: Further rounds of first partners before all pairs of sets still apart are looked at.
-STARS = 4
-#: Bits per n-gram of the parities that are compared before members of classes that meet are verified.
+#: Closest candidates of a set that are verified first; the others follow unless by then in one class.
+FIRST = 3
+#: Postings in a block, on average.
+BLOCK = 2048
+#: Bits per n-gram of the parities that are compared before a pair is verified.
 FINE = 4
+#: Sets that a task remembers so as not to describe a copy twice; beyond that it forgets them and repeats do no harm.
+SEEN = 50_000
 
 
 def ngram_sets(column: pa.Array, width: int):
@@ -56,14 +59,19 @@ def ngram_sets(column: pa.Array, width: int):
             yield text.first + i, np.unique(mine)
 
 
-def _name(grams: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(grams.tobytes()) - (1 << 63)
+def _name(grams: np.ndarray) -> bytes:
+    return xxhash.xxh3_128_digest(grams.tobytes())
 
 
-def _parities(grams: np.ndarray, fine: int = 1) -> np.ndarray:
-    """About `fine` bits per n-gram, each the parity of those that fall on it; a power of two of 64-bit words."""
-    words = 1 << max(0, (max(len(grams), 1) * fine - 1).bit_length() - 6)
-    words = min(words, 256 * fine)
+def _short(name: bytes) -> int:
+    """What stands for a name in postings; sets that share it are told apart when pairs are made of postings."""
+    return int.from_bytes(name[:8], "little", signed=True)
+
+
+def _parities(grams: np.ndarray) -> np.ndarray:
+    """About FINE bits per n-gram, each the parity of those that fall on it; a power of two of 64-bit words."""
+    words = 1 << max(0, (max(len(grams), 1) * FINE - 1).bit_length() - 6)
+    words = min(words, 256 * FINE)
     bit = (grams >> np.uint64(20)) & np.uint64(words * 64 - 1)
     odd = np.bincount(bit.astype(np.int64), minlength=words * 64) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
@@ -72,50 +80,75 @@ def _parities(grams: np.ndarray, fine: int = 1) -> np.ndarray:
 SETS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
-        T.StructField("node", T.LongType()),
+        T.StructField("name", T.BinaryType()),
+        T.StructField("short", T.LongType()),
         T.StructField("n", T.LongType()),
         T.StructField("parity", T.ArrayType(T.LongType())),
-        T.StructField("fine", T.ArrayType(T.LongType())),
         T.StructField("cell", T.IntegerType()),
         T.StructField("counts", T.BinaryType()),
     ]
 )
 
 
+class _Sketch:
+    """Counters of hash ranges, two bytes each, that stop at their highest value."""
+
+    def __init__(self):
+        self.counts = np.zeros(1 << SKETCH_BITS, np.uint16)
+        self.waiting: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, grams: np.ndarray) -> None:
+        self.waiting.append((grams >> np.uint64(64 - SKETCH_BITS)).astype(np.uint32))
+        self.size += len(grams)
+        if self.size > 1 << 18:
+            self.flush()
+
+    def flush(self) -> None:
+        if self.waiting:
+            at, n = np.unique(np.concatenate(self.waiting), return_counts=True)
+            self.counts[at] = np.minimum(self.counts[at] + n, 65535)
+            self.waiting, self.size = [], 0
+
+
 def _describe(width: int):
     def run(batches):
-        seen: set[int] = set()
-        sketch = np.zeros(1 << SKETCH_BITS, np.int32)
+        seen: set[bytes] = set()
+        sketch = _Sketch()
         for batch in batches:
-            node, n, parity, fine = [], [], [], []
+            name, n, parity = [], [], []
             for _, grams in ngram_sets(batch.column(1), width):
-                name = _name(grams) if len(grams) else None
-                if name is not None and name not in seen:
-                    seen.add(name)
-                    np.add.at(sketch, grams >> np.uint64(64 - SKETCH_BITS), 1)
-                node.append(name)
+                mine = _name(grams) if len(grams) else None
+                if mine is not None and mine not in seen:
+                    seen = set() if len(seen) >= SEEN else seen
+                    seen.add(mine)
+                    sketch.add(grams)
+                name.append(mine)
                 n.append(len(grams))
                 parity.append(_parities(grams) if len(grams) else None)
-                fine.append(_parities(grams, FINE) if len(grams) else None)
-            none = pa.nulls(len(node))
+            short = [None if x is None else _short(x) for x in name]
+            none = pa.nulls(len(name))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(node, pa.int64()), pa.array(n, pa.int64())]
-                + [pa.array(x, pa.list_(pa.int64())) for x in (parity, fine)]
+                [batch.column(0), pa.array(name, pa.binary()), pa.array(short, pa.int64()), pa.array(n, pa.int64()), pa.array(parity, pa.list_(pa.int64()))]
                 + [none.cast(pa.int32()), none.cast(pa.binary())],
                 names=SETS.names,
             )
-        parts = np.minimum(sketch, 65535).astype(np.uint16).reshape(-1, CELLS)
+        sketch.flush()
+        parts = sketch.counts.reshape(-1, CELLS)
         used = np.flatnonzero(parts.any(axis=1))
         for some in np.array_split(used, max(1, len(used) // 64)):
             none = pa.nulls(len(some))
             yield pa.RecordBatch.from_arrays(
-                [none.cast(pa.int64())] * 3 + [none.cast(pa.list_(pa.int64()))] * 2 + [pa.array(some, pa.int32()), pa.array([_packed(parts[i]) for i in some], pa.binary())],
+                [none.cast(SET_TYPES[k]) for k in range(5)] + [pa.array(some, pa.int32()), pa.array([_packed(parts[i]) for i in some], pa.binary())],
                 names=SETS.names,
             )
 
     return run
 
 
+SET_TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+
+
 def _packed(counts: np.ndarray) -> bytes:
     """Counters as they are, or, where few aren't 0, their places and values."""
     at = np.flatnonzero(counts)
@@ -186,46 +219,53 @@ def gram_levels(sets: DataFrame) -> tuple[np.ndarray, int]:
     return level.ravel(), int(1 + 2 * np.log2(max(SALT_FROM / bar, 1)))
 
 
+def _in_order(grams: np.ndarray, level: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The n-grams in the global order (by level, then hash), and their levels."""
+    mine = level[grams >> np.uint64(64 - SKETCH_BITS)]
+    if not mine.any():
+        return grams, mine
+    order = np.argsort(mine, kind="stable")
+    return grams[order], mine[order]
+
+
 def _prefixes(width: int, per: int, levels, salted_from: int):
-    """Postings of each set's rarest part: n - ceil(per/100 * n) + 1 n-grams in the global order."""
+    """Postings of each set's rarest part: the first n - ceil(per/100 * n) + 1 n-grams in the global order."""
 
     def run(batches):
-        level = levels.value
         seen: set[int] = set()
         for batch in batches:
-            gram, node, size, at, salted = [], [], [], [], []
+            gram, short, packed = [], [], []
             for _, grams in ngram_sets(batch.column(0), width):
                 n = len(grams)
-                if n == 0 or (name := _name(grams)) in seen:
+                if n == 0 or (mine := _short(_name(grams))) in seen:
                     continue
-                seen.add(name)
+                seen = set() if len(seen) >= SEEN else seen
+                seen.add(mine)
                 p = n - -(-per * n // 100) + 1
-                mine = level[grams >> np.uint64(64 - SKETCH_BITS)]
-                order = np.argsort(mine, kind="stable")[:p] if mine.any() else np.arange(p)
-                gram.append(grams[order])
-                salted.append(mine[order] >= salted_from)
-                node.append(np.full(p, name, np.int64))
-                size.append(np.full(p, n, np.int32))
-                at.append(np.arange(p, dtype=np.int32))
+                ordered, level = _in_order(grams, levels.value)
+                gram.append(ordered[:p])
+                short.append(np.full(p, mine, np.int64))
+                packed.append((np.int64(n) << 32) | (np.arange(p) << 1) | (level[:p] >= salted_from))
             if gram:
-                size, at, hot = np.concatenate(size), np.concatenate(at), np.concatenate(salted)
-                packed = (size.astype(np.int64) << 32) | (at.astype(np.int64) << 1) | hot
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gram).view(np.int64)), pa.array(np.concatenate(node)), pa.array(packed)], names=["gram", "node", "packed"])
+                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(gram).view(np.int64)), pa.array(np.concatenate(short)), pa.array(np.concatenate(packed))], names=["gram", "short", "packed"])
 
     return run
 
 
-def _segments(width: int):
+def _segments(width: int, levels):
     """Each set cut into its segments, one per fragment of the order."""
-    cuts = (np.arange(1, 1 << FRAGMENT_BITS, dtype=np.uint64)) << np.uint64(64 - FRAGMENT_BITS)
+    step = (1 << 64) // (FRAGMENTS - 1)
+    cuts = np.array([k * step for k in range(1, FRAGMENTS - 1)], np.uint64)
 
     def run(batches):
         for batch in batches:
-            node, segments = [], []
+            name, segments = [], []
             for _, grams in ngram_sets(batch.column(0), width):
-                node.append(_name(grams))
-                segments.append([x.view(np.int64) for x in np.split(grams, np.searchsorted(grams, cuts))])
-            yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(segments, pa.list_(pa.list_(pa.int64())))], names=["node", "segments"])
+                ordered, level = _in_order(grams, levels.value)
+                usual = int(np.searchsorted(level, 1))
+                name.append(_name(grams))
+                segments.append([x.view(np.int64) for x in (*np.split(ordered[:usual], np.searchsorted(ordered[:usual], cuts)), ordered[usual:])])
+            yield pa.RecordBatch.from_arrays([pa.array(name, pa.binary()), pa.array(segments, pa.list_(pa.list_(pa.int64())))], names=["name", "segments"])
 
     return run
 
@@ -249,6 +289,110 @@ def _different(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a2, b2, lambda x, y: F.bit_count(xor(x, y))), F.lit(0), lambda s, x: s + x)
 
 
+class _Lists:
+    """Some blocks of posting lists, each in order of size of set: which of their pairs are in different classes and may reach the threshold."""
+
+    COLUMNS = ("own", "node", "n", "i", "comp")
+    SMALL = 48
+    WORDS = 1 << 21
+
+    def __init__(self, batch: pa.RecordBatch, per: int):
+        self.per = per
+        self.own, self.node, self.n, self.i, self.comp = (batch.column(c).to_numpy() for c in self.COLUMNS)
+        lo, hi, gram = (batch.column(c).to_numpy() for c in ("lo", "hi", "gram"))
+        self.within = lo == hi
+        parity = batch.column("parity")
+        self.at, self.values = parity.offsets.to_numpy(), parity.values.to_numpy().view(np.uint64)
+        self.words = np.diff(self.at)
+        new = np.flatnonzero((gram[1:] != gram[:-1]) | (lo[1:] != lo[:-1]) | (hi[1:] != hi[:-1])) + 1
+        self.starts = np.concatenate([[0], new]).astype(np.int64) if len(gram) else np.zeros(0, np.int64)
+
+    def pairs(self, forest: bool) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Places x, y of such pairs and the parities in which they differ; with `forest` only so many that they connect what all connect."""
+        sizes = np.diff(np.append(self.starts, len(self.n)))
+        parts = []
+        for size in np.unique(sizes[sizes <= self.SMALL]):
+            x, y = np.triu_indices(size, 1)
+            first = self.starts[sizes == size][:, None]
+            parts.append(self._near((first + x).ravel(), (first + y).ravel()))
+        for start, size in zip(self.starts[sizes > self.SMALL], sizes[sizes > self.SMALL], strict=True):
+            rows = [self._near(np.full(start + size - x - 1, x), np.arange(x + 1, start + size)) for x in range(start, start + size - 1)]
+            parts.append(self._thinned(tuple(np.concatenate(c) for c in zip(*rows, strict=True)), forest))
+        return self._thinned(tuple(np.concatenate(c) for c in zip(*parts, strict=True)) if parts else (np.zeros(0, np.int64),) * 3, forest)
+
+    def _thinned(self, found, forest: bool):
+        pick = _forest(*found, self.comp) if forest and len(found[0]) else slice(None)
+        return tuple(c[pick] for c in found)
+
+    def _near(self, x: np.ndarray, y: np.ndarray):
+        total = self.n[x] + self.n[y]
+        most = 1 + np.minimum(self.n[x] - self.i[x] - 1, self.n[y] - self.i[y] - 1)
+        keep = (self.comp[x] != self.comp[y]) & (self.n[x] * 100 >= self.n[y] * self.per) & (most * (100 + self.per) >= self.per * total)
+        keep &= self.within[x] | (self.own[x] != self.own[y])
+        x, y, total = x[keep], y[keep], total[keep]
+        off = np.zeros(len(x), np.int64)
+        # parities never get shorter with size: the longer are folded onto the shorter
+        shape = self.words[x] * 65536 + self.words[y]
+        for kind in np.unique(shape):
+            short, long = divmod(int(kind), 65536)
+            of = np.flatnonzero(shape == kind)
+            for some in np.array_split(of, -(-len(of) * long // self.WORDS)):
+                a = self.values[self.at[x[some]][:, None] + np.arange(short)]
+                b = self.values[self.at[y[some]][:, None] + np.arange(long)].reshape(len(some), -1, short)
+                off[some] = np.bitwise_count(a ^ np.bitwise_xor.reduce(b, axis=1)).sum(axis=1)
+        near = (total - off) * (100 + self.per) >= 2 * self.per * total
+        return x[near], y[near], off[near]
+
+
+def _forest(x: np.ndarray, y: np.ndarray, off: np.ndarray, comp: np.ndarray) -> np.ndarray:
+    """Places of pairs that connect all that the pairs connect: in turn the nearest pair of each class as joined so far."""
+    _, of = np.unique(comp, return_inverse=True)
+    left, picked = np.arange(len(x)), []
+    while len(left):
+        side = np.concatenate([of[x[left]], of[y[left]]])
+        order = np.lexsort((np.tile(left, 2), np.tile(off[left], 2), side))
+        some = np.unique(left[order[np.unique(side[order], return_index=True)[1]] % len(left)])
+        picked.append(some)
+        while len(some):
+            # one of two joined classes takes the other's label, until all pairs picked are inside one
+            np.minimum.at(low := np.arange(of.max() + 1), np.maximum(of[x[some]], of[y[some]]), np.minimum(of[x[some]], of[y[some]]))
+            of = low[of]
+            some = some[of[x[some]] != of[y[some]]]
+        left = left[of[x[left]] != of[y[left]]]
+    return np.concatenate(picked) if picked else left
+
+
+def _compared(per: int, forest: bool):
+    """Pairs of blocks that may link, from rows in order of block and size; with `forest` few pairs that connect the same classes."""
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            rows = batch if held is None else pa.concat_batches([held, batch])
+            lists = _Lists(rows, per)
+            # the last block may go on in the next batch
+            last = int(lists.starts[-1]) if len(lists.starts) else 0
+            held = rows.slice(last)
+            if last:
+                yield _found(rows.slice(0, last), per, forest)
+        if held is not None:
+            yield _found(held, per, forest)
+
+    return run
+
+
+def _found(rows: pa.RecordBatch, per: int, forest: bool) -> pa.RecordBatch:
+    # a slice keeps what lies before it: copied, places count from its own start
+    lists = _Lists(pa.concat_batches([rows, rows.slice(0, 0)]), per)
+    x, y, off = lists.pairs(forest)
+    a, b = lists.node[x], lists.node[y]
+    columns = [np.minimum(a, b), np.maximum(a, b), lists.n[x] + lists.n[y], off]
+    return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=PAIR)
+
+
+PAIR = ["a", "b", "total", "off"]
+
+
 class NgramJaccardJoin:
     """Links texts whose n-gram sets have 100 * intersection >= per * union.
 
@@ -259,18 +403,32 @@ class NgramJaccardJoin:
     null doc_id is carried along; a class of only such rows has a null id. An
     empty table gives empty results; other columns are ignored.
 
-    Sets are known by size and a 64-bit hash, n-grams by a 64-bit hash.
+    Sets are known by a 128-bit hash, their n-grams by 64-bit ones.
+
+    Every pair that can link shares an n-gram of both rarest parts. Postings are
+    first paired with one partner per list, so that large groups of near copies
+    are joined by as many pairs as they have postings. Lists that still hold
+    several classes are then compared in blocks of bounded size inside tasks,
+    where sizes, positions and parities (all true bounds) rule pairs out: once
+    for a few pairs that join what can be joined, once for all others that no
+    bound rules out and whose sets are still apart.
     """
 
-    def __init__(self, docs: DataFrame, width: int = 5, per: int = 80, id_col: str = "doc_id", text_col: str = "text"):
+    def __init__(self, docs: DataFrame, width: int = 5, per: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK):
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        self.width, self.per = width, per
+        self.width, self.per, self.block = width, per, block
         spark = docs.sparkSession
         sets = staged(self.docs.mapInArrow(_describe(width), SETS), "sets")
-        self.sets = sets.filter("cell is null").select("doc_id", "node", "n", "parity", "fine")
-        level, salted_from = gram_levels(sets)
-        self._levels = spark.sparkContext.broadcast(level), salted_from
-        self._linked: DataFrame | None = None
+        self.sets = sets.filter("cell is null").select("doc_id", "name", "short", "n", "parity")
+        level, self._salted_from = gram_levels(sets)
+        self._levels = spark.sparkContext.broadcast(level)
+        known = self.sets.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("short").alias("short"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+        # numbers are read back from the written table, so they stay the same
+        self.nodes = staged(known.withColumn("node", F.monotonically_increasing_id()), "nodes")
+        self._links: DataFrame | None = None
+        self._tried: DataFrame | None = None
+        self._classes: DataFrame | None = None
+        self._segmented: DataFrame | None = None
 
     def _postings(self) -> DataFrame:
         """Postings that share their n-gram with another set, each with one set to be compared with first.
@@ -279,177 +437,139 @@ class NgramJaccardJoin:
         near copies is linked through many of its members, by as many pairs as
         it has postings and not by all its pairs.
         """
-        rows = self.docs.select("text").mapInArrow(_prefixes(self.width, self.per, *self._levels), "gram long, node long, packed long")
+        rows = self.docs.select("text").mapInArrow(_prefixes(self.width, self.per, self._levels, self._salted_from), "gram long, short long, packed long")
         rows = rows.select(
             "gram",
-            "node",
+            "short",
             F.shiftright("packed", 32).alias("n"),
             F.shiftright(F.col("packed").bitwiseAND(0xFFFFFFFF), 1).alias("i"),
-            F.when(F.col("packed").bitwiseAND(1) == 1, F.pmod(F.col("node"), F.lit(SALTS))).otherwise(-1).alias("salt"),
-        )
-        near = Window.partitionBy("gram", "salt").orderBy(F.xxhash64("node", "gram"), "node")
-        rows = rows.withColumns(
-            {
-                "hub": F.first("node").over(near),
-                "hub_n": F.first("n").over(near),
-                "hub_i": F.first("i").over(near),
-                "_next": F.lead("node").over(near),
-            }
+            F.when(F.col("packed").bitwiseAND(1) == 1, F.pmod(F.col("short"), F.lit(SALTS))).otherwise(-1).alias("salt"),
         )
+        near = Window.partitionBy("gram", "salt").orderBy(F.xxhash64("short", "gram"), "short")
+        rows = rows.withColumns({"hub": F.first("short").over(near), "hub_n": F.first("n").over(near), "hub_i": F.first("i").over(near), "_next": F.lead("short").over(near), "_last": F.lag("short").over(near)})
+        # copies of a set described in several tasks lie side by side, one of them counts
+        rows = rows.filter(~F.col("_last").eqNullSafe(F.col("short")))
         # the last row of a group has no next one: a group of one is both its hub and its last
-        alone = (F.col("salt") == -1) & F.col("_next").isNull() & (F.col("hub") == F.col("node"))
-        return staged(rows.filter(~alone).drop("_next"), "postings")
+        alone = (F.col("salt") == -1) & (F.col("_next").isNull() | (F.col("_next") == F.col("short"))) & (F.col("hub") == F.col("short"))
+        return staged(rows.filter(~alone | F.col("_next").isNotNull()).drop("_next", "_last"), "postings")
 
     def _first_pairs(self, live: DataFrame) -> DataFrame:
-        meet = live.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("hub").alias("b"), F.col("hub_n").alias("nb"), F.col("hub_i").alias("ib"))
-        hubs = live.filter("salt >= 0 and node = hub").select("gram", "node", "n", "i")
-        top = Window.partitionBy("gram").orderBy(F.xxhash64("node", "gram"), "node")
-        hubs = hubs.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.first("node").over(top).alias("b"), F.first("n").over(top).alias("nb"), F.first("i").over(top).alias("ib"))
+        a = [F.col("short").alias("sa"), F.col("n").alias("na"), F.col("i").alias("ia")]
+        meet = live.select(*a, F.col("hub").alias("sb"), F.col("hub_n").alias("nb"), F.col("hub_i").alias("ib"))
+        top = Window.partitionBy("gram").orderBy(F.xxhash64("short", "gram"), "short")
+        hubs = live.filter("salt >= 0 and short = hub").select("gram", "short", "n", "i")
+        hubs = hubs.select(*a, F.first("short").over(top).alias("sb"), F.first("n").over(top).alias("nb"), F.first("i").over(top).alias("ib"))
         return self._pairs(meet.unionByName(hubs))
 
     def _pairs(self, meet: DataFrame) -> DataFrame:
-        """Distinct pairs of those that meet, without those that sizes, positions or parities rule out."""
-        meet = meet.filter("a <> b").filter(_sizes_fit("na", "nb", self.per)).filter(_reachable(self.per))
-        return self._near(meet.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
-
-    def _near(self, pairs: DataFrame) -> DataFrame:
-        """Distinct pairs (a, b) without those that parities rule out, with sizes and the count of parities that differ."""
-        parity = self._parity
-        pairs = pairs.join(parity.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("parity").alias("pa")), "a")
-        pairs = pairs.join(parity.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("parity").alias("pb")), "b")
-        return pairs.filter(self._plausible()).withColumn("off", _different(F.col("pa"), F.col("pb"))).select("a", "b", "na", "nb", "off")
+        """Distinct pairs of sets that meet, without those that sizes, positions or parities rule out."""
+        meet = meet.filter("sa <> sb").filter(_sizes_fit("na", "nb", self.per)).filter(_reachable(self.per))
+        pairs = meet.select(F.least("sa", "sb").alias("sa"), F.greatest("sa", "sb").alias("sb")).distinct()
+        side = lambda k: self.nodes.select(F.col("short").alias(f"s{k}"), F.col("node").alias(k), F.col("n").alias(f"n{k}"), F.col("parity").alias(f"p{k}"))
+        pairs = pairs.join(side("a"), "sa").join(side("b"), "sb").withColumn("total", F.col("na") + F.col("nb")).withColumn("off", _different(F.col("pa"), F.col("pb")))
+        # |A xor B| = |A| + |B| - 2 * overlap, and no fewer n-grams differ than parities do
+        near = (F.col("total") - F.col("off")) * (100 + self.per) >= 2 * self.per * F.col("total")
+        return pairs.filter(near).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), "total", "off")
 
     def _best(self, pairs: DataFrame) -> DataFrame:
-        """The FIRST_HUBS closest partners of each set, by parities."""
+        """The FIRST closest partners of each set, by parities."""
         sides = pairs.select(F.col("a").alias("x"), "*").unionByName(pairs.select(F.col("b").alias("x"), "*"))
         closest = Window.partitionBy("x").orderBy("off", "a", "b")
-        return sides.withColumn("_k", F.row_number().over(closest)).filter(F.col("_k") <= FIRST_HUBS).select("a", "b", "na", "nb", "off").distinct()
-
-    def _open(self, live: DataFrame, comp: DataFrame) -> DataFrame:
-        """Postings of n-grams that sets of several classes share, with each set's class."""
-        at = live.select("gram", "node", "n", "i", "salt").join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        several = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("gram")
-        return staged(at.join(several, "gram", "left_semi"), "live")
-
-    def _star_pairs(self, at: DataFrame, turn: int) -> DataFrame:
-        """Another partner for each posting, from another class: as many pairs as postings at most."""
-        near = Window.partitionBy("gram", "salt").orderBy(F.xxhash64(F.lit(turn), "node", "gram"), "node")
-        hub = F.first(F.struct("node", "n", "i", "comp")).over(near)
-        meet = at.withColumn("hub", hub).filter("comp <> hub.comp")
-        return self._pairs(meet.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("hub.node").alias("b"), F.col("hub.n").alias("nb"), F.col("hub.i").alias("ib")))
-
-    def _cross_pairs(self, at: DataFrame) -> DataFrame:
-        """All pairs that share a rare n-gram and aren't in one class."""
-        a = at.select("gram", F.col("node").alias("a"), F.col("n").alias("na"), F.col("i").alias("ia"), F.col("comp").alias("ca"))
-        b = at.select("gram", F.col("node").alias("b"), F.col("n").alias("nb"), F.col("i").alias("ib"), F.col("comp").alias("cb"))
-        meet = a.join(b, (a.gram == b.gram) & (F.col("a") < F.col("b")) & (F.col("ca") != F.col("cb")) & _sizes_fit("na", "nb", self.per) & _reachable(self.per))
-        return self._pairs(meet.select("a", "b", "na", "nb", "ia", "ib"))
-
-    def _apart(self, pairs: DataFrame, comp: DataFrame) -> DataFrame:
-        """Pairs whose sets aren't in one class."""
-        out = pairs.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
-        return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*pairs.columns)
-
-    def _split_pairs(self, live: DataFrame, comp: DataFrame, outer: DataFrame) -> DataFrame:
-        """Pairs across classes that share a rare n-gram and were one class before verification.
-
-        Classes that meet are found first, and their members paired once, however many n-grams they share. (ca, cb) are the classes.
+        return sides.withColumn("_k", F.row_number().over(closest)).filter(F.col("_k") <= FIRST).select(*PAIR).distinct()
+
+    def _open(self, live: DataFrame) -> DataFrame:
+        """Postings of n-grams that sets of several classes share, with each set's node and class, if they can be the first that a linked pair shares.
+
+        Unless its list is salted, a first partner has met all others of the list before and is left out.
         """
-        at = live.select("gram", "node", "n").join(outer.withColumnRenamed("comp", "outer"), "node").join(comp, "node", "left")
-        at = at.withColumn("comp", F.coalesce("comp", "node"))
-        open_ = at.groupBy("outer").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("outer")
-        at = staged(at.join(open_, "outer", "left_semi"), "live")
-        side = at.select("gram", "outer", "comp").distinct()
-        meet = side.select("gram", "outer", F.col("comp").alias("ca")).join(side.select("gram", "outer", F.col("comp").alias("cb")), ["gram", "outer"])
-        meet = meet.filter("ca < cb").select("ca", "cb").distinct()
-        member = at.select("node", "n", "comp").distinct().join(self._parity.select("node", "fine"), "node")
-        pairs = meet.join(member.toDF("a", "na", "ca", "pa"), "ca")
-        fits = (F.col("cb") == F.col("cb2")) & _sizes_fit("na", "nb", self.per) & self._plausible()
-        pairs = pairs.join(member.toDF("b", "nb", "cb2", "pb"), fits)
-        low = F.col("a") < F.col("b")
-        pick = lambda x, y: F.when(low, F.col(x)).otherwise(F.col(y))
-        off = _different(F.col("pa"), F.col("pb")).alias("off")
-        return pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), pick("na", "nb").alias("na"), pick("nb", "na").alias("nb"), off, "ca", "cb")
-
-    def _plausible(self) -> Column:
-        """Whether parities allow the threshold: |A xor B| = |A| + |B| - 2 * overlap, and no fewer n-grams differ than parities do."""
-        most = (F.col("na") + F.col("nb") - _different(F.col("pa"), F.col("pb"))) / 2
-        return most * (100 + self.per) >= self.per * (F.col("na") + F.col("nb"))
-
-    def _verified(self, pairs: DataFrame, segments: DataFrame) -> DataFrame:
+        at = live.filter("salt >= 0 or short <> hub").select("gram", "short", "n", "i").join(self.nodes.select("short", "node"), "short")
+        at = at.join(self._classes, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+        several = at.groupBy("gram").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.min("n").alias("least"), F.count("*").alias("postings"))
+        at = at.join(several.filter("lo <> hi").drop("lo", "hi"), "gram")
+        partner = F.greatest(F.ceil(F.col("n") * self.per / 100), "least")
+        return staged(at.filter((F.col("n") - F.col("i")) * (100 + self.per) >= self.per * (F.col("n") + partner)), "open")
+
+    def _block_pairs(self, at: DataFrame, forest: bool) -> DataFrame:
+        """Pairs of different classes that share a rare n-gram and may link, found inside blocks of its posting list."""
+        at = at.join(self.nodes.select("node", "parity"), "node")
+        blocks = F.ceil(F.col("postings") / self.block).cast("int")
+        at = at.withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("_other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+        at = at.select("gram", F.least("own", "_other").alias("lo"), F.greatest("own", "_other").alias("hi"), "own", "node", "n", "i", "comp", "parity")
+        # comparing takes longer than its few bytes tell: not to be dealt to fewer tasks
+        at = at.repartition(int(at.sparkSession.conf.get("spark.sql.shuffle.partitions")), "gram", "lo", "hi").sortWithinPartitions("gram", "lo", "hi", "n")
+        found = at.mapInArrow(_compared(self.per, forest), "a long, b long, total long, off long")
+        return found.groupBy("a", "b").agg(F.min("total").alias("total"), F.min("off").alias("off"))
+
+    def _apart(self, pairs: DataFrame) -> DataFrame:
+        """Pairs not yet tried whose sets aren't in one class."""
+        comp = self._classes
+        out = pairs if self._tried is None else pairs.join(self._tried, ["a", "b"], "left_anti")
+        out = out.join(comp.toDF("a", "ca"), "a", "left").join(comp.toDF("b", "cb"), "b", "left")
+        return out.filter(F.coalesce("ca", "a") != F.coalesce("cb", "b")).select(*PAIR)
+
+    def _segments_for(self, pairs: DataFrame) -> DataFrame:
+        """Segments of all sets that pairs need: node, fragment, segment; a text is read when a pair first needs it."""
+        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+        if self._segmented is not None:
+            need = need.join(self._segmented.filter("fragment = 0").select("node"), "node", "left_anti")
+        # a set's text is read from one of its rows
+        need = staged(self.nodes.join(need, "node", "left_semi").select("node", "name", "doc_id"), "need")
+        if not need.isEmpty():
+            texts = semi(self.docs, need.filter("doc_id is not null").select("doc_id"), "doc_id").select("text")
+            if not need.filter("doc_id is null").isEmpty():
+                texts = texts.unionByName(self.docs.filter("doc_id is null").select("text"))
+            rows = texts.mapInArrow(_segments(self.width, self._levels), "name binary, segments array<array<long>>")
+            rows = rows.join(need.select("name", "node"), "name").groupBy("node").agg(F.first("segments").alias("segments"))
+            fresh = staged(rows.select("node", F.posexplode("segments").alias("fragment", "segment")), "segments", "lz4")
+            self._segmented = fresh if self._segmented is None else self._segmented.unionByName(fresh)
+        return self._segmented
+
+    def _verified(self, pairs: DataFrame) -> DataFrame:
         """Pairs whose overlaps, counted fragment by fragment and summed, reach the threshold."""
+        segments = self._segments_for(pairs)
         mine = pairs.join(segments.withColumnRenamed("node", "a").withColumnRenamed("segment", "sa"), "a")
         both = mine.join(segments.withColumnRenamed("node", "b").withColumnRenamed("segment", "sb"), ["b", "fragment"])
-        part = both.select("a", "b", "na", "nb", F.size(F.array_intersect("sa", "sb")).alias("overlap"))
-        total = part.groupBy("a", "b", "na", "nb").agg(F.sum("overlap").alias("overlap"))
-        return total.filter(F.col("overlap") * (100 + self.per) >= self.per * (F.col("na") + F.col("nb")))
+        part = both.select("a", "b", "total", F.size(F.array_intersect("sa", "sb")).alias("overlap"))
+        total = part.groupBy("a", "b", "total").agg(F.sum("overlap").alias("overlap"))
+        return total.filter(F.col("overlap") * (100 + self.per) >= self.per * F.col("total")).select("a", "b", "overlap")
+
+    def _join(self, pairs: DataFrame) -> None:
+        """Verifies pairs, the closest ones first and others only if their sets are still apart."""
+        for pick in (self._best, lambda rest: rest):
+            some = staged(pick(self._apart(pairs)), "pairs")
+            if some.isEmpty():
+                break
+            found = staged(self._verified(some), "links")
+            self._tried = some.select("a", "b") if self._tried is None else self._tried.unionByName(some.select("a", "b"))
+            if not found.isEmpty():
+                self._links = found if self._links is None else self._links.unionByName(found)
+                self._classes = merged(self._classes, found)
 
     def connecting_links(self) -> DataFrame:
         """(a, b, overlap) between sets: enough links to connect every class, all of them verified; other true links inside a class are left out."""
-        if self._linked is not None:
-            return self._linked
-        known = self.sets.filter("n > 0").groupBy("node", "n")
-        nodes = staged(known.agg(F.min("doc_id").alias("doc_id"), F.first("parity").alias("parity"), F.first("fine").alias("fine")), "nodes")
-        self._parity = nodes.select("node", "n", "parity", "fine")
+        if self._links is not None:
+            return self._links
         live = self._postings()
-        every = staged(self._first_pairs(live), "pairs")
-        first = staged(self._best(every), "pairs")
-        likely = components(every)
-        at = self._open(live, likely)
-        for turn in range(1, STARS + 1):
-            more = staged(self._star_pairs(at, turn), "pairs")
-            if more.isEmpty():
+        spark = self.docs.sparkSession
+        self._classes = spark.createDataFrame([], "node long, comp long")
+        self._join(staged(self._first_pairs(live), "candidates"))
+        for forest in (True, False):
+            at = self._open(live)
+            if at.isEmpty():
                 break
-            # they link classes that no pair so far does: none of them is known
-            every = every.unionByName(more)
-            first = first.unionByName(staged(self._best(more), "pairs"))
-            likely = merged(likely, more)
-            at = self._open(at.drop("comp"), likely)
-        pairs = staged(first.unionByName(self._cross_pairs(at)), "pairs")
-        need = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-        # a set's text is read from one of its rows
-        need = nodes.join(need, "node", "left_semi").filter("doc_id is not null").select("doc_id")
-        texts = self.docs.join(need, "doc_id", "left_semi").select("text")
-        loose = nodes.filter("doc_id is null").select("node", "n")
-        segments = texts.mapInArrow(_segments(self.width), "node long, segments array<array<long>>")
-        if not loose.isEmpty():
-            segments = segments.unionByName(self.docs.filter("doc_id is null").select("text").mapInArrow(_segments(self.width), segments.schema))
-        segments = segments.groupBy("node").agg(F.first("segments").alias("segments"))
-        segments = staged(segments.select("node", F.posexplode("segments").alias("fragment", "segment")), "segments", "lz4")
-        links = staged(self._verified(pairs, segments).select("a", "b", "overlap"), "links")
-        true = components(links)
-        fields = ["a", "b", "na", "nb", "off"]
-
-        def tried(more: DataFrame) -> None:
-            nonlocal links, true, pairs
-            rest = staged(more.join(pairs.select("a", "b"), ["a", "b"], "left_anti"), "pairs")
-            if not rest.isEmpty():
-                found = staged(self._verified(rest, segments).select("a", "b", "overlap"), "links")
-                links = links.unionByName(found)
-                true = merged(true, found)
-                pairs = pairs.unionByName(rest.select(*fields))
-
-        # the other first partners of sets that are still apart; of classes that meet nevertheless the
-        # closest pair of members, then all pairs of those still apart
-        tried(self._apart(every, true))
-        split = staged(self._split_pairs(live, true, likely), "pairs")
-        closest = split.groupBy("ca", "cb").agg(F.min(F.struct("off", "a", "b", "na", "nb")).alias("_p"))
-        tried(closest.select("_p.*").select(*fields).distinct())
-        tried(self._apart(split.select(*fields), true))
-        self._linked, self._classes = links, true
-        return links
+            self._join(staged(self._block_pairs(at, forest), "candidates"))
+        return spark.createDataFrame([], "a long, b long, overlap long") if self._links is None else self._links
 
     def classes(self) -> DataFrame:
         """One row per row of the input: doc_id, n_shingles, component_id, n_connecting_links (of its set, of those returned by connecting_links; not all its links)."""
         links = self.connecting_links()
-        sets = self.sets.select("doc_id", "node", "n")
-        nodes = sets.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"))
         degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_connecting_links"))
-        nodes = nodes.join(self._classes, "node", "left").join(degree, "node", "left")
+        nodes = self.nodes.select("node", "name", "doc_id", "copies").join(self._classes, "node", "left").join(degree, "node", "left")
         nodes = nodes.withColumn("comp", F.coalesce("comp", "node"))
-        low = nodes.groupBy("comp").agg(F.min("low").alias("component_id"))
-        nodes = staged(nodes.select("node", "comp", "copies", F.coalesce("n_connecting_links", F.lit(0)).alias("n_connecting_links")).join(low, "comp").drop("comp"), "classes")
-        rows = attach_groups(sets, nodes, "node", "copies", sets.count())
+        low = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        nodes = staged(nodes.select("name", "comp", "copies", F.coalesce("n_connecting_links", F.lit(0)).alias("n_connecting_links")).join(low, "comp").drop("comp"), "classes")
+        sets = self.sets.select("doc_id", "name", "n")
+        rows = attach_groups(sets, nodes, "name", "copies", sets.count())
         return rows.select(
             "doc_id",
             F.col("n").alias("n_shingles"),

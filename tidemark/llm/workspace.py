@@ -30,6 +30,15 @@ def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Ids that are broadcast, at most; counted first.
+FEW = 1 << 20
+
+
+def semi(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """Rows whose key is among ids; rows stay where they are if ids are counted to be FEW at most, else both sides are shuffled."""
+    return rows.join(F.broadcast(ids) if ids.count() <= FEW else ids, key, "left_semi")
+
+
 def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Left join of rows with one row per key in groups, of which `size` counts the rows.
 
