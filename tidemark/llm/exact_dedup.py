@@ -2,7 +2,8 @@
 
 The index is a table bucketed and sorted by the digest of the normalised text.
 New rows are reduced to one row per digest before the shuffle, sort-merge
-anti-joined to the index (whose buckets are read in place) and appended.
+anti-joined to the index (whose buckets are read in place) and appended under
+the name of their load, so a load that is run again decides as it did before.
 """
 
 from __future__ import annotations
@@ -14,7 +15,11 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.workspace import attach_groups, staged
 
+#: Digests that a bucket of a new index is meant to hold, and the fewest buckets.
+PER_BUCKET = 4_000_000
 BUCKETS = 64
+#: Loads after which the files of a bucket are merged into one again.
+COMPACT_EVERY = 16
 
 
 def normalised(text: str):
@@ -23,16 +28,18 @@ def normalised(text: str):
 
 
 class DigestIndex:
-    """digest (binary SHA-256), keep_id, group_size, keep_rows; one row per distinct text seen so far.
-
-    keep_id is the smallest doc_id of a text in the load that first brought it,
-    group_size the number of its rows in that load and keep_rows how many of
-    these carry keep_id (over 1 where a row is repeated). Null doc_ids come
-    after all others; a text that has no other keeps a null keep_id.
+    """digest (binary SHA-256), keep_id, group_size, keep_rows, load; one row per distinct text seen so far.
+
+    load names the load that first brought a text, keep_id is the smallest
+    doc_id of the text in that load, group_size the number of its rows there and
+    keep_rows how many of these carry keep_id (over 1 where a row is repeated).
+    Null doc_ids come after all others; a text that has no other keeps a null
+    keep_id. A table is made by the first load, with at least `buckets` buckets
+    and more where that load or `expected` digests ask for it.
     """
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = BUCKETS):
-        self.spark, self.buckets = spark, buckets
+    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = BUCKETS, expected: int = 0):
+        self.spark, self.buckets, self.expected = spark, buckets, expected
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
 
     def exists(self) -> bool:
@@ -41,13 +48,18 @@ class DigestIndex:
     def read(self) -> DataFrame:
         return self.spark.table(self.table)
 
+    def drop(self) -> None:
+        self.spark.sql(f"DROP TABLE IF EXISTS {self.table}")
+
     def digests(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
         """doc_id and digest of every row; the text is read once and goes no further."""
         digest = F.unhex(F.sha2(normalised(text_col), 256)).alias("digest")
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), digest)
 
-    def append(self, digests: DataFrame) -> DataFrame:
-        """Adds the digests that the index lacks; returns those added."""
+    def append(self, digests: DataFrame, load: str) -> None:
+        """Adds the digests that the index lacks under the name of the load; a load that is there adds nothing."""
+        if self.exists() and not self.read().filter(F.col("load") == load).isEmpty():
+            return
         per_id = digests.groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
         fresh = per_id.groupBy("digest").agg(
             F.min("doc_id").alias("keep_id"),
@@ -56,38 +68,88 @@ class DigestIndex:
         )
         if self.exists():
             fresh = fresh.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        fresh = staged(fresh, "digests")
-        out = fresh.repartition(self.buckets, "digest").write.bucketBy(self.buckets, "digest").sortBy("digest")
-        out.mode("append").format("parquet").saveAsTable(self.table)
-        return fresh
-
-    def classify(self, digests: DataFrame, added: DataFrame) -> DataFrame:
-        """Every row with its text's group: of this load if the text was new, else as the index has it (then none is kept)."""
+        # what is appended must not depend on the table that it is appended to
+        self._write(staged(fresh.withColumn("load", F.lit(load)), "digests"), self.table)
+
+    def _write(self, rows: DataFrame, table: str) -> None:
+        buckets = self._buckets(rows)
+        rows.repartition(buckets, "digest").write.bucketBy(buckets, "digest").sortBy("digest").mode("append").format("parquet").saveAsTable(table)
+
+    def _buckets(self, rows: DataFrame) -> int:
+        """Buckets of the table, or of one about to be made."""
+        if not self.exists():
+            return max(self.buckets, -(-max(self.expected, rows.count()) // PER_BUCKET))
+        described = {r.col_name: r.data_type for r in self.spark.sql(f"DESCRIBE EXTENDED {self.table}").collect()}
+        return int(described["Num Buckets"])
+
+    def loads(self) -> int:
+        return self.read().select("load").distinct().count() if self.exists() else 0
+
+    def compact(self) -> None:
+        """Writes the index anew with one sorted file a bucket; until the last step the old table is whole."""
+        other = f"{self.table}_next"
+        self.spark.sql(f"DROP TABLE IF EXISTS {other}")
+        self._write(self.read(), other)
+        self.spark.sql(f"ALTER TABLE {self.table} RENAME TO {self.table}_old")
+        self.spark.sql(f"ALTER TABLE {other} RENAME TO {self.table}")
+        self.spark.sql(f"DROP TABLE {self.table}_old")
+
+    def classify(self, digests: DataFrame, load: str | None) -> DataFrame:
+        """Every row with its text's group; a row is kept if it is the first of its group and its load brought the text (load None: whichever did)."""
         total = digests.count()
         here = digests.groupBy("digest").agg(F.count("*").alias("_here"))
         groups = here.join(self.read().hint("merge"), "digest")
-        groups = groups.join(added.select("digest", F.lit(True).alias("_new")), "digest", "left")
         rows = attach_groups(digests, groups, "digest", "_here", total)
-        fresh = F.coalesce("_new", F.lit(False))
+        own = F.lit(True) if load is None else F.col("load") == load
         return rows.select(
             "doc_id",
             "keep_id",
             "group_size",
-            (fresh & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
+            (own & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
             F.lower(F.hex("digest")).alias("text_sha256"),
             "keep_rows",
         )
 
 
-def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, load: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Marks every row of docs: doc_id, keep_id, group_size, kept, text_sha256, keep_rows.
 
     Of texts equal after normalisation the row with the smallest doc_id is kept.
     Null and empty texts are one group. Rows that repeat both doc_id and text
-    are all marked kept, and keep_rows says how many there are. With an index
-    that already holds a text, none of its rows is kept. An empty table gives an
-    empty result; other columns are ignored.
+    are all marked kept, and keep_rows says how many there are. An empty table
+    gives an empty result; other columns are ignored.
+
+    With an index that an earlier load has filled, texts it brought are not
+    kept; keep_id and group_size are then those of that load. `load` names this
+    one (at random if missing): run again under its name, it gives the same
+    rows. Without an index one is made for this table and loaded with it.
+    """
+    index, load = index or DigestIndex(docs.sparkSession), load or uuid.uuid4().hex
+    digests = staged(index.digests(docs, id_col, text_col), "digests")
+    index.append(digests, load)
+    if index.loads() % COMPACT_EVERY == 0 and index.loads():
+        index.compact()
+    return index.classify(digests, load)
+
+
+def dedup_in_loads(docs: DataFrame, loads: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """exact_dedup of one table that comes in several loads (dealt by id) into one index, with groups of the whole table.
+
+    Later loads are anti-joined to what earlier ones left in the index, so the
+    index holds each text once; its group is then summed over all loads, and the
+    row with the smallest doc_id of all stays. The index is dropped when the
+    result has been written.
     """
-    index = index or DigestIndex(docs.sparkSession)
+    index = DigestIndex(docs.sparkSession)
     digests = staged(index.digests(docs, id_col, text_col), "digests")
-    return index.classify(digests, index.append(digests))
+    part = F.pmod(F.xxhash64("doc_id"), F.lit(loads))
+    for k in range(loads):
+        index.append(digests.filter(part == k), f"load-{k}")
+    per_id = digests.groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
+    groups = per_id.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"), F.coalesce(F.min_by("rows", "doc_id"), F.sum("rows")).alias("keep_rows"))
+    groups = index.read().select("digest").join(groups.hint("merge"), "digest")
+    rows = attach_groups(digests, groups, "digest", "group_size", digests.count())
+    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+    out = staged(rows.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"), "keep_rows"), "deduplicated")
+    index.drop()
+    return out

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.llm.backoff_lm import score_documents
-from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.exact_dedup import dedup_in_loads
 from tidemark.llm.language_id import fit_centroids, language_of
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_jaccard import near_duplicate_classes
@@ -45,7 +45,7 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup(_table(spark, sf_dir, "documents")).drop("keep_rows")
+    return dedup_in_loads(_table(spark, sf_dir, "documents")).drop("keep_rows")
 
 
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
