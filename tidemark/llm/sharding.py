@@ -26,6 +26,8 @@ def fill_table(shards: list[str], slots: int = SLOTS) -> np.ndarray:
     """Index of the shard that owns each slot; shares differ by one slot at most."""
     if not shards or len(set(shards)) != len(shards) or len(shards) > slots:
         raise ValueError("shards must be distinct, at least one and no more than there are slots")
+    if slots < 2 or any(slots % k == 0 for k in range(2, int(slots**0.5) + 1)):
+        raise ValueError("the number of slots must be prime, or a shard's order of preference misses some")
     offset = [_number(s, "offset") % slots for s in shards]
     skip = [_number(s, "skip") % (slots - 1) + 1 for s in shards]
     step = [0] * len(shards)
@@ -52,19 +54,22 @@ def slot_of(key: Column, slots: int = SLOTS) -> Column:
 
 
 def place(df: DataFrame, shards: list[str], key: str = "doc_id", slots: int = SLOTS, shard_col: str = "shard", slot_col: str = "slot") -> DataFrame:
-    """df with slot and shard of every row (columns of these names are replaced).
+    """df with slot and shard of every row; columns of these two names are replaced, all others kept whatever their names.
 
     The table has `slots` rows whatever the data, so it is broadcast; no row is
     shuffled. Rows with equal keys go to one shard, null keys too.
     """
     owner = fill_table(shards, slots)
-    table = df.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(owner.tolist())], "_slot int, _shard string")
-    marked = df.drop(shard_col, slot_col).withColumn("_slot", slot_of(F.col(key), slots))
-    out = marked.join(F.broadcast(table), "_slot", "left")
-    return out.select(*[F.col(f"`{c}`") for c in df.columns if c not in (shard_col, slot_col)], F.col("_slot").alias(slot_col), F.col("_shard").alias(shard_col))
+    table = df.sparkSession.createDataFrame([(i, shards[k]) for i, k in enumerate(owner.tolist())], "at int, name string")
+    kept = [F.col(f"`{c}`") for c in df.columns if c not in (shard_col, slot_col)]
+    marked = df.select(F.struct(*kept).alias("row"), slot_of(F.col(key), slots).alias("slot"))
+    out = marked.join(F.broadcast(table), F.col("slot") == F.col("at"), "left")
+    return out.select("row.*", F.col("slot").alias(slot_col), F.col("name").alias(shard_col))
 
 
 def write_shards(df: DataFrame, path: str, shards: list[str], key: str = "doc_id", rows_per_file: int = 1_000_000) -> None:
-    """Writes one directory per shard, in files of bounded size."""
+    """Writes one directory per shard, in files of bounded size; rows of a shard are dealt to as many tasks as they fill files."""
     placed = place(df, shards, key)
+    parts = max(1, -(-placed.count() // (rows_per_file * len(shards))))
+    placed = placed.repartition(len(shards) * parts, "shard", F.pmod(F.xxhash64(key), F.lit(parts)))
     placed.write.partitionBy("shard").option("maxRecordsPerFile", rows_per_file).parquet(path)
