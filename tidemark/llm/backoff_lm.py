@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.llm.words import mixed, slices
-from tidemark.llm.workspace import release, staged
+from tidemark.llm.workspace import small_batches, staged
 
 #: The pairs of a word with this share of sampled tokens are dealt over all buckets, those of any other lie in its own. No result depends on it.
 STATE_SHARE = 2e-4
@@ -285,6 +285,7 @@ def score_documents(
     state_share, like chunk_bytes, only deals out the work.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", held_out("doc_id"))
     total_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
@@ -302,7 +303,6 @@ def score_documents(
     asked = asked.applyInArrow(_asked(shared_keys, chunks), "chunk int, bucket int, words binary, word_n binary, follow binary, second binary, pair_n binary, wide binary")
     answers = asked.groupBy("bucket").applyInArrow(_answered(shared_keys), "chunk int, bucket int, pair_n binary, word_n binary, kinds binary, spread int, n long, v long, n1 long, n2 long")
     answers = staged(answers, "answers")
-    release(spark)
 
     stats = answers.filter("spread = -1").agg(*[F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")]).first()
     n, v, n1, n2 = (x or 0 for x in stats)

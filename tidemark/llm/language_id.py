@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.workspace import small_batches
 from tidemark.llm.words import SPACE, Text, mixed, slices
 
 #: Labelled texts of a language from which centroids are learned, at most; those with the smallest hash of doc_id.
@@ -32,6 +33,13 @@ _LOWER[[*range(33, 65), *range(91, 97), *range(123, 127)]] = 32
 _LETTER = np.zeros(256, bool)
 _LETTER[[*range(65, 91), *range(97, 123)]] = True
 
+#: Texts of all languages together that are brought to the driver, 8 KB each.
+TOTAL = 6_000
+#: Parts of a language among which its sample is looked for.
+PARTS = 64
+#: Rows whose dense counts a worker holds at once.
+ROWS = 512
+
 
 def term_counts(text: Text, buckets: int = BUCKETS) -> np.ndarray:
     """Counts of hashed n-grams of bytes, A-Z lower-cased, digits, marks and spaces all alike; one row per text."""
@@ -92,17 +100,28 @@ class Centroids:
 
 
 def fit_centroids(docs: DataFrame, sample: int = SAMPLE, per: int = CENTROIDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids | None:
-    """Learns from at most `sample` texts of each language whose crc32(doc_id) mod 5 is not 0; None if there are none."""
+    """Learns from at most `sample` texts of each language whose crc32(doc_id) mod 5 is not 0, and TOTAL of all; None if there are none.
+
+    More languages than TOTAL are an error.
+    """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).isNotNull().alias("_some"))
     known = known.filter(F.col("lang").isNotNull() & F.col("_some") & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = known.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= sample).select("doc_id", "lang").distinct()
+    small_batches(docs.sparkSession)
+    n_langs = max(1, known.select("lang").distinct().count())
+    if n_langs > TOTAL:
+        raise ValueError(f"{n_langs} languages, more than {TOTAL}")
+    sample = min(sample, TOTAL // n_langs)
+    # those with the smallest hash, first in parts of a language, then of the parts' own ones
+    order = [F.xxhash64("doc_id"), F.col("doc_id")]
+    for by in (["lang", F.pmod(F.xxhash64("doc_id", F.lit(1)), F.lit(PARTS))], ["lang"]):
+        known = known.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_k") <= sample)
+    known = known.select("doc_id", "lang").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null")
     texts = texts.join(F.broadcast(known), ["doc_id", "lang"])
 
     def vectors(batches):
         for batch in batches:
-            packed = [row.astype(np.float16).tobytes() for text in slices(batch.column(1)) for row in np.minimum(term_counts(text), 60_000)]
+            packed = [row.astype(np.float16).tobytes() for text in slices(batch.column(1), rows=ROWS) for row in np.minimum(term_counts(text), 60_000)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["doc_id", "lang", "x"])
 
     rows = texts.select("doc_id", "text", "lang").mapInArrow(vectors, "doc_id long, lang string, x binary").collect()
@@ -138,7 +157,7 @@ def language_of(docs: DataFrame, model: Centroids | None, text: Column) -> Colum
     def run(column: pa.Array) -> pa.Array:
         m = shared.value
         names, score, rejected = [], [], []
-        for part in slices(column):
+        for part in slices(column, rows=ROWS):
             letters = has_letter(part)
             if m is None:
                 letters[:] = False

@@ -18,7 +18,7 @@ from pyspark.sql import types as T
 
 from tidemark.llm.components import merged
 from tidemark.llm.words import chained, mixed, slices
-from tidemark.llm.workspace import attach_groups, semi, staged
+from tidemark.llm.workspace import attach_groups, semi, small_batches, staged
 
 SKETCH_BITS = 22
 CELLS = 8192
@@ -80,6 +80,7 @@ def _parities(grams: np.ndarray) -> np.ndarray:
 SETS = T.StructType(
     [
         T.StructField("doc_id", T.LongType()),
+        T.StructField("text_md5", T.BinaryType()),
         T.StructField("name", T.BinaryType()),
         T.StructField("short", T.LongType()),
         T.StructField("n", T.LongType()),
@@ -129,7 +130,7 @@ def _describe(width: int):
             short = [None if x is None else _short(x) for x in name]
             none = pa.nulls(len(name))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(name, pa.binary()), pa.array(short, pa.int64()), pa.array(n, pa.int64()), pa.array(parity, pa.list_(pa.int64()))]
+                [batch.column(0), batch.column(2), pa.array(name, pa.binary()), pa.array(short, pa.int64()), pa.array(n, pa.int64()), pa.array(parity, pa.list_(pa.int64()))]
                 + [none.cast(pa.int32()), none.cast(pa.binary())],
                 names=SETS.names,
             )
@@ -139,14 +140,14 @@ def _describe(width: int):
         for some in np.array_split(used, max(1, len(used) // 64)):
             none = pa.nulls(len(some))
             yield pa.RecordBatch.from_arrays(
-                [none.cast(SET_TYPES[k]) for k in range(5)] + [pa.array(some, pa.int32()), pa.array([_packed(parts[i]) for i in some], pa.binary())],
+                [none.cast(kind) for kind in SET_TYPES] + [pa.array(some, pa.int32()), pa.array([_packed(parts[i]) for i in some], pa.binary())],
                 names=SETS.names,
             )
 
     return run
 
 
-SET_TYPES = [pa.int64(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
+SET_TYPES = [pa.int64(), pa.binary(), pa.binary(), pa.int64(), pa.int64(), pa.list_(pa.int64())]
 
 
 def _packed(counts: np.ndarray) -> bytes:
@@ -416,13 +417,15 @@ class NgramJaccardJoin:
 
     def __init__(self, docs: DataFrame, width: int = 5, per: int = 80, id_col: str = "doc_id", text_col: str = "text", block: int = BLOCK):
         self.docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+        small_batches(docs.sparkSession)
         self.width, self.per, self.block = width, per, block
         spark = docs.sparkSession
-        sets = staged(self.docs.mapInArrow(_describe(width), SETS), "sets")
-        self.sets = sets.filter("cell is null").select("doc_id", "name", "short", "n", "parity")
+        marked = self.docs.withColumn("text_md5", F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))))
+        sets = staged(marked.mapInArrow(_describe(width), SETS), "sets")
+        self.sets = sets.filter("cell is null").select("doc_id", "text_md5", "name", "short", "n", "parity")
         level, self._salted_from = gram_levels(sets)
         self._levels = spark.sparkContext.broadcast(level)
-        known = self.sets.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.count("*").alias("copies"), F.first("short").alias("short"), F.first("n").alias("n"), F.first("parity").alias("parity"))
+        known = self.sets.filter("n > 0").groupBy("name").agg(F.min("doc_id").alias("doc_id"), F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5")).alias("first"), F.count("*").alias("copies"), F.first("short").alias("short"), F.first("n").alias("n"), F.first("parity").alias("parity"))
         # numbers are read back from the written table, so they stay the same
         self.nodes = staged(known.withColumn("node", F.monotonically_increasing_id()), "nodes")
         self._links: DataFrame | None = None
@@ -561,20 +564,28 @@ class NgramJaccardJoin:
         return spark.createDataFrame([], "a long, b long, overlap long") if self._links is None else self._links
 
     def classes(self) -> DataFrame:
-        """One row per row of the input: doc_id, n_shingles, component_id, n_connecting_links (of its set, of those returned by connecting_links; not all its links)."""
+        """One row per row of the input: doc_id, n_shingles, component_id, n_connecting_links, text_md5, first.
+
+        n_connecting_links counts those of its set that connecting_links returns,
+        not all its links. first marks the row that stands for its class, the one
+        with the smallest doc_id (null last), of such the smallest digest; rows
+        that repeat it are marked, too, and so is every row without words.
+        """
         links = self.connecting_links()
         degree = links.select(F.col("a").alias("node")).unionAll(links.select("b")).groupBy("node").agg(F.count("*").alias("n_connecting_links"))
-        nodes = self.nodes.select("node", "name", "doc_id", "copies").join(self._classes, "node", "left").join(degree, "node", "left")
+        nodes = self.nodes.select("node", "name", "doc_id", "first", "copies").join(self._classes, "node", "left").join(degree, "node", "left")
         nodes = nodes.withColumn("comp", F.coalesce("comp", "node"))
-        low = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"))
+        low = nodes.groupBy("comp").agg(F.min("doc_id").alias("component_id"), F.min("first").alias("low_first"))
         nodes = staged(nodes.select("name", "comp", "copies", F.coalesce("n_connecting_links", F.lit(0)).alias("n_connecting_links")).join(low, "comp").drop("comp"), "classes")
-        sets = self.sets.select("doc_id", "name", "n")
+        sets = self.sets.select("doc_id", "text_md5", "name", "n")
         rows = attach_groups(sets, nodes, "name", "copies", sets.count())
         return rows.select(
             "doc_id",
             F.col("n").alias("n_shingles"),
             F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"),
             F.coalesce("n_connecting_links", F.lit(0)).cast("long").alias("n_connecting_links"),
+            "text_md5",
+            ((F.col("n") == 0) | F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_md5").eqNullSafe(F.col("low_first"))).alias("first"),
         )
 
 

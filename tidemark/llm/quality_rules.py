@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidemark.llm.words import chained, slices
+from tidemark.llm.workspace import small_batches
 
 #: Labelled rows from which rules are learned, at most; those with the smallest hash.
 SAMPLE = 20_000
@@ -195,19 +196,22 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col
     Rows without label or text teach nothing. A label 0 stands for reject. Where
     a document has several labels it is a reject if any says so. Without rejects the list is empty and keeps all.
     """
+    small_batches(docs.sparkSession)
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.min(label_col).alias("good"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string")) % 5 != 0)
     known = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
     rows = rows.join(F.broadcast(known), "doc_id")
-    rows = rows.select("doc_id", "good", stats_of(F.col("text")).alias("stats")).filter(~base_failed(F.col("stats")))
-    rows = rows.select("doc_id", "good", *[v.alias(k) for k, v in features_of(F.col("stats")).items()]).dropDuplicates(["doc_id"])
-    pdf = rows.toPandas().sort_values("doc_id")
+    rows = rows.select("doc_id", "good", stats_of(F.col("text")).alias("stats"))
+    rows = rows.select("doc_id", "good", base_failed(F.col("stats")).alias("failed"), *[v.alias(k) for k, v in features_of(F.col("stats")).items()])
+    # the filter is left to the few rows here: in Spark it would have the statistics counted twice
+    pdf = rows.toPandas()
+    pdf = pdf[~pdf["failed"]].sort_values(["doc_id", *FEATURES]).drop_duplicates("doc_id")
     return learn_rules(pdf[list(FEATURES)].to_numpy(float), (pdf["good"] == 0).to_numpy())
 
 
 def judged(docs: DataFrame, rules: DecisionList, text_col: str = "text") -> DataFrame:
-    """All rows and columns of docs, with `_stats`, `_base_failed` and `_kept` added.
+    """All rows and columns of docs with `_stats`, `_base_failed` and `_kept` added; columns of these three names are replaced.
 
     Null and empty texts have no words and so fail the base rule.
     """

@@ -15,10 +15,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tidemark.llm.workspace import small_batches
 from tidemark.llm.words import mixed, slices
 
 #: Labelled texts of each label from which the network learns, at most; those with the smallest hash of doc_id.
 SAMPLE = 1_500
+#: Bytes of training texts of each label that are brought to the driver, at most.
+SAMPLE_BYTES = 12 << 20
 WINDOW, STRIDE = 32, 16
 WORDS, WORD_DIM = 2_000, 8
 GRAMS, GRAM_DIM = 1 << 15, 8
@@ -300,17 +303,21 @@ def train(texts: list[str], label: np.ndarray, steps: int = 600, batch: int = 12
 
 
 def fit_network(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Network:
-    """Trains on at most `sample` texts of each label whose crc32(doc_id) mod 5 is not 0.
+    """Trains on at most `sample` texts and SAMPLE_BYTES bytes of each label whose crc32(doc_id) mod 5 is not 0.
 
     Rows without label or text teach nothing; of a text's labels the highest
     counts, and of equal texts one. With one label only, all texts get its share as score.
     """
     known = labels.filter(F.col(label_col).isNotNull()).groupBy(F.col(id_col).cast("long").alias("doc_id")).agg(F.max(label_col).cast("int").alias("label"))
     known = known.filter(F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0)
-    first = Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id")
-    known = known.withColumn("_k", F.row_number().over(first)).filter(F.col("_k") <= sample).select("doc_id", "label")
+    small_batches(docs.sparkSession)
+    some = lambda is_toxic: known.filter((F.col("label") > 0) == is_toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    known = some(True).unionByName(some(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
-    rows = rows.join(F.broadcast(known), "doc_id").select("doc_id", "label", "text").collect()
+    rows = rows.join(F.broadcast(known), "doc_id").withColumn("bytes", F.octet_length("text")).filter(F.col("bytes") <= SAMPLE_BYTES)
+    # of these few thousand rows, in order of hash, as many as fit
+    so_far = F.sum("bytes").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
+    rows = rows.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "label", "text").collect()
     one = {xxhash.xxh3_128_intdigest(r.text.encode("utf-8")): r for r in sorted(rows, key=lambda r: (r.label, -r.doc_id))}
     rows = sorted(one.values(), key=lambda r: r.doc_id)
     return train([r.text for r in rows], np.array([float(r.label) for r in rows]))

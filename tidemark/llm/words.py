@@ -102,8 +102,8 @@ class Text:
         return h
 
 
-def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iterator[Text]:
-    """The column cut between rows into parts of about `limit` bytes, nulls as empty texts."""
+def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES, rows: int = 1 << 20) -> Iterator[Text]:
+    """The column cut between rows into parts of about `limit` bytes and at most `rows` rows, nulls as empty texts."""
     if isinstance(column, pa.ChunkedArray):
         column = column.combine_chunks()
     column = column.cast(pa.large_string()).fill_null("")
@@ -112,6 +112,6 @@ def slices(column: pa.Array | pa.ChunkedArray, limit: int = SLICE_BYTES) -> Iter
     at = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
     row = 0
     while row < len(column):
-        stop = max(row + 1, int(np.searchsorted(at, at[row] + limit, side="right")) - 1)
+        stop = min(row + rows, max(row + 1, int(np.searchsorted(at, at[row] + limit, side="right")) - 1))
         yield Text(column.slice(row, stop - row), row)
         row = stop

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
 import uuid
 
@@ -22,6 +21,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder.rstrip("/")
 
 
+#: Bytes and rows of a batch that goes to a Python worker, if the session leaves Spark's own.
+BATCH = {"spark.sql.execution.arrow.maxBytesPerBatch": (f"{64 << 20}b", f"{8 << 20}b"), "spark.sql.execution.arrow.maxRecordsPerBatch": ("10000", "4000")}
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Has Spark send texts to Python workers in small batches: a worker holds some copies of one. Settings of one's own stay."""
+    for name, (spark_own, ours) in BATCH.items():
+        if spark.conf.get(name, spark_own) == spark_own:
+            spark.conf.set(name, ours)
+
+
 def staged(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     """Writes df to a fresh table in the shared folder and reads it back: lineage ends there."""
     spark = df.sparkSession
@@ -52,9 +62,3 @@ def attach_groups(rows: DataFrame, groups: DataFrame, key: str, size: str, total
     cold = marked.filter(F.col("_hot").isNull()).select(*rows.columns)
     cold = cold.join(groups.filter(F.col(size) <= bar), key, "left")
     return marked.filter("_hot").select(*rows.columns, *added).unionByName(cold.select(*rows.columns, *added))
-
-
-def release(spark: SparkSession) -> None:
-    """Lets Spark's cleaner drop the shuffle files of finished jobs before the next large one begins."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
