@@ -84,6 +84,43 @@ def test_jaccard_joins_a_large_group_of_near_copies(spark):
     assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == _classes(rows)
 
 
+def test_jaccard_tells_large_classes_apart_that_meet(spark):
+    # two classes of near copies that share a rare passage, and copies so far off that they are alone
+    rnd = random.Random(4)
+    shared = " ".join(f"s{k}" for k in range(14))
+    rows = []
+    for k in range(240):
+        w = [f"{'pq'[k % 2]}{j}" for j in range(60)]
+        for j in rnd.sample(range(60), rnd.choice([0, 1, 1, 2, 3, 4])):
+            w[j] = f"x{k}y{j}"
+        rows.append((k, " ".join(w) + " " + shared, "en", "a", 0, 0, 0))
+    want = _classes(rows)
+    assert len({c for *_, c in want}) > 20
+    for block in (1 << 11, 16):
+        got = ngram_jaccard.NgramJaccardJoin(spark.createDataFrame(rows, KIND), block=block).classes()
+        assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in got.collect()), key=str) == want
+
+
+def _morse():
+    a = "a"
+    for _ in range(10):
+        a += a.translate(str.maketrans("ab", "ba"))
+    return a, a.translate(str.maketrans("ab", "ba"))
+
+
+def test_words_that_differ_in_a_regular_way_are_told_apart(spark):
+    a, b = _morse()
+    words = " ".join(f"w{k}" for k in range(60))
+    rows = [(0, f"{a} {words}\n{b} {words}", "en", "a", 0, 0, 0), (1, " ".join([a] * 8), "en", "a", 0, 0, 0), (3, " ".join([b] * 8), "en", "a", 0, 0, 0)]
+    df = spark.createDataFrame(rows, KIND)
+    got = {r.doc_id: r.component_id for r in ngram_jaccard.near_duplicate_classes(df).collect()}
+    assert got == {0: 0, 1: 1, 3: 3}
+    stats = {r.doc_id: r._stats for r in quality_rules.judged(df, quality_rules.DecisionList([])).collect()}
+    assert stats[0].n_dup_lines == 0
+    known = {r.doc_id: r.n_known for r in backoff_lm.score_documents(df.filter("doc_id <> 1"), chunk_bytes=50_000).collect()}
+    assert known[3] == 9 if zlib.crc32(b"3") % 7 != 2 else True
+
+
 def test_jaccard_names_connecting_links(spark):
     rows = [(k, BASE.replace("w30", f"x{k}"), "en", "a", 0, 0, 0) for k in range(12)]
     join = ngram_jaccard.NgramJaccardJoin(spark.createDataFrame(rows, KIND), 5, 80)
@@ -107,11 +144,20 @@ def test_exact_dedup(docs, empty, spark):
         want += [(i, low, len(ids), i == low, hashlib.sha256(t.encode()).hexdigest()) for i in ids]
     assert sorted((tuple(r)[:5] for r in got), key=str) == sorted(want, key=str)
     assert exact_dedup.exact_dedup(empty).count() == 0
+    whole = exact_dedup.dedup_in_loads(docs, 3).collect()
+    assert sorted((tuple(r)[:5] for r in whole), key=str) == sorted(want, key=str)
+    assert exact_dedup.dedup_in_loads(empty).count() == 0
     index = exact_dedup.DigestIndex(spark, buckets=4)
-    exact_dedup.exact_dedup(docs, index).count()
-    again = exact_dedup.exact_dedup(docs.limit(5), index)
-    assert again.filter("kept").count() == 0 and again.count() == 5
+    first = sorted(map(tuple, exact_dedup.exact_dedup(docs, index, "monday").collect()), key=str)
+    some = docs.filter("doc_id < 5")
+    again = exact_dedup.exact_dedup(some, index, "tuesday")
+    assert again.filter("kept").count() == 0 and again.count() == some.count()
+    # the first load, run again under its name, gives what it gave, before and after compaction
+    assert sorted(map(tuple, exact_dedup.exact_dedup(docs, index, "monday").collect()), key=str) == first
+    index.compact()
+    assert sorted(map(tuple, exact_dedup.exact_dedup(docs, index, "monday").collect()), key=str) == first
     assert index.read().count() == len(groups)
+    index.drop()
 
 
 def test_token_counts_add_up(docs, empty):
@@ -143,6 +189,19 @@ def test_sharding(docs, empty):
         slot = int(hashlib.md5(str("" if r.doc_id is None else r.doc_id).encode()).hexdigest()[:13], 16) % 251
         assert (r.slot, r.shard) == (slot, names[table[slot]])
     assert sharding.place(empty, names).count() == 0
+    with pytest.raises(ValueError, match="prime"):
+        sharding.fill_table(names, 64)
+    odd = docs.select("doc_id", F.lit(1).alias("_slot"), F.lit(2).alias("_shard"), F.lit(3).alias("row"), F.lit(4).alias("at"), F.lit(5).alias("slot"))
+    out = sharding.place(odd, names, slots=251)
+    assert out.columns == ["doc_id", "_slot", "_shard", "row", "at", "slot", "shard"]
+    assert {(r._slot, r._shard, r.row, r["at"]) for r in out.collect()} == {(1, 2, 3, 4)} and out.filter("slot <> 5").count() > 0
+
+
+def test_shards_are_written_in_few_files(spark, docs, tmp_path):
+    names = [f"s{k}" for k in range(3)]
+    sharding.write_shards(docs.repartition(8), str(tmp_path / "o"), names)
+    assert len(list((tmp_path / "o").rglob("*.parquet"))) <= 3
+    assert spark.read.parquet(str(tmp_path / "o")).count() == docs.count()
 
 
 def test_sentencepiece(docs, empty):
@@ -238,6 +297,7 @@ def test_quality(docs, empty, spark):
         lines = [x for x in (r.text or "").split("\n") if WORD.search(x)]
         s = r._stats
         assert (s.n_words, s.word_chars, s.n_repeat_words, s.n_dup_lines) == (len(w), sum(map(len, w)), len(covered), len(lines) - len(set(lines)))
+        assert s.n_symbols == sum(c in "#*$%&|<>" for c in r.text or "")
         assert r._base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
     assert quality_rules.judged(empty, quality_rules.DecisionList([])).count() == 0
     rng = np.random.default_rng(0)
