@@ -7,10 +7,10 @@ as the next one's docs.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.llm.exact_dedup import exact_dedup
+from tidemark.llm.exact_dedup import exact_dedup, normalised
 from tidemark.llm.mixing import mix
 from tidemark.llm.ngram_jaccard import near_duplicate_classes
 from tidemark.llm.quality_rules import fit_rules, judged
@@ -19,10 +19,18 @@ from tidemark.llm.sentencepieces import SentencePieces
 from tidemark.llm.workspace import staged
 
 
-def _only(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """Rows of docs whose doc_id is among ids; those without an id are kept."""
-    kept = docs.join(ids.select("doc_id").distinct(), "doc_id", "left_semi")
-    return kept.select(*docs.columns).unionByName(docs.filter("doc_id is null"))
+def _decided(docs: DataFrame, digest: Column, decision: DataFrame) -> DataFrame:
+    """Rows of docs that a decision names by doc_id (null equals null) and digest of the text; of rows that repeat both, one.
+
+    decision has doc_id, digest and rows, the number of rows that it names. Rows
+    travel inside a struct, so no column of theirs can clash.
+    """
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), digest.alias("text_digest"))
+    d = decision.alias("d")
+    found = rows.join(d, (F.col("text_digest") == F.col("d.digest")) & F.col("id").eqNullSafe(F.col("d.doc_id")))
+    once = found.filter("d.rows = 1").select("row.*")
+    again = found.filter("d.rows > 1").dropDuplicates(["id", "text_digest"]).select("row.*")
+    return once.unionByName(again)
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -32,20 +40,17 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of texts that are equal but for white space, the row with the smallest doc_id stays; of rows that repeat it, one."""
-    marked = exact_dedup(docs)
-    stay = staged(marked.filter("kept and doc_id is not null").select("doc_id", "keep_rows", "text_sha256"), "kept")
-    once = _only(docs.filter("doc_id is not null"), stay.filter("keep_rows = 1"))
-    again = docs.join(stay.filter("keep_rows > 1").select("doc_id"), "doc_id", "left_semi").select(*docs.columns)
-    # a group without any id has no smallest one: it stays as it is
-    loose = docs.filter("doc_id is null")
-    return once.unionByName(again.dropDuplicates(["doc_id", "text"])).unionByName(loose)
+    """Of texts that are equal but for white space, one row stays: that with the smallest doc_id, one without id only if none has any."""
+    kept = exact_dedup(docs).filter("kept").select("doc_id", F.unhex("text_sha256").alias("digest"))
+    decision = staged(kept.groupBy("doc_id", "digest").agg(F.count("*").alias("rows")), "kept")
+    return _decided(docs, F.unhex(F.sha2(normalised("text"), 256)), decision)
 
 
 def near(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each class of near duplicates the document with the smallest doc_id stays."""
-    classes = near_duplicate_classes(docs)
-    return _only(docs, classes.filter("doc_id = component_id"))
+    """Of each class of near duplicates the row with the smallest doc_id stays, one without id only if none has any; texts without words all stay."""
+    kept = near_duplicate_classes(docs).filter("first").select("doc_id", F.col("text_md5").alias("digest"))
+    decision = staged(kept.groupBy("doc_id", "digest").agg(F.count("*").alias("rows")), "kept")
+    return _decided(docs, F.unhex(F.md5(F.coalesce("text", F.lit("")).cast("binary"))), decision)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -58,10 +63,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce(F.col("text"), F.lit("")))
     # rows that repeat another have its key; each is taken as often as any of them
     repeated = rows.groupBy("doc_id", "key").agg(F.max(F.struct("copies", "times"))["times"].alias("times"))
-    docs_key = docs.withColumn("_key", key)
-    out = docs_key.alias("d").join(repeated.alias("r"), (F.col("d._key") == F.col("r.key")) & F.col("d.doc_id").eqNullSafe(F.col("r.doc_id")))
-    out = out.select(*[F.col(f"d.`{c}`") for c in docs.columns], F.col("d._key").alias("_key"), F.explode("r.times").alias("_time"))
-    return out.repartitionByRange("_time", "_key").sortWithinPartitions("_time", "_key").select(*docs.columns)
+    whole = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.col("doc_id").cast("long").alias("id"), key.alias("own"))
+    out = whole.join(repeated.alias("r"), (F.col("own") == F.col("r.key")) & F.col("id").eqNullSafe(F.col("r.doc_id")))
+    out = out.select("row", "own", F.explode("r.times").alias("time"))
+    return out.repartitionByRange("time", "own").sortWithinPartitions("time", "own").select("row.*")
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -78,7 +83,7 @@ STAGES = [
     ("SentencePiece encoding", encode),
 ]
 
-#: Rules are learned and pieces are encoded: SQL can't say that. tests/llm holds the result against brute force.
+#: Rules are learned and pieces are encoded: SQL can't say that. tests/llm holds each stage against a plain version on awkward rows.
 ORACLE_SQL = None
 
 
