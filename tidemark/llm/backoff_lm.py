@@ -2,7 +2,7 @@
 
 States are the root and one per word; an arc of a state carries the
 log-probability of a word seen after it, its failure arc the backoff weight to
-the root. The corpus may have more arcs than fit anywhere, so texts are dealt
+the root. The corpus may have more arcs than fit anywhere, so texts are packed
 into chunks, and each chunk gets the part of the automaton that its own words
 ask for, with weights from counts over the whole corpus: it sends its distinct
 words and pairs of words to buckets by hash, and each bucket answers with
@@ -122,12 +122,44 @@ class Chunk:
         self.pair_cut = np.searchsorted(place[self.pair_order], every)
 
 
+def _chunks(chunk_bytes: int):
+    """Rows of a task in chunks of about chunk_bytes of text: a number drawn at random, bytes, and the rows as compressed Arrow data."""
+
+    def run(batches):
+        rng = np.random.default_rng()
+        waiting: list[pa.RecordBatch] = []
+        size = 0
+
+        def packed() -> pa.RecordBatch:
+            sink = pa.BufferOutputStream()
+            with pa.ipc.new_stream(sink, waiting[0].schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+                for b in waiting:
+                    out.write_batch(b)
+            number = pa.array([rng.integers(1 << 62)], pa.int64())
+            return pa.RecordBatch.from_arrays([number, pa.array([size], pa.int64()), pa.array([sink.getvalue().to_pybytes()], pa.binary())], names=["chunk", "bytes", "data"])
+
+        for batch in batches:
+            waiting.append(batch)
+            size += sum(len(x) for x in batch.column(2).buffers()[2:] if x is not None)
+            if size >= chunk_bytes:
+                yield packed()
+                waiting, size = [], 0
+        if waiting:
+            yield packed()
+
+    return run
+
+
+def _rows(data) -> pa.Table:
+    return pa.ipc.open_stream(pa.py_buffer(data)).read_all()
+
+
 def _asked(spread, buckets: int):
     """What a chunk has for each bucket: words, their counts and numbers of followers, followers, their counts, and the spread word before each of the last ones."""
 
-    def run(table: pa.Table) -> pa.Table:
-        train = np.asarray(table.column("train").to_numpy(zero_copy_only=False), bool)
-        c = Chunk(table.column("text").combine_chunks(), train, spread.value, buckets)
+    def one(number: int, rows: pa.Table) -> pa.RecordBatch:
+        train = ~np.asarray(rows.column("held_out").to_numpy(zero_copy_only=False), bool)
+        c = Chunk(rows.column("text").combine_chunks(), train, spread.value, buckets)
         out: dict[str, list] = {k: [] for k in ("bucket", "words", "word_n", "follow", "second", "pair_n", "wide")}
         for k in range(buckets):
             w, p = c.word_order[c.word_cut[k] : c.word_cut[k + 1]], c.pair_order[c.pair_cut[k] : c.pair_cut[k + 1]]
@@ -138,9 +170,13 @@ def _asked(spread, buckets: int):
                 row = (k, c.words[w].tobytes(), _packed(c.word_n[w]), _packed(follow), c.second[p].tobytes(), _packed(c.pair_n[p]), _packed(wide[wide >= 0]))
                 for name, value in zip(out, row, strict=True):
                     out[name].append(value)
-        chunk = pa.array(np.full(len(out["bucket"]), table.column("chunk")[0].as_py()), pa.int32())
-        data = {k: pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()}
-        return pa.table({"chunk": chunk, **data})
+        columns = [pa.array(np.full(len(out["bucket"]), number), pa.int64()), *[pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()]]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", *out])
+
+    def run(batches):
+        for batch in batches:
+            for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                yield one(number, _rows(data.as_buffer()))
 
     return run
 
@@ -184,7 +220,7 @@ def _answered(spread):
     return run
 
 
-ANSWER = pa.schema([("chunk", pa.int32()), ("bucket", pa.int32()), ("pair_n", pa.binary()), ("word_n", pa.binary()), ("kinds", pa.binary()), ("spread", pa.int32()), *[(k, pa.int64()) for k in ("n", "v", "n1", "n2")]])
+ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("pair_n", pa.binary()), ("word_n", pa.binary()), ("kinds", pa.binary()), ("spread", pa.int32()), *[(k, pa.int64()) for k in ("n", "v", "n1", "n2")]])
 
 
 class Automaton:
@@ -229,10 +265,11 @@ class Automaton:
 
 
 def _scores(model, buckets: int):
-    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         spread, spread_kinds, corpus = model.value
         total, distinct, _, _ = corpus
-        texts = docs.column("text").combine_chunks() if docs.num_rows else pa.array([], pa.string())
+        docs = _rows(chunk.column("data")[0].as_buffer())
+        texts = docs.column("text").combine_chunks()
         c = Chunk(texts, np.zeros(docs.num_rows, bool), spread, buckets)
         pair_n, word_n, kinds = np.zeros(len(c.pairs), np.int64), np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.int64)
         for r in answers.to_pylist():
@@ -288,8 +325,9 @@ def score_documents(
     small_batches(spark)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", held_out("doc_id"))
-    total_bytes = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    chunks = max(1, -(-total_bytes // chunk_bytes))
+    packed = docs.select("doc_id", "held_out", "text").mapInArrow(_chunks(chunk_bytes), "chunk long, bytes long, data binary")
+    packed = staged(packed, "chunks", "uncompressed")
+    chunks = max(1, -(-(packed.agg(F.sum("bytes")).first()[0] or 0) // chunk_bytes))
     hashed = F.xxhash64("doc_id", F.octet_length("text"))
     some = docs.filter(F.pmod(hashed, F.lit(min(chunks, SAMPLE))) == 0)
     found = staged(some.select("text").mapInArrow(_frequent(state_share), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
@@ -298,10 +336,8 @@ def score_documents(
     keys = np.sort(np.array([r.word for r in frequent.collect()], np.int64).view(np.uint64))
     shared_keys = spark.sparkContext.broadcast(keys)
 
-    dealt = docs.withColumn("chunk", F.pmod(hashed, F.lit(chunks)).cast("int"))
-    asked = dealt.select("chunk", ~F.col("held_out"), "text").toDF("chunk", "train", "text").groupBy("chunk")
-    asked = asked.applyInArrow(_asked(shared_keys, chunks), "chunk int, bucket int, words binary, word_n binary, follow binary, second binary, pair_n binary, wide binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answered(shared_keys), "chunk int, bucket int, pair_n binary, word_n binary, kinds binary, spread int, n long, v long, n1 long, n2 long")
+    asked = packed.select("chunk", "data").mapInArrow(_asked(shared_keys, chunks), "chunk long, bucket int, words binary, word_n binary, follow binary, second binary, pair_n binary, wide binary")
+    answers = asked.groupBy("bucket").applyInArrow(_answered(shared_keys), "chunk long, bucket int, pair_n binary, word_n binary, kinds binary, spread int, n long, v long, n1 long, n2 long")
     answers = staged(answers, "answers")
 
     stats = answers.filter("spread = -1").agg(*[F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")]).first()
@@ -312,6 +348,6 @@ def score_documents(
         kinds[r.spread] = r.n
     model = spark.sparkContext.broadcast((keys, kinds, (n, v, discount, v)))
     answers = answers.filter("chunk is not null").select("chunk", "bucket", "pair_n", "word_n", "kinds")
-    scored = dealt.groupBy("chunk").cogroup(answers.groupBy("chunk"))
+    scored = packed.select("chunk", "data").groupBy("chunk").cogroup(answers.groupBy("chunk"))
     scored = scored.applyInArrow(_scores(model, chunks), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
