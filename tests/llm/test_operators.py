@@ -238,38 +238,57 @@ def test_language_model(docs, empty):
     assert backoff_lm.score_documents(empty).count() == 0
 
 
-@pytest.mark.parametrize("share", [1e-3, 0.9])
-def test_language_model_counts_every_bigram(docs, share):
-    got = backoff_lm.score_documents(docs, chunk_bytes=50_000, state_share=share).collect()
+@pytest.mark.parametrize(("share", "chunk"), [(1e-3, 50_000), (0.9, 50_000), (0.02, 1 << 30)])
+def test_language_model_counts_every_ngram(docs, share, chunk):
+    got = backoff_lm.score_documents(docs, chunk_bytes=chunk, state_share=share).collect()
     out = lambda i: zlib.crc32(("" if i is None else str(i)).encode()) % 7 == 2
     tokens = lambda t: [*WORD.findall(_low(t)), "\n"]
-    c, pairs, kinds = collections.Counter(), collections.Counter(), collections.Counter()
+    c, pairs, triples, kinds = (collections.Counter() for _ in range(4))
     for t in (tokens(r[1]) for r in _rows() if not out(r[0])):
         c.update(t)
         pairs.update(zip(t[:-1], t[1:], strict=True))
+        triples.update(zip(t[:-2], t[1:-1], t[2:], strict=True))
     kinds.update(a for a, _ in pairs)
+    kinds.update((a, b) for a, b, _ in triples)
     n, v, once, twice = sum(c.values()), len(c), sum(k == 1 for k in c.values()), sum(k == 2 for k in c.values())
     d = min(0.95, max(0.1, once / max(once + 2 * twice, 1)))
 
-    def weight(a, w):
-        uni = (c[w] - d) / n if c[w] else d * v / n
-        if a is None or not c[a]:
-            return math.log10(uni)
-        return math.log10(max(0, pairs[a, w] - d) / c[a] + d * kinds[a] / c[a] * uni)
+    def chance(a, b, w):
+        p = (c[w] - d) / n if c[w] else d * v / n
+        if b is not None and c[b]:
+            p = max(0, pairs[b, w] - d) / c[b] + d * kinds[b] / c[b] * p
+        if a is not None and pairs[a, b] >= 2:
+            p = max(0, triples[a, b, w] - d) / pairs[a, b] + d * kinds[a, b] / pairs[a, b] * p
+        return p
 
-    want = [(r[0], round(sum(weight(a, w) for a, w in zip([None, *tokens(r[1])[:-1]], tokens(r[1]), strict=True)), 4)) for r in _rows()]
-    got, want = sorted(((r.doc_id, r.score) for r in got), key=str), sorted(want, key=str)
+    def score(t):
+        return sum(math.log10(chance(a, b, w)) for a, b, w in zip([None, None, *t], [None, *t], t, strict=False))
+
+    want = [(r[0], score(tokens(r[1]))) for r in _rows()]
+    got, want = sorted(((r.doc_id, round(r.score, 4)) for r in got), key=str), sorted(((i, round(s, 4)) for i, s in want), key=str)
     assert [i for i, _ in got] == [i for i, _ in want]
     assert [s for _, s in got] == pytest.approx([s for _, s in want], abs=1e-3)
+    every = [*c, "never seen"]
+    for a, b in [("a", "a"), ("one", "two"), ("w1", "w2")]:
+        assert sum(chance(a, b, w) for w in every) == pytest.approx(1)
+
+
+def test_language_model_does_not_depend_on_how_rows_are_dealt(docs):
+    got = [sorted(((r.doc_id, r.n_tokens, round(r.score, 6)) for r in backoff_lm.score_documents(docs.repartition(k), chunk_bytes=100_000).collect()), key=str) for k in (1, 12)]
+    assert got[0] == got[1]
 
 
 def test_automaton_weights_add_up_to_one():
-    states = np.array([3, 5], np.uint64)
-    words = np.array([3, 5, 8], np.uint64)
-    a = backoff_lm.Automaton(states, np.array([6, 4]), np.array([5, 3]), np.array([2, 1]), (15, 3, 0.5, 3), words, np.array([6, 4, 5]), np.array([0, 1, 2]), np.array([2, 3, 3]))
-    for first in (3, 5, 8):
-        seen = [10 ** a.traverse(np.array([first, w], np.uint64), np.zeros(2, int))[1] for w in (3, 5, 8, 99)]
-        assert sum(seen) == pytest.approx(1)
+    # words 0 to 2; pairs 01 and 02 seen 3 times each, 12 once; state 01 with 2 once and 0 twice
+    pairs = [(0, 1, 3), (0, 2, 3), (1, 2, 1), (1, 0, 2)]
+    first, second, pair_n = (np.array(x) for x in zip(*pairs, strict=True))
+    a = backoff_lm.Automaton((15, 3, 0.5), np.array([6, 4, 5]), np.array([6, 3, 0]), np.array([2, 2, 0]), first, second, pair_n, np.array([0]), np.array([2]), np.array([0, 0]), np.array([2, 3]), np.array([1, 2]))
+    at = {(f, s): k for k, (f, s, _) in enumerate(pairs)}
+    unknown = 0.5 * 3 / 15
+    for before, slot, triple in ((0, -1, {}), (1, -1, {}), (1, 0, {2: 0, 0: 1})):
+        left = (10 ** a.deep_fail[slot] if slot >= 0 else 1.0) * 10 ** a.fail[before]
+        seen = [a.walk(np.array([w]), np.array([before]), np.array([at.get((before, w), -1)]), np.array([slot]), np.array([triple.get(w, -1)]))[0] for w in range(3)]
+        assert sum(10**x for x in seen) + left * unknown == pytest.approx(1)
 
 
 def test_mixing(docs, empty):

@@ -1,18 +1,22 @@
 """Operator 7: scoring by a weighted backoff automaton of smoothed n-grams.
 
-States are the root and one per word; an arc of a state carries the
-log-probability of a word seen after it, its failure arc the backoff weight to
-the root. The corpus may have more arcs than fit anywhere, so texts are packed
-into chunks, and each chunk gets the part of the automaton that its own words
-ask for, with weights from counts over the whole corpus: it sends its distinct
-words and pairs of words to buckets by hash, and each bucket answers with
-totals in the order in which it was asked.
+States are the root, one per word and one per pair of words that training has
+twice or more. An arc of a state carries the log-probability of a word seen
+after it; its failure arc, with the backoff weight, leads from a pair to its
+last word and from a word to the root. The corpus may have more arcs than fit
+anywhere, so texts are packed into chunks, and each chunk gets the part of the
+automaton that its own texts walk through, with weights from counts over the
+whole corpus: it sends what it has, contexts and the words that follow them, to
+buckets by hash, and each bucket answers with totals in the order in which it
+was asked; first for pairs, then for triples behind the pairs that are states.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 import zlib
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +26,14 @@ from pyspark.sql import functions as F
 from tidemark.llm.words import mixed, slices
 from tidemark.llm.workspace import small_batches, staged
 
-#: The pairs of a word with this share of sampled tokens are dealt over all buckets, those of any other lie in its own. No result depends on it.
+#: What follows a context with this share of sampled tokens is dealt over all buckets, what follows any other lies in its own. No result depends on it.
 STATE_SHARE = 2e-4
+#: A pair of words is a state if training has it so often; what follows a rarer one is known from its last word alone.
+LEAST = 2
 #: At most one in so many chunks' worth of texts is looked at for these words.
 SAMPLE = 64
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
 END = np.uint64(0x5BD1E9955BD1E995)
-ROOT = -1
 
 
 def _tokens(column: pa.Array):
@@ -48,6 +53,10 @@ def _find(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
     return np.where(keys[at] == values, at, -1)
 
 
+def _pair_key(first: np.ndarray, second: np.ndarray) -> np.ndarray:
+    return mixed(mixed(first) + np.uint64(0x9E3779B97F4A7C15) ^ second)
+
+
 def _summed(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     unique, inverse = np.unique(keys, return_inverse=True)
     return unique, np.bincount(inverse, weights=weights, minlength=len(unique)).astype(np.int64)
@@ -58,19 +67,17 @@ def _merged(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
 
 
 def _frequent(share: float):
-    """Words that hold a quarter of `share` or more of a task's tokens, and the task's token count (word null).
-
-    A word with that share of all tokens has it in some task; each task sends few.
-    """
+    """Words and pairs of words that hold a quarter of `share` or more of a task's tokens, and the task's token count (word null)."""
 
     def run(batches):
         keys, counts, total = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
         fresh: list[tuple[np.ndarray, np.ndarray]] = []
         waiting = 0
         for batch in batches:
-            for _, _, h, _ in _tokens(batch.column(0)):
+            for _, _, h, row in _tokens(batch.column(0)):
                 total += len(h)
-                fresh.append(_summed(h, np.ones(len(h))))
+                both = np.concatenate([h, _pair_key(h[:-1], h[1:])[row[1:] == row[:-1]]])
+                fresh.append(_summed(both, np.ones(len(both))))
                 waiting += len(fresh[-1][0])
                 if waiting > max(1 << 20, len(keys)):
                     keys, counts = _merged([(keys, counts), *fresh])
@@ -91,36 +98,109 @@ def _unpacked(data: bytes) -> np.ndarray:
     return np.frombuffer(zlib.decompress(data[1:]), data[:1].decode()).astype(np.int64)
 
 
-class Chunk:
-    """Distinct words and pairs of neighbours of a chunk's texts, each with its training count, and the buckets that count them.
+class Asks:
+    """Contexts and what follows them, each with its training count, in the order in which buckets are asked.
 
-    A pair is the index of its first word times the number of words, plus that
-    of its second. Within a bucket, pairs of a spread word come last.
+    Within a bucket, what follows a spread context comes last.
     """
 
-    def __init__(self, texts: pa.Array, train: np.ndarray, spread: np.ndarray, buckets: int):
-        parts = [(h, first + row) for first, _, h, row in _tokens(texts)]
-        h, row = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
-        del parts
-        self.words, of = np.unique(h, return_inverse=True)
-        width = len(self.words)
-        self.word_n = np.bincount(of, weights=train[row], minlength=width).astype(np.int64)
-        same = row[1:] == row[:-1]
-        self.pairs, self.pair_n = _summed((of[:-1] * width + of[1:])[same], train[row[1:]][same])
-        self.first = self.pairs // max(width, 1)
-        self.second = self.words[self.pairs - self.first * width]
-        self.spread = _find(spread, self.words)
+    def __init__(self, keys: np.ndarray, key_n: np.ndarray, first: np.ndarray, second: np.ndarray, pair_n: np.ndarray, spread: np.ndarray, buckets: int):
+        self.keys, self.key_n, self.first, self.second, self.pair_n, self.buckets = keys, key_n, first, second, pair_n, buckets
+        self.spread = _find(spread, keys)
         n = np.uint64(buckets)
-        home = (mixed(self.words) % n).astype(np.int64)
-        self.wide = self.spread[self.first]
-        dealt = (mixed(mixed(self.words[self.first]) ^ self.second) % n).astype(np.int64)
-        place = np.where(self.wide >= 0, dealt, home[self.first])
-        self.word_order = np.argsort(home, kind="stable")
-        self.pair_order = np.argsort(place * 2 + (self.wide >= 0), kind="stable")
+        home = (mixed(keys) % n).astype(np.int64)
+        self.wide = self.spread[first]
+        dealt = (mixed(mixed(keys[first]) ^ second) % n).astype(np.int64)
+        place = np.where(self.wide >= 0, dealt, home[first])
+        self.key_order = np.argsort(home, kind="stable")
+        self.pair_order = np.lexsort((first, self.wide >= 0, place))
         every = np.arange(buckets + 1)
-        self.word_cut = np.searchsorted(home[self.word_order], every)
+        self.key_cut = np.searchsorted(home[self.key_order], every)
         self.pair_cut = np.searchsorted(place[self.pair_order], every)
 
+    def part(self, k: int) -> tuple[np.ndarray, np.ndarray]:
+        return self.key_order[self.key_cut[k] : self.key_cut[k + 1]], self.pair_order[self.pair_cut[k] : self.pair_cut[k + 1]]
+
+    def sent(self, number: int) -> pa.RecordBatch:
+        """One row per bucket that is asked: keys, their counts and numbers of followers, followers, their counts, and the spread key before each of the last ones."""
+        out: dict[str, list] = {k: [] for k in ("bucket", "words", "word_n", "follow", "second", "pair_n", "wide")}
+        for k in range(self.buckets):
+            w, p = self.part(k)
+            if len(w) + len(p):
+                wide = self.wide[p]
+                follow = np.bincount(np.searchsorted(w, self.first[p[wide < 0]]), minlength=len(w))
+                row = (k, self.keys[w].tobytes(), _packed(self.key_n[w]), _packed(follow), self.second[p].tobytes(), _packed(self.pair_n[p]), _packed(wide[wide >= 0]))
+                for name, value in zip(out, row, strict=True):
+                    out[name].append(value)
+        columns = [pa.array(np.full(len(out["bucket"]), number), pa.int64()), *[pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()]]
+        return pa.RecordBatch.from_arrays(columns, names=["chunk", *out])
+
+    def totals(self, answers: list[dict], spread_kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Training totals of keys and followers, and how many kinds of words follow each key, from the buckets' answers."""
+        pair_n, key_n, kinds = np.zeros(len(self.first), np.int64), np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
+        for r in answers:
+            w, p = self.part(r["bucket"])
+            pair_n[p], key_n[w], kinds[w] = _unpacked(r["pair_n"]), _unpacked(r["word_n"]), _unpacked(r["kinds"])
+        wide = self.spread >= 0
+        kinds[wide] = spread_kinds[self.spread[wide]]
+        return key_n, pair_n, kinds
+
+
+ASKED = "chunk long, bucket int, words binary, word_n binary, follow binary, second binary, pair_n binary, wide binary"
+
+
+class Chunk:
+    """Tokens of a chunk's texts; its distinct words, pairs and triples of neighbours, each with its training count."""
+
+    def __init__(self, rows: pa.Table):
+        held = np.asarray(rows.column("held_out").to_numpy(zero_copy_only=False), bool)
+        texts = rows.column("text").combine_chunks()
+        self.n = len(held)
+        parts = [(h, (first + row).astype(np.int32)) for first, _, h, row in _tokens(texts)]
+        h, self.row = (np.concatenate(x) for x in zip(*parts, strict=True)) if parts else (np.zeros(0, np.uint64), np.zeros(0, np.int32))
+        del parts
+        self.train = ~held[self.row]
+        self.words, of = np.unique(h, return_inverse=True)
+        del h
+        self.of = of.astype(np.int32)
+        width = max(len(self.words), 1)
+        self.word_n = np.bincount(self.of[self.train], minlength=len(self.words))
+        #: Place of the pair that a token ends, -1 for a text's first.
+        self.pair_at = np.full(len(self.of), -1, np.int32)
+        inside = np.flatnonzero(self.row[1:] == self.row[:-1]) + 1
+        pairs, at = np.unique(self.of[inside - 1].astype(np.int64) * width + self.of[inside], return_inverse=True)
+        self.pair_at[inside] = at
+        self.pair_n = np.bincount(at[self.train[inside]], minlength=len(pairs))
+        self.first = (pairs // width).astype(np.int32)
+        self.second = (pairs - self.first.astype(np.int64) * width).astype(np.int32)
+
+    def asks(self, spread: np.ndarray, buckets: int) -> Asks:
+        return Asks(self.words, self.word_n, self.first, self.words[self.second], self.pair_n, spread, buckets)
+
+    def deepen(self, pair_total: np.ndarray) -> None:
+        """Makes states of the pairs that training has LEAST times or more, and finds the triples behind them."""
+        self.deep = np.flatnonzero((pair_total >= LEAST) & (self.words[self.second] != END))
+        slot = np.full(len(pair_total), -1, np.int32)
+        slot[self.deep] = np.arange(len(self.deep))
+        before = np.concatenate([[-1], self.pair_at[:-1]])
+        #: State before a token, -1 if it isn't a pair, and the place of the triple behind it.
+        self.slot_at = np.where((before >= 0) & (self.pair_at >= 0), slot[before], -1)
+        inside = np.flatnonzero(self.slot_at >= 0)
+        width = max(len(self.words), 1)
+        triples, at = np.unique(self.slot_at[inside].astype(np.int64) * width + self.of[inside], return_inverse=True)
+        self.triple_at = np.full(len(self.of), -1, np.int32)
+        self.triple_at[inside] = at
+        self.triple_n = np.bincount(at[self.train[inside]], minlength=len(triples))
+        self.slot = (triples // width).astype(np.int32)
+        self.third = (triples - self.slot.astype(np.int64) * width).astype(np.int32)
+        #: The pair that a triple ends with.
+        self.tail = np.zeros(len(triples), np.int32)
+        self.tail[at] = self.pair_at[inside]
+
+    def deep_asks(self, spread: np.ndarray, buckets: int) -> Asks:
+        keys = _pair_key(self.words[self.first[self.deep]], self.words[self.second[self.deep]])
+        return Asks(keys, self.pair_n[self.deep], self.slot, self.words[self.third], self.triple_n, spread, buckets)
+
 
 def _chunks(chunk_bytes: int):
     """Rows of a task in chunks of about chunk_bytes of text: a number drawn at random, bytes, and the rows as compressed Arrow data."""
@@ -155,28 +235,19 @@ def _rows(data) -> pa.Table:
 
 
 def _asked(spread, buckets: int):
-    """What a chunk has for each bucket: words, their counts and numbers of followers, followers, their counts, and the spread word before each of the last ones."""
-
-    def one(number: int, rows: pa.Table) -> pa.RecordBatch:
-        train = ~np.asarray(rows.column("held_out").to_numpy(zero_copy_only=False), bool)
-        c = Chunk(rows.column("text").combine_chunks(), train, spread.value, buckets)
-        out: dict[str, list] = {k: [] for k in ("bucket", "words", "word_n", "follow", "second", "pair_n", "wide")}
-        for k in range(buckets):
-            w, p = c.word_order[c.word_cut[k] : c.word_cut[k + 1]], c.pair_order[c.pair_cut[k] : c.pair_cut[k + 1]]
-            if len(w) + len(p):
-                wide = c.wide[p]
-                own = np.searchsorted(w, c.first[p[wide < 0]])
-                follow = np.bincount(own, minlength=len(w))
-                row = (k, c.words[w].tobytes(), _packed(c.word_n[w]), _packed(follow), c.second[p].tobytes(), _packed(c.pair_n[p]), _packed(wide[wide >= 0]))
-                for name, value in zip(out, row, strict=True):
-                    out[name].append(value)
-        columns = [pa.array(np.full(len(out["bucket"]), number), pa.int64()), *[pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()]]
-        return pa.RecordBatch.from_arrays(columns, names=["chunk", *out])
-
     def run(batches):
         for batch in batches:
             for number, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                yield one(number, _rows(data.as_buffer()))
+                yield Chunk(_rows(data.as_buffer())).asks(spread.value, buckets).sent(number)
+
+    return run
+
+
+def _asked_deep(spread, spread_kinds, buckets: int):
+    def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
+        c = Chunk(_rows(chunk.column("data")[0].as_buffer()))
+        c.deepen(c.asks(spread.value, buckets).totals(answers.to_pylist(), spread_kinds.value)[1])
+        return pa.Table.from_batches([c.deep_asks(spread.value, buckets).sent(chunk.column("chunk")[0].as_py())])
 
     return run
 
@@ -184,10 +255,11 @@ def _asked(spread, buckets: int):
 def _answered(spread):
     """Totals of a bucket over all chunks.
 
-    One row per chunk that asked: totals of its pairs and words, and how many
-    kinds of words follow each word in training (of spread words in this bucket
-    only). With chunk null: the kinds that follow each spread word here, and,
-    with spread -1, tokens, types, and types seen once and twice.
+    One row per chunk that asked: totals of its keys and of what follows them,
+    and how many kinds of words follow each key in training (of spread keys in
+    this bucket only). With chunk null: the kinds that follow each spread key
+    here, and, with spread -1, the sum of the keys' totals, how many keys have
+    one, and how many have 1 and 2.
     """
 
     def run(table: pa.Table) -> pa.Table:
@@ -224,73 +296,66 @@ ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("pair_n", pa
 
 
 class Automaton:
-    """Arcs with log10 weights out of the root and out of states, failure arcs from states to the root."""
+    """log10 weights of arcs and failure arcs, by places in a chunk.
 
-    def __init__(self, state_keys, context_n, context_seen, context_kinds, corpus, unigrams, unigram_n, bigrams, bigram_n):
-        self.state_keys, self.width = state_keys, max(len(state_keys), 1)
-        self.unigrams, self.unigram_n = unigrams, unigram_n
-        total, _, discount, kinds = corpus
+    corpus: training tokens, distinct ones, and the discount. word_n, pair_n and
+    triple_n are training totals, follow_n those of words as contexts (nothing
+    follows the end); a pair has a first and a second word, a triple a state
+    (slot) and the pair it ends with (tail); deep names the pairs that are states.
+    """
+
+    def __init__(self, corpus, word_n, follow_n, kinds, first, second, pair_n, deep, deep_kinds, slot, tail, triple_n):
+        total, distinct, discount = corpus
         with np.errstate(divide="ignore", invalid="ignore"):
-            self.root = np.log10((unigram_n - discount) / total) if total else np.zeros(len(unigram_n))
-            self.unknown = math.log10(discount * kinds / total) if total else 0.0
-            # what a state's seen arcs leave: words that follow it without an arc, and a discount per seen arc
-            left = (context_n - context_seen + discount * context_kinds) / context_n
-            self.failure = np.where(context_n > 0, np.log10(left), 0.0)
-            seen = bigram_n > 0
-            self.arcs = bigrams[seen]
-            h = self.arcs // self.width
-            w = self.arcs - h * self.width
-            base = 10 ** self.root_weight(state_keys[w])
-            self.weights = np.log10((bigram_n[seen] - discount) / context_n[h] + left[h] * base)
-
-    def counts(self, h: np.ndarray) -> np.ndarray:
-        at = _find(self.unigrams, h)
-        return np.where(at >= 0, self.unigram_n[at] if len(self.unigram_n) else 0, 0)
-
-    def root_weight(self, h: np.ndarray) -> np.ndarray:
-        at = _find(self.unigrams, h)
-        known = (at >= 0) & (self.unigram_n[at] > 0) if len(self.unigram_n) else at >= 0
-        return np.where(known, self.root[at] if len(self.root) else 0.0, self.unknown)
-
-    def traverse(self, h: np.ndarray, row: np.ndarray) -> np.ndarray:
-        """log10 weight of each token: its arc out of the state left by the token before, else failure arc and root arc."""
-        word = _find(self.state_keys, h)
-        state = np.full(len(h), ROOT)
-        state[1:] = np.where(row[1:] == row[:-1], word[:-1], ROOT)
-        arc = np.where((state >= 0) & (word >= 0), _find(self.arcs, state * self.width + word), -1)
-        out = self.root_weight(h)
-        if len(self.failure):
-            out = out + np.where(state >= 0, self.failure[state], 0.0)
-        return np.where(arc >= 0, self.weights[arc], out) if len(self.weights) else out
+            unknown = math.log10(discount * distinct / total) if total else 0.0
+            self.root = np.where(word_n > 0, np.log10((word_n - discount) / max(total, 1)), unknown)
+            self.fail, self.arc = self._level(discount, follow_n, kinds, first, pair_n, self.root[second])
+            self.deep_fail, self.deep_arc = self._level(discount, pair_n[deep], deep_kinds, slot, triple_n, self.arc[tail])
+
+    @staticmethod
+    def _level(discount, context_n, kinds, context, n, lower):
+        """Failure weight of each context, and weight of each arc: its own share and the failure weight's of the shorter context's."""
+        left = discount * kinds / context_n
+        fail = np.where(context_n > 0, np.log10(left), 0.0)
+        own = np.log10((n - discount) / context_n[context] + left[context] * 10**lower)
+        return fail, np.where(n > 0, own, fail[context] + lower)
+
+    def walk(self, word: np.ndarray, before: np.ndarray, pair: np.ndarray, slot: np.ndarray, triple: np.ndarray) -> np.ndarray:
+        """Weight of each token: its arc out of the state before it, or that state's failure arc and what the next state gives.
+
+        before is the word before a token (the state that a pair fails to), -1 at
+        a text's start; places of pairs, states and triples are -1 where a chunk has none.
+        """
+        out = self.root[word] + (np.where(before >= 0, self.fail[before], 0.0) if len(self.fail) else 0.0)
+        if len(self.arc):
+            out = np.where(pair >= 0, self.arc[pair], out)
+        if len(self.deep_fail):
+            out = out + np.where(slot >= 0, self.deep_fail[slot], 0.0)
+        return np.where(triple >= 0, self.deep_arc[triple], out) if len(self.deep_arc) else out
 
 
 def _scores(model, buckets: int):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
-        spread, spread_kinds, corpus = model.value
-        total, distinct, _, _ = corpus
-        docs = _rows(chunk.column("data")[0].as_buffer())
-        texts = docs.column("text").combine_chunks()
-        c = Chunk(texts, np.zeros(docs.num_rows, bool), spread, buckets)
-        pair_n, word_n, kinds = np.zeros(len(c.pairs), np.int64), np.zeros(len(c.words), np.int64), np.zeros(len(c.words), np.int64)
-        for r in answers.to_pylist():
-            p = c.pair_order[c.pair_cut[r["bucket"]] : c.pair_cut[r["bucket"] + 1]]
-            w = c.word_order[c.word_cut[r["bucket"]] : c.word_cut[r["bucket"] + 1]]
-            pair_n[p], word_n[w], kinds[w] = _unpacked(r["pair_n"]), _unpacked(r["word_n"]), _unpacked(r["kinds"])
-        wide = c.spread >= 0
-        kinds[wide] = spread_kinds[c.spread[wide]]
-        context_n = np.where(c.words == END, 0, word_n)  # nothing follows the end
-        automaton = Automaton(c.words, context_n, context_n, kinds, corpus, c.words, word_n, c.pairs, pair_n)
-        del c
-        rows = docs.num_rows
-        out = {k: np.zeros(rows, t) for k, t in (("n_tokens", np.int64), ("n_known", np.int64), ("base_score", float), ("score", float))}
-        for first, many, h, row in _tokens(texts):
-            seen = automaton.counts(h)
-            part = slice(first, first + many)
-            out["n_tokens"][part] = np.bincount(row, minlength=many)
-            out["n_known"][part] = np.bincount(row, weights=seen > 0, minlength=many)
-            out["base_score"][part] = np.bincount(row, weights=np.log10((seen + 1) / (total + (distinct + 1))), minlength=many)
-            out["score"][part] = np.bincount(row, weights=automaton.traverse(h, row), minlength=many)
-        return pa.table({"doc_id": docs.column("doc_id").cast(pa.int64()), "held_out": docs.column("held_out"), **out})
+        spread, kinds, deep_kinds, corpus = model.value
+        total, distinct, _ = corpus
+        rows = _rows(chunk.column("data")[0].as_buffer())
+        c, got = Chunk(rows), answers.to_pylist()
+        word_n, pair_n, follow_kinds = c.asks(spread, buckets).totals([r for r in got if r["level"] == 2], kinds)
+        c.deepen(pair_n)
+        _, triple_n, state_kinds = c.deep_asks(spread, buckets).totals([r for r in got if r["level"] == 3], deep_kinds)
+        follow_n = np.where(c.words == END, 0, word_n)
+        a = Automaton(corpus, word_n, follow_n, follow_kinds, c.first, c.second, pair_n, c.deep, state_kinds, c.slot, c.tail, triple_n)
+        before = np.where(c.pair_at >= 0, np.concatenate([[-1], c.of[:-1]]), -1)
+        weight = a.walk(c.of, before, c.pair_at, c.slot_at, c.triple_at)
+        seen = word_n[c.of]
+        sums = lambda x: np.bincount(c.row, weights=x, minlength=c.n)
+        out = {
+            "n_tokens": np.bincount(c.row, minlength=c.n),
+            "n_known": sums(seen > 0).astype(np.int64),
+            "base_score": sums(np.log10((seen + 1) / (total + (distinct + 1)))),
+            "score": sums(weight),
+        }
+        return pa.table({"doc_id": rows.column("doc_id").cast(pa.int64()), "held_out": rows.column("held_out"), **out})
 
     return run
 
@@ -312,8 +377,10 @@ def score_documents(
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
     (log10 probability of the text's words and one end). Words are lower-cased
     (A-Z) runs other than space and 0x09-0x0D. The probability of a word is
-    interpolated absolute discounting of all bigrams over unigrams; all words never seen are one type, with the mass discounted from unigrams,
-    so from every state probabilities add up to 1.
+    interpolated absolute discounting of triples (behind pairs seen LEAST times
+    or more) over all pairs over single words; all words never seen are one
+    type, with the mass discounted from words, so from every state probabilities
+    add up to 1.
 
     Null texts are empty: their one token is the end. Repeated rows are scored
     each for itself and train each for itself. Without training rows the only
@@ -326,7 +393,11 @@ def score_documents(
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
     docs = docs.withColumn("held_out", held_out("doc_id"))
     packed = docs.select("doc_id", "held_out", "text").mapInArrow(_chunks(chunk_bytes), "chunk long, bytes long, data binary")
-    packed = staged(packed, "chunks", "uncompressed")
+    # bucketed by chunk: joins with answers read it in place
+    table = f"lm_chunks_{uuid.uuid4().hex}"
+    tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    packed.write.bucketBy(tasks, "chunk").option("compression", "uncompressed").format("parquet").saveAsTable(table)
+    packed = spark.table(table)
     chunks = max(1, -(-(packed.agg(F.sum("bytes")).first()[0] or 0) // chunk_bytes))
     hashed = F.xxhash64("doc_id", F.octet_length("text"))
     some = docs.filter(F.pmod(hashed, F.lit(min(chunks, SAMPLE))) == 0)
@@ -336,18 +407,29 @@ def score_documents(
     keys = np.sort(np.array([r.word for r in frequent.collect()], np.int64).view(np.uint64))
     shared_keys = spark.sparkContext.broadcast(keys)
 
-    asked = packed.select("chunk", "data").mapInArrow(_asked(shared_keys, chunks), "chunk long, bucket int, words binary, word_n binary, follow binary, second binary, pair_n binary, wide binary")
-    answers = asked.groupBy("bucket").applyInArrow(_answered(shared_keys), "chunk long, bucket int, pair_n binary, word_n binary, kinds binary, spread int, n long, v long, n1 long, n2 long")
-    answers = staged(answers, "answers")
+    answer = "chunk long, bucket int, pair_n binary, word_n binary, kinds binary, spread int, n long, v long, n1 long, n2 long"
+
+    def answered(asked: DataFrame, level: int) -> tuple[DataFrame, np.ndarray]:
+        """Answers to chunks, and the kinds of words that follow each spread key."""
+        rows = staged(asked.groupBy("bucket").applyInArrow(_answered(shared_keys), answer).withColumn("level", F.lit(level)), "answers")
+        kinds = np.zeros(len(keys), np.int64)
+        for r in rows.filter("spread >= 0").groupBy("spread").agg(F.sum("n").alias("n")).collect():
+            kinds[r.spread] = r.n
+        return rows, kinds
+
+    def to_chunks(*answers: DataFrame):
+        rows = [a.filter("chunk is not null").select("level", "chunk", "bucket", "pair_n", "word_n", "kinds") for a in answers]
+        return packed.select("chunk", "data").groupBy("chunk").cogroup(reduce(DataFrame.unionByName, rows).groupBy("chunk"))
+
+    pairs, kinds = answered(packed.select("chunk", "data").mapInArrow(_asked(shared_keys, chunks), ASKED), 2)
+    shared_kinds = spark.sparkContext.broadcast(kinds)
+    triples, deep_kinds = answered(to_chunks(pairs).applyInArrow(_asked_deep(shared_keys, shared_kinds, chunks), ASKED), 3)
 
-    stats = answers.filter("spread = -1").agg(*[F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")]).first()
+    stats = pairs.filter("spread = -1").agg(*[F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")]).first()
     n, v, n1, n2 = (x or 0 for x in stats)
     discount = min(0.95, max(0.1, n1 / max(n1 + 2 * n2, 1)))
-    kinds = np.zeros(len(keys), np.int64)
-    for r in answers.filter("spread >= 0").groupBy("spread").agg(F.sum("n").alias("n")).collect():
-        kinds[r.spread] = r.n
-    model = spark.sparkContext.broadcast((keys, kinds, (n, v, discount, v)))
-    answers = answers.filter("chunk is not null").select("chunk", "bucket", "pair_n", "word_n", "kinds")
-    scored = packed.select("chunk", "data").groupBy("chunk").cogroup(answers.groupBy("chunk"))
-    scored = scored.applyInArrow(_scores(model, chunks), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
-    return scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score")
+    model = spark.sparkContext.broadcast((keys, kinds, deep_kinds, (n, v, discount)))
+    scored = to_chunks(pairs, triples).applyInArrow(_scores(model, chunks), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    out = staged(scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"), "scores")
+    spark.sql(f"DROP TABLE {table}")
+    return out
