@@ -30,13 +30,33 @@ def latest_delivery_sink(path: str, keys: list[str], delivered: str):
     """foreachBatch function that keeps the latest delivery of each key, within a batch and against those before."""
 
     def write(batch: DataFrame, _: int) -> None:
-        old = _table(batch.sparkSession, path, batch.schema)
-        both = old.unionByName(batch).groupBy(*keys).agg(F.max_by(F.struct(*batch.columns), F.struct(delivered, *[c for c in batch.columns if c not in (*keys, delivered)])).alias("v"))
-        swap_in(both.select("v.*").select(*batch.columns), path)
+        columns = batch.columns
+        order = F.struct(delivered, *[c for c in columns if c not in (*keys, delivered)])
+        newest = lambda old, new: old.unionByName(new).groupBy(*keys).agg(F.max_by(F.struct(*columns), order).alias("v")).select("v.*")
+        _merged(path, batch, keys, newest)
 
     return write
 
 
+#: Parts of a table that a sink keeps, by hash of its keys; a batch rewrites only those that it has keys of.
+PARTS = 64
+
+
+def _merged(path: str, batch: DataFrame, keys: list[str], merge) -> None:
+    """Merges a batch into the parts of a table that hold its keys; the others are neither read nor written.
+
+    merge takes the old rows of these parts and the batch. Parts are written
+    aside and moved into place when the job is done; a batch that is run again
+    finds its own rows there.
+    """
+    part = F.pmod(F.xxhash64(*keys), F.lit(PARTS)).cast("int")
+    touched = [r[0] for r in batch.select(part.alias("_part")).distinct().collect()]
+    kept = batch.limit(0).withColumn("_part", F.lit(0)).schema
+    old = _table(batch.sparkSession, path, kept).filter(F.col("_part").isin(touched)).drop("_part")
+    out = merge(old, batch).withColumn("_part", part)
+    out.write.partitionBy("_part").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
+
+
 def _table(spark, path: str, schema) -> DataFrame:
     try:
         return spark.read.schema(schema).parquet(path)
@@ -46,11 +66,11 @@ def _table(spark, path: str, schema) -> DataFrame:
         raise
 
 
-def upsert_sink(path: str, keys: list[str]):
-    """foreachBatch function; a batch that is run again changes nothing."""
+def upsert_sink(path: str, keys: list[str], order: list[str] | None = None):
+    """foreachBatch function; a batch that is run again changes nothing. Of equal keys in a batch the last in `order` stays."""
 
     def write(batch: DataFrame, _: int) -> None:
-        swap_in(upserted(_table(batch.sparkSession, path, batch.schema), batch, keys), path)
+        _merged(path, batch, keys, lambda old, new: upserted(old, new, keys, order))
 
     return write
 
@@ -59,11 +79,9 @@ def newest_vintages(spine: DataFrame, path: str, on: list[str], payload: list[st
     """foreachBatch function that keeps the newest vintage known by the cutoff for each spine row."""
 
     def write(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
         fresh = asof_join(spine, batch, on, payload, issued, cutoff, how="inner").select(*on, cutoff, *payload, issued)
-        old = _table(spark, path, fresh.schema)
-        both = old.unionByName(fresh).groupBy(*on, cutoff).agg(F.max_by(F.struct(*payload, issued), issued).alias("v"))
-        swap_in(both.select(*on, cutoff, "v.*").select(*fresh.columns), path)
+        newest = lambda old, new: old.unionByName(new).groupBy(*on, cutoff).agg(F.max_by(F.struct(*payload, issued), issued).alias("v")).select(*on, cutoff, "v.*")
+        _merged(path, fresh, [*on, cutoff], newest)
 
     return write
 
