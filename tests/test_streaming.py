@@ -48,3 +48,21 @@ def test_newest_vintage_per_target(spark, tmp_path):
     sink(spark.createDataFrame([(1, datetime(2024, 1, 1, 11), 5.0)], kind), 0)
     sink(spark.createDataFrame([(1, datetime(2024, 1, 1, 10), 4.0), (1, datetime(2024, 1, 1, 13), 6.0)], kind), 1)
     assert spark.read.parquet(str(tmp_path / "v")).first().v == 5.0
+
+
+def test_forecasts_settle_when_the_actual_arrives(spark, tmp_path):
+    f = [(k % 3, datetime(2024, 1, 1, k), float(k)) for k in range(12)]
+    a = [(k % 3, datetime(2024, 1, 1, k, 30), 10.0 * k) for k in range(12)]
+    spark.createDataFrame(f, "key int, made timestamp_ntz, q double").coalesce(1).write.parquet(str(tmp_path / "f"))
+    spark.createDataFrame(a, "key int, at timestamp_ntz, y double").coalesce(1).write.parquet(str(tmp_path / "a"))
+    left = inc.timed(spark.readStream.schema("key int, made timestamp_ntz, q double").parquet(str(tmp_path / "f")), "made", "1 day")
+    right = inc.timed(spark.readStream.schema("key int, at timestamp_ntz, y double").parquet(str(tmp_path / "a")), "at", "1 day")
+    inc.run_available(inc.settled(left, right, ["key"], "made", "at", "2 HOURS"), str(tmp_path / "c"), name="settled")
+    want = sorted((q, y) for k, m, q in f for j, t, y in a if j == k and 0 <= (t - m).total_seconds() <= 7200)
+    assert sorted((r.q, r.y) for r in spark.table("settled").collect()) == want and len(want) == 12
+
+
+def test_unsettled_chunks(spark):
+    desired = spark.createDataFrame([("a",), ("b",), ("c",)], "_chunk string")
+    manifest = spark.createDataFrame([("a", True), ("b", False)], "_chunk string, settled boolean")
+    assert sorted(r[0] for r in inc.unsettled(desired, manifest).collect()) == ["b", "c"]
