@@ -379,3 +379,46 @@ def test_gradients_agree_with_differences():
         down = loss()
         flat[at] = keep
         assert np.asarray(g[name]).reshape(-1)[at] == pytest.approx((up - down) / (2 * h), rel=0.05, abs=1e-4)
+
+
+def test_toxicity_scores_agree_with_a_plain_network():
+    import pyarrow as pa
+
+    words = " ".join(f"w{k % 37}" for k in range(150))
+    texts = ["one two three", "", words, "solo " + words[:200]]
+    net = toxicity.Network(toxicity._inputs(next(iter(toxicity.slices(pa.array(texts)))))[2][:9])
+    net.calibration = np.array([2.0, 0.3, -0.1])
+    p, size = {k: v.astype(float) for k, v in net.p.items()}, toxicity.HIDDEN
+    sig = lambda x: 1 / (1 + np.exp(-x))
+
+    def gru(d, xs):
+        h, out = np.zeros(size), []
+        for x in xs:
+            a = x @ p["w" + d] + p["c" + d]
+            z = sig(a[:size] + h @ p["u" + d][:, :size])
+            r = sig(a[size : 2 * size] + h @ p["u" + d][:, size : 2 * size])
+            c = np.tanh(a[2 * size :] + (r * h) @ p["u" + d][:, 2 * size :])
+            h = h + z * (c - h)
+            out.append(h)
+        return out
+
+    want = []
+    for t in texts:
+        worst, many = -20.0, 0
+        if t:
+            _, of, kinds, ids, begins = toxicity._inputs(next(iter(toxicity.slices(pa.array([t])))))
+            at = {int(w): k for k, w in enumerate(net.words)}
+            vector = [np.concatenate([p["word"][at.get(int(kinds[k]), toxicity.WORDS)], p["gram"][ids[begins[k] : begins[k + 1]]].mean(axis=0)]) for k in of]
+            begin = 0
+            while True:
+                xs = vector[begin : begin + toxicity.WINDOW]
+                states = np.hstack([np.array(gru("f", xs)), np.array(gru("b", xs[::-1])[::-1])])
+                e = np.tanh(states @ p["att"]) @ p["query"]
+                a = np.exp(e - e.max())
+                worst = max(worst, float((a / a.sum()) @ states @ p["out"] + p["bias"][0]))
+                many += 1
+                if begin + toxicity.WINDOW >= len(vector):
+                    break
+                begin += toxicity.STRIDE
+        want.append(sig(2.0 * worst + 0.3 * np.log1p(many) - 0.1))
+    assert net.probability(next(iter(toxicity.slices(pa.array(texts))))).tolist() == pytest.approx(want, abs=1e-4)

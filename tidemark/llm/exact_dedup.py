@@ -15,11 +15,8 @@ from pyspark.sql import functions as F
 
 from tidemark.llm.workspace import attach_groups, staged
 
-#: Digests that a bucket of a new index is meant to hold, and the fewest buckets.
+#: Digests that a bucket of a new index is meant to hold.
 PER_BUCKET = 4_000_000
-BUCKETS = 64
-#: Loads after which the files of a bucket are merged into one again.
-COMPACT_EVERY = 16
 
 
 def normalised(text: str):
@@ -35,11 +32,14 @@ class DigestIndex:
     keep_rows how many of these carry keep_id (over 1 where a row is repeated).
     Null doc_ids come after all others; a text that has no other keeps a null
     keep_id. A table is made by the first load, with at least `buckets` buckets
-    and more where that load or `expected` digests ask for it.
+    (as many as the session's shuffle partitions, if missing) and more where
+    that load or `expected` digests ask for it. Every load adds a file to each
+    bucket; `compact` makes them one again and is for whoever keeps the index.
     """
 
-    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int = BUCKETS, expected: int = 0):
-        self.spark, self.buckets, self.expected = spark, buckets, expected
+    def __init__(self, spark: SparkSession, table: str | None = None, buckets: int | None = None, expected: int = 0):
+        self.spark, self.expected = spark, expected
+        self.buckets = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
         self.table = table or f"digest_index_{uuid.uuid4().hex}"
 
     def exists(self) -> bool:
@@ -57,9 +57,7 @@ class DigestIndex:
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), digest)
 
     def append(self, digests: DataFrame, load: str) -> None:
-        """Adds the digests that the index lacks under the name of the load; a load that is there adds nothing."""
-        if self.exists() and not self.read().filter(F.col("load") == load).isEmpty():
-            return
+        """Adds the digests that the index lacks under the name of the load; one that is run again lacks none and adds none."""
         per_id = digests.groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
         fresh = per_id.groupBy("digest").agg(
             F.min("doc_id").alias("keep_id"),
@@ -82,9 +80,6 @@ class DigestIndex:
         described = {r.col_name: r.data_type for r in self.spark.sql(f"DESCRIBE EXTENDED {self.table}").collect()}
         return int(described["Num Buckets"])
 
-    def loads(self) -> int:
-        return self.read().select("load").distinct().count() if self.exists() else 0
-
     def compact(self) -> None:
         """Writes the index anew with one sorted file a bucket; until the last step the old table is whole."""
         other = f"{self.table}_next"
@@ -127,8 +122,6 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, load: str | N
     index, load = index or DigestIndex(docs.sparkSession), load or uuid.uuid4().hex
     digests = staged(index.digests(docs, id_col, text_col), "digests")
     index.append(digests, load)
-    if index.loads() % COMPACT_EVERY == 0 and index.loads():
-        index.compact()
     return index.classify(digests, load)
 
 
