@@ -356,3 +356,52 @@ def fixed_lead_share(spark, d):
     v = v.groupBy("user_id", "day", "lead_days").agg(F.max("value").alias("value"), F.max("ts").alias("issued"))
     spine = ev.filter("event_type = 'view'").select("user_id", F.col("ts").cast("date").alias("day")).distinct().withColumn("cutoff_utc", t.cutoff_utc("day", ZONE))
     return rounded(asof.late_share(asof.fixed_lead_join(spine, v, ["user_id", "day"], ["value"], 1, "issued")))
+
+
+@query(f"""WITH {_SPINE}, c AS (SELECT DISTINCT day, cutoff_utc FROM sp),
+a AS (SELECT day, avg(value) AS view_mean_24h FROM c JOIN events ON event_type = 'view' AND ts <= cutoff_utc AND ts > cutoff_utc - INTERVAL 24 HOUR GROUP BY 1),
+b AS (SELECT day, sum(CASE WHEN event_type = 'click' THEN value ELSE 0 END) / nullif(sum(value), 0) AS click_share_7d, sum(CASE WHEN event_type = 'error' THEN value ELSE 0 END) / nullif(sum(value), 0) AS error_share_7d, max(ts) AS system_at FROM c JOIN events ON ts <= cutoff_utc AND ts > cutoff_utc - INTERVAL 7 DAY GROUP BY 1),
+d AS (SELECT day, avg(value) AS bought_mean_7d FROM c JOIN events ON event_type = 'purchase' AND ts <= cutoff_utc AND ts > cutoff_utc - INTERVAL 7 DAY GROUP BY 1)
+SELECT c.day, round(view_mean_24h, 6) AS view_mean_24h, round(click_share_7d, 6) AS click_share_7d, round(error_share_7d, 6) AS error_share_7d, system_at, round(bought_mean_7d, 6) AS bought_mean_7d FROM c LEFT JOIN a USING (day) LEFT JOIN b USING (day) LEFT JOIN d USING (day)""", "day")
+def system_state(spark, d):
+    """Three series up to each day's cutoff, over 24 hours and seven days."""
+    ev = read(spark, d, "events")
+    days = _spine(spark, d).select("day", "cutoff_utc").distinct()
+    part = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("value")).otherwise(0.0)) / F.nullif(F.sum("value"), F.lit(0.0))
+    views = trailing(days, ev.filter("event_type = 'view'").select("value", "ts"), "cutoff_utc", "ts", 86400, [F.avg("value").alias("view_mean_24h")])
+    shares = trailing(days, ev.select("event_type", "value", "ts"), "cutoff_utc", "ts", 7 * 86400, [part("click").alias("click_share_7d"), part("error").alias("error_share_7d"), F.max("ts").alias("system_at")])
+    bought = trailing(days, ev.filter("event_type = 'purchase'").select("value", "ts"), "cutoff_utc", "ts", 7 * 86400, [F.avg("value").alias("bought_mean_7d")])
+    out = mart.star(days, [(x.drop("cutoff_utc"), ["day"]) for x in (views, shares, bought)])
+    return rounded(out.drop("cutoff_utc"))
+
+
+@query(f"""WITH {HALF_HOURS}, x AS (SELECT day, start_utc, CASE WHEN day < (SELECT max(day) FROM h) - 2 OR period % 5 > 0 THEN price END AS target FROM h), s AS (SELECT max(day) AS last FROM (SELECT day FROM x GROUP BY 1 HAVING avg(CAST(target IS NOT NULL AS INTEGER)) >= 0.9))
+SELECT start_utc, round(target, 6) AS target FROM x, s WHERE day <= last""")
+def complete_until(spark, d):
+    """Rows up to the last day whose targets are known for nine tenths."""
+    h = half_hours(spark, d)
+    last = h.agg(F.max("day").alias("_m"))
+    x = h.join(F.broadcast(last)).withColumn("target", F.when((F.col("day") < F.date_sub("_m", 2)) | (F.col("period") % 5 > 0), F.col("price")))
+    return rounded(series.complete_until(x, "day", "target").select("start_utc", "target"))
+
+
+@query("""SELECT o_orderkey, o_custkey FROM (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS rn FROM orders) WHERE rn % 3 = 1""")
+def every_third_order(spark, d):
+    """A sampling operator: every third order of each customer in order of time."""
+    return lake.systematic_sample(read(spark, d, "orders"), 3, ["o_orderdate", "o_orderkey"], ["o_custkey"]).select("o_orderkey", "o_custkey")
+
+
+@query("""WITH c AS (SELECT strftime(ts, '%Y%m%d') AS chunk, count(*) AS n, CASE WHEN count(*) > 340 THEN 'fetched' WHEN count(*) > 320 THEN 'from_cache' ELSE 'skipped' END AS outcome FROM events GROUP BY 1)
+SELECT outcome, count(*) AS chunks, CAST(sum(n) AS BIGINT) AS "rows" FROM c GROUP BY 1""")
+def ingest_outcomes(spark, d):
+    """Chunks and rows by outcome."""
+    c = read(spark, d, "events").groupBy(F.date_format("ts", "yyyyMMdd").alias("chunk")).agg(F.count("*").alias("rows"))
+    c = c.withColumn("outcome", F.when(F.col("rows") > 340, "fetched").when(F.col("rows") > 320, "from_cache").otherwise("skipped"))
+    return lake.outcome_counts(c)
+
+
+@query("""SELECT strftime(ts, '%Y%m%d') || '-' || strftime(ts, '%Y%m%d') AS _chunk, count(*) AS "rows" FROM events WHERE CAST(ts AS DATE) >= DATE '2024-01-31' - 10 GROUP BY 1""")
+def recent_chunks(spark, d):
+    """Chunks that end within the last ten days, and their rows."""
+    ev = lake.stamped(read(spark, d, "events"), t.chunk_key(F.col("ts").cast("date"), 1), "2024-01-31 00:00:00")
+    return lake.recent_chunks(ev, "2024-01-31", 10)
