@@ -422,3 +422,29 @@ def test_toxicity_scores_agree_with_a_plain_network():
                 begin += toxicity.STRIDE
         want.append(sig(2.0 * worst + 0.3 * np.log1p(many) - 0.1))
     assert net.probability(next(iter(toxicity.slices(pa.array(texts))))).tolist() == pytest.approx(want, abs=1e-4)
+
+
+def test_token_counts_of_sections_agree_with_a_plain_count(docs):
+    import tiktoken
+
+    path = tokenizer_file("byte_bpe_50k.tiktoken")
+    enc = tiktoken.Encoding("own", pat_str=tokenizer_pattern(), mergeable_ranks=token_counts.read_ranks(path), special_tokens={})
+    got = collections.Counter((r.doc_id, r.section, r.n_bytes, r.n_tokens, r.n_crossing, r.doc_tokens) for r in token_counts.section_token_counts(docs, path, tokenizer_pattern()).collect())
+    want = collections.Counter()
+    for i, text, *_ in _rows():
+        lines = re.findall("[^\n]*\n|[^\n]+$", text or "") or [""]
+        if (text or "").endswith("\n"):
+            lines.append("")
+        starts = np.cumsum([0, *(len(x.encode()) for x in lines)])
+        n, over, at = [0] * len(lines), [0] * len(lines), 0
+        ids = enc.encode_ordinary(text or "")
+        of = lambda byte: int(np.searchsorted(starts[: len(lines)], byte, side="right")) - 1
+        for token in ids:
+            size = len(enc.decode_single_token_bytes(token))
+            n[of(at)] += 1
+            over[of(at)] += of(at + size - 1) != of(at)
+            at += size
+        want.update((i, k, len(x.encode()), n[k], over[k], len(ids)) for k, x in enumerate(lines))
+    # a newline at the very end opens no further section
+    drop_empty_ends = lambda c: collections.Counter({k: v for k, v in c.items() if k[2] or k[1] == 0})
+    assert drop_empty_ends(got) == drop_empty_ends(want)
