@@ -215,15 +215,15 @@ def rolling_features(spark, d):
     return x.select("day", _r("total_mean_7d", 4).alias("mean7"), _r("slope", 3).alias("slope"))
 
 
-@_query(f"""WITH {_DAILY} SELECT day, round(sum(total) OVER w, 2) AS total_cum, round(sum(total * n) OVER w / sum(n) OVER w, 2) AS total_to_date,
- round(CASE WHEN count(total) OVER r >= 5 THEN avg(total) OVER r END, 2) AS total_rolling FROM daily
+@_query(f"""WITH {_DAILY} SELECT day, round(sum(total) OVER w, 2) AS total_cum, round(sum(total * n) OVER w / sum(n) OVER w, 3) AS total_to_date,
+ round(CASE WHEN count(total) OVER r >= 5 THEN avg(total) OVER r END, 4) AS total_rolling FROM daily
  WINDOW w AS (PARTITION BY year(day) ORDER BY day), r AS (PARTITION BY year(day) ORDER BY day ROWS 9 PRECEDING)""", "day")
 def running_totals(spark, d):
     """E5 to E7, M4."""
     x = _daily(spark, d).withColumn("y", F.year("day"))
     x = series.running(series.running(x, "total", ["y"], ["day"]), "total", ["y"], ["day"], "n")
     x = series.rolling_mean(x, "total", ["y"], ["day"], 10)
-    return x.select("day", _r("total_cum", 2).alias("total_cum"), _r("total_to_date", 2).alias("total_to_date"), _r("total_rolling", 2).alias("total_rolling"))
+    return x.select("day", _r("total_cum", 2).alias("total_cum"), _r("total_to_date", 3).alias("total_to_date"), _r("total_rolling", 4).alias("total_rolling"))
 
 
 @_query("""SELECT l_returnflag, count(l_extendedprice) AS n, round(avg(l_extendedprice), 4) AS mean, round(skewness(l_extendedprice), 6) AS skew, round(kurtosis(l_extendedprice), 6) AS kurt,
