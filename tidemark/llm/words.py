@@ -60,13 +60,13 @@ class Text:
         whole = np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
         self.bytes = whole[at[0] : at[-1]]
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Start and end byte of each word, and its row."""
+    def words(self, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Start and end byte of each word, and its row; words are parted by the bytes that `apart` marks."""
         b = self.bytes
         if len(b) == 0:
             none = np.zeros(0, np.int64)
             return none, none, none
-        word = ~SPACE[b]
+        word = ~apart[b]
         begins, ends = word.copy(), word.copy()
         begins[1:] &= ~word[:-1]
         ends[:-1] &= ~word[1:]
@@ -78,6 +78,18 @@ class Text:
         row = np.searchsorted(self.at[1:], start, side="right")
         return start, np.flatnonzero(ends) + 1, row
 
+    def spaced(self, apart: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+        """The bytes with A-Z as a-z and one space for each run of `apart` after a word, and where each old byte is now.
+
+        Words of a row that follow each other are one range of these bytes, joined by single spaces.
+        """
+        word = ~apart[self.bytes]
+        keep = word.copy()
+        keep[1:] |= word[:-1]
+        place = np.cumsum(keep)
+        place -= keep
+        return np.where(word, _FOLD[self.bytes], np.uint8(0x20))[keep], place
+
     def hashes(self, start: np.ndarray, end: np.ndarray, fold: bool) -> np.ndarray:
         """64-bit hash of each byte range; with fold, A-Z count as a-z.
 
