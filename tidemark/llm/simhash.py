@@ -190,7 +190,8 @@ def hamming_links(distinct: DataFrame, block: int = BLOCK) -> DataFrame:
     """
     postings = distinct.select("fp").mapInArrow(_postings, "key long, fp long, home boolean")
     met = postings.groupBy("key").agg(F.count("*").alias("n"), F.max("home").alias("filed")).filter("n > 1 and filed")
-    rows = postings.select("key", "fp").join(met.select("key", "n"), "key")
+    # Spark takes what a task makes of a small table for small: the merge hint keeps postings off the driver
+    rows = postings.select("key", "fp").join(met.select("key", "n").hint("merge"), "key")
     blocks = F.ceil(F.col("n") / block)
     rows = rows.select("key", "fp", blocks.alias("blocks"), F.pmod(F.xxhash64("fp"), blocks).alias("own"))
     rows = rows.select("key", "fp", "own", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)).alias("other"))
