@@ -18,14 +18,6 @@ def test_pinball_and_coverage(spark):
     assert [x.l for x in one.collect()] == pytest.approx([1.8, 0.2])
 
 
-def test_bootstrap(spark):
-    import datetime as dt
-
-    same = spark.createDataFrame([(dt.date(2024, 1, 1) + dt.timedelta(k), 0.0) for k in range(30)], "day date, g double")
-    r = m.block_bootstrap(same, "g", "day", repeats=50).first()
-    assert (r.low, r.high) == (0.0, 0.0)
-
-
 def test_conformal_moves_coverage_to_nominal(spark):
     df = spark.range(2000).select(F.lit("a").alias("g"), (F.pmod(F.xxhash64("id"), F.lit(1000)) / 10.0).alias("y"), F.lit(40.0).alias("p10"), F.lit(50.0).alias("p50"), F.lit(60.0).alias("p90"))
     shifts = forecasts.conformal_shifts(df, "y", [0.1, 0.5, 0.9], ["g"])

@@ -79,7 +79,7 @@ def test_history_upsert_and_diff(spark):
     new = spark.createDataFrame([(1, "a"), (2, "x"), (4, "d")], "k int, v string")
     got = lake.scd2(h, new, "k", ["v"], "2024-02-01")
     assert sorted((r.k, r.v, r.valid_to is None) for r in got.collect()) == [(1, "a", True), (2, "b", False), (2, "x", True), (3, "c", False), (4, "d", True)]
-    assert sorted(map(tuple, lake.upserted(old, new, ["k"]).collect())) == [(1, "a"), (2, "x"), (3, "c"), (4, "d")]
+    assert sorted(map(tuple, lake.upserted(old, new, ["k"], ["v"]).collect())) == [(1, "a"), (2, "x"), (3, "c"), (4, "d")]
     assert table_diff(old, new, ["k"], ["v"]).first().mismatches == 3
 
 

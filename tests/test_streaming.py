@@ -26,28 +26,23 @@ def test_grid_and_dedup(spark, tmp_path):
 
 def test_upsert_sink_is_idempotent(spark, tmp_path):
     df, s = _stream(spark, tmp_path)
-    sink = inc.upsert_sink(str(tmp_path / "out"), ["id"])
+    table = inc.last_written(spark, str(tmp_path / "out"), df.schema, ["id"], ["ts", "v"])
+    sink = inc.keyed_sink(table)
     inc.run_available(s, str(tmp_path / "c"), sink=sink)
-    sink(df, 1)
-    assert spark.read.parquet(str(tmp_path / "out")).count() == 4
-
-
-def test_history_sink(spark, tmp_path):
-    sink = inc.history_sink(str(tmp_path / "h"), "id", ["v"])
-    a = spark.createDataFrame([(1, 1.0), (2, 2.0)], "id int, v double")
-    sink(a, 0)
-    sink(a.withColumn("v", F.when(F.col("id") == 2, 9.0).otherwise(F.col("v"))), 1)
-    h = spark.read.parquet(str(tmp_path / "h"))
-    assert h.count() == 3 and h.filter("valid_to is null").count() == 2
+    sink(df.withColumn("v", F.lit(99.0)), 0)
+    assert sorted((r.id, r.v) for r in table.read().collect()) == [(1, 1.0), (2, 2.0), (3, 4.0), (4, 8.0)]
 
 
 def test_newest_vintage_per_target(spark, tmp_path):
     spine = spark.createDataFrame([(1, datetime(2024, 1, 1, 12))], "id int, cutoff_utc timestamp_ntz")
-    sink = inc.newest_vintages(spine, str(tmp_path / "v"), ["id"], ["v"], "ts")
-    kind = "id int, ts timestamp_ntz, v double"
-    sink(spark.createDataFrame([(1, datetime(2024, 1, 1, 11), 5.0)], kind), 0)
-    sink(spark.createDataFrame([(1, datetime(2024, 1, 1, 10), 4.0), (1, datetime(2024, 1, 1, 13), 6.0)], kind), 1)
-    assert spark.read.parquet(str(tmp_path / "v")).first().v == 5.0
+    kind = "id int, ts timestamp_ntz, v double, n int"
+    table, fresh = inc.newest_vintages(spine, str(tmp_path / "v"), ["id"], ["v"], "ts", ["n"], schema=spark.createDataFrame([], kind).schema)
+    sink = inc.keyed_sink(table, prepare=fresh)
+    sink(spark.createDataFrame([(1, datetime(2024, 1, 1, 11), 5.0, 2)], kind), 0)
+    sink(spark.createDataFrame([(1, datetime(2024, 1, 1, 10), 4.0, 1), (1, datetime(2024, 1, 1, 13), 6.0, 3)], kind), 1)
+    assert table.read().first().v == 5.0
+    sink(spark.createDataFrame([(1, datetime(2024, 1, 1, 11), 7.0, 1), (1, datetime(2024, 1, 1, 11), 8.0, 4)], kind), 2)
+    assert table.read().first().v == 8.0
 
 
 def test_forecasts_settle_when_the_actual_arrives(spark, tmp_path):

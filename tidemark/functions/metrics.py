@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.functions.timeutil import quantile_name
+from tidemark.sources.staging import staged
 
 
 def pinball(y: str, q: str, alpha: float) -> Column:
@@ -59,24 +60,31 @@ def paired_gain(df: DataFrame, base: str, other: str, day: str, fold: str) -> Da
     return folds.agg((F.sum("s") / F.sum("d")).alias("mean_gain"), (F.sum("s") / F.nullif(F.sum("b"), F.lit(0.0))).alias("relative_gain"), F.count_if(F.col("fold_gain") > 0).alias("folds_won"), F.count("*").alias("folds"))
 
 
+def drawn(seed: int, repeat: Column, place: Column, most: Column) -> Column:
+    """A number from 0 to most - 1 that depends on seed, repeat and place only, by md5, so that any engine can draw it."""
+    text = F.concat_ws("-", F.lit(str(seed)), repeat.cast("string"), place.cast("string"))
+    return F.pmod(F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("long"), most.cast("long"))
+
+
 def block_bootstrap(daily: DataFrame, value: str, day: str, block: int = 7, repeats: int = 2000, seed: int = 0) -> DataFrame:
-    """2.5 and 97.5 % limits of the mean over resampled blocks of consecutive days.
+    """Low and high, the 2.5 and 97.5 % limits of the mean over resampled blocks of consecutive days.
 
-    Days are first numbered (a report-sized table: one row per day); blocks are
-    drawn by hash of seed, repeat and position, so reruns agree.
+    Values are summed up from the first day on, so the sum of a block is one
+    difference, and a repeat costs its blocks and not its days. Days without a
+    value are left out before. What is ordered in one task is a row per day.
     """
     spark = daily.sparkSession
-    rows = daily.select(F.col(value).alias("v"), (F.row_number().over(Window.orderBy(day)) - 1).alias("i"))
-    n = rows.count()
-    blocks = -(-n // block) if n else 0
-    if n == 0:
-        return spark.createDataFrame([], "low double, high double")
-    starts = max(n - block + 1, 1)
-    draws = spark.range(repeats).withColumnRenamed("id", "rep").withColumn("k", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    draws = draws.withColumn("start", F.pmod(F.xxhash64(F.lit(seed), "rep", "k"), F.lit(starts)))
-    picks = draws.withColumn("off", F.explode(F.sequence(F.lit(0), F.lit(min(block, n) - 1)))).withColumn("i", (F.col("start") + F.col("off")).cast("int"))
-    picks = picks.filter(F.col("k") * block + F.col("off") < n)
-    means = picks.join(rows, "i").groupBy("rep").agg(F.avg("v").alias("m"))
+    known = daily.filter(F.col(value).isNotNull())
+    so_far = Window.orderBy(day).rowsBetween(Window.unboundedPreceding, 0)
+    sums = known.select(F.row_number().over(so_far).cast("long").alias("i"), F.sum(F.col(value).cast("double")).over(so_far).alias("s"))
+    sums = staged(sums.unionByName(spark.range(1).select(F.lit(0).cast("long").alias("i"), F.lit(0.0).alias("s"))), "sums")
+    n = F.broadcast(sums.agg(F.max("i").alias("n")).filter("n > 0"))
+    draws = spark.range(repeats).withColumnRenamed("id", "repeat").crossJoin(n)
+    draws = draws.withColumn("k", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("n") / block) - 1)))
+    draws = draws.withColumn("start", drawn(seed, F.col("repeat"), F.col("k"), F.greatest(F.col("n") - block + 1, F.lit(1))))
+    draws = draws.withColumn("stop", F.col("start") + F.least(F.lit(block), F.col("n") - F.col("k") * block))
+    draws = draws.join(sums.toDF("start", "_a"), "start").join(sums.toDF("stop", "_b"), "stop")
+    means = draws.groupBy("repeat").agg((F.sum(F.col("_b") - F.col("_a")) / F.max("n")).alias("m"))
     return means.agg(F.percentile("m", F.lit(0.025)).alias("low"), F.percentile("m", F.lit(0.975)).alias("high"))
 
 

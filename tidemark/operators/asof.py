@@ -73,15 +73,17 @@ def asof_join(
     return out.filter(F.col(issued).isNotNull()) if how == "inner" else out
 
 
-def known_counts(spine: DataFrame, vintages: DataFrame, on: list[str], issued: str, cutoff: str = "cutoff_utc") -> DataFrame:
-    """Spine rows with n_known, the vintages of their key issued by the cutoff, and n_vintages, all of them; same plan as asof_join."""
+def known_counts(spine: DataFrame, vintages: DataFrame, on: list[str], issued: str, cutoff: str = "cutoff_utc", of_all: bool = True) -> DataFrame:
+    """Spine rows with n_known, the vintages of their key issued by the cutoff, and (of_all) n_vintages, all of them; same plan as asof_join."""
     keys = [f"_k{n}" for n in range(len(on))]
     rows = _timeline(spine, vintages, on, issued, F.col(cutoff), [], [])
     seen, here = F.count("_v"), F.count("_v")
     out = _with_carry(rows, keys, {"_here": seen}, {"_n": here}, {"_before": F.sum("_n")})
+    known = F.when(F.col("_t").isNotNull(), F.col("_here") + F.coalesce("_before", F.lit(0))).otherwise(F.lit(0))
+    if not of_all:
+        return out.select("_spine.*", known.alias("n_known"))
     all_ = rows.groupBy(*keys).agg(F.count("_v").alias("n_vintages")).select(*[F.col(k).alias(f"t{k}") for k in keys], "n_vintages")
     same = reduce(Column.__and__, [F.col(k).eqNullSafe(F.col(f"t{k}")) for k in keys])
-    known = F.when(F.col("_t").isNotNull(), F.col("_here") + F.coalesce("_before", F.lit(0))).otherwise(F.lit(0))
     return out.join(all_, same).select("_spine.*", known.alias("n_known"), "n_vintages")
 
 
@@ -96,13 +98,18 @@ def local_lag_join(spine: DataFrame, series: DataFrame, value: str, available: s
 def newer_vintage_existed(picked: DataFrame, vintages: DataFrame, on: list[str], issued: str, cutoff: str = "cutoff_utc") -> DataFrame:
     """Picks for which a newer vintage was there by the cutoff; empty when the join is right.
 
-    Counts vintages known by the cutoff and by the issue time of the pick: the
-    first are more exactly if something newer was there. No pair is listed.
+    Each pick stands in one timeline twice, at its cutoff and at its own issue
+    time; the vintages counted up to the first less those up to the second are
+    the newer ones. No pair is listed. A pick without a vintage has none up to
+    its issue time.
     """
-    picks = picked.select(*on, cutoff, issued)
-    by_cutoff = known_counts(picks, vintages, on, issued, cutoff).withColumnRenamed("n_known", "_by_cutoff").drop("n_vintages")
-    both = known_counts(by_cutoff.withColumnRenamed(issued, "_picked"), vintages, on, issued, "_picked")
-    return both.filter("_by_cutoff > n_known").select(*on, cutoff, F.col("_picked").alias(issued), (F.col("_by_cutoff") - F.col("n_known")).alias("n_newer"))
+    marks = F.array(F.struct(F.col(cutoff).alias("_mark"), F.lit(1).alias("_sign")), F.struct(F.col(issued).alias("_mark"), F.lit(-1).alias("_sign")))
+    twice = picked.select(*on, cutoff, issued, F.inline(marks))
+    counted = known_counts(twice, vintages, on, issued, "_mark", of_all=False)
+    # equal picks are one group, and each of them is returned
+    equal = F.count_if(F.col("_sign") > 0)
+    per = counted.groupBy(*on, cutoff, issued).agg(equal.alias("_equal"), F.sum(F.col("_sign") * F.col("n_known")).alias("_sum")).filter("_sum > 0")
+    return per.select(*on, cutoff, issued, (F.col("_sum") / F.col("_equal")).cast("long").alias("n_newer"), F.explode(F.sequence(F.lit(1).cast("long"), F.col("_equal"))).alias("_")).drop("_")
 
 
 def fixed_lead_join(spine: DataFrame, vintages: DataFrame, on: list[str], payload: list[str], lead: int, issued: str, cutoff: str = "cutoff_utc", lead_col: str = "lead_days") -> DataFrame:

@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions.metrics import mean_pinball, metric_columns
 from tidemark.functions.timeutil import quantile_name, sorted_row
-from tidemark.operators.series import exact_quantiles, quantile_columns, value_positions
+from tidemark.operators.series import auc, counted_positions, exact_quantiles, quantile_columns
+from tidemark.sources.staging import staged
 
 
 def monthly_folds(spark: SparkSession, first: str, last: str, gap_days: int = 2) -> DataFrame:
@@ -17,14 +18,13 @@ def monthly_folds(spark: SparkSession, first: str, last: str, gap_days: int = 2)
 
 
 def fold_rows(df: DataFrame, folds: DataFrame, day: str, last_days: int | None = None) -> tuple[DataFrame, DataFrame]:
-    """(train, test) rows of every fold at once; folds are few and broadcast.
+    """(train, test) rows of every fold at once, for what can't be added up: history is repeated for each fold (see operators.folds for sums).
 
     last_days limits training to a rolling window.
     """
-    f = F.broadcast(folds)
     lower = F.lit(True) if last_days is None else F.col(day) > F.date_sub("train_end", last_days)
-    train = df.join(f, (F.col(day) <= F.col("train_end")) & lower)
-    test = df.join(F.broadcast(folds), F.col(day).between(F.col("test_start"), F.col("test_end")))
+    train = df.join(folds, (F.col(day) <= F.col("train_end")) & lower)
+    test = df.join(folds, F.col(day).between(F.col("test_start"), F.col("test_end")))
     return train, test
 
 
@@ -45,18 +45,20 @@ def naive_fit(train: DataFrame, y: str, point: Column, group: str, quantiles: li
 def naive_predict(test: DataFrame, offsets: DataFrame, point: Column, group: str, quantiles: list[float], keys: list[str]) -> DataFrame:
     """Point plus offset (0 where a group is unknown), quantiles in order."""
     names = [quantile_name(q) for q in quantiles]
-    out = test.join(F.broadcast(offsets), [*keys, group], "left")
+    out = test.join(offsets, [*keys, group], "left")
     out = out.withColumns({n: point + F.coalesce(f"off_{n}", F.lit(0.0)) for n in names}).drop(*[f"off_{n}" for n in names])
     return out.withColumns(sorted_row(names))
 
 
 def conformal_shifts(calibration: DataFrame, y: str, quantiles: list[float], keys: list[str], mode: str = "all") -> DataFrame:
     """Per key the quantile of y - raw quantile over calibration rows; mode none, outer (not the middle) or all."""
+    calibration = staged(calibration.select(*keys, y, *[quantile_name(q) for q in quantiles]), "calibration")
     out = calibration.groupBy(*keys).agg(F.count(y).alias("n_calibration"))
     # all quantiles in one pass: a row's gap to each is one row
     gaps = F.array(*[F.struct(F.lit(float(q)).alias("_q"), (F.col(y) - F.col(quantile_name(q))).alias("_gap")) for q in quantiles])
-    long = calibration.select(*keys, F.inline(gaps))
-    each = value_positions(long, "_gap", [*keys, "_q"]).groupBy(*keys, "_q").agg(quantile_columns([F.col("_q")], "_gap")[0].alias("_shift"))
+    long = calibration.select(*keys, F.inline(gaps)).filter("_gap is not null")
+    counts = staged(long.groupBy(*keys, "_q", F.col("_gap").alias("_x")).agg(F.count("*").alias("n")), "counts")
+    each = counted_positions(counts, [*keys, "_q"], [F.col("_q")]).groupBy(*keys, "_q").agg(quantile_columns([F.col("_q")])[0].alias("_shift"))
     fixed = lambda q: mode == "none" or (mode == "outer" and q == 0.5)
     wide = each.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == float(q), F.lit(0.0) if fixed(q) else F.col("_shift"))).alias(f"shift_{quantile_name(q)}") for q in quantiles])
     return out.join(wide, keys, "left") if keys else out.crossJoin(F.broadcast(wide))
@@ -72,18 +74,18 @@ def calibration_split(df: DataFrame, day: str, days: int = 56, gap_days: int = 2
 def shifted(df: DataFrame, shifts: DataFrame, quantiles: list[float], keys: list[str], group: str | None = None, by_group: DataFrame | None = None) -> DataFrame:
     """Quantiles plus shifts of the group, or of all where the group has none, in order."""
     names = [quantile_name(q) for q in quantiles]
-    out = df.join(F.broadcast(shifts.drop("n_calibration")), keys, "left")
+    out = df.join(shifts.drop("n_calibration"), keys, "left")
     if by_group is not None:
         own = by_group.select(*keys, group, *[F.col(f"shift_{n}").alias(f"own_{n}") for n in names])
-        out = out.join(F.broadcast(own), [*keys, group], "left")
+        out = out.join(own, [*keys, group], "left")
     move = lambda n: F.coalesce(*([F.col(f"own_{n}")] if by_group is not None else []), F.col(f"shift_{n}"), F.lit(0.0))
     out = out.withColumns({n: F.col(n) + move(n) for n in names})
     return out.drop(*[f"shift_{n}" for n in names], *[f"own_{n}" for n in names]).withColumns(sorted_row(names))
 
 
-def verdict(gain: DataFrame, low: Column, coverage: Column, least_folds: int = 9) -> DataFrame:
+def verdict(gain: DataFrame, low: Column, coverage: Column, least_folds: int = 9, within: tuple[float, float] = (0.77, 0.83)) -> DataFrame:
     """Whether an experiment is adopted."""
-    return gain.withColumn("adopted", (low > 0) & (F.col("folds_won") >= least_folds) & coverage.between(0.77, 0.83))
+    return gain.withColumn("adopted", (low > 0) & (F.col("folds_won") >= least_folds) & coverage.between(*within))
 
 
 def promotion(df: DataFrame, y: str, quantiles: list[float], least_rows: int) -> DataFrame:
@@ -174,10 +176,63 @@ def importance(spark: SparkSession, model) -> DataFrame:
 def with_residual_quantiles(model, fit: DataFrame, calibration: DataFrame, y: str, quantiles: list[float]) -> DataFrame:
     """Rows of `fit` with the point forecast and quantiles p10, ...: the point plus quantiles of the residuals of calibration rows."""
     residual = model.transform(calibration).select((F.col(y) - F.col("point")).alias("_r"))
+    return _with_offsets(model.transform(fit).drop("_x", "_z"), residual, quantiles)
+
+
+def _with_offsets(pointed: DataFrame, residual: DataFrame, quantiles: list[float]) -> DataFrame:
     q = exact_quantiles(residual, "_r", [], quantiles)
-    out = model.transform(fit).crossJoin(F.broadcast(q))
+    out = pointed.crossJoin(F.broadcast(q))
     out = out.withColumns({quantile_name(x): F.col("point") + F.col(f"q{k}") for k, x in enumerate(quantiles)})
-    return out.drop(*[f"q{k}" for k in range(len(quantiles))], "_x", "_z").withColumns(sorted_row([quantile_name(x) for x in quantiles]))
+    return out.drop(*[f"q{k}" for k in range(len(quantiles))]).withColumns(sorted_row([quantile_name(x) for x in quantiles]))
+
+
+def residual_forecast(train: DataFrame, test: DataFrame, features: list[str], y: str, day: str, quantiles: list[float], days: int = 56, gap_days: int = 2, half_life: float | None = None) -> DataFrame:
+    """J9 in one call: a linear point model of all but the last days of train, and quantiles from its residuals on these days.
+
+    The calibration days are cut off with a gap before them; the model is
+    fitted on what is before (with recency weights, if a half-life is given),
+    and test rows get its point plus the residuals' quantiles, in order.
+    """
+    from tidemark.operators.folds import linear_folds, predicted
+
+    fit, calibration = calibration_split(train.filter(F.col(y).isNotNull()), day, days, gap_days)
+    last = fit.agg(F.max(day).alias("train_end"))
+    one = last.select(F.lit("all").alias("fold"), F.col("train_end").alias("test_start"), F.col("train_end").alias("test_end"), "train_end")
+    model = staged(linear_folds(fit, one, features, y, day, half_life), "model")
+    point = lambda rows: predicted(rows.withColumn("fold", F.lit("all")), model, features).drop("fold")
+    residual = point(calibration).select((F.col(y) - F.col("point")).alias("_r"))
+    return _with_offsets(point(test), residual, quantiles)
+
+
+def block_of_months(day: str, months: int, blocks: int) -> Column:
+    """Number of the block of a row when blocks of so many months take turns."""
+    return F.floor((F.year(day) * 12 + F.month(day) - 1) / months) % blocks
+
+
+def cross_fitted(df: DataFrame, features: list[str], label: str, block: str, blocks: int, **params) -> DataFrame:
+    """Df with _score, the probability of label that a tree classifier gives each row that was fitted on the other blocks.
+
+    Each row is scored once by a model that hasn't seen its block. Nulls in
+    features are taken as 0. One model per block is fitted by Spark ML.
+    """
+    from pyspark.ml import Pipeline
+    from pyspark.ml.classification import GBTClassifier
+    from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
+
+    rows = df.withColumns({f"_f{k}": F.coalesce(F.col(c).cast("double"), F.lit(0.0)) for k, c in enumerate(features)}).withColumn("_label", F.col(label).cast("double"))
+    pack = VectorAssembler(inputCols=[f"_f{k}" for k in range(len(features))], outputCol="_x")
+    out = None
+    for b in range(blocks):
+        model = Pipeline(stages=[pack, GBTClassifier(featuresCol="_x", labelCol="_label", **{"maxIter": 10, "maxDepth": 4, "seed": 1, **params})]).fit(rows.filter(F.col(block) != b))
+        scored = model.transform(rows.filter(F.col(block) == b)).select(*df.columns, vector_to_array("probability")[1].alias("_score"))
+        out = scored if out is None else out.unionByName(scored)
+    return out
+
+
+def separability(scored: DataFrame, label: str, by: list[str]) -> DataFrame:
+    """How well scores tell the two periods apart: auc, positives, negatives per group (0.5: not at all)."""
+    return auc(scored, "_score", label, by)
 
 
 def adversarial(df: DataFrame, features: list[str], later: Column, test: Column, top: int = 6, above: float = 0.05, keep: tuple[str, ...] = ()) -> tuple[DataFrame, DataFrame]:
@@ -188,8 +243,8 @@ def adversarial(df: DataFrame, features: list[str], later: Column, test: Column,
     """
     from pyspark.ml import Pipeline
     from pyspark.ml.classification import GBTClassifier
-    from pyspark.ml.evaluation import BinaryClassificationEvaluator
     from pyspark.ml.feature import VectorAssembler
+    from pyspark.ml.functions import vector_to_array
 
     spark = df.sparkSession
     rows = df.select(*[F.col(f).cast("double").alias(f) for f in features], later.cast("double").alias("_later"), test.alias("_test"))
@@ -197,15 +252,15 @@ def adversarial(df: DataFrame, features: list[str], later: Column, test: Column,
     def fit(names):
         pack = VectorAssembler(inputCols=names, outputCol="_x", handleInvalid="keep")
         model = Pipeline(stages=[pack, GBTClassifier(featuresCol="_x", labelCol="_later", maxIter=20, maxDepth=4, seed=1)]).fit(rows.filter(~F.col("_test")).na.fill(0.0, names))
-        scored = model.transform(rows.filter("_test").na.fill(0.0, names))
-        return model, BinaryClassificationEvaluator(labelCol="_later", metricName="areaUnderROC").evaluate(scored)
+        scored = model.transform(rows.filter("_test").na.fill(0.0, names)).select("_later", vector_to_array("probability")[1].alias("_score"))
+        return model, auc(scored, "_score", "_later", []).first().auc
 
-    model, auc = fit(features)
+    model, whole = fit(features)
     gain = importance(spark, model)
     markers = [r.feature for r in gain.limit(top).collect() if r.gain_share > above and r.feature not in keep]
     rest = [f for f in features if f not in markers]
     without = fit(rest)[1] if rest else 0.5
-    return spark.createDataFrame([(auc, without, markers)], "auc double, auc_without_markers double, markers array<string>"), gain
+    return spark.createDataFrame([(whole, without, markers)], "auc double, auc_without_markers double, markers array<string>"), gain
 
 
 def leaderboard(df: DataFrame, loss: str, baseline: str) -> DataFrame:

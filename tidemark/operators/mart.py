@@ -141,3 +141,21 @@ def looked_up(df: DataFrame, table: DataFrame, on: list[str], value: str, name:
 def settled(forecasts: DataFrame, actuals: DataFrame, on: list[str]) -> DataFrame:
     """Forecasts whose actual is known, with it."""
     return forecasts.join(actuals, on)
+
+
+def with_dimension(df: DataFrame, dimension: DataFrame, on: dict[str, str], columns: dict[str, object]) -> DataFrame:
+    """Columns of a dimension beside each row, a default where it has no such key or no value; on maps keys of df to those of the dimension, columns to defaults."""
+    side = dimension.select(*[F.col(k).alias(f"_d{n}") for n, k in enumerate(on.values())], *columns).dropDuplicates([f"_d{n}" for n in range(len(on))])
+    same = reduce(Column.__and__, [F.col(k) == F.col(f"_d{n}") for n, k in enumerate(on)])
+    out = df.join(side, same, "left").drop(*[f"_d{n}" for n in range(len(on))])
+    return out.withColumns({c: F.coalesce(c, F.lit(default)) for c, default in columns.items()})
+
+
+def with_weights(df: DataFrame, weights: DataFrame, on: list[str], weight: str) -> DataFrame:
+    """Rows that have a weight, with it."""
+    return df.join(weights.select(*on, F.col(weight).cast("double").alias(weight)), on)
+
+
+def first_known(*columns) -> Column:
+    """The first of the columns (or numbers, as a last resort) that has a value."""
+    return F.coalesce(*[F.lit(c) if isinstance(c, int | float) else c for c in columns])

@@ -7,6 +7,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.sources.staging import staged
+
 
 def weighted_mean(value: str, weight: str) -> Column:
     """Weights of null values don't count."""
@@ -19,6 +21,16 @@ def ratio_of_sums(a: str, b: str) -> Column:
     return F.sum(a) / F.nullif(F.sum(b), F.lit(0.0))
 
 
+def conditional_sums(df: DataFrame, by: list[str], parts: dict[str, tuple[Column, Column]], more: list[Column] = ()) -> DataFrame:
+    """Per group the sum of a value over the rows of each part, 0 where it has none, in one pass; name -> (condition, value). More aggregates may be added."""
+    return df.groupBy(*by).agg(*[F.sum(F.when(cond, value).otherwise(F.lit(0.0))).alias(name) for name, (cond, value) in parts.items()], *more)
+
+
+def distinct_of(columns: dict[str, str]) -> list[Column]:
+    """Aggregates that count distinct values; name -> column."""
+    return [F.countDistinct(c).alias(name) for name, c in columns.items()]
+
+
 def lagged_mean(df: DataFrame, value: str, slot: list[str], day_number: str, days: int, lag: int = 2) -> DataFrame:
     """Mean of `days` days ending `lag` days before, per slot, with half of them (2 at least) known."""
     w = Window.partitionBy(*slot).orderBy(day_number).rangeBetween(-(days + lag - 1), -lag)
@@ -63,60 +75,112 @@ def running(df: DataFrame, value: str, by: list[str], order: list[str], weight:
     return df.withColumn(f"{value}_to_date", F.sum(F.col(value) * F.col(weight)).over(w) / F.nullif(F.sum(weight).over(w), F.lit(0.0)))
 
 
-#: Ranges into which the values of a group are cut, so that no task holds a group.
-RANGES = 32
+#: Distinct values that one task puts in order.
+PER_TASK = 1 << 20
+
+
+def _same(by: list[str], other: str) -> Column:
+    return reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_{other}{k}")) for k, b in enumerate(by)], F.lit(True))
+
+
+def _renamed(df: DataFrame, by: list[str], other: str) -> DataFrame:
+    return df.select(*[F.col(b).alias(f"_{other}{k}") for k, b in enumerate(by)], *[c for c in df.columns if c not in by])
 
 
-def value_positions(df: DataFrame, value: str, by: list[str]) -> DataFrame:
-    """One row per group and distinct value: by, value, n (rows that have it), before (rows with less), total. Nulls are left out.
+def _places(quantiles) -> list[tuple[Column, Column]]:
+    """First and last of the (one or two) places, from 0, between which each quantile of `total` values lies."""
+    at = [(q if isinstance(q, Column) else F.lit(float(q))) * (F.col("total") - 1) for q in quantiles]
+    return [(F.floor(x), F.ceil(x)) for x in at]
 
-    Values are counted first; approximate quantiles of each group cut them into
-    ranges, whose sums (RANGES rows a group) are added up, and only inside a
-    range are values put in order. The cuts decide on the balance of tasks, not
-    on the result.
+
+def counted_positions(counts: DataFrame, by: list[str], quantiles=None, per_task: int | None = None) -> DataFrame:
+    """counts (by, _x, n), one row per group and distinct value, with before (rows of the group with less) and total.
+
+    counts should be staged. Up to per_task values in all are put in order by
+    group. More are dealt by range into tasks of about half as many, whatever
+    their groups; only sums by task and group are added up, and values are
+    put in order inside tasks. With quantiles, only the ranges that hold one.
     """
-    known = df.filter(F.col(value).isNotNull())
-    counts = known.groupBy(*by, F.col(value).alias("_x")).agg(F.count("*").alias("n"))
-    cuts = known.groupBy(*by).agg(F.percentile_approx(value, F.array(*[F.lit(k / RANGES) for k in range(1, RANGES)]), F.lit(1000)).alias("_cuts"))
-    same = lambda other: reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_{other}{k}")) for k, b in enumerate(by)], F.lit(True))
-    named = lambda frame, other: frame.select(*[F.col(b).alias(f"_{other}{k}") for k, b in enumerate(by)], *[c for c in frame.columns if c not in by])
-    counts = counts.join(named(cuts, "c"), same("c")).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_x")))).select(*by, "_x", "n", "_range")
-    ranges = counts.groupBy(*by, "_range").agg(F.sum("n").alias("_n"))
+    per_task = per_task or PER_TASK
     group = Window.partitionBy(*by)
-    ranges = ranges.withColumns({"_start": F.sum("_n").over(group.orderBy("_range")) - F.col("_n"), "total": F.sum("_n").over(group)}).drop("_n").withColumnRenamed("_range", "_r")
-    at = counts.join(named(ranges, "r"), same("r") & (F.col("_range") == F.col("_r")))
-    inside = Window.partitionBy(*by, "_range").orderBy("_x")
-    return at.select(*by, F.col("_x").alias(value), "n", (F.col("_start") + F.sum("n").over(inside) - F.col("n")).alias("before"), "total")
+    less = Window.unboundedPreceding
+    size = counts.count()
+    if size <= per_task:
+        before = F.sum("n").over(group.orderBy("_x").rowsBetween(less, -1))
+        return counts.withColumns({"before": F.coalesce(before, F.lit(0)), "total": F.sum("n").over(group)})
+    dealt = staged(counts.repartitionByRange(-(-2 * size // per_task), *by, "_x").withColumn("_task", F.spark_partition_id()), "ranges")
+    ranges = dealt.groupBy(*by, "_task").agg(F.sum("n").alias("_n"))
+    ranges = ranges.withColumns({"_start": F.sum("_n").over(group.orderBy("_task").rowsBetween(less, 0)) - F.col("_n"), "total": F.sum("_n").over(group)})
+    if quantiles is not None:
+        inside = lambda x: (F.col("_start") <= x) & (x < F.col("_start") + F.col("_n"))
+        ranges = ranges.filter(reduce(Column.__or__, [inside(x) for pair in _places(quantiles) for x in pair]))
+    found = dealt.join(_renamed(ranges.drop("_n").withColumnRenamed("_task", "_t"), by, "r"), _same(by, "r") & (F.col("_task") == F.col("_t")))
+    inner = Window.partitionBy(*by, "_task").orderBy("_x").rowsBetween(less, -1)
+    more = [c for c in counts.columns if c not in (*by, "_x", "n")]
+    return found.select(*by, "_x", "n", *more, (F.col("_start") + F.coalesce(F.sum("n").over(inner), F.lit(0))).alias("before"), "total")
+
+
+def _counts(df: DataFrame, value: str, by: list[str]) -> DataFrame:
+    known = df.filter(F.col(value).isNotNull())
+    return staged(known.groupBy(*by, F.col(value).alias("_x")).agg(F.count("*").alias("n")), "counts")
 
 
-def quantile_columns(quantiles, value: str) -> list[Column]:
-    """Aggregates over value_positions of a group: q0, q1, ..., exact and linear between neighbours. A quantile may be a column that is the same throughout a group."""
+def quantile_columns(quantiles) -> list[Column]:
+    """Aggregates over counted_positions of a group: q0, q1, ..., exact and linear between neighbours. A quantile may be a column that is the same throughout a group."""
     out = []
-    for k, q in enumerate(quantiles):
+    for k, (q, (first, last)) in enumerate(zip(quantiles, _places(quantiles), strict=True)):
         at = (q if isinstance(q, Column) else F.lit(float(q))) * (F.col("total") - 1)
-        pick = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col(value)))
-        low, high, share = pick(F.floor(at)), pick(F.ceil(at)), F.max(at - F.floor(at))
+        pick = lambda place: F.max(F.when((F.col("before") <= place) & (place < F.col("before") + F.col("n")), F.col("_x")))
+        low, high, share = pick(first), pick(last), F.max(at - F.floor(at))
         out.append((low + (high - low) * share).alias(f"q{k}"))
     return out
 
 
 def exact_quantiles(df: DataFrame, value: str, by: list[str], quantiles) -> DataFrame:
-    """by, q0, q1, ... of each group that has values; no group is held in one task."""
-    return value_positions(df.withColumn("_y", F.col(value).cast("double")), "_y", by).groupBy(*by).agg(*quantile_columns(quantiles, "_y"))
+    """by, q0, q1, ... of each group that has values. df is read once; then values are counted, and no group has to fit a task."""
+    counts = _counts(df.withColumn("_y", F.col(value).cast("double")), "_y", by)
+    return counted_positions(counts, by, quantiles).groupBy(*by).agg(*quantile_columns(quantiles))
+
+
+def _ranks(counts: DataFrame, by: list[str]) -> DataFrame:
+    return counted_positions(counts, by).select(*by, "_x", (F.col("before") + (F.col("n") + 1) / 2.0).alias("_rank"), "total")
 
 
 def average_ranks(df: DataFrame, value: str, by: list[str], name: str) -> DataFrame:
     """Df with the rank of each row's value in its group, ties averaged; rows without value have null."""
-    ranks = value_positions(df, value, by).select(*[F.col(b).alias(f"_b{k}") for k, b in enumerate(by)], F.col(value).alias("_x"), (F.col("before") + (F.col("n") + 1) / 2.0).alias(name))
-    same = reduce(Column.__and__, [F.col(b).eqNullSafe(F.col(f"_b{k}")) for k, b in enumerate(by)], F.col(value) == F.col("_x"))
-    return df.join(ranks, same, "left").drop("_x", *[f"_b{k}" for k in range(len(by))])
+    ranks = _renamed(_ranks(_counts(df, value, by), by).drop("total"), by, "b").withColumnsRenamed({"_x": "_rx", "_rank": name})
+    return df.join(ranks, _same(by, "b") & (F.col(value) == F.col("_rx")), "left").drop("_rx", *[f"_b{k}" for k in range(len(by))])
 
 
 def spearman(df: DataFrame, x: str, y: str, by: list[str]) -> DataFrame:
-    """Rank correlation of rows where both are known."""
-    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull()).select(*by, F.col(x).alias("_vx"), F.col(y).alias("_vy"))
-    ranked = average_ranks(average_ranks(known, "_vx", by, "_rx"), "_vy", by, "_ry")
-    return ranked.groupBy(*by).agg(F.corr("_rx", "_ry").alias("rank_corr"), F.count("*").alias("n"))
+    """Rank correlation of rows where both are known.
+
+    Pairs of values are counted first and staged; ranks of both sides come from
+    these counts. The mean rank is (total + 1) / 2 on either side.
+    """
+    known = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
+    pairs = staged(known.groupBy(*by, F.col(x).alias("_vx"), F.col(y).alias("_vy")).agg(F.count("*").alias("m")), "pairs")
+    for v in ("x", "y"):
+        counts = staged(pairs.groupBy(*by, F.col(f"_v{v}").alias("_x")).agg(F.sum("m").alias("n")), "counts")
+        ranks = _renamed(_ranks(counts, by), by, v).withColumnsRenamed({"_x": f"_w{v}", "_rank": f"_r{v}", "total": f"_t{v}"})
+        pairs = pairs.join(ranks, _same(by, v) & (F.col(f"_v{v}") == F.col(f"_w{v}"))).drop(f"_w{v}", *[f"_{v}{k}" for k in range(len(by))])
+    dx, dy = (F.col(f"_r{v}") - (F.col(f"_t{v}") + 1) / 2.0 for v in ("x", "y"))
+    total = lambda c: F.sum(F.col("m") * c)
+    corr = total(dx * dy) / F.nullif(F.sqrt(total(dx * dx) * total(dy * dy)), F.lit(0.0))
+    return pairs.groupBy(*by).agg(corr.alias("rank_corr"), F.sum("m").alias("n"))
+
+
+def auc(df: DataFrame, score: str, label: str, by: list[str]) -> DataFrame:
+    """Area under the ROC curve of each group: the share of pairs of a positive and a negative row that the score puts in order, ties half.
+
+    Rows are counted by score first; the average ranks of the positive ones say it all. Null without both kinds.
+    """
+    known = df.filter(F.col(score).isNotNull() & F.col(label).isNotNull())
+    counts = staged(known.groupBy(*by, F.col(score).alias("_x")).agg(F.count("*").alias("n"), F.sum(F.col(label).cast("long")).alias("_pos")), "counts")
+    ranks = counted_positions(counts, by)
+    pos, neg = F.sum("_pos"), F.max("total") - F.sum("_pos")
+    area = (F.sum(F.col("_pos") * (F.col("before") + (F.col("n") + 1) / 2.0)) - pos * (pos + 1) / 2.0) / F.nullif((pos * neg).cast("double"), F.lit(0.0))
+    return ranks.groupBy(*by).agg(area.alias("auc"), pos.alias("positives"), neg.alias("negatives"))
 
 
 def interpolated(df: DataFrame, value: str, by: list[str], position: str) -> DataFrame:

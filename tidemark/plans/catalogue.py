@@ -11,13 +11,13 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as m
 from tidemark.functions import timeutil as t
-from tidemark.operators import contracts, forecasts, series, settle
+from tidemark.operators import contracts, folds, forecasts, mart, panes, series, settle
 from tidemark.operators.asof import asof_join, keep_latest, newer_vintage_existed
-from tidemark.operators.band import last_known, trailing
 from tidemark.operators.calendar import settlement_calendar
 from tidemark.plans import serve
 from tidemark.plans.registry import ORACLE_SQL, QUERIES, ZONE, query, r, read, rounded  # noqa: F401
-from tidemark.sources import lake
+from tidemark.sources import lake, normalise
+from tidemark.sources.staging import staged
 
 _query, _read, _r, _rounded = query, read, r, rounded
 
@@ -41,10 +41,12 @@ def feature_mart(spark: SparkSession, d: str) -> DataFrame:
     bought = ev.filter("event_type = 'purchase'").select("user_id", F.col("value").alias("last_purchase"), F.col("ts").alias("purchase_at"), "event_id")
     spine = asof_join(spine, bought, ["user_id"], ["last_purchase"], "purchase_at", tie=["event_id"])
     views = ev.filter("event_type = 'view'").select("value", "ts", "event_id")
-    stats = [F.count("value").alias("n_views_7d"), F.avg("value").alias("mean_7d"), F.stddev_samp("value").alias("sd_7d"), F.min("value").alias("low_7d"), F.max("value").alias("high_7d"), F.max("ts").alias("views_at")]
-    week = trailing(days, views, "cutoff_utc", "ts", 7 * 86400, stats)
-    last = last_known(days, views, "value", "cutoff_utc", "ts", 86400, ["event_id"]).select("cutoff_utc", F.col("value_last").alias("last_view"))
-    return spine.join(week.drop("day"), "cutoff_utc", "left").join(last, "cutoff_utc", "left")
+    width = panes.pane_width(days, "cutoff_utc", [7 * 86400, 86400])
+    paned = panes.panes(views, "ts", width, {"views": F.col("value")}, last={"view": (F.col("value"), ["event_id"])})
+    week = panes.combined(days, paned, "cutoff_utc", 7 * 86400, width, ["views"])
+    week = week.select("cutoff_utc", *[F.when(F.col("newest").isNotNull(), F.col(f"views_{x}")).alias(y) for x, y in (("n", "n_views_7d"), ("mean", "mean_7d"), ("sd", "sd_7d"), ("low", "low_7d"), ("high", "high_7d"))], F.col("newest").alias("views_at"))
+    last = panes.combined(days, paned, "cutoff_utc", 86400, width, [], last=["view"]).select("cutoff_utc", F.col("view_last").alias("last_view"))
+    return spine.join(week, "cutoff_utc", "left").join(last, "cutoff_utc", "left")
 
 
 def flagship(spark: SparkSession, d: str) -> DataFrame:
@@ -74,14 +76,15 @@ SELECT (SELECT count(*) FROM picks WHERE purchase_at > cutoff_utc) AS leaks, (SE
 def mart_contracts(spark, d):
     """No leaks in the mart, none passed over, and a leaky join is caught."""
     ev = _read(spark, d, "events").filter("event_type = 'purchase'").select("user_id", F.col("value").alias("x"), F.col("ts").alias("at"), "event_id")
-    spine = ev.select("user_id").distinct().crossJoin(F.broadcast(_days(_read(spark, d, "events"))))
-    good = asof_join(spine, ev, ["user_id"], ["x"], "at", tie=["event_id"])
-    leaky = asof_join(spine, ev, ["user_id"], ["x"], "at", tie=["event_id"], shift_minutes=180)
-    count = lambda df, n: df.agg(F.count("*").alias(n))
-    a = count(contracts.point_in_time(good, {"at": ["x"]}), "leaks")
-    b = count(newer_vintage_existed(good, ev.select("user_id", "at"), ["user_id"], "at"), "newer")
-    c = contracts.point_in_time(leaky, {"at": ["x"]}).agg((F.count("*") > 0).alias("canary_fails"))
-    return a.join(F.broadcast(b)).join(F.broadcast(c))
+    days = _days(_read(spark, d, "events"))
+    # the honest cutoff and one three hours late, in one join
+    late = F.explode(F.array(F.lit(0), F.lit(180))).alias("late")
+    spine = ev.select("user_id").distinct().crossJoin(F.broadcast(days.select("day", "cutoff_utc", late)))
+    spine = spine.withColumn("bound", F.timestamp_add("MINUTE", F.col("late"), F.col("cutoff_utc")))
+    picks = staged(asof_join(spine, ev, ["user_id"], ["x"], "at", "bound", tie=["event_id"]), "picks")
+    a = contracts.point_in_time(picks, {"at": ["x"]}).agg(F.count_if(F.col("late") == 0).alias("leaks"), (F.count_if(F.col("late") > 0) > 0).alias("canary_fails"))
+    b = newer_vintage_existed(picks.filter("late = 0"), ev.select("user_id", "at"), ["user_id"], "at").agg(F.count("*").alias("newer"))
+    return a.join(F.broadcast(b)).select("leaks", "newer", "canary_fails")
 
 
 @_query("""WITH d AS (SELECT CAST(g AS DATE) AS day, timezone('UTC', timezone('Europe/London', CAST(g AS TIMESTAMP))) AS a, timezone('UTC', timezone('Europe/London', CAST(g AS TIMESTAMP) + INTERVAL 1 DAY)) AS b
@@ -120,8 +123,8 @@ def latest_delivery(spark, d):
 @_query("""SELECT event_type, CAST(json_extract(props, '$.k') AS BIGINT) // 10 AS k10, count(*) AS n, round(avg(value), 6) AS mean FROM events GROUP BY ALL""")
 def json_props(spark, d):
     """A field of JSON text, typed."""
-    k = F.from_json("props", "k BIGINT")["k"]
-    out = _read(spark, d, "events").groupBy("event_type", F.floor(k / 10).alias("k10")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
+    ev = normalise.json_fields(_read(spark, d, "events"), "props", {"k": ("k", "long")})
+    out = ev.groupBy("event_type", F.floor(F.col("k") / 10).alias("k10")).agg(F.count("*").alias("n"), F.avg("value").alias("mean"))
     return _rounded(out)
 
 
@@ -129,10 +132,10 @@ def json_props(spark, d):
 FROM (SELECT s.*, n_name, coalesce(r_name, 'other') AS r_name, s_suppkey % 7 + 1 AS w FROM supplier s JOIN nation ON n_nationkey = s_nationkey LEFT JOIN (SELECT * FROM region WHERE r_regionkey < 3) ON r_regionkey = n_regionkey) GROUP BY ALL""")
 def weighted_by_nation(spark, d):
     """Dimension with a default, and a null-aware weighted mean."""
-    s = _read(spark, d, "supplier").withColumn("w", (F.col("s_suppkey") % 7 + 1).cast("double"))
-    n = F.broadcast(_read(spark, d, "nation"))
-    r = F.broadcast(_read(spark, d, "region").filter("r_regionkey < 3"))
-    rows = s.join(n, F.col("s_nationkey") == F.col("n_nationkey")).join(r, F.col("n_regionkey") == F.col("r_regionkey"), "left").withColumn("r_name", F.coalesce("r_name", F.lit("other")))
+    s = _read(spark, d, "supplier")
+    w = s.select("s_suppkey", (F.col("s_suppkey") % 7 + 1).alias("w"))
+    rows = mart.with_weights(s, w, ["s_suppkey"], "w").join(_read(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    rows = mart.with_dimension(rows, _read(spark, d, "region").filter("r_regionkey < 3"), {"n_regionkey": "r_regionkey"}, {"r_name": "other"})
     return _rounded(rows.groupBy("n_name", "r_name").agg(F.count("*").alias("suppliers"), series.weighted_mean("s_acctbal", "w").alias("mean")))
 
 
@@ -141,14 +144,15 @@ def weighted_by_nation(spark, d):
 def pivot_sums(spark, d):
     """D2, D3, D33."""
     ev = _read(spark, d, "events")
-    out = ev.groupBy("event_type").agg(F.sum(F.when(F.col("value") > 50, F.col("value")).otherwise(0.0)).alias("high"), F.sum(F.when(F.col("value") <= 50, F.col("value")).otherwise(0.0)).alias("low"), series.ratio_of_sums("value", "user_id").alias("ratio"), F.countDistinct("user_id").alias("users"))
+    value, high = F.col("value"), F.col("value") > 50
+    out = series.conditional_sums(ev, ["event_type"], {"high": (high, value), "low": (~high, value)}, [series.ratio_of_sums("value", "user_id").alias("ratio"), *series.distinct_of({"users": "user_id"})])
     return out.select("event_type", _r("high", 4).alias("high"), _r("low", 4).alias("low"), _r("ratio", 9).alias("ratio"), "users")
 
 
 def _forecasts(spark, d) -> DataFrame:
     li = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("g"), F.col("l_extendedprice").alias("y"), "l_shipdate", "l_returnflag")
     q = series.group_quantiles(li, "y", ["g"], [0.1, 0.5, 0.9])
-    a = li.join(F.broadcast(q), "g").withColumn("model", F.lit("by_quantity"))
+    a = li.join(q, "g").withColumn("model", F.lit("by_quantity"))
     one = series.group_quantiles(li, "y", [], [0.1, 0.5, 0.9])
     b = li.crossJoin(F.broadcast(one)).withColumn("model", F.lit("constant"))
     return a.unionByName(b)
@@ -179,13 +183,11 @@ SELECT fold, train_end, count(CASE WHEN day <= train_end THEN 1 END) AS n_train,
   round(avg(CASE WHEN day <= train_end THEN o_totalprice END), 4) AS train_mean FROM f, o GROUP BY ALL""", "train_end")
 def walk_forward(spark, d):
     """Months from the fourth year to the last day, trained on all before; orders are summed per day first."""
-    o = _read(spark, d, "orders").groupBy(F.col("o_orderdate").cast("date").alias("day")).agg(F.count("*").alias("n"), F.sum("o_totalprice").alias("s"), F.count("o_totalprice").alias("k"))
+    o = _read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), "o_totalprice")
+    sums = folds.day_prefixes(o, "day", {"n": F.lit(1), "s": F.col("o_totalprice"), "k": F.when(F.col("o_totalprice").isNotNull(), 1)})
     span = o.agg(F.add_months(F.trunc(F.min("day"), "month"), 36).cast("string").alias("a"), F.max("day").cast("string").alias("b")).first()
-    folds = forecasts.monthly_folds(spark, span.a, span.b)
-    train, test = forecasts.fold_rows(o, folds, "day")
-    a = train.groupBy("fold", "train_end").agg(F.sum("n").alias("n_train"), _r(F.sum("s") / F.sum("k"), 4).alias("train_mean"))
-    b = test.groupBy("fold").agg(F.sum("n").alias("n_test"))
-    return a.join(b, "fold", "left").withColumn("n_test", F.coalesce("n_test", F.lit(0)))
+    out = folds.fold_sums(forecasts.monthly_folds(spark, span.a, span.b), sums, ["n", "s", "k"])
+    return out.select("fold", "train_end", F.col("train_n").cast("long").alias("n_train"), _r(F.col("train_s") / F.nullif(F.col("train_k"), F.lit(0.0)), 4).alias("train_mean"), F.col("test_n").cast("long").alias("n_test"))
 
 
 @_query(f"""WITH {_FORECASTS} SELECT l_returnflag, round(quantile_cont(y - p10, 0.1), 4) AS shift_p10, round(quantile_cont(y - p50, 0.5), 4) AS shift_p50, round(quantile_cont(y - p90, 0.9), 4) AS shift_p90, count(y) AS n_calibration
@@ -219,7 +221,7 @@ def rolling_features(spark, d):
  round(CASE WHEN count(total) OVER r >= 5 THEN avg(total) OVER r END, 4) AS total_rolling FROM daily
  WINDOW w AS (PARTITION BY year(day) ORDER BY day), r AS (PARTITION BY year(day) ORDER BY day ROWS 9 PRECEDING)""", "day")
 def running_totals(spark, d):
-    """E5 to E7, M4."""
+    """E5 to E7."""
     x = _daily(spark, d).withColumn("y", F.year("day"))
     x = series.running(series.running(x, "total", ["y"], ["day"]), "total", ["y"], ["day"], "n")
     x = series.rolling_mean(x, "total", ["y"], ["day"], 10)
@@ -313,7 +315,7 @@ def history_of_orders(spark, d):
 def keyed_upsert(spark, d):
     """A15, G2."""
     o = _read(spark, d, "orders").select("o_orderkey", F.lit("old").alias("version"), _r("o_totalprice", 2).alias("price"))
-    return lake.upserted(o.filter("o_orderkey % 3 <> 0"), o.filter("o_orderkey % 4 = 0").withColumn("version", F.lit("new")), ["o_orderkey"])
+    return lake.upserted(o.filter("o_orderkey % 3 <> 0"), o.filter("o_orderkey % 4 = 0").withColumn("version", F.lit("new")), ["o_orderkey"], ["version", "price"])
 
 
 @_query("""SELECT 'o_orderstatus' AS column_name, count(CASE WHEN o_orderkey % 10 = 0 OR o_orderkey % 11 = 0 THEN 1 END) AS mismatches FROM orders
@@ -331,7 +333,7 @@ UNION ALL SELECT 'values', 'warn', (SELECT count(*) FROM orders WHERE o_ordersta
 UNION ALL SELECT 'parent', 'warn', (SELECT count(*) FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)), false
 UNION ALL SELECT 'known', 'error', (SELECT count(*) FROM orders WHERE o_orderkey IS NULL), false""")
 def contract_summary(spark, d):
-    """K1 to K6, K12."""
+    """K1, K2, K4 to K6, K12."""
     o, c = _read(spark, d, "orders"), _read(spark, d, "customer").filter("c_acctbal > 0")
     return contracts.summary({"unique": (contracts.unique(o, ["o_custkey"]), "error"), "range": (contracts.accepted_range(o, "o_totalprice", 1000, 200000), "warn"), "values": (contracts.accepted_values(o, "o_orderstatus", ["O", "F"]), "warn"), "parent": (contracts.relationships(o, "o_custkey", c, "c_custkey"), "warn"), "known": (contracts.not_null(o, "o_orderkey"), "error")})
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeutil as t
+from tidemark.operators.mart import first_known
 from tidemark.plans.registry import ZONE, query, read, rounded
 
 
@@ -43,7 +44,7 @@ def clock_parts(spark, d):
         t.archive_year(F.concat(F.lit("prices-"), F.year("ts").cast("string"), F.lit(".zip"))).alias("archive"),
         F.lpad(F.hour("ts").cast("string"), 2, "0").alias("padded"),
         t.month_rolls_over("ts", F.col("ts") + F.expr("INTERVAL 1 DAY")).alias("rolls_over"),
-        F.coalesce(F.when(F.col("event_id") % 3 == 0, F.col("value")), F.when(F.col("event_id") % 3 == 1, 2 * F.col("value")), F.lit(0.0)).alias("fallback"),
+        first_known(F.when(F.col("event_id") % 3 == 0, F.col("value")), F.when(F.col("event_id") % 3 == 1, 2 * F.col("value")), 0.0).alias("fallback"),
         t.tomorrow("ts", ZONE).alias("tomorrow"),
     )
     return rounded(out)

@@ -7,11 +7,12 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import metrics as m
 from tidemark.functions import timeutil as t
-from tidemark.operators import contracts, forecasts, mart, series, settle
+from tidemark.operators import contracts, folds, forecasts, mart, series, settle
 from tidemark.operators.calendar import settlement_calendar
 from tidemark.plans import serve
 from tidemark.plans.catalogue import _FORECASTS, _forecasts
 from tidemark.plans.registry import HALF_HOURS, ZONE, half_hours, query, r, read, rounded
+from tidemark.sources.staging import staged
 
 HOURS = {"night": (0, 6), "morning": (6, 12), "afternoon": (12, 18), "evening": (18, 24)}
 
@@ -51,9 +52,14 @@ def paired_verdict(spark, d):
     return out.select(r("mean_gain", 4).alias("mean_gain"), r("relative_gain").alias("relative_gain"), "folds_won", "folds", "adopted")
 
 
-@query(None)
+@query(f"""WITH {_FOLDS}, g AS (SELECT day, avg(loss) FILTER (model = 'constant') - avg(loss) FILTER (model = 'by_quantity') AS gain FROM x GROUP BY 1),
+p AS (SELECT row_number() OVER (ORDER BY day) AS i, sum(gain) OVER (ORDER BY day) AS s FROM g WHERE gain IS NOT NULL UNION ALL SELECT 0, 0),
+n AS (SELECT max(i) AS n FROM p), d AS (SELECT repeat, k, n, CAST('0x' || substr(md5('0-' || repeat || '-' || k), 1, 8) AS BIGINT) % greatest(n - 6, 1) AS a
+  FROM n, (SELECT unnest(range(500)) AS repeat), LATERAL (SELECT unnest(range(CAST(ceil(n / 7) AS BIGINT))) AS k)),
+m AS (SELECT repeat, sum(y.s - x.s) / any_value(n) AS m FROM d JOIN p x ON x.i = a JOIN p y ON y.i = a + least(7, n - 7 * k) GROUP BY 1)
+SELECT round(quantile_cont(m, 0.025), 4) AS low, round(quantile_cont(m, 0.975), 4) AS high FROM m""")
 def gain_interval(spark, d):
-    """Limits of the mean daily gain over resampled blocks of days (drawn by Spark's hash: no SQL; a test holds it against numpy)."""
+    """Limits of the mean daily gain over resampled blocks of days."""
     f = _folds(spark, d).withColumn("loss", m.mean_pinball("y", [0.1, 0.5, 0.9]))
     daily = f.groupBy("day").agg((F.avg(F.when(F.col("model") == "constant", F.col("loss"))) - F.avg(F.when(F.col("model") == "by_quantity", F.col("loss")))).alias("gain"))
     return rounded(m.block_bootstrap(daily, "gain", "day", repeats=500), 4)
@@ -136,11 +142,52 @@ def _month_folds(spark, o: DataFrame) -> DataFrame:
 def rolling_folds(spark, d):
     """Every month from the second year on, trained on the year before."""
     o = _order_days(spark, d).select("day")
-    folds = _month_folds(spark, o)
-    per = o.groupBy("day").agg(F.count("*").alias("n"))
-    train, test = forecasts.fold_rows(per, folds, "day", last_days=365)
-    out = folds.select("fold", "train_end").join(train.groupBy("fold").agg(F.sum("n").alias("n_train")), "fold", "left").join(test.groupBy("fold").agg(F.sum("n").alias("n_test")), "fold", "left")
-    return out.na.fill(0, ["n_train", "n_test"])
+    sums = folds.day_prefixes(o, "day", {"n": F.lit(1)})
+    out = folds.fold_sums(_month_folds(spark, o), sums, ["n"], last_days=365)
+    return out.select("fold", "train_end", F.col("train_n").cast("long").alias("n_train"), F.col("test_n").cast("long").alias("n_test"))
+
+
+_PAIRS = f"""{_ORDER_DAYS}, {_SPAN}, e AS (SELECT fold, train_end, test_start, test_end, day, x, y, {{weight}} AS w FROM folds JOIN o ON day <= train_end {{window}} AND x IS NOT NULL AND y IS NOT NULL),
+g AS (SELECT fold, sum(w) AS n, sum(w * x) / sum(w) AS mx, sum(w * y) / sum(w) AS my FROM e GROUP BY 1),
+b AS (SELECT fold, n, mx, my, sum(w * (x - mx) * (y - my)) / sum(w * (x - mx) * (x - mx)) AS slope FROM e JOIN g USING (fold) GROUP BY ALL)"""
+
+
+@query(f"""WITH {_PAIRS.format(weight="1.0", window="AND day > train_end - 365")} SELECT fold, round(CAST(n AS DOUBLE), 3) AS n, round(slope, 4) AS slope, round(my - slope * mx, 1) AS intercept FROM b""")
+def linear_folds(spark, d):
+    """A line per month through the orders of the year before, all from one set of sums."""
+    o = _order_days(spark, d)
+    out = folds.linear_folds(o, _month_folds(spark, o), ["x"], "y", "day", last_days=365)
+    return out.filter("n > 0").select("fold", r("n", 3).alias("n"), r(F.col("beta")[0], 4).alias("slope"), r("intercept", 1).alias("intercept"))
+
+
+@query(f"""WITH {_PAIRS.format(weight="power(0.5, (train_end - day) / 90.0)", window="")}, p AS (SELECT fold, o_orderkey, y, my + slope * (x - mx) AS point FROM b JOIN folds USING (fold) JOIN o ON day BETWEEN test_start AND test_end)
+SELECT fold, count(*) AS n, round(any_value(slope), 4) AS slope, round(avg(abs(y - point)), 2) AS mae FROM p JOIN b USING (fold) GROUP BY 1""")
+def recency_folds(spark, d):
+    """As linear_folds over all that came before, weights halving every 90 days back, and the error in the month that follows."""
+    o = _order_days(spark, d)
+    months = _month_folds(spark, o)
+    models = staged(folds.linear_folds(o, months, ["x"], "y", "day", half_life=90.0), "models")
+    out = folds.predicted(folds.tested(o, months, "day"), models, ["x"]).groupBy("fold").agg(F.count("*").alias("n"), F.avg(F.abs(F.col("y") - F.col("point"))).alias("mae"))
+    return out.join(models.drop("n"), "fold").select("fold", "n", r(F.col("beta")[0], 4).alias("slope"), r("mae", 2).alias("mae"))
+
+
+@query(f"""WITH {_ORDER_DAYS}, c AS (SELECT *, max(day) OVER () - 29 AS cut FROM o), tr AS (SELECT *, max(day) OVER () - 55 AS cal FROM c WHERE day < cut),
+m AS (SELECT regr_slope(y, x) AS s, regr_intercept(y, x) AS i FROM tr WHERE day < cal - 2), q AS (SELECT quantile_cont(y - i - s * x, 0.1) AS a, quantile_cont(y - i - s * x, 0.5) AS b, quantile_cont(y - i - s * x, 0.9) AS c FROM tr, m WHERE day >= cal)
+SELECT o_orderkey, round(i + s * x, 1) AS point, round(i + s * x + a, 1) AS p10, round(i + s * x + b, 1) AS p50, round(i + s * x + q.c, 1) AS p90 FROM c, m, q WHERE day >= cut""")
+def residual_quantiles(spark, d):
+    """The last 30 days by a line from all before, with quantiles of its errors on 56 days that the line has not seen."""
+    o = _order_days(spark, d)
+    train, test = forecasts.latest_fold(o, "day", "y", 30, gap_days=1)
+    out = forecasts.residual_forecast(train, test, ["x"], "y", "day", [0.1, 0.5, 0.9])
+    return out.select("o_orderkey", *[r(c, 1).alias(c) for c in ("point", "p10", "p50", "p90")])
+
+
+@query(f"""WITH {_ORDER_DAYS}, k AS (SELECT year(day) AS year, month(day) >= 7 AS later, x FROM o), r AS (SELECT *, rank() OVER (PARTITION BY year ORDER BY x) + (count(*) OVER (PARTITION BY year, x) - 1) / 2.0 AS a FROM k)
+SELECT CAST(year AS BIGINT) AS year, round((sum(a) FILTER (later) - count(*) FILTER (later) * (count(*) FILTER (later) + 1) / 2.0) / nullif(count(*) FILTER (later) * count(*) FILTER (NOT later), 0), 6) AS auc, count(*) FILTER (later) AS positives, count(*) FILTER (NOT later) AS negatives FROM r GROUP BY 1""")
+def score_auc(spark, d):
+    """How well a given score tells the halves of a year apart."""
+    rows = _order_days(spark, d).select(F.year("day").alias("year"), (F.month("day") >= 7).alias("later"), "x")
+    return rounded(series.auc(rows, "x", "later", ["year"]))
 
 
 @query(f"""WITH {_ORDER_DAYS}, {_SPAN}, a AS (SELECT fold, train_end, test_start, max(CAST(day AS TIMESTAMP)) + INTERVAL 30 MINUTE AS train_until FROM folds JOIN o ON day <= train_end + CASE WHEN fold LIKE '%-03' THEN 3 ELSE 0 END GROUP BY ALL)
@@ -148,10 +195,10 @@ SELECT fold, train_until, CAST(test_start AS TIMESTAMP) - INTERVAL 15 HOUR AS fi
 def leaking_folds(spark, d):
     """Folds trained past their first cutoff; those of March are made to leak."""
     o = _order_days(spark, d).select("day").distinct()
-    folds = _month_folds(spark, o)
-    late = folds.withColumn("train_end", F.when(F.col("fold").endswith("-03"), F.date_add("train_end", 3)).otherwise(F.col("train_end")))
+    months = _month_folds(spark, o)
+    late = months.withColumn("train_end", F.when(F.col("fold").endswith("-03"), F.date_add("train_end", 3)).otherwise(F.col("train_end")))
     train, _ = forecasts.fold_rows(o, late, "day")
-    _, test = forecasts.fold_rows(o.withColumn("cutoff", F.col("day").cast("timestamp_ntz") - F.expr("INTERVAL 15 HOUR")), folds.withColumn("test_end", F.col("test_start")), "day")
+    _, test = forecasts.fold_rows(o.withColumn("cutoff", F.col("day").cast("timestamp_ntz") - F.expr("INTERVAL 15 HOUR")), months.withColumn("test_end", F.col("test_start")), "day")
     return forecasts.leaking_folds(train.withColumn("start", F.col("day").cast("timestamp_ntz")), test, "start", "cutoff")
 
 
@@ -201,7 +248,7 @@ def promotion(spark, d):
 a AS (SELECT features, count(*) AS n, avg((greatest(0.1 * (y - p10), -0.9 * (y - p10)) + greatest(0.5 * (y - p50), -0.5 * (y - p50)) + greatest(0.9 * (y - p90), -0.1 * (y - p90))) / 3) AS p FROM v GROUP BY 1)
 SELECT features, n, round(p, 4) AS pinball, round(1 - p / max(CASE WHEN features = 'honest' THEN p END) OVER (), 6) AS flattery FROM a""")
 def leakage_cost(spark, d):
-    """A forecast that has seen half of the actual value beside an honest one."""
+    """A forecast that has seen half of the actual value beside an honest one."""
     f = _forecasts(spark, d).filter("model = 'constant'")
     late = f.withColumns({c: F.col(c) + (F.col("y") - F.col(c)) / 2 for c in ("p10", "p50", "p90")})
     out = forecasts.leakage_cost({"honest": f, "late": late}, "honest")
@@ -220,11 +267,13 @@ def settled_forecasts(spark, d):
 
 @query(None)
 def period_classifier(spark, d):
-    """Whether a classifier tells two years of orders apart, and by which features (a learned model: no SQL)."""
-    o = read(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day"), "o_totalprice", "o_custkey", F.month("o_orderdate").alias("month"), F.year("o_orderdate").alias("year"))
-    o = o.filter("year in (1996, 1997)")
-    result, gain = forecasts.adversarial(o, ["o_totalprice", "o_custkey", "month"], F.col("year") == 1997, mart.whole_months("day"))
-    return gain.crossJoin(F.broadcast(result.select("auc", "auc_without_markers")))
+    """Whether a classifier tells the later half of all orders from the earlier, by blocks of months that it has not seen (a learned model: no SQL; score_auc says the area)."""
+    o = _order_days(spark, d)
+    span = o.agg(F.min("day").alias("a"), F.max("day").alias("b"))
+    o = o.crossJoin(F.broadcast(span)).withColumn("later", F.date_diff("day", "a") * 2 > F.date_diff("b", "a"))
+    o = o.withColumns({"month": F.month("day"), "block": forecasts.block_of_months("day", 3, 3)}).select("o_orderkey", "later", "block", "y", "x", "month")
+    scored = forecasts.cross_fitted(o, ["y", "x", "month"], "later", "block", 3, maxIter=5)
+    return forecasts.separability(scored, "later", [])
 
 
 @query("""SELECT user_id, event_type, count(*) AS n FROM (SELECT CASE WHEN user_id % 5 > 0 THEN CAST(user_id AS VARCHAR) END AS user_id, event_type FROM events) GROUP BY ALL HAVING count(*) > 1""")
@@ -244,13 +293,13 @@ def broken_calendar(spark, d):
     return contracts.clock_changes(cal, ZONE).select("day", F.col("n").cast("long").alias("n"), F.col("expected").cast("long").alias("expected"))
 
 
-@query("""WITH u AS (SELECT DISTINCT user_id FROM events), d AS (SELECT CAST(unnest(generate_series(TIMESTAMP '2024-01-02', TIMESTAMP '2024-01-30', INTERVAL 1 DAY)) AS DATE) AS day)
+@query("""WITH u AS (SELECT DISTINCT user_id FROM events), d AS (SELECT CAST(unnest(generate_series(CAST(min(ts) AS DATE) + 1, CAST(max(ts) AS DATE), INTERVAL 1 DAY)) AS DATE) AS day FROM events)
 SELECT count(*) AS n_after_cutoff FROM u, d JOIN events e ON e.ts > CAST(day AS TIMESTAMP) - INTERVAL 15 HOUR WHERE e.user_id = u.user_id AND e.event_type = 'purchase'""")
 def guard_exercised(spark, d):
     """How many purchases came after a cutoff and so could have leaked into the mart."""
     ev = read(spark, d, "events")
-    days = spark.sql("SELECT explode(sequence(DATE'2024-01-02', DATE'2024-01-30')) AS day").withColumn("cutoff_utc", t.cutoff_utc("day", ZONE))
-    spine = ev.select("user_id").distinct().crossJoin(F.broadcast(days))
+    days = ev.agg(F.explode(F.sequence(F.date_add(F.min("ts").cast("date"), 1), F.max("ts").cast("date"))).alias("day")).withColumn("cutoff_utc", t.cutoff_utc("day", ZONE))
+    spine = ev.select("user_id").distinct().crossJoin(days)
     return contracts.guard_exercised(spine, ev.filter("event_type = 'purchase'").select("user_id", F.col("ts").alias("at")), ["user_id"], "at")
 
 
@@ -304,6 +353,13 @@ def strategy_totals(spark, d):
     return out.select("strategy", *[r(c, 4).alias(c) for c in ("revenue", "net", "net_a_year")], *[r(c).alias(c) for c in ("cycles_a_day", "capture", "gap_closed")], "days")
 
 
+@query(f"""WITH {_PNL} SELECT strategy, day, round(net, 6) AS net, round(sum(net) OVER (PARTITION BY strategy ORDER BY day), 4) AS net_cum FROM al""", "day")
+def cumulative_pnl(spark, d):
+    """M4: daily results and their running sum by strategy."""
+    out = serve.cumulative_pnl(_pnl(spark, d))
+    return out.select("strategy", "day", r("net").alias("net"), r("net_cum", 4).alias("net_cum"))
+
+
 @query(f"""WITH {_PNL} SELECT al.day, al.strategy, round(al.net, 6) AS net FROM al JOIN (SELECT day, net FROM al WHERE strategy = 'late') b ON b.day = al.day WHERE al.strategy <> 'late' AND al.net > b.net + 1e-6""", "day")
 def undominated(spark, d):
     """Results above those of a strategy taken as the bound."""

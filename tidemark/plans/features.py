@@ -6,14 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions import timeutil as t
-from tidemark.operators import asof, mart, series
-from tidemark.operators.band import last_known, trailing
+from tidemark.operators import asof, mart, panes, series
 from tidemark.operators.calendar import settlement_calendar
 from tidemark.plans import serve
 from tidemark.plans.registry import HALF_HOURS, ZONE, half_hour, half_hours, query, r, read, rounded
 from tidemark.sources import lake
 
-NOW = "2024-01-27 12:00:00"
 HOURS = {"night": (0, 6), "morning": (6, 12), "afternoon": (12, 18), "evening": (18, 24)}
 
 
@@ -76,9 +74,14 @@ def _target(days: str) -> str:
     return f"date_trunc('hour', {x}) + to_minutes(CAST(30 * (minute({x}) // 30) AS BIGINT))"
 
 
+def _now(spark, d) -> str:
+    """Noon of the fourth day before the last of `events`: the mart's latest days are not known yet."""
+    return read(spark, d, "events").agg((F.date_sub(F.max("ts").cast("date"), 3).cast("timestamp_ntz") + F.expr("INTERVAL 12 HOUR")).cast("string")).first()[0]
+
+
 def full_mart(spark, d) -> DataFrame:
     """The whole mart: a spine whose cutoffs have passed, six feature groups, derived and relative features."""
-    spine = mart.passed(_spine(spark, d), t.now_utc(NOW))
+    spine = mart.passed(_spine(spark, d), t.now_utc(_now(spark, d)))
     v = _vintages(spark, d)
     keys = ["day", "period"]
     at = lambda name, on, cols, issued: asof.asof_join(spine.select(*keys, "start_utc", "hour_utc", "cutoff_utc"), v[name], on, cols, issued, tie=["event_id"]).select(*keys, *cols, issued)
@@ -89,8 +92,10 @@ def full_mart(spark, d) -> DataFrame:
     lags = _lagged(spark, d).withColumn("price_at", t.newest("price_lag_1d_available_at", "price_lag_2d_available_at", "price_lag_7d_available_at"))
     cut = spine.select("day", "cutoff_utc").distinct()
     prices = half_hours(spark, d).withColumn("available_at", F.col("start_utc") + F.expr("INTERVAL 90 MINUTE")).select("price", "available_at")
-    week = trailing(cut, prices, "cutoff_utc", "available_at", 7 * 86400, [F.avg("price").alias("mean_7d"), F.stddev_samp("price").alias("sd_7d")])
-    last = last_known(cut, prices, "price", "cutoff_utc", "available_at", 86400)
+    width = panes.pane_width(cut, "cutoff_utc", [7 * 86400, 86400])
+    paned = panes.panes(prices, "available_at", width, {"price": F.col("price")}, last={"price_now": (F.col("price"), [])})
+    week = panes.combined(cut, paned, "cutoff_utc", 7 * 86400, width, ["price"]).select("day", F.col("price_mean").alias("mean_7d"), F.col("price_sd").alias("sd_7d"))
+    last = panes.combined(cut, paned, "cutoff_utc", 86400, width, [], last=["price_now"]).select("day", F.col("price_now_last").alias("price_last"))
     out = mart.back_to_grain(spine, weather, ["hour_utc", "cutoff_utc"], ["wx_locations"])
     out = mart.star(
         out,
@@ -99,8 +104,8 @@ def full_mart(spark, d) -> DataFrame:
             (at("wind", ["hour_utc"], ["wind"], "wind_at"), keys),
             (at("emb", ["start_utc"], ["emb", "capacity"], "emb_at"), keys),
             (lags.select(*keys, "price_lag_1d", "price_lag_2d", "price_lag_7d", "price_at"), keys),
-            (week.drop("cutoff_utc"), ["day"]),
-            (last.select("day", "price_last"), ["day"]),
+            (week, ["day"]),
+            (last, ["day"]),
         ],
     )
     out = out.withColumns({"residual": F.col("demand") - F.col("wind"), "load_factor": mart.safe_ratio("emb", "capacity"), "share": mart.supply_share(["wind", "emb"], ["demand", "emb"])})
@@ -122,16 +127,17 @@ m AS (SELECT sp.*, de.demand, wi.wind, em.emb, em.capacity, wx_speed, wx_power,
   FROM sp LEFT JOIN {_pick('click', 'start_utc', _target('e.user_id % 3 + 1'), 'e.value AS demand', 'demand_at')} de ON de.s0 = sp.start_utc
   LEFT JOIN {_pick('view', 'hour_utc', "date_trunc('hour', e.ts + to_days(CAST(e.user_id % 2 + 1 AS INTEGER)))", 'e.value AS wind', 'wind_at')} wi ON wi.s0 = sp.start_utc
   LEFT JOIN {_pick('error', 'start_utc', _target('1'), 'e.value AS emb, CAST(e.user_id % 5 AS DOUBLE) AS capacity', 'emb_at')} em ON em.s0 = sp.start_utc
-  LEFT JOIN wx ON wx.hour_utc = sp.hour_utc AND wx.cutoff_utc = sp.cutoff_utc LEFT JOIN lagged USING (start_utc) LEFT JOIN w ON w.day = sp.day WHERE sp.cutoff_utc <= TIMESTAMP '{NOW}')
+  LEFT JOIN wx ON wx.hour_utc = sp.hour_utc AND wx.cutoff_utc = sp.cutoff_utc LEFT JOIN lagged USING (start_utc) LEFT JOIN w ON w.day = sp.day WHERE sp.cutoff_utc <= (SELECT CAST(CAST(max(ts) AS DATE) - 3 AS TIMESTAMP) + INTERVAL 12 HOUR FROM events))
 SELECT m.day, m.period, round(demand, 6) AS demand, round(wind, 6) AS wind, round(demand - wind, 6) AS residual, round(emb, 6) AS emb, round(emb / nullif(capacity, 0), 6) AS load_factor, round(wx_speed, 6) AS wx_speed, round(wx_power, 6) AS wx_power, wx_locations,
  round((wind + emb) / nullif(demand + emb, 0), 6) AS share, round(mean_7d, 6) AS mean_7d, round(sd_7d, 6) AS sd_7d, round(price_lag_1d, 6) AS price_lag_1d, round(price_lag_2d, 6) AS price_lag_2d, round(price_lag_7d, 6) AS price_lag_7d,
  round(price_lag_1d - mean_7d, 6) AS price_lag_1d_rel, round(price_lag_2d - mean_7d, 6) AS price_lag_2d_rel, round(price_lag_7d - mean_7d, 6) AS price_lag_7d_rel, round(price_last - mean_7d, 6) AS price_last_rel,
  CASE WHEN demand IS NULL THEN 0.0::DOUBLE ELSE 1.0::DOUBLE END AS has_demand, wx_at, price_at, round(h.price, 6) AS target
-FROM m LEFT JOIN h ON h.start_utc = m.start_utc WHERE m.day >= DATE '2024-01-03'""", "day")
+FROM m LEFT JOIN h ON h.start_utc = m.start_utc WHERE m.day >= (SELECT CAST(min(ts) AS DATE) + 2 FROM events)""", "day")
 def assembled_mart(spark, d):
     """The mart with its target."""
     target = half_hours(spark, d).select("day", "period", F.col("price").alias("target"))
-    out = lake.mart(full_mart(spark, d), target, ["day", "period"], ["start_utc"], "day", start="2024-01-03")
+    start = read(spark, d, "events").agg(F.date_add(F.min("ts").cast("date"), 2).cast("string")).first()[0]
+    out = lake.mart(full_mart(spark, d), target, ["day", "period"], ["start_utc"], "day", start=start)
     return rounded(out.select(*_SHOWN))
 
 
@@ -365,13 +371,16 @@ d AS (SELECT day, avg(value) AS bought_mean_7d FROM c JOIN events ON event_type
 SELECT c.day, round(view_mean_24h, 6) AS view_mean_24h, round(click_share_7d, 6) AS click_share_7d, round(error_share_7d, 6) AS error_share_7d, system_at, round(bought_mean_7d, 6) AS bought_mean_7d FROM c LEFT JOIN a USING (day) LEFT JOIN b USING (day) LEFT JOIN d USING (day)""", "day")
 def system_state(spark, d):
     """Three series up to each day's cutoff, over 24 hours and seven days."""
-    ev = read(spark, d, "events")
+    ev = read(spark, d, "events").select("event_type", "value", "ts")
     days = _spine(spark, d).select("day", "cutoff_utc").distinct()
-    part = lambda kind: F.sum(F.when(F.col("event_type") == kind, F.col("value")).otherwise(0.0)) / F.nullif(F.sum("value"), F.lit(0.0))
-    views = trailing(days, ev.filter("event_type = 'view'").select("value", "ts"), "cutoff_utc", "ts", 86400, [F.avg("value").alias("view_mean_24h")])
-    shares = trailing(days, ev.select("event_type", "value", "ts"), "cutoff_utc", "ts", 7 * 86400, [part("click").alias("click_share_7d"), part("error").alias("error_share_7d"), F.max("ts").alias("system_at")])
-    bought = trailing(days, ev.filter("event_type = 'purchase'").select("value", "ts"), "cutoff_utc", "ts", 7 * 86400, [F.avg("value").alias("bought_mean_7d")])
-    out = mart.star(days, [(x.drop("cutoff_utc"), ["day"]) for x in (views, shares, bought)])
+    width = panes.pane_width(days, "cutoff_utc", [86400, 7 * 86400])
+    of = lambda kind: F.when(F.col("event_type") == kind, F.col("value"))
+    paned = panes.panes(ev, "ts", width, {"view": of("view"), "click": of("click"), "error": of("error"), "bought": of("purchase"), "every": F.col("value")})
+    day = panes.combined(days, paned, "cutoff_utc", 86400, width, ["view"]).select("day", F.col("view_mean").alias("view_mean_24h"))
+    week = panes.combined(days, paned, "cutoff_utc", 7 * 86400, width, ["click", "error", "bought", "every"])
+    share = lambda kind: F.when(F.col("newest").isNotNull(), F.coalesce(f"{kind}_total", F.lit(0.0))) / F.nullif(F.col("every_total"), F.lit(0.0))
+    week = week.select("day", share("click").alias("click_share_7d"), share("error").alias("error_share_7d"), F.col("newest").alias("system_at"), F.col("bought_mean").alias("bought_mean_7d"))
+    out = mart.star(days, [(day, ["day"]), (week, ["day"])])
     return rounded(out.drop("cutoff_utc"))
 
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.errors import AnalysisException
 from pyspark.sql import types as T
 
+from tidemark.sources.versions import current, publish, write_chunks
+
 
 def read_lake(spark: SparkSession, root: str, dataset: str, schema: T.StructType) -> DataFrame:
     """A1: <root>/<source>/<name> with a declared schema; `_chunk` comes from the directories."""
@@ -37,58 +38,14 @@ def stamped(df: DataFrame, chunk: Column, now: str | None = None) -> DataFrame:
     return df.withColumns({"_chunk": chunk, "_ingested_at": at})
 
 
-def write_chunks(df: DataFrame, path: str) -> None:
-    """Replaces the chunks that df has, leaves the others. One job commits them all; see publish for a switch in one step."""
-    df.write.partitionBy("_chunk").mode("overwrite").option("partitionOverwriteMode", "dynamic").parquet(path)
-
-
-def with_chunks(table: DataFrame, fresh: DataFrame, fetched: DataFrame) -> DataFrame:
-    """Table with the chunks in fetched replaced by fresh's rows; a chunk fetched without rows is gone."""
-    return table.join(F.broadcast(fetched.select("_chunk").distinct()), "_chunk", "left_anti").select(*table.columns).unionByName(fresh)
-
-
-def publish(df: DataFrame, path: str) -> int:
-    """Writes df as the next version under path, then names it current; readers see the old or the new one, never a part."""
-    spark = df.sparkSession
-    version = (_version(spark, path) or 0) + 1
-    df.write.mode("overwrite").parquet(f"{path}/data/version={version}")
-    spark.range(1).select(F.lit(version).cast("long").alias("version")).write.mode("append").parquet(f"{path}/pointer")
-    return version
-
-
-def current(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """The version of a published table that is current; empty if there is none."""
-    version = _version(spark, path)
-    return spark.createDataFrame([], schema) if version is None else spark.read.schema(schema).parquet(f"{path}/data/version={version}")
-
-
-def _version(spark: SparkSession, path: str) -> int | None:
-    try:
-        return spark.read.schema("version long").parquet(f"{path}/pointer").agg(F.max("version")).first()[0]
-    except AnalysisException as e:
-        if e.getCondition() == "PATH_NOT_FOUND":
-            return None
-        raise
-
-
-def upserted(current: DataFrame, fresh: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
-    """Rows of fresh replace those of current with the same keys; of equal keys in fresh the last in `order` stays (without order, any)."""
-    if order:
-        w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
-        one = fresh.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
-    else:
-        one = fresh.dropDuplicates(keys)
+def upserted(current: DataFrame, fresh: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
+    """Rows of fresh replace those of current with the same keys; of equal keys in fresh the last in `order` stays."""
+    w = Window.partitionBy(*keys).orderBy(*[F.col(c).desc_nulls_last() for c in order])
+    one = fresh.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
     cond = [current[k].eqNullSafe(one[k]) for k in keys]
     return current.join(one.select(*keys), cond, "left_anti").unionByName(one)
 
 
-def swap_in(df: DataFrame, path: str) -> None:
-    """Full replacement by way of a staged copy, so that df may read from path."""
-    spark = df.sparkSession
-    df.write.mode("overwrite").parquet(f"{path}.next")
-    spark.read.schema(df.schema).parquet(f"{path}.next").write.mode("overwrite").parquet(path)
-
-
 def append_once(record: DataFrame | None, fresh: DataFrame, day: str, created: str, starts: str) -> tuple[DataFrame, str]:
     """Rows to append, and why there are none: nothing new or a time unknown, day on record, or made after its delivery began."""
     if fresh.isEmpty() or not fresh.filter(F.col(created).isNull() | F.col(starts).isNull()).isEmpty():
@@ -149,14 +106,13 @@ def date_range(df: DataFrame, day: str, start: str | None = None, end: str | Non
     return df
 
 
-def load(df: DataFrame, table: str, today: str | None = None, days: int = 0) -> int:
-    """Appends the chunks that recent_chunks names to a saved table, or replaces it all where today is missing; rows loaded."""
-    if today is None:
-        df.write.mode("overwrite").saveAsTable(table)
-        return df.count()
-    some = df.join(F.broadcast(recent_chunks(df, today, days).select("_chunk")), "_chunk", "left_semi").select(*df.columns)
-    some.write.mode("append").saveAsTable(table)
-    return some.count()
+def load(df: DataFrame, path: str, today: str, days: int = 0) -> int:
+    """Brings the chunks that recent_chunks names into a table of chunks, each in place of what it held; the version.
+
+    A load that is run again changes nothing.
+    """
+    some = recent_chunks(df, today, days).select("_chunk")
+    return write_chunks(df.join(some, "_chunk", "left_semi").select(*df.columns), path)
 
 
 def write_results(predictions: DataFrame, metrics: DataFrame, path: str) -> None:
@@ -194,9 +150,11 @@ def scd2(history: DataFrame, current: DataFrame, key: str, check: list[str], now
     return closed.unionByName(kept).unionByName(opened)
 
 
-def manifest(spark: SparkSession, path: str) -> DataFrame:
-    """Path and SHA-256 of every file."""
-    return spark.read.format("binaryFile").load(path).select("path", F.sha2("content", 256).alias("sha256"))
+def manifest(spark: SparkSession, path: str, largest: int = 1 << 30) -> DataFrame:
+    """Path, bytes and SHA-256 of every file; null for one above `largest` bytes, which a row can't hold."""
+    files = spark.read.format("binaryFile").load(path)
+    small = files.filter(F.col("length") <= largest).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    return small.unionByName(files.filter(F.col("length") > largest).select("path", F.col("length").alias("bytes"), F.lit(None).cast("string").alias("sha256")))
 
 
 def outcome_counts(chunks: DataFrame) -> DataFrame:

@@ -15,6 +15,11 @@ def record_list(payload: DataFrame, path: str, fields: dict[str, tuple[str, str]
     return rows.select(*[cast(old, kind).alias(new) for new, (old, kind) in fields.items()])
 
 
+def json_fields(df: DataFrame, text: str, fields: dict[str, tuple[str, str]]) -> DataFrame:
+    """Fields of a column of JSON text as typed columns; new name -> (path without $., type). Null where the text or the type doesn't fit."""
+    return df.withColumns({new: F.get_json_object(text, f"$.{path}").try_cast(kind) for new, (path, kind) in fields.items()})
+
+
 def embedded_issue_time(text: Column, clock: Column, zone: str = "Europe/London") -> tuple[Column, Column]:
     """Issue time in UTC and its basis: with a short clock (HH:MM) the text is UTC, else local time."""
     raw = F.try_to_timestamp(F.replace(text, F.lit("T"), F.lit(" "))).cast("timestamp_ntz")
