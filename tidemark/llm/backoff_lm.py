@@ -1,7 +1,7 @@
 """Operator 7: scoring by a weighted backoff automaton of smoothed n-grams.
 
-States are the root, one per word and one per pair of words that training has
-twice or more. An arc of a state carries the log-probability of a word seen
+States are the root, one per word and one per pair of words that training has.
+An arc of a state carries the log-probability of a word seen
 after it; its failure arc, with the backoff weight, leads from a pair to its
 last word and from a word to the root. The corpus may have more arcs than fit
 anywhere, so texts are packed into chunks, and each chunk gets the part of the
@@ -9,6 +9,8 @@ automaton that its own texts walk through, with weights from counts over the
 whole corpus: it sends what it has, contexts and the words that follow them, to
 buckets by hash, and each bucket answers with totals in the order in which it
 was asked; first for pairs, then for triples behind the pairs that are states.
+A pair that no other chunk has is not asked about again: what follows it is all
+in its own chunk.
 """
 
 from __future__ import annotations
@@ -28,8 +30,6 @@ from tidemark.llm.workspace import small_batches, staged
 
 #: What follows a context with this share of sampled tokens is dealt over all buckets, what follows any other lies in its own. No result depends on it.
 STATE_SHARE = 2e-4
-#: A pair of words is a state if training has it so often; what follows a rarer one is known from its last word alone.
-LEAST = 2
 #: At most one in so many chunks' worth of texts is looked at for these words.
 SAMPLE = 64
 CHUNK_BYTES = 8 << 20
@@ -124,7 +124,8 @@ class Asks:
     def sent(self, number: int) -> pa.RecordBatch:
         """One row per bucket that is asked: keys, their counts and numbers of followers, followers, their counts, and the spread key before each of the last ones."""
         out: dict[str, list] = {k: [] for k in ("bucket", "words", "word_n", "follow", "second", "pair_n", "wide")}
-        for k in range(self.buckets):
+        # those alone that something is sent to: a chunk's work does not grow with the number of buckets
+        for k in np.flatnonzero(np.diff(self.key_cut) + np.diff(self.pair_cut)):
             w, p = self.part(k)
             if len(w) + len(p):
                 wide = self.wide[p]
@@ -135,15 +136,17 @@ class Asks:
         columns = [pa.array(np.full(len(out["bucket"]), number), pa.int64()), *[pa.array(v, pa.int32() if k == "bucket" else pa.binary()) for k, v in out.items()]]
         return pa.RecordBatch.from_arrays(columns, names=["chunk", *out])
 
-    def totals(self, answers: list[dict], spread_kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Training totals of keys and followers, and how many kinds of words follow each key, from the buckets' answers."""
+    def totals(self, answers: list[dict], spread_kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Training totals of keys and followers, how many kinds of words follow each key, and which followers other chunks have too, from the buckets' answers."""
         pair_n, key_n, kinds = np.zeros(len(self.first), np.int64), np.zeros(len(self.keys), np.int64), np.zeros(len(self.keys), np.int64)
+        shared = np.zeros(len(self.first), bool)
         for r in answers:
             w, p = self.part(r["bucket"])
             pair_n[p], key_n[w], kinds[w] = _unpacked(r["pair_n"]), _unpacked(r["word_n"]), _unpacked(r["kinds"])
+            shared[p] = _unpacked(r["shared"]) > 0
         wide = self.spread >= 0
         kinds[wide] = spread_kinds[self.spread[wide]]
-        return key_n, pair_n, kinds
+        return key_n, pair_n, kinds, shared
 
 
 ASKED = "chunk long, bucket int, words binary, word_n binary, follow binary, second binary, pair_n binary, wide binary"
@@ -177,9 +180,9 @@ class Chunk:
     def asks(self, spread: np.ndarray, buckets: int) -> Asks:
         return Asks(self.words, self.word_n, self.first, self.words[self.second], self.pair_n, spread, buckets)
 
-    def deepen(self, pair_total: np.ndarray) -> None:
-        """Makes states of the pairs that training has LEAST times or more, and finds the triples behind them."""
-        self.deep = np.flatnonzero((pair_total >= LEAST) & (self.words[self.second] != END))
+    def deepen(self, pair_total: np.ndarray, shared: np.ndarray) -> None:
+        """Makes states of the pairs that training has, and finds the triples behind them; what follows a pair that is not shared is known here."""
+        self.deep = np.flatnonzero((pair_total > 0) & (self.words[self.second] != END))
         slot = np.full(len(pair_total), -1, np.int32)
         slot[self.deep] = np.arange(len(self.deep))
         before = np.concatenate([[-1], self.pair_at[:-1]])
@@ -196,10 +199,22 @@ class Chunk:
         #: The pair that a triple ends with.
         self.tail = np.zeros(len(triples), np.int32)
         self.tail[at] = self.pair_at[inside]
+        #: States to ask about, and the triples behind them.
+        self.far = np.flatnonzero(shared[self.deep])
+        self.far_triples = np.flatnonzero(shared[self.deep[self.slot]])
 
     def deep_asks(self, spread: np.ndarray, buckets: int) -> Asks:
-        keys = _pair_key(self.words[self.first[self.deep]], self.words[self.second[self.deep]])
-        return Asks(keys, self.pair_n[self.deep], self.slot, self.words[self.third], self.triple_n, spread, buckets)
+        far = self.deep[self.far]
+        keys = _pair_key(self.words[self.first[far]], self.words[self.second[far]])
+        slot = np.searchsorted(self.far, self.slot[self.far_triples])
+        return Asks(keys, self.pair_n[far], slot, self.words[self.third[self.far_triples]], self.triple_n[self.far_triples], spread, buckets)
+
+    def deep_totals(self, asks: Asks, answers: list[dict], spread_kinds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Training totals of all triples, and how many kinds of words follow each state."""
+        total = self.triple_n.astype(np.int64)
+        kinds = np.bincount(self.slot[self.triple_n > 0], minlength=len(self.deep)).astype(np.int64)
+        _, total[self.far_triples], kinds[self.far], _ = asks.totals(answers, spread_kinds)
+        return total, kinds
 
 
 def _chunks(chunk_bytes: int):
@@ -246,7 +261,8 @@ def _asked(spread, buckets: int):
 def _asked_deep(spread, spread_kinds, buckets: int):
     def run(chunk: pa.Table, answers: pa.Table) -> pa.Table:
         c = Chunk(_rows(chunk.column("data")[0].as_buffer()))
-        c.deepen(c.asks(spread.value, buckets).totals(answers.to_pylist(), spread_kinds.value)[1])
+        _, pair_n, _, shared = c.asks(spread.value, buckets).totals(answers.to_pylist(), spread_kinds.value)
+        c.deepen(pair_n, shared)
         return pa.Table.from_batches([c.deep_asks(spread.value, buckets).sent(chunk.column("chunk")[0].as_py())])
 
     return run
@@ -279,11 +295,12 @@ def _answered(spread):
         key = mixed(context.astype(np.uint64) + np.uint64(1)) + np.concatenate(second)
         _, at, pair = np.unique(key, return_index=True, return_inverse=True)
         total = np.bincount(pair, weights=np.concatenate(pair_n), minlength=len(at)).astype(np.int64)
+        shared = np.bincount(pair, minlength=len(at)) > 1
         kinds = np.bincount(context[at], weights=total > 0, minlength=len(unique) + len(spread.value)).astype(np.int64)
         out = []
         for k, r in enumerate(rows):
             p, w = pair[pair_cut[k] : pair_cut[k + 1]], of[word_cut[k] : word_cut[k + 1]]
-            out.append({"chunk": r["chunk"], "bucket": r["bucket"], "pair_n": _packed(total[p]), "word_n": _packed(word_n[w]), "kinds": _packed(kinds[w])})
+            out.append({"chunk": r["chunk"], "bucket": r["bucket"], "pair_n": _packed(total[p]), "word_n": _packed(word_n[w]), "kinds": _packed(kinds[w]), "shared": _packed(shared[p].astype(np.uint8))})
         wide = kinds[len(unique) :]
         out += [{"spread": int(k), "n": int(wide[k])} for k in np.flatnonzero(wide)]
         out.append({"spread": -1, "n": int(word_n.sum()), "v": int((word_n > 0).sum()), "n1": int((word_n == 1).sum()), "n2": int((word_n == 2).sum())})
@@ -292,7 +309,7 @@ def _answered(spread):
     return run
 
 
-ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("pair_n", pa.binary()), ("word_n", pa.binary()), ("kinds", pa.binary()), ("spread", pa.int32()), *[(k, pa.int64()) for k in ("n", "v", "n1", "n2")]])
+ANSWER = pa.schema([("chunk", pa.int64()), ("bucket", pa.int32()), ("pair_n", pa.binary()), ("word_n", pa.binary()), ("kinds", pa.binary()), ("shared", pa.binary()), ("spread", pa.int32()), *[(k, pa.int64()) for k in ("n", "v", "n1", "n2")]])
 
 
 class Automaton:
@@ -340,9 +357,9 @@ def _scores(model, buckets: int):
         total, distinct, _ = corpus
         rows = _rows(chunk.column("data")[0].as_buffer())
         c, got = Chunk(rows), answers.to_pylist()
-        word_n, pair_n, follow_kinds = c.asks(spread, buckets).totals([r for r in got if r["level"] == 2], kinds)
-        c.deepen(pair_n)
-        _, triple_n, state_kinds = c.deep_asks(spread, buckets).totals([r for r in got if r["level"] == 3], deep_kinds)
+        word_n, pair_n, follow_kinds, shared = c.asks(spread, buckets).totals([r for r in got if r["level"] == 2], kinds)
+        c.deepen(pair_n, shared)
+        triple_n, state_kinds = c.deep_totals(c.deep_asks(spread, buckets), [r for r in got if r["level"] == 3], deep_kinds)
         follow_n = np.where(c.words == END, 0, word_n)
         a = Automaton(corpus, word_n, follow_n, follow_kinds, c.first, c.second, pair_n, c.deep, state_kinds, c.slot, c.tail, triple_n)
         before = np.where(c.pair_at >= 0, np.concatenate([[-1], c.of[:-1]]), -1)
@@ -377,8 +394,7 @@ def score_documents(
     Returns doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score
     (log10 probability of the text's words and one end). Words are lower-cased
     (A-Z) runs other than space and 0x09-0x0D. The probability of a word is
-    interpolated absolute discounting of triples (behind pairs seen LEAST times
-    or more) over all pairs over single words; all words never seen are one
+    interpolated absolute discounting of triples over pairs over single words; all words never seen are one
     type, with the mass discounted from words, so from every state probabilities
     add up to 1.
 
@@ -396,8 +412,15 @@ def score_documents(
     # bucketed by chunk: joins with answers read it in place
     table = f"lm_chunks_{uuid.uuid4().hex}"
     tasks = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    packed.write.bucketBy(tasks, "chunk").option("compression", "uncompressed").format("parquet").saveAsTable(table)
-    packed = spark.table(table)
+    try:
+        packed.write.bucketBy(tasks, "chunk").option("compression", "uncompressed").format("parquet").saveAsTable(table)
+        return _scored(docs, spark.table(table), state_share, chunk_bytes)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {table}")
+
+
+def _scored(docs: DataFrame, packed: DataFrame, state_share: float, chunk_bytes: int) -> DataFrame:
+    spark = docs.sparkSession
     chunks = max(1, -(-(packed.agg(F.sum("bytes")).first()[0] or 0) // chunk_bytes))
     hashed = F.xxhash64("doc_id", F.octet_length("text"))
     some = docs.filter(F.pmod(hashed, F.lit(min(chunks, SAMPLE))) == 0)
@@ -407,7 +430,7 @@ def score_documents(
     keys = np.sort(np.array([r.word for r in frequent.collect()], np.int64).view(np.uint64))
     shared_keys = spark.sparkContext.broadcast(keys)
 
-    answer = "chunk long, bucket int, pair_n binary, word_n binary, kinds binary, spread int, n long, v long, n1 long, n2 long"
+    answer = "chunk long, bucket int, pair_n binary, word_n binary, kinds binary, shared binary, spread int, n long, v long, n1 long, n2 long"
 
     def answered(asked: DataFrame, level: int) -> tuple[DataFrame, np.ndarray]:
         """Answers to chunks, and the kinds of words that follow each spread key."""
@@ -418,7 +441,7 @@ def score_documents(
         return rows, kinds
 
     def to_chunks(*answers: DataFrame):
-        rows = [a.filter("chunk is not null").select("level", "chunk", "bucket", "pair_n", "word_n", "kinds") for a in answers]
+        rows = [a.filter("chunk is not null").select("level", "chunk", "bucket", "pair_n", "word_n", "kinds", "shared") for a in answers]
         return packed.select("chunk", "data").groupBy("chunk").cogroup(reduce(DataFrame.unionByName, rows).groupBy("chunk"))
 
     pairs, kinds = answered(packed.select("chunk", "data").mapInArrow(_asked(shared_keys, chunks), ASKED), 2)
@@ -431,5 +454,4 @@ def score_documents(
     model = spark.sparkContext.broadcast((keys, kinds, deep_kinds, (n, v, discount)))
     scored = to_chunks(pairs, triples).applyInArrow(_scores(model, chunks), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = staged(scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"), "scores")
-    spark.sql(f"DROP TABLE {table}")
     return out
