@@ -147,6 +147,7 @@ def test_exact_dedup(docs, empty, spark):
     whole = exact_dedup.dedup_in_loads(docs, 3).collect()
     assert sorted((tuple(r)[:5] for r in whole), key=str) == sorted(want, key=str)
     assert exact_dedup.dedup_in_loads(empty).count() == 0
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("digest_index")]
     index = exact_dedup.DigestIndex(spark, buckets=4)
     first = sorted(map(tuple, exact_dedup.exact_dedup(docs, index, "monday").collect()), key=str)
     some = docs.filter("doc_id < 5")
@@ -160,6 +161,18 @@ def test_exact_dedup(docs, empty, spark):
     index.drop()
 
 
+def test_index_decides_which_row_stays(docs, monkeypatch):
+    """What a load has left in the index is what later ones and the result go by."""
+    real = exact_dedup.DigestIndex._write
+
+    def falsified(self, rows, table):
+        real(self, rows.withColumn("keep_id", F.lit(-5).cast("long")), table)
+
+    monkeypatch.setattr(exact_dedup.DigestIndex, "_write", falsified)
+    got = exact_dedup.dedup_in_loads(docs, 3).collect()
+    assert {r.keep_id for r in got} == {-5} and not any(r.kept for r in got)
+
+
 def test_token_counts_add_up(docs, empty):
     import tiktoken
 
@@ -257,7 +270,7 @@ def test_language_model_counts_every_ngram(docs, share, chunk):
         p = (c[w] - d) / n if c[w] else d * v / n
         if b is not None and c[b]:
             p = max(0, pairs[b, w] - d) / c[b] + d * kinds[b] / c[b] * p
-        if a is not None and pairs[a, b] >= 2:
+        if a is not None and pairs[a, b]:
             p = max(0, triples[a, b, w] - d) / pairs[a, b] + d * kinds[a, b] / pairs[a, b] * p
         return p
 

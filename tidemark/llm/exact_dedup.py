@@ -56,18 +56,26 @@ class DigestIndex:
         digest = F.unhex(F.sha2(normalised(text_col), 256)).alias("digest")
         return docs.select(F.col(id_col).cast("long").alias("doc_id"), digest)
 
-    def append(self, digests: DataFrame, load: str) -> None:
-        """Adds the digests that the index lacks under the name of the load; one that is run again lacks none and adds none."""
+    def append(self, digests: DataFrame, load: str) -> DataFrame | None:
+        """Adds the digests that the index lacks under the name of the load; one that is run again lacks none and adds none.
+
+        Returns digest and group_size of those that it had; None if it was empty.
+        """
         per_id = digests.groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
         fresh = per_id.groupBy("digest").agg(
             F.min("doc_id").alias("keep_id"),
             F.sum("rows").alias("group_size"),
             F.coalesce(F.min_by("rows", "doc_id"), F.sum("rows")).alias("keep_rows"),
         )
+        known = None
         if self.exists():
-            fresh = fresh.join(self.read().select("digest").hint("merge"), "digest", "left_anti")
-        # what is appended must not depend on the table that it is appended to
+            fresh = staged(fresh, "load")
+            have = self.read().select("digest")
+            # what is said of the table must not change when it is appended to
+            known = staged(fresh.join(have.hint("merge"), "digest", "left_semi").select("digest", "group_size"), "known")
+            fresh = fresh.join(have.hint("merge"), "digest", "left_anti")
         self._write(staged(fresh.withColumn("load", F.lit(load)), "digests"), self.table)
+        return known
 
     def _write(self, rows: DataFrame, table: str) -> None:
         buckets = self._buckets(rows)
@@ -117,32 +125,50 @@ def exact_dedup(docs: DataFrame, index: DigestIndex | None = None, load: str | N
     With an index that an earlier load has filled, texts it brought are not
     kept; keep_id and group_size are then those of that load. `load` names this
     one (at random if missing): run again under its name, it gives the same
-    rows. Without an index one is made for this table and loaded with it.
+    rows. Without an index one is made for this table, loaded with it, and
+    dropped when the result has been written.
     """
-    index, load = index or DigestIndex(docs.sparkSession), load or uuid.uuid4().hex
+    own, load = DigestIndex(docs.sparkSession) if index is None else None, load or uuid.uuid4().hex
+    index = index or own
     digests = staged(index.digests(docs, id_col, text_col), "digests")
-    index.append(digests, load)
-    return index.classify(digests, load)
+    if own is None:
+        index.append(digests, load)
+        return index.classify(digests, load)
+    try:
+        index.append(digests, load)
+        return staged(index.classify(digests, load), "deduplicated")
+    finally:
+        index.drop()
 
 
 def dedup_in_loads(docs: DataFrame, loads: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """exact_dedup of one table that comes in several loads (dealt by id) into one index, with groups of the whole table.
-
-    Later loads are anti-joined to what earlier ones left in the index, so the
-    index holds each text once; its group is then summed over all loads, and the
-    row with the smallest doc_id of all stays. The index is dropped when the
-    result has been written.
+    """exact_dedup of one table that comes in several loads, in order of doc_id, into one index, with groups of the whole table.
+
+    A load is anti-joined to what earlier ones left in the index; what is new is
+    appended with its keep_id, and what is known is counted under the load's
+    name. As loads come in order of doc_id, the load that brought a text has its
+    smallest one, so keep_id is read from the index, and group_size is the sum
+    of its counts; no group is made of all rows again. Ranges are cut by
+    approximate quantiles of doc_id, null ids come with the last; a cut decides
+    on the size of loads only. The index is dropped when the result has been written.
     """
     index = DigestIndex(docs.sparkSession)
     digests = staged(index.digests(docs, id_col, text_col), "digests")
-    part = F.pmod(F.xxhash64("doc_id"), F.lit(loads))
-    for k in range(loads):
-        index.append(digests.filter(part == k), f"load-{k}")
-    per_id = digests.groupBy("digest", "doc_id").agg(F.count("*").alias("rows"))
-    groups = per_id.groupBy("digest").agg(F.min("doc_id").alias("keep_id"), F.sum("rows").alias("group_size"), F.coalesce(F.min_by("rows", "doc_id"), F.sum("rows")).alias("keep_rows"))
-    groups = index.read().select("digest").join(groups.hint("merge"), "digest")
-    rows = attach_groups(digests, groups, "digest", "group_size", digests.count())
-    kept = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
-    out = staged(rows.select("doc_id", "keep_id", "group_size", kept, F.lower(F.hex("digest")).alias("text_sha256"), "keep_rows"), "deduplicated")
-    index.drop()
-    return out
+    cuts = digests.agg(F.percentile_approx("doc_id", F.array(*[F.lit(k / loads) for k in range(1, loads)]), F.lit(1000))).first()[0] if loads > 1 else []
+    part = F.lit(loads - 1)
+    for k in reversed(range(len(cuts or []))):
+        part = F.when(F.col("doc_id") <= cuts[k], k).otherwise(part)
+    try:
+        seen = None
+        for k in range(loads):
+            again = index.append(digests.filter(part == k), f"load-{k}")
+            seen = again if seen is None else seen.unionByName(again) if again is not None else seen
+        kept = index.read().hint("merge")
+        if seen is not None:
+            more = seen.groupBy("digest").agg(F.sum("group_size").alias("_more"))
+            kept = kept.join(more.hint("merge"), "digest", "left").withColumn("group_size", F.col("group_size") + F.coalesce("_more", F.lit(0)))
+        rows = attach_groups(digests, kept.select("digest", "keep_id", "group_size", "keep_rows"), "digest", "group_size", digests.count())
+        mine = F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("kept")
+        return staged(rows.select("doc_id", "keep_id", "group_size", mine, F.lower(F.hex("digest")).alias("text_sha256"), "keep_rows"), "deduplicated")
+    finally:
+        index.drop()
