@@ -102,7 +102,8 @@ class Centroids:
 def fit_centroids(docs: DataFrame, sample: int = SAMPLE, per: int = CENTROIDS, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> Centroids | None:
     """Learns from at most `sample` texts of each language whose crc32(doc_id) mod 5 is not 0, and TOTAL of all; None if there are none.
 
-    More languages than TOTAL are an error.
+    More languages than TOTAL are an error. Of rows that repeat doc_id and lang
+    the one whose text sorts first teaches.
     """
     known = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).isNotNull().alias("_some"))
     known = known.filter(F.col("lang").isNotNull() & F.col("_some") & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 != 0))
@@ -117,7 +118,8 @@ def fit_centroids(docs: DataFrame, sample: int = SAMPLE, per: int = CENTROIDS, i
         known = known.withColumn("_k", F.row_number().over(Window.partitionBy(*by).orderBy(*order))).filter(F.col("_k") <= sample)
     known = known.select("doc_id", "lang").distinct()
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.col(lang_col).cast("string").alias("lang")).filter("text is not null")
-    texts = texts.join(F.broadcast(known), ["doc_id", "lang"])
+    # of rows that repeat both, the first text: no more than one row of a document comes to the driver
+    texts = texts.join(F.broadcast(known), ["doc_id", "lang"]).groupBy("doc_id", "lang").agg(F.min("text").alias("text"))
 
     def vectors(batches):
         for batch in batches:
@@ -125,7 +127,7 @@ def fit_centroids(docs: DataFrame, sample: int = SAMPLE, per: int = CENTROIDS, i
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(packed, pa.binary())], names=["doc_id", "lang", "x"])
 
     rows = texts.select("doc_id", "text", "lang").mapInArrow(vectors, "doc_id long, lang string, x binary").collect()
-    rows = sorted({(r.lang, r.doc_id): r for r in rows}.values(), key=lambda r: (r.lang, r.doc_id))
+    rows = sorted(rows, key=lambda r: (r.lang, r.doc_id))
     if not rows:
         return None
     counts = np.vstack([np.frombuffer(r.x, np.float16) for r in rows]).astype(np.float32)
