@@ -204,9 +204,11 @@ def fit_rules(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, text_col
     rows = rows.join(F.broadcast(known), "doc_id")
     rows = rows.select("doc_id", "good", stats_of(F.col("text")).alias("stats"))
     rows = rows.select("doc_id", "good", base_failed(F.col("stats")).alias("failed"), *[v.alias(k) for k, v in features_of(F.col("stats")).items()])
-    # the filter is left to the few rows here: in Spark it would have the statistics counted twice
-    pdf = rows.toPandas()
-    pdf = pdf[~pdf["failed"]].sort_values(["doc_id", *FEATURES]).drop_duplicates("doc_id")
+    # of rows that repeat a doc_id one comes to the driver, one that passes the base rule if any does.
+    # Those that fail it are left out there: a filter in Spark would have the statistics counted twice
+    one = rows.groupBy("doc_id").agg(F.max("good").alias("good"), F.min(F.struct("failed", *FEATURES)).alias("v"))
+    pdf = one.select("doc_id", "good", "v.*").toPandas()
+    pdf = pdf[~pdf["failed"]].sort_values("doc_id")
     return learn_rules(pdf[list(FEATURES)].to_numpy(float), (pdf["good"] == 0).to_numpy())
 
 
