@@ -314,10 +314,14 @@ def fit_network(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, id_col
     some = lambda is_toxic: known.filter((F.col("label") > 0) == is_toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
     known = some(True).unionByName(some(False))
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).filter("text is not null")
-    rows = rows.join(F.broadcast(known), "doc_id").withColumn("bytes", F.octet_length("text")).filter(F.col("bytes") <= SAMPLE_BYTES)
-    # of these few thousand rows, in order of hash, as many as fit
-    so_far = F.sum("bytes").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id", "text"))
-    rows = rows.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "label", "text").collect()
+    rows = rows.join(F.broadcast(known), "doc_id")
+    # sizes of these few thousand texts first, the smallest of rows that repeat a doc_id; then, in order of hash, as many texts as fit
+    sizes = rows.select("doc_id", "label", F.octet_length("text").alias("bytes"), F.xxhash64("text").alias("own")).filter(F.col("bytes") <= SAMPLE_BYTES)
+    sizes = sizes.groupBy("doc_id", "label").agg(F.min(F.struct("bytes", "own")).alias("v")).select("doc_id", "label", "v.*")
+    so_far = F.sum("bytes").over(Window.partitionBy("label").orderBy(F.xxhash64("doc_id"), "doc_id"))
+    some = sizes.withColumn("so_far", so_far).filter(F.col("so_far") <= SAMPLE_BYTES).select("doc_id", "own")
+    rows = rows.withColumn("own", F.xxhash64("text")).join(F.broadcast(some), ["doc_id", "own"])
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text")).collect()
     one = {xxhash.xxh3_128_intdigest(r.text.encode("utf-8")): r for r in sorted(rows, key=lambda r: (r.label, -r.doc_id))}
     rows = sorted(one.values(), key=lambda r: r.doc_id)
     return train([r.text for r in rows], np.array([float(r.label) for r in rows]))
