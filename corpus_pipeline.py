@@ -34,9 +34,15 @@ def _decided(docs: DataFrame, digest: Column, decision: DataFrame) -> DataFrame:
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drops documents that fail the base rule or a learned one; labels come from the labels table."""
+    """Drops documents that fail the base rule or a learned one; labels come from the labels table.
+
+    Null and empty texts fail the base rule. Each row is judged by its own text,
+    repeated rows alike, and goes on as it came, whatever its columns are
+    called. An empty table stays empty.
+    """
     rules = fit_rules(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return judged(docs, rules).filter("_kept").select(*docs.columns)
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), "text")
+    return judged(rows, rules).filter("_kept").select("row.*")
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -57,7 +63,10 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The training stream: each document as often as the mix reads it, each copy at the time when its reading begins.
 
     Rows are in that order within partitions, and partitions follow each other:
-    written files in order of name hold the stream.
+    written files in order of name hold the stream. Texts that are null, empty
+    or without words are of size 0 and not taken. Rows that repeat both doc_id
+    and text are taken as often as any of them; ties in time go by a hash of
+    both. An empty table gives no rows.
     """
     rows = mix(docs).filter("copies > 0")
     key = F.xxhash64(F.coalesce(F.col("doc_id").cast("long"), F.lit(-1)), F.coalesce(F.col("text"), F.lit("")))
@@ -70,7 +79,11 @@ def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, source and lang with number and digest of each whole text's ids, and the digest of the text decoded from them."""
+    """doc_id, source and lang with number and digest of each whole text's ids, and the digest of the text decoded from them.
+
+    A row for each row of docs, repeated ones too; null texts are empty, and
+    empty ones have no ids. An empty table gives no rows.
+    """
     digest = SentencePieces(docs, tokenizer_file("piece_bpe_32k.model")).digest(F.col("text"))
     return docs.select("doc_id", "source", "lang", digest.alias("_d")).select("doc_id", "source", "lang", "_d.*")
 
