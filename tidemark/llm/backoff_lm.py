@@ -33,6 +33,8 @@ STATE_SHARE = 2e-4
 #: At most one in so many chunks' worth of texts is looked at for these words.
 SAMPLE = 64
 CHUNK_BYTES = 8 << 20
+#: Bytes of text behind a bucket, on average: what a task adds up at once is some ten times as much.
+BUCKET_BYTES = 3 << 20
 END = np.uint64(0x5BD1E9955BD1E995)
 
 
@@ -421,7 +423,8 @@ def score_documents(
 
 def _scored(docs: DataFrame, packed: DataFrame, state_share: float, chunk_bytes: int) -> DataFrame:
     spark = docs.sparkSession
-    chunks = max(1, -(-(packed.agg(F.sum("bytes")).first()[0] or 0) // chunk_bytes))
+    size = packed.agg(F.sum("bytes")).first()[0] or 0
+    chunks, buckets = max(1, -(-size // chunk_bytes)), max(1, -(-size // min(BUCKET_BYTES, chunk_bytes)))
     hashed = F.xxhash64("doc_id", F.octet_length("text"))
     some = docs.filter(F.pmod(hashed, F.lit(min(chunks, SAMPLE))) == 0)
     found = staged(some.select("text").mapInArrow(_frequent(state_share), "word long, n long").groupBy("word").agg(F.sum("n").alias("n")), "frequent")
@@ -444,14 +447,14 @@ def _scored(docs: DataFrame, packed: DataFrame, state_share: float, chunk_bytes:
         rows = [a.filter("chunk is not null").select("level", "chunk", "bucket", "pair_n", "word_n", "kinds", "shared") for a in answers]
         return packed.select("chunk", "data").groupBy("chunk").cogroup(reduce(DataFrame.unionByName, rows).groupBy("chunk"))
 
-    pairs, kinds = answered(packed.select("chunk", "data").mapInArrow(_asked(shared_keys, chunks), ASKED), 2)
+    pairs, kinds = answered(packed.select("chunk", "data").mapInArrow(_asked(shared_keys, buckets), ASKED), 2)
     shared_kinds = spark.sparkContext.broadcast(kinds)
-    triples, deep_kinds = answered(to_chunks(pairs).applyInArrow(_asked_deep(shared_keys, shared_kinds, chunks), ASKED), 3)
+    triples, deep_kinds = answered(to_chunks(pairs).applyInArrow(_asked_deep(shared_keys, shared_kinds, buckets), ASKED), 3)
 
     stats = pairs.filter("spread = -1").agg(*[F.sum(c).alias(c) for c in ("n", "v", "n1", "n2")]).first()
     n, v, n1, n2 = (x or 0 for x in stats)
     discount = min(0.95, max(0.1, n1 / max(n1 + 2 * n2, 1)))
     model = spark.sparkContext.broadcast((keys, kinds, deep_kinds, (n, v, discount)))
-    scored = to_chunks(pairs, triples).applyInArrow(_scores(model, chunks), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
+    scored = to_chunks(pairs, triples).applyInArrow(_scores(model, buckets), "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double")
     out = staged(scored.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(n).cast("long").alias("train_tokens"), "base_score", "score"), "scores")
     return out
