@@ -32,7 +32,7 @@ from tidemark.llm.workspace import small_batches, staged
 STATE_SHARE = 2e-4
 #: At most one in so many chunks' worth of texts is looked at for these words.
 SAMPLE = 64
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 6 << 20
 #: Bytes of text behind a bucket, on average: what a task adds up at once is some ten times as much.
 BUCKET_BYTES = 3 << 20
 END = np.uint64(0x5BD1E9955BD1E995)
@@ -358,7 +358,7 @@ def _scores(model, buckets: int):
         spread, kinds, deep_kinds, corpus = model.value
         total, distinct, _ = corpus
         rows = _rows(chunk.column("data")[0].as_buffer())
-        c, got = Chunk(rows), answers.to_pylist()
+        c, got, rows = Chunk(rows), answers.to_pylist(), rows.select(["doc_id", "held_out"])
         word_n, pair_n, follow_kinds, shared = c.asks(spread, buckets).totals([r for r in got if r["level"] == 2], kinds)
         c.deepen(pair_n, shared)
         triple_n, state_kinds = c.deep_totals(c.deep_asks(spread, buckets), [r for r in got if r["level"] == 3], deep_kinds)
