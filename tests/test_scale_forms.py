@@ -118,6 +118,30 @@ def test_linear_folds_agree_with_numpy(spark, half_life, last):
     assert test.filter("fold = '2023-05'").count() == sum(r[0].year == 2023 and r[0].month == 5 for r in rows)
 
 
+def test_design_agrees_with_numpy(spark):
+    rnd = random.Random(8)
+    rows = [(k, rnd.gauss(5, 2) if rnd.random() > 0.3 else None, 3.0, None) for k in range(200)]
+    df = spark.createDataFrame(rows, "k int, a double, flat double, gone double")
+    out, names = forecasts.linear_design(df.filter("k < 150"), df, ["a", "flat", "gone"])
+    assert names == ["a_z", "flat_z", "gone_z", "a_missing", "gone_missing"]
+    train = [a for k, a, _, _ in rows if k < 150]
+    middle = np.median([a for a in train if a is not None])
+    fill = np.array([middle if a is None else a for a in train])
+    for r in out.collect():
+        a = middle if r.a is None else r.a
+        assert r.a_z == pytest.approx((a - fill.mean()) / fill.std(ddof=1)) and (r.flat_z, r.gone_z) == (0.0, 0.0)
+        assert (r.a_missing, r.gone_missing) == (float(r.a is None), 1.0)
+
+
+@pytest.mark.parametrize("bucket", ["HOUR", "MONTH"])
+def test_asof_does_not_depend_on_its_buckets(spark, bucket):
+    rnd = random.Random(3)
+    v = spark.createDataFrame([(rnd.randrange(3), T0 + timedelta(minutes=rnd.randrange(20_000)), k) for k in range(150)], "k int, at timestamp_ntz, x int")
+    s = spark.createDataFrame([(rnd.randrange(4), T0 + timedelta(minutes=rnd.randrange(20_000)), k) for k in range(80)], "k int, cutoff_utc timestamp_ntz, row int")
+    rows = lambda **more: sorted(map(str, asof_join(s, v, ["k"], ["x"], "at", tie=["x"], **more).collect()))
+    assert rows(bucket=bucket) == rows()
+
+
 def test_bootstrap_agrees_with_plain_draws(spark):
     rnd = random.Random(0)
     for n in (1, 5, 30):

@@ -14,17 +14,18 @@ def keep_latest(df: DataFrame, keys: list[str], order: list[Column]) -> DataFram
     return df.withColumn("_rn", F.row_number().over(w)).filter("_rn = 1").drop("_rn")
 
 
-#: Width of the buckets of time in which a key's history is ordered; one task holds one bucket of one key at most.
+#: Width of the buckets of time in which a key's history is ordered, unless the caller says otherwise: one task holds one
+#: bucket of one key at most, and one more the buckets of a key. HOUR suits keys with millions of vintages a day.
 BUCKET = "DAY"
 
 
-def _timeline(spine: DataFrame, vintages: DataFrame, on: list[str], issued: str, bound: Column, payload: list[str], tie: list[str]) -> DataFrame:
+def _timeline(spine: DataFrame, vintages: DataFrame, on: list[str], issued: str, bound: Column, payload: list[str], tie: list[str], bucket: str) -> DataFrame:
     """Spine rows and vintages in one table by key and time: _t, _spine (null for a vintage), _v (null for a spine row), _tie."""
     keys = [F.col(k).alias(f"_k{n}") for n, k in enumerate(on)]
     a = spine.select(*keys, bound.alias("_t"), F.struct(*[F.col(f"`{c}`") for c in spine.columns]).alias("_spine"))
     v = vintages.filter(F.col(issued).isNotNull()).dropna(subset=on)
     v = v.select(*keys, F.col(issued).alias("_t"), F.struct(*payload, issued).alias("_v"), F.struct(F.lit(0), *tie).alias("_tie"))
-    return a.unionByName(v, allowMissingColumns=True).withColumn("_b", F.date_trunc(BUCKET, "_t"))
+    return a.unionByName(v, allowMissingColumns=True).withColumn("_b", F.date_trunc(bucket, "_t"))
 
 
 def _with_carry(rows: DataFrame, keys: list[str], inside: dict[str, Column], per_bucket: dict[str, Column], carried: dict[str, Column]) -> DataFrame:
@@ -48,6 +49,7 @@ def asof_join(
     tie: list[str] | None = None,
     how: str = "left",
     shift_minutes: int = 0,
+    bucket: str = BUCKET,
 ) -> DataFrame:
     """Each spine row with the payload of its newest vintage issued at or before the cutoff.
 
@@ -64,7 +66,7 @@ def asof_join(
     """
     bound = F.col(cutoff) + F.expr(f"INTERVAL {shift_minutes} MINUTE") if shift_minutes else F.col(cutoff)
     keys = [f"_k{n}" for n in range(len(on))]
-    rows = _timeline(spine, vintages, on, issued, bound, payload, tie or [])
+    rows = _timeline(spine, vintages, on, issued, bound, payload, tie or [], bucket)
     last = F.last("_v", ignorenulls=True)
     best = F.max_by("_v", F.when(F.col("_v").isNotNull(), F.struct("_t", "_tie")))
     out = _with_carry(rows, keys, {"_here": last}, {"_best": best}, {"_before": F.last("_best", ignorenulls=True)})
@@ -73,10 +75,10 @@ def asof_join(
     return out.filter(F.col(issued).isNotNull()) if how == "inner" else out
 
 
-def known_counts(spine: DataFrame, vintages: DataFrame, on: list[str], issued: str, cutoff: str = "cutoff_utc", of_all: bool = True) -> DataFrame:
+def known_counts(spine: DataFrame, vintages: DataFrame, on: list[str], issued: str, cutoff: str = "cutoff_utc", of_all: bool = True, bucket: str = BUCKET) -> DataFrame:
     """Spine rows with n_known, the vintages of their key issued by the cutoff, and (of_all) n_vintages, all of them; same plan as asof_join."""
     keys = [f"_k{n}" for n in range(len(on))]
-    rows = _timeline(spine, vintages, on, issued, F.col(cutoff), [], [])
+    rows = _timeline(spine, vintages, on, issued, F.col(cutoff), [], [], bucket)
     seen, here = F.count("_v"), F.count("_v")
     out = _with_carry(rows, keys, {"_here": seen}, {"_n": here}, {"_before": F.sum("_n")})
     known = F.when(F.col("_t").isNotNull(), F.col("_here") + F.coalesce("_before", F.lit(0))).otherwise(F.lit(0))

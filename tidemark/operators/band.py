@@ -1,4 +1,4 @@
-"""Trailing-band joins without a nested loop."""
+"""Trailing-band joins without a nested loop, for what panes can't add up (C6, D1); see operators.panes for counts, sums, means, deviations, extremes and last values."""
 
 from __future__ import annotations
 
@@ -31,10 +31,3 @@ def trailing(days: DataFrame, series: DataFrame, cutoff: str, available: str, se
     keyed = days.select(*keys).distinct()
     found = band_join(keyed, series, cutoff, available, seconds, by).groupBy(*keys).agg(*aggregates)
     return days.join(found, keys, "left")
-
-
-def last_known(days: DataFrame, series: DataFrame, value: str, cutoff: str, available: str, seconds: int, tie: list[str] | None = None) -> DataFrame:
-    """Newest non-null value in the band, with its availability."""
-    order = F.struct(available, *(tie or []))
-    aggregates = [F.max_by(value, order).alias(f"{value}_last"), F.max(available).alias(f"{value}_last_available_at")]
-    return trailing(days, series.filter(F.col(value).isNotNull()), cutoff, available, seconds, aggregates)

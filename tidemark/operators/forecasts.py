@@ -162,6 +162,25 @@ def point_model(train: DataFrame, features: list[str], y: str, kind: str = "gbt"
     return Pipeline(stages=stages).fit(rows)
 
 
+def linear_design(train: DataFrame, rows: DataFrame, features: list[str], missing_above: float = 0.01) -> tuple[DataFrame, list[str]]:
+    """Rows with features ready for a linear model, and their names, all learned from train.
+
+    A missing value becomes the exact median of train (0 if it has none); a
+    feature of which more than missing_above is missing there also gets an
+    indicator <f>_missing; then <f>_z is the value less its mean over its sample
+    deviation (both with medians filled in, a deviation of 0 counts as 1). Train
+    is read twice: for medians, all in one pass, and for means and deviations.
+    """
+    long = train.select(F.inline(F.array(*[F.struct(F.lit(f).alias("_f"), F.col(f).cast("double").alias("_v")) for f in features])))
+    middle = {r._f: r.q0 for r in exact_quantiles(long, "_v", ["_f"], [0.5]).collect()}
+    filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(float(middle.get(f, 0.0)))) for f in features}
+    s = train.agg(*[c.alias(f"{kind}{k}") for k, f in enumerate(features) for kind, c in (("a", F.avg(filled[f])), ("d", F.stddev_samp(filled[f])), ("n", F.avg(F.col(f).isNull().cast("double"))))]).first()
+    flagged = [f for k, f in enumerate(features) if (s[f"n{k}"] or 0.0) > missing_above]
+    shown = {f"{f}_z": (filled[f] - F.lit(s[f"a{k}"] or 0.0)) / F.lit(s[f"d{k}"] or 1.0) for k, f in enumerate(features)}
+    shown |= {f"{f}_missing": F.col(f).isNull().cast("double") for f in flagged}
+    return rows.withColumns(shown), list(shown)
+
+
 def importance(spark: SparkSession, model) -> DataFrame:
     """(feature, gain_share) of a fitted tree pipeline, largest first; indicators are features of their own."""
     from pyspark.ml.feature import VectorAssembler

@@ -13,6 +13,7 @@ from tidemark.functions import metrics as m
 from tidemark.functions import timeutil as t
 from tidemark.operators import contracts, folds, forecasts, mart, panes, series, settle
 from tidemark.operators.asof import asof_join, keep_latest, newer_vintage_existed
+from tidemark.operators.band import trailing
 from tidemark.operators.calendar import settlement_calendar
 from tidemark.plans import serve
 from tidemark.plans.registry import ORACLE_SQL, QUERIES, ZONE, query, r, read, rounded  # noqa: F401
@@ -70,6 +71,16 @@ def mart_features(spark, d):
     return flagship(spark, d)
 
 
+@_query(f"""{_MART}, b AS (SELECT day, event_type, count(DISTINCT user_id) AS users, bit_xor(event_id) AS mark, max(ts) AS newest FROM days JOIN events e ON e.ts <= cutoff_utc AND e.ts > cutoff_utc - INTERVAL 3 DAY GROUP BY ALL)
+SELECT day, event_type, users, mark, newest FROM b""", "day")
+def band_users(spark, d):
+    """What panes can't add up, over a band by key: distinct users of the three days before each cutoff, and a mark of the rows in it."""
+    ev, days = _read(spark, d, "events"), _days(_read(spark, d, "events"))
+    kinds = days.crossJoin(ev.select("event_type").distinct())
+    found = trailing(kinds, ev, "cutoff_utc", "ts", 3 * 86400, [F.countDistinct("user_id").alias("users"), F.bit_xor("event_id").alias("mark"), F.max("ts").alias("newest")], by=["event_type"])
+    return found.filter("newest is not null").select("day", "event_type", "users", "mark", "newest")
+
+
 @_query(f"""{_MART}, picks AS (SELECT s.*, purchase_at FROM spine s LEFT JOIN (SELECT * FROM p WHERE rn = 1) p USING (user_id, day)), e AS (SELECT user_id, ts FROM events WHERE event_type = 'purchase')
 SELECT (SELECT count(*) FROM picks WHERE purchase_at > cutoff_utc) AS leaks, (SELECT count(*) FROM picks q WHERE EXISTS (SELECT 1 FROM e WHERE e.user_id = q.user_id AND e.ts <= q.cutoff_utc AND (q.purchase_at IS NULL OR e.ts > q.purchase_at))) AS newer,
  (SELECT count(*) > 0 FROM picks JOIN e USING (user_id) WHERE e.ts > cutoff_utc AND e.ts <= cutoff_utc + INTERVAL 180 MINUTE) AS canary_fails""")

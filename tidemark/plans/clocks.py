@@ -28,7 +28,7 @@ def clock_changes_to_utc(spark, d):
  CAST(year(ts) AS BIGINT) AS archive, lpad(CAST(hour(ts) AS VARCHAR), 2, '0') AS padded, day(ts + INTERVAL 1 DAY) = 1 AS rolls_over,
  round(coalesce(CASE WHEN event_id % 3 = 0 THEN value END, CASE WHEN event_id % 3 = 1 THEN 2 * value END, 0), 6) AS fallback, CAST(ts AS DATE) + 1 AS tomorrow FROM events""", "tomorrow")
 def clock_parts(spark, d):
-    """H5, H6, H11, H16, H21 to H24, H26 (in winter, when the zone's clock is UTC)."""
+    """H5, H6, H11, H16, H21 to H24, H26."""
     ev = read(spark, d, "events")
     groups = {"night": (0, 6), "morning": (6, 12), "peak": (16, 20)}
     k = F.get_json_object("props", "$.k")
@@ -68,3 +68,13 @@ def quantiles_in_order(spark, d):
     names = [t.quantile_name(q) for q in (0.1, 0.5, 0.9)]
     li = rounded(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.col("l_discount").alias("p10"), F.col("l_tax").alias("p50"), (F.col("l_quantity") / 500).alias("p90")))
     return li.withColumns(t.sorted_row(names))
+
+
+@query("""WITH u AS (SELECT event_id, unnest([75, 181, 290]) AS days, ts FROM events), l AS (SELECT event_id, days, ts + to_days(days) AS u, CAST(timezone('Europe/London', timezone('UTC', ts + to_days(days))) AS DATE) AS day FROM u)
+SELECT event_id, CAST(days AS BIGINT) AS days, day, CAST(floor(epoch(u - timezone('UTC', timezone('Europe/London', CAST(day AS TIMESTAMP)))) / 1800) + 1 AS BIGINT) AS period, day + 1 AS tomorrow FROM l""", "day", "tomorrow")
+def settlement_periods(spark, d):
+    """Local day, number of the half-hour in it and the day after, for instants around both clock changes and in summer."""
+    ev = read(spark, d, "events").select("event_id", "ts", F.explode(F.array(*[F.lit(k) for k in (75, 181, 290)])).alias("days"))
+    at = F.timestamp_add("DAY", F.col("days"), F.col("ts"))
+    out = ev.select("event_id", "days", t.settlement_day(at, ZONE).alias("day"), t.settlement_period(at, ZONE).alias("period"), t.tomorrow(at, ZONE).alias("tomorrow"))
+    return rounded(out)

@@ -182,6 +182,18 @@ def residual_quantiles(spark, d):
     return out.select("o_orderkey", *[r(c, 1).alias(c) for c in ("point", "p10", "p50", "p90")])
 
 
+@query(f"""WITH {_ORDER_DAYS}, g AS (SELECT o_orderkey, day, CASE WHEN o_orderkey % 5 > 0 THEN x END AS x, CASE WHEN o_orderkey % 500 > 0 THEN y END AS y FROM o), t AS (SELECT * FROM g WHERE day < (SELECT max(day) FROM g) - 100),
+m AS (SELECT quantile_cont(x, 0.5) AS mx, quantile_cont(y, 0.5) AS my FROM t), s AS (SELECT avg(coalesce(x, mx)) AS ax, stddev_samp(coalesce(x, mx)) AS dx, avg(coalesce(y, my)) AS ay, stddev_samp(coalesce(y, my)) AS dy FROM t, m)
+SELECT o_orderkey, round((coalesce(x, mx) - ax) / dx, 6) AS x_z, round((coalesce(y, my) - ay) / dy, 6) AS y_z, CASE WHEN x IS NULL THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS x_missing FROM g, m, s""")
+def linear_design(spark, d):
+    """Features with medians filled in, standardised, and an indicator for the one that is often missing, all from what lies 100 days back."""
+    o = _order_days(spark, d).withColumns({"x": F.when(F.col("o_orderkey") % 5 > 0, F.col("x")), "y": F.when(F.col("o_orderkey") % 500 > 0, F.col("y"))})
+    last = o.agg(F.date_sub(F.max("day"), 100).alias("_cut"))
+    train = o.crossJoin(F.broadcast(last)).filter(F.col("day") < F.col("_cut"))
+    out, names = forecasts.linear_design(train, o, ["x", "y"])
+    return rounded(out.select("o_orderkey", *names))
+
+
 @query(f"""WITH {_ORDER_DAYS}, k AS (SELECT year(day) AS year, month(day) >= 7 AS later, x FROM o), r AS (SELECT *, rank() OVER (PARTITION BY year ORDER BY x) + (count(*) OVER (PARTITION BY year, x) - 1) / 2.0 AS a FROM k)
 SELECT CAST(year AS BIGINT) AS year, round((sum(a) FILTER (later) - count(*) FILTER (later) * (count(*) FILTER (later) + 1) / 2.0) / nullif(count(*) FILTER (later) * count(*) FILTER (NOT later), 0), 6) AS auc, count(*) FILTER (later) AS positives, count(*) FILTER (NOT later) AS negatives FROM r GROUP BY 1""")
 def score_auc(spark, d):

@@ -86,7 +86,7 @@ def full_mart(spark, d) -> DataFrame:
     keys = ["day", "period"]
     at = lambda name, on, cols, issued: asof.asof_join(spine.select(*keys, "start_utc", "hour_utc", "cutoff_utc"), v[name], on, cols, issued, tie=["event_id"]).select(*keys, *cols, issued)
     hours = spine.select("hour_utc", "cutoff_utc").distinct()
-    per = asof.asof_join(hours.join(F.broadcast(v["wx"].select("location").distinct())), v["wx"], ["hour_utc", "location"], ["speed"], "wx_at", tie=["event_id"], how="inner")
+    per = asof.asof_join(hours.crossJoin(v["wx"].select("location").distinct()), v["wx"], ["hour_utc", "location"], ["speed"], "wx_at", tie=["event_id"], how="inner")
     per = per.withColumns({"w": (F.col("location") + 1).cast("double"), "power": t.power_curve("speed")})
     weather = per.groupBy("hour_utc", "cutoff_utc").agg(series.weighted_mean("speed", "w").alias("wx_speed"), series.weighted_mean("power", "w").alias("wx_power"), F.max("wx_at").alias("wx_at"), F.count("*").alias("wx_locations"))
     lags = _lagged(spark, d).withColumn("price_at", t.newest("price_lag_1d_available_at", "price_lag_2d_available_at", "price_lag_7d_available_at"))
@@ -192,15 +192,16 @@ def one_to_one_join(spark, d):
 
 
 @query(f"""WITH {HALF_HOURS}, x AS (SELECT day, period, price, avg(price) OVER w AS m, count(price) OVER w AS c FROM h WINDOW w AS (PARTITION BY period ORDER BY day - DATE '1970-01-01' RANGE BETWEEN 8 PRECEDING AND 2 PRECEDING))
-SELECT day, period, round(CASE WHEN c >= 3 THEN m END, 6) AS slot_mean, round(price - CASE WHEN c >= 3 THEN m END, 6) AS price_rel FROM x""", "day")
+SELECT day, period, round(CASE WHEN c >= 3 THEN m END, 6) AS slot_mean, round(price - CASE WHEN c >= 3 THEN m END, 6) AS price_rel, round(CASE WHEN c >= 3 THEN price END, 6) AS price_back FROM x""", "day")
 def slot_profile(spark, d):
-    """Mean of the same half-hour over days D-8 to D-2, looked up by day and period, and the price less it."""
-    from tidemark.operators.forecasts import delevelled
+    """Mean of the same half-hour over days D-8 to D-2, looked up by day and period, the price less it, and that with the level added back."""
+    from tidemark.operators.forecasts import delevelled, relevelled
 
     h = half_hours(spark, d)
     table = series.lagged_mean(h.withColumn("k", F.unix_date("day")), "price", ["period"], "k", 7).select("day", "period", "price_mean_7d")
     out = mart.looked_up(h.select("day", "period", "price"), table, ["day", "period"], "price_mean_7d", "slot_mean")
-    return rounded(delevelled(out, "price", "slot_mean", "price_rel").drop("price"))
+    out = delevelled(out, "price", "slot_mean", "price_rel").withColumn("price_back", F.col("price_rel"))
+    return rounded(relevelled(out, ["price_back"], "slot_mean").drop("price"))
 
 
 @query(f"""WITH {HALF_HOURS}, dd AS (SELECT day, day - DATE '1970-01-01' AS k, count(*) AS n, sum(n) AS sx, sum(price) AS sy, sum(n * n) AS sxx, sum(n * price) AS sxy FROM h GROUP BY day),
