@@ -32,9 +32,9 @@ from tidemark.llm.workspace import small_batches, staged
 STATE_SHARE = 2e-4
 #: At most one in so many chunks' worth of texts is looked at for these words.
 SAMPLE = 64
-CHUNK_BYTES = 6 << 20
+CHUNK_BYTES = 7 << 20
 #: Bytes of text behind a bucket, on average: what a task adds up at once is some ten times as much.
-BUCKET_BYTES = 3 << 20
+BUCKET_BYTES = 4 << 20
 END = np.uint64(0x5BD1E9955BD1E995)
 
 
