@@ -127,10 +127,8 @@ def one_to_one(a: DataFrame, b: DataFrame, on: list[str]) -> DataFrame:
 
 
 def wide_with_actual(long: DataFrame, keys: list[str], model: str, models: list[str], value: str, actual: str) -> DataFrame:
-    """One column per model, and the actual value of the key (of repeated ones the largest known)."""
-    wide = long.groupBy(*keys).pivot(model, models).agg(F.avg(value))
-    known_ = long.groupBy(*keys).agg(F.max(actual).alias(actual))
-    return wide.join(known_, keys, "left")
+    """One column per model, and the actual value of the key (of repeated ones the largest known), in one aggregation."""
+    return long.groupBy(*keys).agg(*[F.avg(F.when(F.col(model) == name, F.col(value))).alias(name) for name in models], F.max(actual).alias(actual))
 
 
 def looked_up(df: DataFrame, table: DataFrame, on: list[str], value: str, name: str) -> DataFrame:

@@ -77,6 +77,10 @@ def running(df: DataFrame, value: str, by: list[str], order: list[str], weight:
 
 #: Distinct values that one task puts in order.
 PER_TASK = 1 << 20
+#: Rows that one task aggregates after `dealt`.
+DEALT = 1 << 19
+#: Rows of a table that is broadcast beside others.
+FEW = 1 << 16
 
 
 def _same(by: list[str], other: str) -> Column:
@@ -241,6 +245,27 @@ def group_quantiles(df: DataFrame, value: str, by: list[str], quantiles: list[fl
     return out.select(*by, *[F.col(f"q{k}").alias(f"p{round(q * 100):02d}") for k, q in enumerate(quantiles)])
 
 
+def group_and_overall_quantiles(df: DataFrame, value: str, by: list[str], quantiles: list[float]) -> tuple[DataFrame, DataFrame]:
+    """group_quantiles of each group, and of all rows, from one count of df; both staged."""
+    counts = _counts(df.withColumn("_y", F.col(value).cast("double")), "_y", by)
+    whole = staged(counts.groupBy("_x").agg(F.sum("n").alias("n")), "counts")
+    out = []
+    for c, keys in ((counts, by), (whole, [])):
+        q = counted_positions(c, keys, quantiles).groupBy(*keys).agg(*quantile_columns(quantiles))
+        out.append(staged(q.select(*keys, *[F.col(f"q{k}").alias(f"p{round(q * 100):02d}") for k, q in enumerate(quantiles)]), "quantiles"))
+    return out[0], out[1]
+
+
+def beside(df: DataFrame, table: DataFrame, on: list[str]) -> DataFrame:
+    """df left-joined to a staged table with each key once. The table is counted: a small one is broadcast, so that df is not shuffled by few keys."""
+    return df.join(F.broadcast(table) if table.count() <= FEW else table, on, "left")
+
+
+def dealt(df: DataFrame, keys: list[str] | tuple[str, ...]) -> DataFrame:
+    """df in partitions by keys of about DEALT rows each, however many rows there are: aggregations and joins by these keys need no other exchange and as much memory as that."""
+    return df.repartition(max(df.sparkSession.sparkContext.defaultParallelism, -(-df.count() // DEALT)), *keys)
+
+
 def lag_persistence(df: DataFrame, target: str, lags: list[str]) -> DataFrame:
     """Per lag feature the known share, rank correlation and mean absolute difference."""
     long = df.select(target, F.explode(F.create_map(*[x for c in lags for x in (F.lit(c), F.col(c))])).alias("feature", "value"))

@@ -160,13 +160,17 @@ def pivot_sums(spark, d):
     return out.select("event_type", _r("high", 4).alias("high"), _r("low", 4).alias("low"), _r("ratio", 9).alias("ratio"), "users")
 
 
-def _forecasts(spark, d) -> DataFrame:
-    li = _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("g"), F.col("l_extendedprice").alias("y"), "l_shipdate", "l_returnflag")
-    q = series.group_quantiles(li, "y", ["g"], [0.1, 0.5, 0.9])
-    a = li.join(q, "g").withColumn("model", F.lit("by_quantity"))
-    one = series.group_quantiles(li, "y", [], [0.1, 0.5, 0.9])
-    b = li.crossJoin(F.broadcast(one)).withColumn("model", F.lit("constant"))
-    return a.unionByName(b)
+def _lines(spark, d) -> DataFrame:
+    return _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("g"), F.col("l_extendedprice").alias("y"), "l_shipdate", "l_returnflag")
+
+
+def _forecasts(spark, d, near: tuple[str, ...] = ()) -> DataFrame:
+    """A row per line and model; the lines stay where they are, or are dealt by `near` once, before they are a row per model."""
+    li = _lines(spark, d)
+    by_quantity, constant = (q.select(*[c for c in q.columns if c == "g"], F.struct("p10", "p50", "p90").alias(f"_{n}")) for n, q in zip(("g", "one"), series.group_and_overall_quantiles(li, "y", ["g"], [0.1, 0.5, 0.9]), strict=True))
+    rows = series.beside(series.dealt(li, near) if near else li, by_quantity, ["g"]).crossJoin(F.broadcast(constant))
+    both = F.array(*[F.struct(F.lit(n).alias("model"), f"{q}.p10", f"{q}.p50", f"{q}.p90") for n, q in (("by_quantity", "_g"), ("constant", "_one"))])
+    return rows.select(*li.columns, F.inline(both)).filter("model = 'constant' or g is not null")
 
 
 _FORECASTS = """li AS (SELECT l_orderkey, l_linenumber, l_quantity AS g, l_extendedprice AS y, l_shipdate, l_returnflag FROM lineitem),

@@ -17,8 +17,8 @@ from tidemark.sources.staging import staged
 HOURS = {"night": (0, 6), "morning": (6, 12), "afternoon": (12, 18), "evening": (18, 24)}
 
 
-def _folds(spark, d) -> DataFrame:
-    return _forecasts(spark, d).withColumns({"day": F.col("l_shipdate").cast("date"), "fold": t.quarter_label("l_shipdate")})
+def _folds(spark, d, near: tuple[str, ...] = ()) -> DataFrame:
+    return _forecasts(spark, d, near).withColumns({"day": F.col("l_shipdate").cast("date"), "fold": t.quarter_label("l_shipdate")})
 
 
 _FOLDS = f"{_FORECASTS}, x AS (SELECT *, CAST(l_shipdate AS DATE) AS day, year(l_shipdate) || 'Q' || quarter(l_shipdate) AS fold FROM l)"
@@ -271,7 +271,7 @@ def leakage_cost(spark, d):
 SELECT l_orderkey, l_linenumber, round(constant, 6) AS constant, round(by_quantity, 6) AS by_quantity, round(y, 2) AS y, round(o_totalprice, 2) AS total FROM p JOIN orders ON o_orderkey = l_orderkey AND o_orderstatus = 'F'""")
 def settled_forecasts(spark, d):
     """One column per model beside the actual, of orders that are settled."""
-    wide = mart.wide_with_actual(_folds(spark, d), ["l_orderkey", "l_linenumber"], "model", ["constant", "by_quantity"], "p50", "y")
+    wide = mart.wide_with_actual(_folds(spark, d, ("l_orderkey",)), ["l_orderkey", "l_linenumber"], "model", ["constant", "by_quantity"], "p50", "y")
     o = read(spark, d, "orders").filter("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("l_orderkey"), F.col("o_totalprice").alias("total"))
     out = mart.settled(wide, o, ["l_orderkey"])
     return out.select("l_orderkey", F.col("l_linenumber").cast("long").alias("l_linenumber"), r("constant", 6).alias("constant"), r("by_quantity", 6).alias("by_quantity"), r("y", 2).alias("y"), r("total", 2).alias("total"))
