@@ -7,7 +7,7 @@ import duckdb
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import mart, series
+from tidemark.operators import forecasts, mart, series
 from tidemark.plans import catalogue, evaluation
 
 
@@ -68,3 +68,22 @@ def test_large_tables_beside_are_not_broadcast(spark, monkeypatch):
     for few in (4, 5):
         monkeypatch.setattr(series, "FEW", few)
         assert {(r.id, r.v) for r in series.beside(df, table, ["k"]).collect()} == want
+
+
+def test_conformal_counts_equal_rows(spark, odd, monkeypatch):
+    kept, read = {}, []
+
+    def staged(df, name):
+        kept[name] = forecasts_staged(df, name)
+        return kept[name]
+
+    forecasts_staged = forecasts.staged
+    monkeypatch.setattr(forecasts, "staged", staged)
+    monkeypatch.setattr(series, "_counts", lambda df, value, by, f=series._counts: (read.append(by), f(df, value, by))[1])
+    check(spark, odd, "conformal")
+    lines = spark.read.parquet(f"{odd}/lineitem.parquet")
+    assert kept["calibration"].count() == lines.select("l_returnflag", "l_extendedprice").distinct().count() < lines.count()
+    assert read == [[]]
+    rows = spark.createDataFrame([("a", 3.0)] * 5 + [("a", 1.0), (None, 2.0), ("b", None)], "g string, y double").withColumn("p50", F.lit(1.0))
+    for keys, want in ((["g"], {("a", 6, 2.0), (None, 1, 1.0), ("b", 0, None)}), ([], {(7, 2.0)})):
+        assert {tuple(r) for r in forecasts.conformal_shifts(rows, "y", [0.5], keys).collect()} == want

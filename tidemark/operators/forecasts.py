@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -51,17 +53,22 @@ def naive_predict(test: DataFrame, offsets: DataFrame, point: Column, group: str
 
 
 def conformal_shifts(calibration: DataFrame, y: str, quantiles: list[float], keys: list[str], mode: str = "all") -> DataFrame:
-    """Per key the quantile of y - raw quantile over calibration rows; mode none, outer (not the middle) or all."""
-    calibration = staged(calibration.select(*keys, y, *[quantile_name(q) for q in quantiles]), "calibration")
-    out = calibration.groupBy(*keys).agg(F.count(y).alias("n_calibration"))
+    """Per key the quantile of y - raw quantile over calibration rows; mode none, outer (not the middle) or all.
+
+    Equal rows are counted first and staged as one: what follows grows with different ones.
+    """
+    names = [quantile_name(q) for q in quantiles]
+    calibration = staged(calibration.groupBy(*keys, y, *names).agg(F.count("*").alias("_rows")), "calibration")
+    out = calibration.groupBy(*keys).agg(F.coalesce(F.sum(F.when(F.col(y).isNotNull(), F.col("_rows"))), F.lit(0)).alias("n_calibration"))
     # all quantiles in one pass: a row's gap to each is one row
     gaps = F.array(*[F.struct(F.lit(float(q)).alias("_q"), (F.col(y) - F.col(quantile_name(q))).alias("_gap")) for q in quantiles])
-    long = calibration.select(*keys, F.inline(gaps)).filter("_gap is not null")
-    counts = staged(long.groupBy(*keys, "_q", F.col("_gap").alias("_x")).agg(F.count("*").alias("n")), "counts")
+    long = calibration.select(*keys, "_rows", F.inline(gaps)).filter("_gap is not null")
+    counts = staged(long.groupBy(*keys, "_q", F.col("_gap").alias("_x")).agg(F.sum("_rows").alias("n")), "counts")
     each = counted_positions(counts, [*keys, "_q"], [F.col("_q")]).groupBy(*keys, "_q").agg(quantile_columns([F.col("_q")])[0].alias("_shift"))
     fixed = lambda q: mode == "none" or (mode == "outer" and q == 0.5)
-    wide = each.groupBy(*keys).agg(*[F.max(F.when(F.col("_q") == float(q), F.lit(0.0) if fixed(q) else F.col("_shift"))).alias(f"shift_{quantile_name(q)}") for q in quantiles])
-    return out.join(wide, keys, "left") if keys else out.crossJoin(F.broadcast(wide))
+    wide = each.groupBy(*[F.col(c).alias(f"_k{k}") for k, c in enumerate(keys)]).agg(*[F.max(F.when(F.col("_q") == float(q), F.lit(0.0) if fixed(q) else F.col("_shift"))).alias(f"shift_{quantile_name(q)}") for q in quantiles])
+    same = reduce(Column.__and__, [F.col(c).eqNullSafe(F.col(f"_k{k}")) for k, c in enumerate(keys)], F.lit(True))
+    return out.join(wide, same, "left").drop(*[f"_k{k}" for k in range(len(keys))]) if keys else out.crossJoin(F.broadcast(wide))
 
 
 def calibration_split(df: DataFrame, day: str, days: int = 56, gap_days: int = 2) -> tuple[DataFrame, DataFrame]:

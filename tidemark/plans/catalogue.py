@@ -173,6 +173,13 @@ def _forecasts(spark, d, near: tuple[str, ...] = ()) -> DataFrame:
     return rows.select(*li.columns, F.inline(both)).filter("model = 'constant' or g is not null")
 
 
+def _constant(spark, d) -> DataFrame:
+    """The rows of _forecasts whose model is constant, without counting any groups."""
+    li = _lines(spark, d)
+    one = staged(series.group_quantiles(li, "y", [], [0.1, 0.5, 0.9]), "quantiles")
+    return li.crossJoin(F.broadcast(one)).withColumn("model", F.lit("constant"))
+
+
 _FORECASTS = """li AS (SELECT l_orderkey, l_linenumber, l_quantity AS g, l_extendedprice AS y, l_shipdate, l_returnflag FROM lineitem),
 q AS (SELECT g, quantile_cont(y, 0.1) AS p10, quantile_cont(y, 0.5) AS p50, quantile_cont(y, 0.9) AS p90 FROM li GROUP BY g),
 f AS (SELECT li.*, p10, p50, p90, 'by_quantity' AS model FROM li JOIN q USING (g)
@@ -209,8 +216,7 @@ def walk_forward(spark, d):
 FROM f WHERE model = 'constant' GROUP BY ALL""")
 def conformal(spark, d):
     """Shifts of each group (their hold-out is in calibrated_by_group)."""
-    f = _forecasts(spark, d).filter("model = 'constant'")
-    return _rounded(forecasts.conformal_shifts(f, "y", [0.1, 0.5, 0.9], ["l_returnflag"]), 4)
+    return _rounded(forecasts.conformal_shifts(_constant(spark, d), "y", [0.1, 0.5, 0.9], ["l_returnflag"]), 4)
 
 
 _DAILY = "daily AS (SELECT CAST(o_orderdate AS DATE) AS day, sum(o_totalprice) AS total, count(*) AS n FROM orders GROUP BY 1)"

@@ -10,7 +10,7 @@ from tidemark.functions import timeutil as t
 from tidemark.operators import contracts, folds, forecasts, mart, series, settle
 from tidemark.operators.calendar import settlement_calendar
 from tidemark.plans import serve
-from tidemark.plans.catalogue import _FORECASTS, _forecasts
+from tidemark.plans.catalogue import _FORECASTS, _constant, _forecasts
 from tidemark.plans.registry import HALF_HOURS, ZONE, half_hours, query, r, read, rounded
 from tidemark.sources.staging import staged
 
@@ -261,7 +261,7 @@ a AS (SELECT features, count(*) AS n, avg((greatest(0.1 * (y - p10), -0.9 * (y -
 SELECT features, n, round(p, 4) AS pinball, round(1 - p / max(CASE WHEN features = 'honest' THEN p END) OVER (), 6) AS flattery FROM a""")
 def leakage_cost(spark, d):
     """A forecast that has seen half of the actual value beside an honest one."""
-    f = _forecasts(spark, d).filter("model = 'constant'")
+    f = _constant(spark, d)
     late = f.withColumns({c: F.col(c) + (F.col("y") - F.col(c)) / 2 for c in ("p10", "p50", "p90")})
     out = forecasts.leakage_cost({"honest": f, "late": late}, "honest")
     return out.select("features", "n", r("pinball", 4).alias("pinball"), r("flattery").alias("flattery"))
