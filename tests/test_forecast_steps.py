@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.operators import forecasts, mart, series
-from tidemark.plans import catalogue, evaluation
+from tidemark.plans import catalogue, evaluation  # noqa: F401
 
 
 @pytest.fixture(scope="module")
@@ -87,3 +87,14 @@ def test_conformal_counts_equal_rows(spark, odd, monkeypatch):
     rows = spark.createDataFrame([("a", 3.0)] * 5 + [("a", 1.0), (None, 2.0), ("b", None)], "g string, y double").withColumn("p50", F.lit(1.0))
     for keys, want in ((["g"], {("a", 6, 2.0), (None, 1, 1.0), ("b", 0, None)}), ([], {(7, 2.0)})):
         assert {tuple(r) for r in forecasts.conformal_shifts(rows, "y", [0.5], keys).collect()} == want
+
+
+def test_paired_verdict_deals_lines_once(spark, odd, monkeypatch):
+    monkeypatch.setattr(series, "DEALT", 50)
+    read = []
+    monkeypatch.setattr(series, "_counts", lambda df, value, by, f=series._counts: (read.append(by), f(df, value, by))[1])
+    plan = check(spark, odd, "paired_verdict").split("== Physical Plan ==")[1]
+    assert read == [["g"]]
+    dealt = [x for x in plan.splitlines() if "hashpartitioning(l_orderkey#" in x]
+    assert dealt and all("18), REPARTITION_BY_NUM" in x for x in dealt)
+    assert "SortMergeJoin" not in plan and "hashpartitioning(g#" not in plan

@@ -164,10 +164,15 @@ def _lines(spark, d) -> DataFrame:
     return _read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_suppkey", F.col("l_quantity").alias("g"), F.col("l_extendedprice").alias("y"), "l_shipdate", "l_returnflag")
 
 
-def _forecasts(spark, d, near: tuple[str, ...] = ()) -> DataFrame:
-    """A row per line and model; the lines stay where they are, or are dealt by `near` once, before they are a row per model."""
+def _quantiles(li: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of each quantity and of all lines, staged."""
+    return series.group_and_overall_quantiles(li, "y", ["g"], [0.1, 0.5, 0.9])
+
+
+def _forecasts(spark, d, near: tuple[str, ...] = (), quantiles: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """A row per line and model; the lines stay where they are, or are dealt by `near` once, before they are a row per model. What _quantiles returned may be used again."""
     li = _lines(spark, d)
-    by_quantity, constant = (q.select(*[c for c in q.columns if c == "g"], F.struct("p10", "p50", "p90").alias(f"_{n}")) for n, q in zip(("g", "one"), series.group_and_overall_quantiles(li, "y", ["g"], [0.1, 0.5, 0.9]), strict=True))
+    by_quantity, constant = (q.select(*[c for c in q.columns if c == "g"], F.struct("p10", "p50", "p90").alias(f"_{n}")) for n, q in zip(("g", "one"), quantiles or _quantiles(li), strict=True))
     rows = series.beside(series.dealt(li, near) if near else li, by_quantity, ["g"]).crossJoin(F.broadcast(constant))
     both = F.array(*[F.struct(F.lit(n).alias("model"), f"{q}.p10", f"{q}.p50", f"{q}.p90") for n, q in (("by_quantity", "_g"), ("constant", "_one"))])
     return rows.select(*li.columns, F.inline(both)).filter("model = 'constant' or g is not null")

@@ -10,15 +10,15 @@ from tidemark.functions import timeutil as t
 from tidemark.operators import contracts, folds, forecasts, mart, series, settle
 from tidemark.operators.calendar import settlement_calendar
 from tidemark.plans import serve
-from tidemark.plans.catalogue import _FORECASTS, _constant, _forecasts
+from tidemark.plans.catalogue import _FORECASTS, _constant, _forecasts, _lines, _quantiles
 from tidemark.plans.registry import HALF_HOURS, ZONE, half_hours, query, r, read, rounded
 from tidemark.sources.staging import staged
 
 HOURS = {"night": (0, 6), "morning": (6, 12), "afternoon": (12, 18), "evening": (18, 24)}
 
 
-def _folds(spark, d, near: tuple[str, ...] = ()) -> DataFrame:
-    return _forecasts(spark, d, near).withColumns({"day": F.col("l_shipdate").cast("date"), "fold": t.quarter_label("l_shipdate")})
+def _folds(spark, d, near: tuple[str, ...] = (), quantiles: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    return _forecasts(spark, d, near, quantiles).withColumns({"day": F.col("l_shipdate").cast("date"), "fold": t.quarter_label("l_shipdate")})
 
 
 _FOLDS = f"{_FORECASTS}, x AS (SELECT *, CAST(l_shipdate AS DATE) AS day, year(l_shipdate) || 'Q' || quarter(l_shipdate) AS fold FROM l)"
@@ -31,10 +31,10 @@ def fold_metrics(spark, d):
     return out.select("fold", "model", "n", r("pinball", 4).alias("pinball"), r("mae", 4).alias("mae"), r("coverage").alias("coverage"), r("share_below_p90").alias("share_below_p90"))
 
 
-def _gain(spark, d) -> DataFrame:
-    f = _folds(spark, d).withColumn("loss", m.mean_pinball("y", [0.1, 0.5, 0.9]))
-    pairs = mart.wide_with_actual(f, ["l_orderkey", "l_linenumber", "day", "fold"], "model", ["constant", "by_quantity"], "loss", "y")
-    return m.paired_gain(pairs, "constant", "by_quantity", "day", "fold")
+def _gain(spark, d, quantiles: tuple[DataFrame, DataFrame]) -> DataFrame:
+    f = _folds(spark, d, ("l_orderkey", "l_linenumber"), quantiles).withColumn("loss", m.mean_pinball("y", [0.1, 0.5, 0.9]))
+    pairs = mart.wide_with_actual(f, ["l_orderkey", "l_linenumber", "day"], "model", ["constant", "by_quantity"], "loss", "y")
+    return m.paired_gain(pairs.withColumn("fold", t.quarter_label("day")), "constant", "by_quantity", "day", "fold")
 
 
 _GAIN = f"""{_FOLDS}, k AS (SELECT l_orderkey, l_linenumber, fold, day, avg(loss) FILTER (model = 'constant') AS b, avg(loss) FILTER (model = 'by_quantity') AS o FROM x GROUP BY ALL),
@@ -47,8 +47,9 @@ gain AS (SELECT sum(s) / sum(d) AS mean_gain, sum(s) / nullif(sum(b), 0) AS rela
  FROM gain, (SELECT avg(CAST(y BETWEEN p10 AND p90 AS INTEGER)) AS c FROM x WHERE model = 'by_quantity')""")
 def paired_verdict(spark, d):
     """Gain of one model over another by day and fold, and whether it is adopted (with the mean as its lower limit)."""
-    c = _folds(spark, d).filter("model = 'by_quantity'").agg(F.avg(m.interval("y", "p10", "p90")).alias("_c"))
-    out = forecasts.verdict(_gain(spark, d).join(F.broadcast(c)), F.col("mean_gain"), F.col("_c")).drop("_c")
+    quantiles = _quantiles(_lines(spark, d))
+    c = _folds(spark, d, quantiles=quantiles).filter("model = 'by_quantity'").agg(F.avg(m.interval("y", "p10", "p90")).alias("_c"))
+    out = forecasts.verdict(_gain(spark, d, quantiles).join(F.broadcast(c)), F.col("mean_gain"), F.col("_c")).drop("_c")
     return out.select(r("mean_gain", 4).alias("mean_gain"), r("relative_gain").alias("relative_gain"), "folds_won", "folds", "adopted")
 
 
